@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import pieces, quality, toxicity, wordpieces
+from vellum.llm import pieces, quality, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash)}
 
 
 def oracle_sql() -> dict:
