@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import pieces, quality, simhash, toxicity, wordpieces
+from vellum.llm import embeddings, pieces, quality, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode_documents(_table(spark, sf_dir, "documents")))
 
@@ -36,7 +40,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash)}
 
 
 def oracle_sql() -> dict:
