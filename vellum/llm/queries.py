@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import embeddings, pieces, quality, simhash, toxicity, wordpieces
+from vellum.llm import decontaminate, embeddings, pieces, quality, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
