@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, embeddings, pieces, quality, simhash, toxicity, wordpieces
+from vellum.llm import decontaminate, embeddings, pieces, pii, quality, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_spans(_table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op5_toxicity, op6_token_counts, op7_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op4_pii, op5_toxicity, op6_token_counts, op7_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
