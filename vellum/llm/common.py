@@ -81,6 +81,28 @@ def map_documents(df: DataFrame, make: Callable[[], Callable[[list[int], list[st
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def per_text(make: Callable[[], Callable[[list[str]], list]], kind: str):
+    """A column function of a text column, for decisions that stay with their
+    rows. ``make`` runs once per task and returns the function from texts (a
+    null is the empty text) to values, which gets a few MB at a time."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        apply = make()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch]
+            out, start, held = [], 0, 0
+            for i, t in enumerate(texts):
+                held += len(t)
+                if held > SLICE_BYTES:
+                    out += apply(texts[start : i + 1])
+                    start, held = i + 1, 0
+            yield pd.Series(out + apply(texts[start:]) if start < len(texts) else out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a row is kept from learning: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

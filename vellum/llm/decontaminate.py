@@ -264,6 +264,15 @@ def _index(items: tuple[tuple[int, str], ...], similarity: float, least_words: i
     return Index(list(items), similarity, least_words)
 
 
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str):
+    """The items as sorted (id, text) lists of about ``ITEMS`` each."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    passes = max(1, math.ceil(items.count() / ITEMS))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
     """(doc_id, item_id, item_words, edits, similarity, begin, end): for every
     document and every benchmark item that it holds with a similarity, one less
@@ -279,13 +288,9 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     again; a null doc_id stays null; other columns are not looked at.
     """
     docs = common.documents(df, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    passes = max(1, math.ceil(items.count() / ITEMS))
     schema = "doc_id long, item_id long, item_words int, edits int, similarity double, begin int, end int"
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        chosen = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    for chosen in _passes(benchmark, item_col, item_text_col):
 
         def make(chosen=chosen):
             index = _index(tuple(chosen), similarity, least_words)
@@ -299,3 +304,16 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
         found = common.map_documents(docs, make, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def keep_clean(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
+    """The rows of ``df``, all their columns, in which ``benchmark_matches``
+    would find no item. Decided in place, one pass for ``ITEMS`` items."""
+    for chosen in _passes(benchmark, item_col, item_text_col):
+
+        def make(chosen=chosen):
+            index = _index(tuple(chosen), similarity, least_words)
+            return lambda texts: [not hits for hits in index.search(texts)]
+
+        df = df.where(common.per_text(make, "boolean")(F.col(text_col).cast("string")))
+    return df

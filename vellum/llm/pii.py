@@ -302,6 +302,25 @@ def personal_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return cands.select("doc_id", F.transform(spans, lambda c: F.struct(F.element_at(names, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))).alias("spans"))
 
 
+def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``df`` with every span that ``personal_spans`` finds replaced by its
+    kind in angle brackets, and ``length_col``, if there, the new length of
+    the text. The spans are found again in place, so nothing is joined to the
+    texts; a null text stays null."""
+    model = learn(common.stored(candidates(df, id_col=id_col, text_col=text_col), "pii"))
+    kept = frozenset(p for p in model.patterns if model.accepts(p))
+
+    def make():
+        def clean(text):
+            spans = [(KINDS[k], a, b) for k, a, b, base in found(text) if base or pattern_of(text, k, a, b, base) in kept]
+            return redacted(text, spans) if spans else text
+
+        return lambda texts: [clean(t) for t in texts]
+
+    out = df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), common.per_text(make, "string")(F.col(text_col).cast("string"))))
+    return out.withColumn(length_col, F.char_length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else out
+
+
 def digest(found_spans: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts
     and hash of the base spans, and all spans as text."""

@@ -164,3 +164,16 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     marked = stats.withColumn("held_out", common.held_out(F.col("doc_id")))
     return marked.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df``, all their columns, that ``quality_scores`` would
+    predict as 1. Learning is the same; the rows are scored in place, so
+    nothing is joined to the texts and repeated rows or null ids stay."""
+    stats = common.stored(document_statistics(df, id_col=id_col, text_col=text_col), "quality")
+    model = learn(stats, labels, label_col=label_col)
+
+    def make():
+        return lambda texts: (model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))) >= threshold).tolist()
+
+    return df.where(common.per_text(make, "boolean")(F.col(text_col).cast("string")))

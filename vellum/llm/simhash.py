@@ -259,6 +259,22 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simdistinct")
     roots = common.components(links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = common.stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "simleast")
     named = common.stored(named.join(least, "root").select("fp", "component_id"), "simnames")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df``, all their columns, that stand for their group: of
+    each component of ``simhash_components`` the document that names it.
+
+    Of rows of one id one stays. Rows without an id can't name a component:
+    of those of one text one stays, whatever it is linked with.
+    """
+    named = df.where(F.col(id_col).isNotNull())
+    found = simhash_components(named, id_col=id_col, text_col=text_col, words=words, radius=radius)
+    stay = common.stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simkept")
+    marker = "__vellum_id"
+    ids = stay.select(F.col("doc_id").alias(marker))
+    one = named.join(ids, F.col(id_col).cast("long") == F.col(marker), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
