@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, embeddings, licenses, pieces, pii, quality, simhash, toxicity, wordpieces
+from vellum.llm import decontaminate, embeddings, licenses, passages, pieces, pii, quality, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op4_pii, op5_toxicity, op6_token_counts, op7_simhash, op8_licenses, op10_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op4_pii, op5_toxicity, op6_token_counts, op7_simhash, op8_licenses, op9_repeated_passages, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
