@@ -1,0 +1,177 @@
+"""Office files for tests, built from rows: the parsers' inverse."""
+
+from __future__ import annotations
+
+import struct
+
+END, FREE, FATSECT = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
+
+
+def compound(streams: dict[str, bytes], version: int = 3, scatter: bool = False) -> bytes:
+    """A compound file of top-level streams; ``scatter`` puts the sectors of
+    each chain, mini sectors included, in falling order."""
+    sector = 512 if version == 3 else 4096
+    small = {k: v for k, v in streams.items() if 0 < len(v) < 4096}
+    mini_fat: list[int] = []
+    mini = b""
+    starts: dict[str, int] = {}
+
+    def chain(n: int, first: int) -> tuple[list[int], list[int]]:
+        """Order of n sectors from ``first``, and the table entries of them."""
+        order = list(range(first, first + n))
+        if scatter:
+            order.reverse()
+        nxt = {a: b for a, b in zip(order, order[1:])} | ({order[-1]: END} if order else {})
+        return order, [nxt[i] for i in range(first, first + n)]
+
+    for name, data in small.items():
+        n = -(-len(data) // 64)
+        order, entries = chain(n, len(mini_fat))
+        parts = dict(zip(order, (data[64 * i : 64 * i + 64].ljust(64, b"\0") for i in range(n))))
+        mini += b"".join(parts[i] for i in sorted(parts))
+        mini_fat += entries
+        starts[name] = order[0]
+    blocks: list[bytes] = []
+    fat: list[int] = []
+
+    def put(data: bytes) -> int:
+        n = -(-len(data) // sector)
+        if not n:
+            return END
+        order, entries = chain(n, len(fat))
+        parts = dict(zip(order, (data[sector * i : sector * i + sector].ljust(sector, b"\0") for i in range(n))))
+        blocks.extend(parts[i] for i in sorted(parts))
+        fat.extend(entries)
+        return order[0]
+
+    for name, data in streams.items():
+        if name not in small:
+            starts[name] = put(data)
+    root = put(mini)
+    mini_table = put(struct.pack(f"<{len(mini_fat)}I", *mini_fat).ljust(-(-len(mini_fat) * 4 // sector) * sector, b"\xff")) if mini_fat else END
+    entries = [("Root Entry", 5, root, len(mini))] + [(k, 2, starts[k], len(v)) for k, v in streams.items()]
+    directory = b""
+    for name, kind, start, size in entries:
+        raw = (name + "\0").encode("utf-16-le")
+        directory += raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, FREE, FREE, FREE) + bytes(36) + struct.pack("<IQ", start, size)
+    directory_start = put(directory)
+    each = sector // 4
+    n_fat = 1
+    while n_fat * each < len(fat) + n_fat:
+        n_fat += 1
+    fat_at = list(range(len(fat), len(fat) + n_fat))
+    table = fat + [FATSECT] * n_fat
+    table += [FREE] * (n_fat * each - len(table))
+    blocks += [struct.pack(f"<{each}I", *table[each * i : each * i + each]) for i in range(n_fat)]
+    difat = (fat_at + [FREE] * 109)[:109]
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, version, 0xFFFE, 9 if version == 3 else 12, 6) + bytes(6)
+    head += struct.pack("<IIIIIIIII", 0, n_fat, directory_start, 0, 4096, mini_table, -(-len(mini_fat) * 4 // sector) if mini_fat else 0, END, 0)
+    head += struct.pack("<109I", *difat)
+    return head.ljust(sector, b"\0") + b"".join(blocks)
+
+
+def record(number: int, body: bytes = b"") -> bytes:
+    return struct.pack("<HH", number, len(body)) + body
+
+
+def short_string(text: str, count: str = "B", wide: bool | None = None) -> bytes:
+    wide = any(ord(c) > 255 for c in text) if wide is None else wide
+    return struct.pack(f"<{count}B", len(text), int(wide)) + (text.encode("utf-16-le") if wide else text.encode("latin-1"))
+
+
+def shared_strings(strings: list, cut: int | None = None) -> bytes:
+    """An SST of strings, or (text, runs) pairs; with ``cut`` its records hold
+    so many bytes at most."""
+    parts, part = [], struct.pack("<II", len(strings), len(strings))
+    limit = cut or 8224
+
+    def flush():
+        nonlocal part
+        parts.append(part)
+        part = b""
+
+    def raw(data: bytes):
+        nonlocal part
+        while data:
+            if len(part) >= limit:
+                flush()
+            n = limit - len(part)
+            part, data = part + data[:n], data[n:]
+
+    for s in strings:
+        text, runs = s if isinstance(s, tuple) else (s, [])
+        wide = any(ord(c) > 255 for c in text)
+        head = struct.pack("<HB", len(text), wide | (8 if runs else 0)) + (struct.pack("<H", len(runs)) if runs else b"")
+        if len(part) + len(head) > limit:
+            flush()
+        raw(head)
+        width = 2 if wide else 1
+        for c in text:
+            if len(part) + width > limit:
+                flush()
+                part = bytes([wide])
+            part += c.encode("utf-16-le") if wide else c.encode("latin-1")
+        for run in runs:
+            raw(struct.pack("<HH", *run))
+    flush()
+    return record(0xFC, parts[0]) + b"".join(record(0x3C, p) for p in parts[1:])
+
+
+def rk(value: float, hundredths: bool = False) -> int:
+    n = round(value * 100) if hundredths else value
+    if float(n) == int(n) and -(1 << 29) <= int(n) < 1 << 29:
+        return (int(n) & 0x3FFFFFFF) << 2 | 2 | hundredths
+    high, = struct.unpack("<I", struct.pack("<d", n)[4:])
+    return high & 0xFFFFFFFC | hundredths
+
+
+def workbook(sheets: list[tuple[str, list[bytes]]], strings: list | None = None, formats: dict[int, str] | None = None, xfs: list[int] | None = None, biff8: bool = True, codepage: int = 1252, date1904: bool = False, cut: int | None = None, **shape) -> bytes:
+    """A workbook file; each sheet is a name and its cell records."""
+    bof = lambda kind: record(0x809, struct.pack("<HHHH", 0x600 if biff8 else 0x500, kind, 0, 0) + (bytes(8) if biff8 else b""))
+    codec = {1252: "cp1252", 1251: "cp1251"}[codepage]
+    head = bof(5) + record(0x42, struct.pack("<H", codepage)) + record(0x22, struct.pack("<H", int(date1904)))
+    for ifmt, pattern in (formats or {}).items():
+        head += record(0x41E, struct.pack("<H", ifmt) + (short_string(pattern, "H") if biff8 else bytes([len(pattern)]) + pattern.encode(codec)))
+    for ifmt in xfs or [0] * 16:
+        head += record(0xE0, struct.pack("<HH", 0, ifmt) + bytes(16))
+    names = [short_string(n) if biff8 else bytes([len(n)]) + n.encode(codec) for n, _ in sheets]
+    tail = (shared_strings(strings or [], cut) if biff8 else b"") + record(0x0A)
+    at = len(head) + sum(10 + len(n) for n in names) + len(tail)
+    bodies, marks = b"", b""
+    for name, (_, cells) in zip(names, sheets):
+        marks += record(0x85, struct.pack("<IBB", at + len(bodies), 0, 0) + name)
+        bodies += bof(16) + b"".join(cells) + record(0x0A)
+    return compound({"Workbook" if biff8 else "Book": head + marks + tail + bodies}, **shape)
+
+
+def number(row, col, value, xf=15):
+    return record(0x203, struct.pack("<HHHd", row, col, xf, value))
+
+
+def rk_cell(row, col, value, xf=15, hundredths=False):
+    return record(0x27E, struct.pack("<HHHI", row, col, xf, rk(value, hundredths)))
+
+
+def mul_rk(row, col, values, xf=15):
+    return record(0xBD, struct.pack("<HH", row, col) + b"".join(struct.pack("<HI", xf, rk(v)) for v in values) + struct.pack("<H", col + len(values) - 1))
+
+
+def mul_blank(row, col, n, xf=15):
+    return record(0xBE, struct.pack("<HH", row, col) + struct.pack("<H", xf) * n + struct.pack("<H", col + n - 1))
+
+
+def blank(row, col, xf=15):
+    return record(0x201, struct.pack("<HHH", row, col, xf))
+
+
+def label_sst(row, col, k, xf=15):
+    return record(0xFD, struct.pack("<HHHI", row, col, xf, k))
+
+
+def label(row, col, text, xf=15, codec=None):
+    body = struct.pack("<H", len(text)) + text.encode(codec) if codec else short_string(text, "H")
+    return record(0x204, struct.pack("<HHH", row, col, xf) + body)
+
+
+def bool_err(row, col, value, error=0, xf=15):
+    return record(0x205, struct.pack("<HHHBB", row, col, xf, value, error))
