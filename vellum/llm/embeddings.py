@@ -338,7 +338,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vec_col: str
     more = fine.select("vec_id", F.col("cid").alias("b")).join(spread.select("vec_id", "a"), "vec_id").select("a", "b")
     roots = common.components(edges.union(more))
     named = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = common.stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "vecleast")
     totals = counts.groupBy("cid").agg(F.sum("n").alias("n_links"))
     named = common.stored(named.join(least, "root").join(totals, "cid").select("cid", "n_links", "component_id"), "vecnames")
     out = vectors.select("vec_id", "cid").join(named, "cid", "left")
