@@ -175,3 +175,137 @@ def label(row, col, text, xf=15, codec=None):
 
 def bool_err(row, col, value, error=0, xf=15):
     return record(0x205, struct.pack("<HHHBB", row, col, xf, value, error))
+
+
+def sprm(code: int, value: int | bytes) -> bytes:
+    """One property; sizes by its code."""
+    size = (1, 1, 2, 4, 2, 2, -1, 3)[code >> 13]
+    if isinstance(value, bytes):
+        count = struct.pack("<H", len(value) + 1) if code == 0xD608 else bytes([len(value)])
+        return struct.pack("<H", code) + (count if size < 0 else b"") + value
+    return struct.pack("<H", code) + (value & (1 << 8 * size) - 1).to_bytes(size, "little")
+
+
+def style(name: str, sti: int, base: int = 0xFFF, kind: int = 1, paras: bytes = b"", chars: bytes = b"") -> bytes:
+    std = struct.pack("<HH", sti, base << 4 | kind) + bytes(6)
+    std += struct.pack("<H", len(name)) + name.encode("utf-16-le") + b"\0\0"
+    for part in ([b"\0\0" + paras, chars] if kind == 1 else [chars]):
+        std += b"\0" * (len(std) % 2) + struct.pack("<H", len(part)) + part
+    return std
+
+
+def _fkp(runs: list[tuple[int, int, bytes | None]], entry: int) -> bytes:
+    """A page of property runs (first byte, past the last, properties)."""
+    page = bytearray(512)
+    head = 4 * (len(runs) + 1)
+    struct.pack_into(f"<{len(runs) + 1}I", page, 0, *[a for a, _, _ in runs], runs[-1][1])
+    at = 511
+    for j, (_, _, props) in enumerate(runs):
+        if props is None:
+            continue
+        body = bytes([len(props)]) + props if entry == 1 else bytes([0, len(props + b"\0" * (len(props) % 2)) // 2]) + props
+        at = (at - len(body)) // 2 * 2
+        page[at : at + len(body)] = body
+        page[head + entry * j] = at // 2
+    page[511] = len(runs)
+    return bytes(page)
+
+
+def document(pieces: list, chars: list = (), paras: list = (), styles: list[bytes] = (), fonts: list[str] = (), lists: list = (), overrides: list[int] = (), sections: list = (), stories: list[str] = (), lid: int = 0x409, codec: str = "cp1252", pictures: bytes = b"", **shape) -> bytes:
+    """A document of text pieces, a string or (string, wide). ``chars`` and
+    ``paras`` are (first place, past the last, properties); a paragraph's
+    properties are (istd, properties)."""
+    pieces = [p if isinstance(p, tuple) else (p, True) for p in pieces]
+    main = "".join(t for t, _ in pieces)
+    if stories:
+        pieces = [*pieces, ("".join(stories), True)]
+    fib_size = 32 + 2 + 28 + 2 + 88 + 2 + 8 * 0x5D
+    body, table = bytearray(1024), bytearray(8)
+    places, entries, byte_of = [0], [], []
+    for text, wide in pieces:
+        fc = len(body)
+        body += text.encode("utf-16-le") if wide else text.encode(codec)
+        byte_of += [fc + i * (2 if wide else 1) for i in range(len(text))]
+        end = len(body)
+        places.append(places[-1] + len(text))
+        entries.append(struct.pack("<HIH", 0, fc if wide else fc * 2 | 0x40000000, 0))
+        body += b"\0" * (-len(body) % 4)
+    last = end
+    offset = lambda cp: byte_of[cp] if cp < len(byte_of) else last
+    after = lambda cp: byte_of[cp - 1] + (2 if _wide(pieces, cp - 1) else 1) if cp else 1024
+    words: dict[int, tuple[int, int]] = {}
+
+    def put(index: int, data: bytes, counted: int | None = None) -> None:
+        if data:
+            words[index] = len(table), len(data) if counted is None else counted
+            table.extend(data + b"\0" * (-len(data) % 4))
+
+    for index, runs, entry in ((24, [(a, b, p) for a, b, p in chars], 1), (26, [(a, b, struct.pack("<H", p[0]) + p[1] if p is not None else None) for a, b, p in paras], 13)):
+        if runs:
+            pages = [runs[i : i + 8] for i in range(0, len(runs), 8)]
+            body += b"\0" * (-len(body) % 512)
+            numbers = []
+            for page in pages:
+                numbers.append(len(body) // 512)
+                body += _fkp([(offset(a), after(b), p) for a, b, p in page], entry)
+            put(index, struct.pack(f"<{len(pages) + 1}I", *[offset(p[0][0]) for p in pages], after(pages[-1][-1][1])) + struct.pack(f"<{len(numbers)}I", *numbers))
+    clx = b"\x01\x02\x00\xab\xcd\x02"
+    plc = struct.pack(f"<{len(places)}I", *places) + b"".join(entries)
+    put(66, clx + struct.pack("<I", len(plc)) + plc)
+    if styles:
+        put(2, struct.pack("<HHH", 18, len(styles), 10) + bytes(14) + b"".join(struct.pack("<H", len(s)) + s for s in styles))
+    if fonts:
+        each = [bytes(39) + (f + "\0").encode("utf-16-le") for f in fonts]
+        put(30, struct.pack("<HHH", 0xFFFF, len(each), 0) + b"".join(bytes([len(e)]) + e for e in each))
+    if lists:
+        head = struct.pack("<H", len(lists)) + b"".join(struct.pack("<I", key) + bytes(22) + b"\x01\0" for key, _, _ in lists)
+        levels = b"".join(bytes(4) + bytes([nfc]) + bytes(23) + struct.pack("<H", len(text)) + text.encode("utf-16-le") for _, nfc, text in lists)
+        put(146, head + levels, len(head))
+    if overrides:
+        put(148, struct.pack("<I", len(overrides)) + b"".join(struct.pack("<I", k) + bytes(12) for k in overrides))
+    if sections:
+        ends = [0, *[e for e, _ in sections]]
+        seds = b""
+        for _, props in sections:
+            seds += struct.pack("<HIHI", 0, len(body), 0, 0)
+            body += struct.pack("<H", len(props)) + props
+        put(12, struct.pack(f"<{len(ends)}I", *ends) + seds)
+    if stories:
+        ends = [0]
+        for s in stories:
+            ends.append(ends[-1] + len(s))
+        put(22, struct.pack(f"<{len(ends)}I", *ends))
+    longs = [0] * 22
+    longs[3], longs[5] = len(main), sum(map(len, stories))
+    fib = struct.pack("<HHHHHH", 0xA5EC, 0xC1, 0, lid, 0, 0x0200).ljust(32, b"\0") + struct.pack("<H", 14) + bytes(28) + struct.pack("<H", 22) + struct.pack("<22I", *longs) + struct.pack("<H", 0x5D)
+    flat = [0] * (2 * 0x5D)
+    for k, (fc, lcb) in words.items():
+        flat[k], flat[k + 1] = fc, lcb
+    fib += struct.pack(f"<{len(flat)}I", *flat)
+    assert len(fib) == fib_size <= 1024
+    body[: len(fib)] = fib
+    return compound({"WordDocument": bytes(body), "1Table": bytes(table), "Pictures": pictures, "Other": b"x"}, **shape)
+
+
+def _wide(pieces, cp: int) -> bool:
+    for text, wide in pieces:
+        if cp < len(text):
+            return wide
+        cp -= len(text)
+    return True
+
+
+def drawing(kind: int, body: bytes, instance: int = 0, container: bool = False) -> bytes:
+    return struct.pack("<HHI", instance << 4 | (15 if container else 0), kind, len(body)) + body
+
+
+def picture(name: str, data: bytes, two: bool = False) -> bytes:
+    import zlib
+
+    kind, instance = {"EMF": (0xF01A, 0x3D4), "WMF": (0xF01B, 0x216), "PICT": (0xF01C, 0x542), "JPEG": (0xF01D, 0x46A), "PNG": (0xF01E, 0x6E0), "DIB": (0xF01F, 0x7A8), "TIFF": (0xF029, 0x6E4)}[name]
+    ids = bytes(32 if two else 16)
+    if name in ("EMF", "WMF", "PICT"):
+        packed = zlib.compress(data)
+        ids += struct.pack("<I", len(data)) + bytes(24) + struct.pack("<I", len(packed)) + b"\0\xfe"
+        return drawing(kind, ids + packed, instance + two)
+    return drawing(kind, ids + b"\xff" + data, instance + two)

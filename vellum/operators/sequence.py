@@ -24,19 +24,20 @@ def onward(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
-def split_paragraphs(df: DataFrame, text: str, separator: str = "\r\n|[\r\n\x07]", **keep: str) -> DataFrame:
+def split_paragraphs(df: DataFrame, text: str, marks: str = "\r\n\x07", **keep: str) -> DataFrame:
     """A row for each paragraph: para_idx from 0, its text, the separator that
-    ends it (null at the end of the text) and cp_start, where it begins, each
-    separator one place. An empty tail is no paragraph.
+    ends it (one of ``marks`` as a number, null at the end of the text) and
+    cp_start, where it begins, each separator one place. An empty tail is no
+    paragraph.
 
     ``keep`` names columns that come along, new name to column.
     """
     body = F.regexp_replace(F.col(text), "\r\n", "\r")
-    cuts = F.regexp_extract_all(body, F.lit("([^\r\n\x07]*)([\r\n\x07]|$)"), F.lit(0))
+    cuts = F.regexp_extract_all(body, F.lit(f"([^{marks}]*)([{marks}]|$)"), F.lit(0))
     rows = df.select(*[F.col(c).alias(n) for n, c in keep.items()], F.posexplode(cuts).alias("para_idx", "cut"))
     rows = rows.where(F.length("cut") > 0)
     last = F.substring("cut", -1, 1)
-    ended = last.isin("\r", "\n", "\x07")
+    ended = last.isin(*marks)
     rows = rows.select(*keep, "para_idx", F.when(ended, F.expr("substring(cut, 1, length(cut) - 1)")).otherwise(F.col("cut")).alias("text"), F.when(ended, F.ascii(last)).alias("separator"))
     w = ordered(list(keep), ["para_idx"])
     return rows.withColumn("cp_start", F.coalesce(F.sum(F.char_length("text") + 1).over(before(w)), F.lit(0)).cast("long"))
