@@ -309,3 +309,74 @@ def picture(name: str, data: bytes, two: bool = False) -> bytes:
         ids += struct.pack("<I", len(data)) + bytes(24) + struct.pack("<I", len(packed)) + b"\0\xfe"
         return drawing(kind, ids + packed, instance + two)
     return drawing(kind, ids + b"\xff" + data, instance + two)
+
+
+def text_style(paras: list[tuple[int, int, bytes]], chars: list[tuple[int, bytes]]) -> bytes:
+    return drawing(0xFA1, b"".join(struct.pack("<IH", n, level) + p for n, level, p in paras) + b"".join(struct.pack("<I", n) + c for n, c in chars))
+
+
+def properties(**values) -> bytes:
+    """Shape properties by name like p181 for number 0x181."""
+    rows = [(int(k[1:], 16), v) for k, v in values.items()]
+    return drawing(0xF00B, b"".join(struct.pack("<HI", k, v & 0xFFFFFFFF) for k, v in rows), len(rows))
+
+
+def shape(kind: int, box: tuple[int, int, int, int] | None, *more: bytes, child: bool = False) -> bytes:
+    """A shape; the box is left, top, right, bottom."""
+    parts = drawing(0xF00A, struct.pack("<II", 1, 0), kind) + b"".join(more)
+    if box:
+        l, t, r, b = box
+        parts += drawing(0xF00F, struct.pack("<iiii", l, t, r, b)) if child else drawing(0xF010, struct.pack("<hhhh", t, l, r, b))
+    return drawing(0xF004, parts, container=True)
+
+
+def group(box, inner, *children: bytes) -> bytes:
+    head = drawing(0xF009, struct.pack("<iiii", *inner)) + drawing(0xF00A, struct.pack("<II", 1, 1), 0)
+    head += drawing(0xF010, struct.pack("<hhhh", box[1], box[0], box[2], box[3]))
+    return drawing(0xF003, drawing(0xF004, head, container=True) + b"".join(children), container=True)
+
+
+def text_box(kind: int, text: str, style: bytes = b"", wide: bool = True) -> bytes:
+    chars = drawing(0xFA0, text.encode("utf-16-le")) if wide else drawing(0xFA8, text.encode("latin-1"))
+    return drawing(0xF00D, drawing(0xF9F, struct.pack("<I", kind)) + chars + style, container=True)
+
+
+def presentation(slides: list[list[bytes]], masters: list[list[bytes]] = (), fonts: list[str] = (), listed: list[list[bytes]] = (), pictures: list[bytes] = (), scheme: list[str] = (), master_styles: bytes = b"", size: tuple[int, int] = (5760, 4320)) -> bytes:
+    """A presentation; slides and masters are lists of shapes."""
+    stream = b""
+    offsets = {}
+
+    def put(key: int, record: bytes) -> None:
+        nonlocal stream
+        offsets[key] = len(stream)
+        stream += record
+
+    def sheet(kind: int, atoms: bytes, shapes: list[bytes]) -> bytes:
+        patriarch = drawing(0xF004, drawing(0xF009, bytes(16)) + drawing(0xF00A, bytes(8)), container=True)
+        box = drawing(0xF002, drawing(0xF003, patriarch + b"".join(shapes), container=True), container=True)
+        colors = drawing(0x7F0, b"".join(bytes.fromhex(c) + b"\0" for c in scheme), 1) if scheme and kind == 0x3F8 else b""
+        return drawing(kind, atoms + (master_styles if kind == 0x3F8 else b"") + drawing(0x40C, box, container=True) + colors, container=True)
+
+    atom = lambda master: drawing(0x3EF, struct.pack("<I8sII", 1, bytes(8), master, 0) + bytes(4))
+    for i, shapes in enumerate(masters):
+        put(100 + i, sheet(0x3F8, atom(0), shapes))
+    for i, shapes in enumerate(slides):
+        put(10 + i, sheet(0x3EE, atom(0x80000000 if masters else 0), shapes))
+    names = drawing(0x7D5, b"".join(drawing(0xFB7, (f + "\0").encode("utf-16-le").ljust(64, b"\0") + bytes(4)) for f in fonts), container=True)
+    entry = lambda persist, key: drawing(0x3F3, struct.pack("<IIIII", persist, 0, 0, key, 0))
+    rows = b"".join(entry(10 + i, 256 + i) + b"".join(listed[i] if i < len(listed) else []) for i in range(len(slides)))
+    document = drawing(0x3E9, struct.pack("<ii", *size) + bytes(32)) + drawing(0x3F2, names, container=True)
+    if pictures:
+        blobs, store = b"", b""
+        for p in pictures:
+            store += drawing(0xF007, bytes(24) + struct.pack("<I", 1) + struct.pack("<I", len(blobs)) + bytes(4))
+            blobs += p
+        document += drawing(0x40B, drawing(0xF000, drawing(0xF001, store, len(pictures), True), container=True), container=True)
+    document += drawing(0xFF0, rows, 0, True) + drawing(0xFF0, b"".join(entry(100 + i, 0x80000000 + i) for i in range(len(masters))), 1, True)
+    put(1, drawing(0x3E8, document, container=True))
+    directory = len(stream)
+    stream += drawing(0x1772, b"".join(struct.pack("<II", k | 1 << 20, o) for k, o in offsets.items()))
+    edit = len(stream)
+    stream += drawing(0xFF5, struct.pack("<IHBBIII", 0, 0, 0, 3, 0, directory, 1) + bytes(8))
+    user = drawing(0xFF6, struct.pack("<III", 20, 0xE391C05F, edit) + bytes(8))
+    return compound({"PowerPoint Document": stream, "Current User": user, "Pictures": b"".join(pictures)})

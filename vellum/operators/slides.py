@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import color
+from vellum.functions import color, units
+from vellum.functions import text as tx
+from vellum.operators import recursion
 
 # Candidate sizes in 1/100 point, connector shape types.
 SIZES = (2000, 1800, 1600, 1400, 1200, 1100, 1000, 900, 800, 700, 600)
@@ -68,3 +70,71 @@ def visible_color(text: Column, fill: Column, filled: Column, dark_behind: Colum
         .when(filled & color.is_near_white(text) & color.is_near_white(fill), ink)
         .otherwise(text)
     )
+
+
+#: Keys of a slide or master.
+OWNER = ["path", "owner_kind", "owner_id"]
+
+
+def placed(shapes: DataFrame) -> DataFrame:
+    """Shapes, groups left out, with their boxes in EMU of the slide: x, y,
+    cx, cy. A shape in a group is moved through all groups around it; one with
+    an anchor of its own is where that says."""
+    long = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    boxes = shapes.select(
+        *OWNER,
+        F.col("z").cast("long").alias("id"),
+        F.when(~F.col("own_anchor"), F.col("group_z")).cast("long").alias("parent"),
+        *[long(a).alias(b) for a, b in (("l", "x"), ("t", "y"), ("w", "w"), ("h", "h"), ("gx", "gx"), ("gy", "gy"), ("gw", "gw"), ("gh", "gh"))],
+    )
+    moved = recursion.nested_boxes(boxes, OWNER).withColumnsRenamed({"id": "z", "w": "cx", "h": "cy"}).withColumn("z", F.col("z").cast("int"))
+    emu = {c: units.from_master(F.col(c)) for c in ("x", "y", "cx", "cy")}
+    return shapes.where("NOT is_group").join(moved.drop("level").withColumns(emu), [*OWNER, "z"])
+
+
+def schemes(slides: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, owner_kind, owner_id, colors): each slide's scheme is that of its
+    master, else its own."""
+    of_master = table.where("owner_kind = 'master'").select("path", F.col("owner_id").alias("master_ref"), "colors")
+    of_slide = table.where("owner_kind = 'slide'").select("path", F.col("owner_id").alias("slide_id"), F.col("colors").alias("own"))
+    rows = slides.join(of_master, ["path", "master_ref"], "left").join(of_slide, ["path", "slide_id"], "left")
+    rows = rows.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"), F.coalesce("colors", "own").alias("colors"))
+    return rows.unionByName(table.where("owner_kind = 'master'").select(*OWNER, "colors"))
+
+
+def styled(runs: DataFrame, shapes: DataFrame, slides: DataFrame, scheme: DataFrame, master_styles: DataFrame) -> DataFrame:
+    """Runs with size, font, flags and color: their own, else those of the
+    master's style for the text's type and level, else of its level 0, else of
+    the environment; colors through the scheme."""
+    kinds = shapes.select(*OWNER, "z", "text_type")
+    rows = runs.join(kinds, [*OWNER, "z"], "left").join(scheme, OWNER, "left")
+    refs = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"), F.col("master_ref").alias("master_id"))
+    rows = rows.join(refs, OWNER, "left").withColumn("master_id", F.when(F.col("owner_kind") == "master", F.col("owner_id")).otherwise(F.col("master_id")))
+    rows = rows.withColumn("level", F.least(F.coalesce("level", F.lit(0)), F.lit(4)))
+    props = ("font_size", "font_name", "bold", "italic", "color_raw")
+    first = F.struct(*[F.col(p) for p in props])
+    table = master_styles.groupBy("path", "master_id", "text_type", "level").agg(F.first(first, ignorenulls=True).alias("style"))
+    env = table.where("master_id IS NULL").drop("master_id")
+    own = table.where("master_id IS NOT NULL")
+    for name, t, on in (("m", own, ["path", "master_id", "text_type", "level"]), ("m0", own.where("level = 0").drop("level"), ["path", "master_id", "text_type"]), ("e", env, ["path", "text_type", "level"]), ("e0", env.where("level = 0").drop("level"), ["path", "text_type"])):
+        rows = rows.join(t.withColumnRenamed("style", name), on, "left")
+    pick = lambda p: F.coalesce(F.when(F.col(p) != 0, F.col(p)) if p in ("font_size", "color_raw") else F.col(p), *[F.col(f"{s}.{p}") for s in ("m", "m0", "e", "e0")])
+    rows = rows.withColumns({p: pick(p) for p in props})
+    raw = F.col("color_raw")
+    rgb = F.when(raw.isNotNull() & (raw != 0), color.from_reference(raw.cast("long")))
+    none = F.array().cast("array<string>")
+    # a scheme's index stands in the high byte, the color itself below 254
+    return rows.withColumn("color", color.resolve(rgb, raw, F.coalesce("colors", none))).drop("m", "m0", "e", "e0", "colors", "master_id")
+
+
+def empty_slides(slides: DataFrame, runs: DataFrame) -> DataFrame:
+    """Slides without a text that is more than a placeholder or decoration."""
+    said = runs.where("owner_kind = 'slide'").withColumn("t", F.trim("text")).where((F.length("t") > 0) & ~tx.is_placeholder(F.col("t")))
+    said = said.select("path", F.col("owner_id").cast("int").alias("slide_idx")).distinct()
+    return slides.join(said, ["path", "slide_idx"], "left_anti")
+
+
+def layouts(slides: DataFrame) -> DataFrame:
+    """(path, master_ref, layout_idx): masters by their first slide, from 0."""
+    first = slides.where("master_ref IS NOT NULL").groupBy("path", "master_ref").agg(F.min("slide_idx").alias("first"))
+    return first.select("path", "master_ref", (F.dense_rank().over(Window.partitionBy("path").orderBy("first")) - 1).alias("layout_idx"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vellum.operators import document as dm
 from vellum.operators import packages, tables
-from vellum.sinks import docx, xlsx
+from vellum.operators import slides as sl
+from vellum.sinks import docx, pptx, xlsx
 from vellum.sources import readers
 
 DOC_TABLES = ("doc_text", "doc_para_runs", "doc_char_runs", "doc_styles", "doc_lists", "doc_list_overrides", "doc_sections", "doc_stories", "doc_images")
@@ -42,3 +43,24 @@ def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     targets = tables.stored(dm.contents(paras), "contents")
     parts = docx.parts(paras, runs, dm.stories(t["doc_stories"]), t["doc_images"], targets)
     return _with_errors(source, packages.zipped(parts), raw["doc_text"])
+
+
+PPT_TABLES = ("ppt_presentations", "ppt_slides", "ppt_shapes", "ppt_runs", "ppt_schemes", "ppt_master_styles", "ppt_texts", "ppt_images")
+
+
+def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
+    """Presentations to slide packages: shapes in place, runs with their
+    masters' styles and schemes, pictures. ``keep_empty`` off leaves out
+    slides without a text that says something."""
+    raw = {t: tables.stored(readers.parse(source, t), t) for t in PPT_TABLES}
+    t = {k: readers.good(v) for k, v in raw.items()}
+    slides = t["ppt_slides"]
+    if not keep_empty:
+        slides = tables.stored(slides.join(sl.empty_slides(slides, t["ppt_runs"]).select("path", "slide_idx"), ["path", "slide_idx"], "left_anti"), "slides")
+    scheme = tables.stored(sl.schemes(slides, t["ppt_schemes"]), "schemes")
+    placed = tables.stored(sl.placed(t["ppt_shapes"]), "placed")
+    runs = tables.stored(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), "styled")
+    kept = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"))
+    shown = placed.join(kept, sl.OWNER, "left_semi")
+    parts = pptx.parts(t["ppt_presentations"], slides, shown, runs, t["ppt_images"], scheme, t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi"))
+    return _with_errors(source, packages.zipped(parts), raw["ppt_presentations"])

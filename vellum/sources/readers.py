@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from vellum.sources import biff, ole, word
+from vellum.sources import biff, ole, slides, word
 
 #: Table to schema behind the path, and the function from bytes to its rows.
 TABLES = {
@@ -29,6 +29,7 @@ TABLES = {
     "xls_formats": ("ifmt int, pattern string", biff.format_rows),
     "biff_records": ("seq int, offset bigint, rec_type int, len int, body binary", biff.record_rows),
     **word.TABLES,
+    **slides.TABLES,
 }
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 #: Rows that a parser hands over at once.
