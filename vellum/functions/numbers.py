@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,7 +40,7 @@ def shortest_text(x: float | None) -> str | None:
 _TOKENS = re.compile("YYYY|yyyy|YY|yy|MMMM|MMM|MM|M|mm|m|DD|dd|D|d|HH|hh|H|h|ss|SS|s|S|.", re.S)
 
 
-def date_text(pattern: str, stamp: pd.Timestamp) -> str:
+def date_text(pattern: str, stamp: dt.datetime) -> str:
     """A timestamp by a pattern like ``MM/DD/YYYY hh:mm:ss``. Capital M is the
     month and small m the minute; other letters stand for themselves."""
     values = {
@@ -48,30 +51,34 @@ def date_text(pattern: str, stamp: pd.Timestamp) -> str:
     return "".join(values.get(key(t), t) for t in _TOKENS.findall(pattern))
 
 
-def rendered(value: float | None, pattern: str | None, ifmt: int | None, date1904: bool = False) -> str | None:
-    """A number as its format shows it: by the first of these that the pattern
+@functools.lru_cache(4096)
+def renderer(pattern: str | None, ifmt: int | None, date1904: bool = False) -> Callable[[float], str]:
+    """How a format shows a number: by the first of these that the pattern
     has, General or @, a percent sign, # or .00, 0; else as a date."""
-    if value is None:
-        return None
     if ifmt is None or pattern is None or ifmt < OWN_FORMATS or pattern in ("General", "@"):
-        return shortest_text(value)
+        return shortest_text
     if "%" in pattern:
-        return f"{value * 100:.2f}%"
+        return lambda v: f"{v * 100:.2f}%"
     if "#" in pattern or ".00" in pattern:
-        return f"{value:.2f}"
+        return lambda v: f"{v:.2f}"
     if "0" in pattern:
-        return f"{value:.0f}"
-    if not math.isfinite(value) or not -1e6 < value < 3e6:
-        return shortest_text(value)
-    micros = math.floor(value) * 86_400_000_000 + round((value - math.floor(value)) * 86_400_000_000)
-    import datetime as dt
+        return lambda v: f"{v:.0f}"
+    shown = pattern.replace("HH:MM:SS", "hh:mm:ss").replace("\\", "")
+    epoch = dt.datetime(1904, 1, 1) if date1904 else dt.datetime(1899, 12, 30)
+
+    def date(v: float) -> str:
+        if not -600_000 < v < 2_900_000:
+            return shortest_text(v)
+        try:
+            return date_text(shown, epoch + dt.timedelta(days=math.floor(v), microseconds=round((v - math.floor(v)) * 86_400_000_000)))
+        except OverflowError:
+            return shortest_text(v)
 
-    try:
-        stamp = dt.datetime(1904, 1, 1) if date1904 else dt.datetime(1899, 12, 30)
-        stamp += dt.timedelta(microseconds=micros)
-    except OverflowError:
-        return shortest_text(value)
-    return date_text(pattern.replace("HH:MM:SS", "hh:mm:ss").replace("\\", ""), stamp)
+    return date
+
+
+def rendered(value: float | None, pattern: str | None, ifmt: int | None, date1904: bool = False) -> str | None:
+    return None if value is None else renderer(pattern, ifmt, date1904)(value)
 
 
 @F.pandas_udf(StringType())
@@ -83,7 +90,8 @@ def number_text(values: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def render(values: pd.Series, patterns: pd.Series, ifmts: pd.Series) -> pd.Series:
     """Numbers as their formats show them; see ``rendered``."""
-    return pd.Series([None if v is None or pd.isna(v) else rendered(v, p, None if pd.isna(i) else int(i)) for v, p, i in zip(values, patterns, ifmts)], dtype=object)
+    keys = zip(patterns, ifmts)
+    return pd.Series([None if v != v or v is None else renderer(p, None if i != i or i is None else int(i))(v) for v, (p, i) in zip(values, keys)], dtype=object)
 
 
 def decode_rk(raw: Column) -> Column:
