@@ -59,5 +59,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_quality, op4_pii, op5_toxicity, op6_token_counts, op7_simhash, op8_licenses, op9_repeated_passages, op10_decontamination)}
 
 
+#: Links by comparing all with all; fit for the small tables alone.
+OP1_SQL = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_embedding_dedup": OP1_SQL}
