@@ -146,7 +146,7 @@ def test_package(spark, sample):
     body = parts.where("path = 'd' AND part_name = 'word/document.xml'").first().content.decode()
     assert body.count("<w:tr>") == 2 and body.count("<w:tc>") == 4 and 'w:val="Heading1"' in body and "<w:numPr>" in body and 'w:w="900"' in body
     media = parts.where("part_name LIKE 'word/media/%'").collect()
-    assert [(m.path, bytes(m.content)) for m in media] == [("e", b"\x89PNG....")]
+    assert [(m.path, bytes(m.content)) for m in media] == [("e", b"\x89PNG....")] and parts.where("path = 'e' AND part_name = 'word/document.xml'").first().content.decode().count("<w:drawing>") == 1
 
 
 
@@ -157,3 +157,33 @@ def test_random_bytes_end_as_errors(spark):
     for name in ("doc_text", "doc_para_runs", "doc_lists", "doc_images"):
         out = readers.parse(source(spark, **bad), name)
         assert out.where("_error IS NOT NULL").count() >= 20
+
+
+def test_pictures_and_boxes_find_their_place(spark):
+    paras = spark.createDataFrame([("p", 0, "a\x08b", 0, 3), ("p", 1, "\x08\x08", 4, 6), ("p", 2, "end", 7, 10)], "path string, para_idx int, text string, cp_start long, cp_end long")
+    spa = spark.createDataFrame([("p", "main", c, s) for c, s in ((1, 11), (4, 12), (5, 13), (8, 14))], "path string, story string, cp long, spid long")
+    pics = spark.createDataFrame([("p", 11, 5, 1), ("p", 11, 3, 0), ("p", 13, 4, 0)], "path string, spid long, image_idx int, source int")
+    slots = dm.shape_slots(spa, pics)
+    drawn = dm.drawn_pictures(paras, slots)
+    assert sorted((r.para_idx, r.image_idx) for r in drawn.collect()) == [(0, 3), (1, 4)]
+    boxes = spark.createDataFrame([("p", 0, "first\r"), ("p", 1, "second\r")], "path string, box_idx int, raw_text string")
+    assert {(r.para_idx, r.text.strip()) for r in dm.boxes_at(paras, boxes, slots).collect()} == {(1, "first"), (2, "second")}
+    images = spark.createDataFrame([("p", 3, bytearray(b"xx")), ("p", 4, bytearray(b"yyyy"))], "path string, image_idx int, data binary")
+    many = spark.createDataFrame([("p", 0, 1, 3), ("p", 0, 2, 4)], "path string, para_idx int, ord int, image_idx int")
+    assert [tuple(r) for r in dm.largest_picture(many, images).select("para_idx", "image_idx").collect()] == [(0, 4)]
+    stories = spark.createDataFrame([("p", 1, "x\x08")], "path string, story_idx int, raw_text string")
+    starts = spark.createDataFrame([("p", 1, 0)], "path string, story_idx int, cp long")
+    assert [r.images for r in dm.header_pictures(stories, slots, starts).collect()] == [[3]]
+
+
+def test_picture_sizes(spark):
+    from vellum.functions.images import picture_size, size_of
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 200, 100) + bytes(5)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 50, 80) + bytes(9)
+    emf = struct.pack("<II", 1, 100) + bytes(16) + struct.pack("<iiii", 0, 0, 1000, 500) + b" EMF"
+    assert size_of(png) == (200 * 9525, 100 * 9525) and size_of(jpeg) == (80 * 9525, 50 * 9525) and size_of(emf) == (360000, 180000)
+    dense = png + b"\0\0\0\x09pHYs" + struct.pack(">IIB", 11811, 11811, 1)
+    assert size_of(dense) == (200 * 3048, 100 * 3048) and size_of(b"") is None and size_of(b"\xff\xd8") is None and size_of(png[:20]) is None
+    df = spark.createDataFrame([(bytearray(png),), (bytearray(b"no"),), (None,)], "d binary")
+    assert [r[0].cx for r in df.select(picture_size("d")).collect()] == [1905000, None, None]

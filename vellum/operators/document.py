@@ -231,3 +231,70 @@ def stories(table: DataFrame) -> DataFrame:
     raw = F.regexp_replace("raw_text", "[\r\n]+$", "")
     shown = F.translate(tx.strip_field_codes(raw, keep_pictures=False), "\r\n", "")
     return table.withColumns({"text": shown, "raw_text": F.translate(raw, "\x01\x02\x03\x04\x05\x07\x08\x0c", "")}).where(F.length("text") > 0)
+
+
+#: Numbers of inline pictures begin here, behind those of the store.
+INLINE = 1_000_000
+
+
+def shape_slots(spa: DataFrame, shape_pictures: DataFrame, story: str = "main") -> DataFrame:
+    """(path, slot, cp, spid, image_idx): a story's shapes in order of place,
+    each with its picture, the drawing group's before the data stream's; null
+    without one."""
+    best = seq.first_wins(shape_pictures, ["path", "spid"], [F.col("source"), F.col("image_idx")]).drop("source")
+    rows = spa.where(F.col("story") == story).select("path", "cp", "spid").join(best, ["path", "spid"], "left")
+    return rows.withColumn("slot", F.row_number().over(Window.partitionBy("path").orderBy("cp", "spid")))
+
+
+def _marks(rows: DataFrame, text: str, mark: str, by: list[str]) -> DataFrame:
+    """A row for each mark in a text, with its place in the text from 0."""
+    places = F.filter(F.transform(F.split(F.col(text), ""), lambda c, i: F.when(c == mark, i)), lambda i: i.isNotNull())
+    return rows.where(F.col(text).contains(mark)).select(*by, F.explode(places).alias("place"))
+
+
+def drawn_pictures(paras: DataFrame, slots: DataFrame) -> DataFrame:
+    """(path, para_idx, ord, image_idx): the nth drawing mark of a document
+    with its nth shape, where that has a picture."""
+    marks = _marks(paras.select("path", "para_idx", "text"), "text", "\x08", ["path", "para_idx"])
+    out = joins.by_place(marks, slots.select("path", F.col("slot").alias("at"), "image_idx"), BY, ["para_idx", "place"], ["at"], name="ord")
+    return out.where(F.col("image_idx").isNotNull()).select("path", "para_idx", "ord", "image_idx")
+
+
+def inline_pictures(runs: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, para_idx, ord, image_idx): runs with a picture mark and the
+    picture at the place that their properties name."""
+    rows = runs.where(F.col("text").contains("\x01") & F.col("pic_location").isNotNull())
+    out = rows.join(table.select("path", "pic_location", "pic_idx"), ["path", "pic_location"])
+    return out.select("path", "para_idx", F.col("run_idx").alias("ord"), (F.col("pic_idx") + INLINE).alias("image_idx"))
+
+
+def header_pictures(stories_table: DataFrame, slots: DataFrame, header_starts: DataFrame) -> DataFrame:
+    """(path, story_idx, images): pictures whose shape stands at a drawing mark
+    of a story; ``header_starts`` has (path, story_idx, cp), where each story
+    begins among the headers."""
+    marks = _marks(stories_table.join(header_starts, ["path", "story_idx"]), "raw_text", "\x08", ["path", "story_idx", "cp"])
+    met = marks.withColumn("cp", F.col("cp") + F.col("place")).join(slots.select("path", "cp", "image_idx"), ["path", "cp"]).where(F.col("image_idx").isNotNull())
+    rows = F.sort_array(F.collect_list(F.struct("cp", "image_idx")))
+    return met.groupBy("path", "story_idx").agg(F.transform(rows, lambda r: r["image_idx"]).alias("images"))
+
+
+def boxes_at(paras: DataFrame, boxes: DataFrame, slots: DataFrame) -> DataFrame:
+    """(path, para_idx, text): text boxes by the paragraph that their shape's
+    place lies in, the nth box with the nth shape without a picture; of several
+    boxes the texts one after the other."""
+    bare = slots.where(F.col("image_idx").isNull()).select("path", "slot", "cp")
+    met = joins.by_place(boxes, bare, BY, ["box_idx"], ["slot"])
+    spans = paras.select("path", "para_idx", F.col("cp_start").alias("s"), (F.col("cp_end") + 1).alias("e"))
+    at = joins.points_in_ranges(met.select("path", "box_idx", "raw_text", "cp"), spans, BY, "cp", "s", "e", ["para_idx"], ["para_idx"]).where(F.col("para_idx").isNotNull())
+    shown = F.translate(tx.strip_field_codes(F.col("raw_text"), keep_pictures=False), "\r", "\n")
+    rows = at.select("path", "para_idx", "box_idx", F.trim(shown).alias("shown")).where(F.length("shown") > 0)
+    texts = F.sort_array(F.collect_list(F.struct("box_idx", "shown")))
+    return rows.groupBy("path", "para_idx").agg(F.array_join(F.transform(texts, lambda r: r["shown"]), "\n").alias("text"))
+
+
+def largest_picture(placed: DataFrame, images: DataFrame) -> DataFrame:
+    """Of several pictures of one paragraph the one of most bytes, the first
+    of equal ones."""
+    rows = placed.join(images.select("path", "image_idx", F.octet_length("data").alias("__n")), ["path", "image_idx"])
+    best = F.struct("__n", -F.col("ord"))
+    return rows.groupBy("path", "para_idx").agg(F.max_by("image_idx", best).alias("image_idx"), F.max_by("ord", best).alias("ord"))

@@ -12,7 +12,7 @@ from vellum.operators import slides as sl
 from vellum.sinks import docx, pptx, xlsx
 from vellum.sources import readers
 
-DOC_TABLES = ("doc_text", "doc_para_runs", "doc_char_runs", "doc_styles", "doc_lists", "doc_list_overrides", "doc_sections", "doc_stories", "doc_images")
+DOC_TABLES = ("doc_text", "doc_para_runs", "doc_char_runs", "doc_styles", "doc_lists", "doc_list_overrides", "doc_sections", "doc_stories", "doc_images", "doc_inline_pictures", "doc_spa", "doc_shape_pictures", "doc_textboxes")
 
 
 def _with_errors(source: DataFrame, packages: DataFrame, first: DataFrame) -> DataFrame:
@@ -41,7 +41,14 @@ def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     paras = tables.stored(dm.laid_out(paras), "laidout")
     runs = tables.stored(dm.runs(paras, t["doc_char_runs"]), "runs")
     targets = tables.stored(dm.contents(paras), "contents")
-    parts = docx.parts(paras, runs, dm.stories(t["doc_stories"]), t["doc_images"], targets)
+    slots = tables.stored(dm.shape_slots(t["doc_spa"], t["doc_shape_pictures"]), "slots")
+    inline = t["doc_inline_pictures"].select("path", (F.col("pic_idx") + dm.INLINE).alias("image_idx"), "format", "data")
+    images = tables.stored(t["doc_images"].unionByName(inline), "images")
+    # of the pictures drawn in one paragraph the largest counts
+    placed = dm.largest_picture(dm.drawn_pictures(paras, slots), images).select("path", "para_idx", "ord", "image_idx")
+    placed = tables.stored(placed.unionByName(dm.inline_pictures(runs, t["doc_inline_pictures"])), "placed")
+    boxes = tables.stored(dm.boxes_at(paras, t["doc_textboxes"], slots), "boxes")
+    parts = docx.parts(paras, runs, dm.stories(t["doc_stories"]), images, targets, placed, boxes)
     return _with_errors(source, packages.zipped(parts), raw["doc_text"])
 
 

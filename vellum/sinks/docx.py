@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.functions import units
+from vellum.functions.images import picture_size
 from vellum.operators import packages as pk
 from vellum.operators import sequence as seq
 
@@ -91,24 +93,52 @@ def blocks(rows: DataFrame) -> DataFrame:
     return plain.unionByName(tables.select("path", "para_idx", whole.alias("xml")))
 
 
-def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFrame, targets: DataFrame) -> DataFrame:
+#: Width of the text on a page, and of pictures that tell no size.
+PAGE, UNKNOWN = 5_274_310, (3_600_000, 2_700_000)
+
+
+def images_size(images: DataFrame) -> DataFrame:
+    """(path, image_idx, cx, cy) of pictures, in EMU, no wider than the page."""
+    rows = images.where(F.col("data").isNotNull()).select("path", "image_idx", picture_size("data").alias("s"))
+    rows = rows.select("path", "image_idx", F.coalesce("s.cx", F.lit(UNKNOWN[0])).alias("cx"), F.coalesce("s.cy", F.lit(UNKNOWN[1])).alias("cy"))
+    cx, cy = units.fit_width(F.col("cx"), F.col("cy"), PAGE)
+    return rows.select("path", "image_idx", cx.alias("cx"), cy.alias("cy"))
+
+
+def _drawing() -> Column:
+    """A picture in line with text, of image_idx, cx and cy."""
+    k = F.col("image_idx") + 1
+    size = F.concat(F.lit('cx="'), F.col("cx"), F.lit('" cy="'), F.col("cy"), F.lit('"'))
+    return F.concat(
+        F.lit('<w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent '), size, F.lit('/><wp:docPr id="'), k, F.lit('" name="Picture"/><a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:nvPicPr><pic:cNvPr id="0" name="Picture"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rIdImg'), k, F.lit('"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext '), size, F.lit('/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing>')
+    )
+
+
+def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFrame, targets: DataFrame, placed: DataFrame, boxes: DataFrame) -> DataFrame:
     """(path, part_name, content) of a package for every document, from laid
-    out paragraphs, their runs, headers and footers, pictures, and headings
-    of table-of-contents entries. Pictures stand at the end, one a paragraph,
-    unless a mark in the text places them."""
+    out paragraphs, their runs, headers and footers, pictures, headings of
+    table-of-contents entries, pictures' places (path, para_idx, ord,
+    image_idx) and text boxes (path, para_idx, text). A picture without a
+    place stands at the end in a paragraph of its own; one wider than the page
+    is scaled down."""
     texts = runs.withColumn("run", run_xml()).groupBy("path", "para_idx").agg(pk.ordered_text("run", "run_idx").alias("runs"))
     marks = targets.select("path", F.col("target").alias("para_idx")).distinct().withColumn("bookmark", F.col("para_idx"))
+    wide = images_size(images)
+    inside = placed.join(wide, ["path", "image_idx"]).withColumn("drawing", F.concat(F.lit("<w:r>"), _drawing(), F.lit("</w:r>")))
+    inside = inside.groupBy("path", "para_idx").agg(pk.ordered_text("drawing", "ord").alias("pictures"))
+    lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit('<w:r><w:t xml:space="preserve">'), pk.xml(t), F.lit("</w:t><w:br/></w:r>")))
+    boxed = boxes.select("path", "para_idx", F.array_join(lines, "").alias("box"))
+    texts = texts.join(inside, ["path", "para_idx"], "full_outer").join(boxed, ["path", "para_idx"], "full_outer")
+    texts = texts.select("path", "para_idx", F.concat(*[F.coalesce(c, F.lit("")) for c in ("runs", "pictures", "box")]).alias("runs"))
     rows = paras.where("NOT skip").join(texts, ["path", "para_idx"], "left").join(marks, ["path", "para_idx"], "left").join(targets, ["path", "para_idx"], "left")
     body = blocks(rows.withColumn("xml", paragraph_xml())).groupBy("path").agg(pk.ordered_text("xml", "para_idx").alias("body"))
     body = paras.select("path").distinct().join(body, "path", "left")
 
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("word/media/"), "file").alias("part_name"), F.col("data").alias("content"))
-    rid = F.concat(F.lit("rIdImg"), F.col("image_idx") + 1)
-    drawing = F.concat(
-        F.lit('<w:p><w:r><w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent cx="3600000" cy="2700000"/><wp:docPr id="'), F.col("image_idx") + 1, F.lit('" name="Picture"/><a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:nvPicPr><pic:cNvPr id="0" name="Picture"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="'), rid, F.lit('"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="3600000" cy="2700000"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>')
-    )
-    pictures = fine.withColumn("drawing", drawing).withColumn("relation", F.concat(F.lit('<Relationship Id="'), rid, F.lit(f'" Type="{_R}/image" Target="media/'), "file", F.lit('"/>')))
+    loose = wide.join(placed.select("path", "image_idx").distinct(), ["path", "image_idx"], "left_anti").select("path", "image_idx", F.concat(F.lit("<w:p><w:r>"), _drawing(), F.lit("</w:r></w:p>")).alias("drawing"))
+    relation = F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="media/'), "file", F.lit('"/>'))
+    pictures = fine.select("path", "image_idx", relation.alias("relation")).join(loose, ["path", "image_idx"], "left").na.fill("", ["drawing"])
     pictures = pictures.groupBy("path").agg(pk.ordered_text("drawing", "image_idx").alias("drawings"), pk.ordered_text("relation", "image_idx").alias("image_relations"))
 
     first = seq.first_wins(stories, ["path", "kind", "story_type"], [F.col("story_idx")])

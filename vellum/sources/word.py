@@ -392,6 +392,26 @@ class Document:
             at = r.end if r.end > at else at + 8
         return out
 
+    def inline_pictures(self) -> Iterator[tuple]:
+        """(place in the data stream, number, format, bytes) of the pictures
+        that character runs name; each has a header of its own length."""
+        data = self.file.stream("Data", b"")
+        seen: set[int] = set()
+        for row in self.char_runs():
+            at = row[3 + CHAR_FIELDS.index("pic_location")]
+            if at is None or at in seen or not 0 <= at <= len(data) - 6:
+                continue
+            seen.add(at)
+            size, head = struct.unpack_from("<IH", data, at)
+            for r, _, _ in officeart.tree(data, at + head, at + size):
+                inner = r
+                if r.type == officeart.FBSE and r.start + 36 <= r.end:
+                    inner = next(officeart.records(data, r.start + 36 + data[r.start + 33], r.end), r)
+                found = officeart.blip(data, inner)
+                if found:
+                    yield at, len(seen) - 1, *found
+                    break
+
     def pictures(self) -> Iterator[tuple]:
         """(index, format, bytes): of the store, else of the streams."""
         rows = list(officeart.stored_pictures(self._drawings(), self.main))
@@ -445,5 +465,6 @@ TABLES = {
     "doc_textboxes": ("box_idx int, raw_text string", rows_of("text_boxes")),
     "doc_spa": ("story string, cp bigint, spid bigint, left int, top int, right int, bottom int", rows_of("shapes")),
     "doc_shape_pictures": ("spid bigint, image_idx int, source int", rows_of("shape_pictures")),
+    "doc_inline_pictures": ("pic_location bigint, pic_idx int, format string, data binary", rows_of("inline_pictures")),
     "doc_images": ("image_idx int, format string, data binary", rows_of("pictures")),
 }
