@@ -106,7 +106,16 @@ class Lexicon:
                 spared.append((start, stop))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        kept = [w for at, w in best.items() if not any(a <= at < b for a, b in spared)] if spared else list(best.values())
+        kept = list(best.values())
+        if spared:
+            spared.sort()
+            kept, i, reach = [], 0, -1
+            for at in sorted(best):
+                while i < len(spared) and spared[i][0] <= at:
+                    reach = max(reach, spared[i][1])
+                    i += 1
+                if at >= reach:
+                    kept.append(best[at])
         return math.fsum(kept), len(kept)
 
     def normalised(self, folded: str) -> float:
