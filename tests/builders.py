@@ -341,7 +341,7 @@ def text_box(kind: int, text: str, style: bytes = b"", wide: bool = True) -> byt
     return drawing(0xF00D, drawing(0xF9F, struct.pack("<I", kind)) + chars + style, container=True)
 
 
-def presentation(slides: list[list[bytes]], masters: list[list[bytes]] = (), fonts: list[str] = (), listed: list[list[bytes]] = (), pictures: list[bytes] = (), scheme: list[str] = (), master_styles: bytes = b"", size: tuple[int, int] = (5760, 4320)) -> bytes:
+def presentation(slides: list[list[bytes]], masters: list[list[bytes]] = (), fonts: list[str] = (), listed: list[list[bytes]] = (), pictures: list[bytes] = (), scheme: list[str] = (), master_styles: bytes = b"", background: bytes = b"", size: tuple[int, int] = (5760, 4320)) -> bytes:
     """A presentation; slides and masters are lists of shapes."""
     stream = b""
     offsets = {}
@@ -353,7 +353,8 @@ def presentation(slides: list[list[bytes]], masters: list[list[bytes]] = (), fon
 
     def sheet(kind: int, atoms: bytes, shapes: list[bytes]) -> bytes:
         patriarch = drawing(0xF004, drawing(0xF009, bytes(16)) + drawing(0xF00A, bytes(8)), container=True)
-        box = drawing(0xF002, drawing(0xF003, patriarch + b"".join(shapes), container=True), container=True)
+        back = drawing(0xF004, drawing(0xF00A, struct.pack("<II", 9, 0x400), 1) + background, container=True) if background and kind == 0x3F8 else b""
+        box = drawing(0xF002, drawing(0xF003, patriarch + b"".join(shapes), container=True) + back, container=True)
         colors = drawing(0x7F0, b"".join(bytes.fromhex(c) + b"\0" for c in scheme), 1) if scheme and kind == 0x3F8 else b""
         return drawing(kind, atoms + (master_styles if kind == 0x3F8 else b"") + drawing(0x40C, box, container=True) + colors, container=True)
 

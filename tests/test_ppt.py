@@ -33,7 +33,7 @@ def sample():
     picture = b.shape(75, (0, 0, 100, 100), b.properties(p104=1))
     colored = b.shape(1, (0, 0, 8, 8), b.text_box(4, "abc", scheme_run, wide=False))
     title = b.drawing(0xFA3, struct.pack("<H", 1) + struct.pack("<I", 0) + struct.pack("<IH", 1 << 17, 44), 1)
-    return b.presentation([[box, group, picture, colored], []], [[b.shape(1, (0, 0, 10, 10))]], ["Arial"], [[], [b.drawing(0xF9F, struct.pack("<I", 0)), b.drawing(0xFA8, b"Listed & more")]], [b.picture("PNG", b"png")], SCHEME, title)
+    return b.presentation([[box, group, picture, colored], []], [[b.shape(1, (0, 0, 10, 10))]], ["Arial"], [[], [b.drawing(0xF9F, struct.pack("<I", 0)), b.drawing(0xFA8, b"Listed & more")]], [b.picture("PNG", b"png")], SCHEME, title, b.properties(p181=0x08000005))
 
 
 def test_newest_edit_wins_and_chains_end(spark):
@@ -68,6 +68,15 @@ def test_runs_take_masters_styles_and_schemes(spark):
     assert [(r.layout_idx) for r in sl.layouts(t("ppt_slides")).collect()] == [0]
 
 
+def test_own_paths():
+    points = struct.pack("<HHH", 2, 2, 0xFFF0) + struct.pack("<hhhh", 1, 2, -3, 4)
+    steps = struct.pack("<HHH", 2, 2, 2) + struct.pack("<HH", 0x4000, 0x2001)
+    body = struct.pack("<HIHI", 0x8145, len(points), 0x8146, len(steps)) + points + steps
+    d = b.presentation([[b.shape(0, (0, 0, 9, 9), b.drawing(0xF00B, body, 2))]])
+    (row,) = slides.TABLES["ppt_geometry"][1](d)
+    assert row[3] == [{"x": 1, "y": 2}, {"x": -3, "y": 4}] and row[4] == [{"seg_type": 2, "count": 0}, {"seg_type": 1, "count": 1}]
+
+
 def test_styled_lines_cover_the_text():
     rng = random.Random(1)
     for _ in range(300):
@@ -99,6 +108,7 @@ def test_package(spark):
     assert pk.broken_relations(parts).count() == 0
     texts = [r.text for r in pk.texts(parts.where("part_name LIKE 'ppt/slides/slide%.xml'"), "a:t").orderBy("part_name", "idx").collect()]
     assert texts == ["Hello", "World!", "abc", "Listed & more"]
+    assert '<p:bg><p:bgPr><a:solidFill><a:srgbClr val="444444"/>' in slide
     assert 'prst="ellipse"' in slide and "<p:pic>" in slide and 'val="4080FF"' in slide and 'sz="4400"' in slide
 
 

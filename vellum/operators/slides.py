@@ -138,3 +138,15 @@ def layouts(slides: DataFrame) -> DataFrame:
     """(path, master_ref, layout_idx): masters by their first slide, from 0."""
     first = slides.where("master_ref IS NOT NULL").groupBy("path", "master_ref").agg(F.min("slide_idx").alias("first"))
     return first.select("path", "master_ref", (F.dense_rank().over(Window.partitionBy("path").orderBy("first")) - 1).alias("layout_idx"))
+
+
+def backgrounds(slides: DataFrame, table: DataFrame, scheme: DataFrame) -> DataFrame:
+    """(path, slide_idx, color): each slide's background, its own before its
+    master's, through the scheme."""
+    own = table.where("owner_kind = 'slide'").select("path", F.col("owner_id").cast("int").alias("slide_idx"), F.struct("color", "color_raw").alias("own"))
+    master = table.where("owner_kind = 'master'").select("path", F.col("owner_id").alias("master_ref"), F.struct("color", "color_raw").alias("inherited"))
+    colors = scheme.where("owner_kind = 'slide'").select("path", F.col("owner_id").cast("int").alias("slide_idx"), "colors")
+    rows = slides.join(own, ["path", "slide_idx"], "left").join(master, ["path", "master_ref"], "left").join(colors, ["path", "slide_idx"], "left")
+    fill = F.coalesce("own", "inherited")
+    none = F.array().cast("array<string>")
+    return rows.where(fill.isNotNull()).select("path", "slide_idx", color.resolve(fill["color"], fill["color_raw"], F.coalesce("colors", none)).alias("color"))

@@ -74,10 +74,11 @@ def _shape_xml() -> Column:
     return F.when(F.col("file").isNotNull(), picture).when(sl.is_connector(F.col("shape_type")), connector).otherwise(plain)
 
 
-def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame) -> DataFrame:
+def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame, backgrounds: DataFrame) -> DataFrame:
     """(path, part_name, content) of a package for every presentation, from
     placed shapes and styled runs. A slide without shapes shows its listed
-    texts in one box."""
+    texts in one box; one without a background of its own takes its master's
+    (backgrounds: path, slide_idx, color, already chosen)."""
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("ppt/media/"), "file").alias("part_name"), F.col("data").alias("content"))
     on_slides = shapes.where("owner_kind = 'slide'").join(fine.select("path", "image_idx", "file"), ["path", "image_idx"], "left").join(_texts(runs), [*sl.OWNER, "z"], "left")
@@ -89,8 +90,9 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     body = on_slides.groupBy("path", "slide_idx").agg(pk.ordered_text("xml", "z").alias("body")).unionByName(listed.select("path", "slide_idx", box.alias("body")))
     used = on_slides.where("file IS NOT NULL").select("path", "slide_idx", "image_idx", F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="../media/'), "file", F.lit('"/>')).alias("relation")).distinct()
     used = used.groupBy("path", "slide_idx").agg(pk.ordered_text("relation", "image_idx").alias("relations"))
-    rows = slides.select("path", "slide_idx").join(body, ["path", "slide_idx"], "left").join(used, ["path", "slide_idx"], "left").na.fill("", ["body", "relations"])
-    tree = lambda c: F.concat(F.lit('<p:cSld><p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'), c, F.lit("</p:spTree></p:cSld>"))
+    rows = slides.select("path", "slide_idx").join(body, ["path", "slide_idx"], "left").join(used, ["path", "slide_idx"], "left").join(backgrounds, ["path", "slide_idx"], "left").na.fill("", ["body", "relations"])
+    back = _if(F.length("color") == 6, '<p:bg><p:bgPr><a:solidFill><a:srgbClr val="', F.col("color"), '"/></a:solidFill><a:effectLst/></p:bgPr></p:bg>')
+    tree = lambda c, bg=F.lit(""): F.concat(F.lit("<p:cSld>"), bg, F.lit('<p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'), c, F.lit("</p:spTree></p:cSld>"))
     n = F.col("slide_idx") + 1
     wrap = lambda a, c, b: F.concat(F.lit(_HEAD + a), c, F.lit(b))
     rels = lambda c: wrap(f'<Relationships xmlns="{_PACKAGE}/relationships">', c, "</Relationships>")
@@ -119,7 +121,7 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     rel = lambda i, t, target: f'<Relationship Id="{i}" Type="{_R}/{t}" Target="{target}"/>'
     empty = tree(F.lit(""))
     out = [
-        pk.part(rows, F.concat(F.lit("ppt/slides/slide"), n, F.lit(".xml")), wrap(f"<p:sld {_NS}>", tree(F.col("body")), "</p:sld>")),
+        pk.part(rows, F.concat(F.lit("ppt/slides/slide"), n, F.lit(".xml")), wrap(f"<p:sld {_NS}>", tree(F.col("body"), back), "</p:sld>")),
         pk.part(rows, F.concat(F.lit("ppt/slides/_rels/slide"), n, F.lit(".xml.rels")), rels(F.concat(F.lit(rel("rIdL", "slideLayout", "../slideLayouts/slideLayout1.xml")), "relations"))),
         pk.part(book, "ppt/presentation.xml", wrap(f'<p:presentation {_NS}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rIdM"/></p:sldMasterIdLst><p:sldIdLst>', F.concat("entries", F.lit("</p:sldIdLst>"), size), "</p:presentation>")),
         pk.part(book, "ppt/_rels/presentation.xml.rels", rels(F.concat(F.lit(rel("rIdM", "slideMaster", "slideMasters/slideMaster1.xml") + rel("rIdT", "theme", "theme/theme1.xml")), "slide_relations"))),
