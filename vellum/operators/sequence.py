@@ -168,12 +168,13 @@ def drop_leading(df: DataFrame, by: list[str], order: list[str], flag: Column) -
     return df.withColumn("__all", F.min("__flag").over(upto(ordered(by, order)))).where("__all = 0").drop("__flag", "__all")
 
 
-def densify(df: DataFrame, by: list[str], row: str, column: str, *values: str) -> DataFrame:
-    """The whole grid of each partition, from 0 to its greatest row and column,
-    nulls where there is no row."""
-    size = df.groupBy(*by).agg(F.max(row).alias("__rows"), F.max(column).alias("__columns"))
-    grid = size.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows").cast("long"))).alias(row), "__columns")
-    grid = grid.select(*by, row, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__columns").cast("long"))).alias(column))
+def densify(df: DataFrame, by: list[str], row: str, column: str, *values: str, n_columns: int | None = None) -> DataFrame:
+    """The whole grid of each partition, from 0 to its greatest row and its
+    greatest column (or ``n_columns`` in all), nulls where there is no row."""
+    last = F.lit(n_columns - 1) if n_columns else F.max(column)
+    size = df.groupBy(*by).agg(F.max(row).alias("__rows"), last.alias("__columns"))
+    upto_ = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long")))
+    grid = size.select(*by, upto_("__rows").alias(row), "__columns").select(*by, row, upto_("__columns").alias(column))
     return grid.join(df.select(*by, F.col(row).cast("long").alias(row), F.col(column).cast("long").alias(column), *values), [*by, row, column], "left")
 
 

@@ -28,9 +28,7 @@ def dense_grid(spark, sf_dir):
     col = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2).cast("long")
     cells = table(spark, sf_dir, "conversations").select("conv_id", "turn", col.alias("col"), "role", F.char_length("text").alias("chars"))
     cells = cells.groupBy("conv_id", "turn", "col").agg(F.max("role").alias("role"), F.max("chars").alias("chars"))
-    size = cells.select("conv_id", "turn", F.lit(2).cast("long").alias("col")).distinct()
-    whole = cells.unionByName(size.join(cells.select("conv_id", "turn", "col"), ["conv_id", "turn", "col"], "left_anti").withColumns({"role": F.lit(None).cast("string"), "chars": F.lit(None).cast("int")}))
-    return seq.densify(whole, ["conv_id"], "turn", "col", "role", "chars")
+    return seq.densify(cells, ["conv_id"], "turn", "col", "role", "chars", n_columns=3)
 
 
 @query("""SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN 15 ELSE n_nationkey END::INTEGER AS xf, coalesce(r_name, 'General') AS format FROM supplier
