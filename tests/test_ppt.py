@@ -74,7 +74,26 @@ def test_own_paths():
     body = struct.pack("<HIHI", 0x8145, len(points), 0x8146, len(steps)) + points + steps
     d = b.presentation([[b.shape(0, (0, 0, 9, 9), b.drawing(0xF00B, body, 2))]])
     (row,) = slides.TABLES["ppt_geometry"][1](d)
-    assert row[3] == [{"x": 1, "y": 2}, {"x": -3, "y": 4}] and row[4] == [{"seg_type": 2, "count": 0}, {"seg_type": 1, "count": 1}]
+    assert row[3:5] == (21600, 21600) and row[5] == [{"x": 1, "y": 2}, {"x": -3, "y": 4}] and row[6] == [{"seg_type": 2, "count": 0}, {"seg_type": 1, "count": 1}]
+
+
+def test_path_and_line_xml(spark):
+    from vellum.sinks import pptx
+
+    xy = [{"x": x, "y": y} for x, y in ((0, 0), (10, 0), (10, 10), (1, 1), (2, 2), (3, 3))]
+    steps = [{"seg_type": t, "count": n} for t, n in ((2, 0), (0, 2), (1, 1), (3, 0), (4, 0))]
+    text = pptx.path_of(100, 50, xy, steps)
+    assert text == '<a:custGeom><a:avLst/><a:rect l="0" t="0" r="r" b="b"/><a:pathLst><a:path w="100" h="50"><a:moveTo><a:pt x="0" y="0"/></a:moveTo><a:lnTo><a:pt x="10" y="0"/></a:lnTo><a:lnTo><a:pt x="10" y="10"/></a:lnTo><a:cubicBezTo><a:pt x="1" y="1"/><a:pt x="2" y="2"/><a:pt x="3" y="3"/></a:cubicBezTo><a:close/></a:path></a:pathLst></a:custGeom>'
+    assert "<a:lnTo>" in pptx.path_of(1, 1, xy, []) and pptx.path_of(1, 1, [], steps) is None
+    assert pptx.path_of(1, 1, xy[:1], steps).count("<a:pt ") == 1
+    points = struct.pack("<HHH", 2, 2, 0xFFF0) + struct.pack("<hhhh", 1, 2, 3, 4)
+    body = struct.pack("<HI", 0x1C0, 0) + struct.pack("<HI", 0x1CE, 6) + struct.pack("<HI", 0x1D1, 1) + struct.pack("<HI", 0x8145, len(points)) + points
+    d = b.presentation([[b.shape(0, (0, 0, 9, 9), b.drawing(0xF00B, body, 4))]])
+    data = bytes(convert.ppt_to_pptx(source(spark, d=d)).first().content)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        slide = z.read("ppt/slides/slide1.xml").decode()
+    xml.dom.minidom.parseString(slide)
+    assert "<a:custGeom>" in slide and '<a:prstDash val="dash"/>' in slide and '<a:tailEnd type="triangle"/>' in slide
 
 
 def test_styled_lines_cover_the_text():

@@ -52,7 +52,7 @@ def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     return _with_errors(source, packages.zipped(parts), raw["doc_text"])
 
 
-PPT_TABLES = ("ppt_presentations", "ppt_slides", "ppt_shapes", "ppt_runs", "ppt_schemes", "ppt_master_styles", "ppt_texts", "ppt_images", "ppt_backgrounds")
+PPT_TABLES = ("ppt_presentations", "ppt_slides", "ppt_shapes", "ppt_runs", "ppt_schemes", "ppt_master_styles", "ppt_texts", "ppt_images", "ppt_backgrounds", "ppt_geometry")
 
 
 def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
@@ -69,5 +69,5 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
     runs = tables.stored(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), "styled")
     kept = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"))
     shown = placed.join(kept, sl.OWNER, "left_semi")
-    parts = pptx.parts(t["ppt_presentations"], slides, shown, runs, t["ppt_images"], scheme, t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi"), sl.backgrounds(slides, t["ppt_backgrounds"], scheme))
+    parts = pptx.parts(t["ppt_presentations"], slides, shown, runs, t["ppt_images"], scheme, t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi"), sl.backgrounds(slides, t["ppt_backgrounds"], scheme), t["ppt_geometry"])
     return _with_errors(source, packages.zipped(parts), raw["ppt_presentations"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum.functions import text as tx
 from vellum.functions import units
@@ -26,6 +28,8 @@ PRESETS = {
     68: "wedgeRoundRectCallout", 69: "wedgeEllipseCallout", 72: "cloudCallout", 75: "rect", 84: "bevel", 85: "foldedCorner", 87: "smileyFace", 91: "heart", 92: "lightningBolt", 93: "sun", 94: "flowChartProcess", 95: "flowChartDecision",
     96: "flowChartInputOutput", 97: "flowChartPredefinedProcess", 98: "flowChartInternalStorage", 99: "flowChartDocument", 100: "flowChartMultidocument",
 }
+DASHES = {0: "solid", 1: "sysDash", 2: "sysDot", 3: "sysDashDot", 4: "sysDashDotDot", 5: "dot", 6: "dash", 7: "lgDash", 8: "dashDot", 9: "lgDashDot", 10: "lgDashDotDot"}
+ENDS = {1: "triangle", 2: "stealth", 3: "diamond", 4: "oval", 5: "arrow"}
 ALIGNMENTS = {0: "l", 1: "ctr", 2: "r", 3: "just"}
 # End of fixed values.
 _THEME_COLORS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "hlink", "folHlink")
@@ -39,6 +43,35 @@ def _if(given: Column, *parts: Column | str) -> Column:
     return F.when(F.coalesce(given, F.lit(False)), F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])).otherwise("")
 
 
+def path_of(width: int, height: int, vertices, segments) -> str | None:
+    """A path of a shape's own, from points and runs of steps: lines (0),
+    curves of three points (1), moves (2), closings (3). Without steps the
+    points are joined by lines; steps without points left are passed over."""
+    if vertices is None or not len(vertices):
+        return None
+    points = [f'<a:pt x="{v["x"]}" y="{v["y"]}"/>' for v in vertices]
+    out, at = [], 0
+    steps = [(s["seg_type"], s["count"]) for s in segments] if segments is not None and len(segments) else [(2, 0), (0, len(points) - 1)]
+    for kind, count in steps:
+        if kind == 3:
+            out.append("<a:close/>")
+            continue
+        if kind not in (0, 1, 2):
+            continue
+        tag, width_ = (("lnTo", 1), ("cubicBezTo", 3), ("moveTo", 1))[kind]
+        for _ in range(max(1, count)):
+            if at + width_ > len(points):
+                break
+            out.append(f"<a:{tag}>{''.join(points[at : at + width_])}</a:{tag}>")
+            at += width_
+    return f'<a:custGeom><a:avLst/><a:rect l="0" t="0" r="r" b="b"/><a:pathLst><a:path w="{width}" h="{height}">{"".join(out)}</a:path></a:pathLst></a:custGeom>'
+
+
+@F.pandas_udf(StringType())
+def path_xml(width: pd.Series, height: pd.Series, vertices: pd.Series, segments: pd.Series) -> pd.Series:
+    return pd.Series([path_of(*row) for row in zip(width, height, vertices, segments)], dtype=object)
+
+
 def _texts(runs: DataFrame) -> DataFrame:
     """(owner, z, body): a text body of paragraphs and runs."""
     flag = lambda c, n: _if(F.col(c), f' {n}="1"')
@@ -58,12 +91,14 @@ def _shape_xml() -> Column:
     k = (F.col("z") + 2).cast("string")
     turn = units.rotation(F.coalesce("rotation_raw", F.lit(0)))
     frame = F.concat(F.lit("<a:xfrm"), _if(turn != 0, ' rot="', turn, '"'), F.lit('><a:off x="'), F.col("x"), F.lit('" y="'), F.col("y"), F.lit('"/><a:ext cx="'), F.greatest("cx", F.lit(0)), F.lit('" cy="'), F.greatest("cy", F.lit(0)), F.lit('"/></a:xfrm>'))
-    geometry = F.concat(F.lit('<a:prstGeom prst="'), _map(PRESETS, F.col("shape_type"), "rect"), F.lit('"><a:avLst/></a:prstGeom>'))
+    geometry = F.coalesce(F.col("own_path"), F.concat(F.lit('<a:prstGeom prst="'), _map(PRESETS, F.col("shape_type"), "rect"), F.lit('"><a:avLst/></a:prstGeom>')))
+    end = lambda c, n: _if(F.col(c).between(1, 5), f'<a:{n} type="', _map(ENDS, F.col(c).cast("int"), "none"), '"/>')
+    style = F.concat(_if(F.col("line_dash") > 0, '<a:prstDash val="', _map(DASHES, F.col("line_dash").cast("int"), "solid"), '"/>'), end("line_start", "headEnd"), end("line_end", "tailEnd"))
     alpha = _if(F.col("fill_opacity") < 65536, '<a:alpha val="', units.crop(F.col("fill_opacity")), '"/>')
     filled = sl.is_filled(F.col("fill_color"), F.col("no_fill"), F.col("fill_opacity"))
     fill = F.when(filled, F.concat(F.lit('<a:solidFill><a:srgbClr val="'), "fill_color", F.lit('">'), alpha, F.lit("</a:srgbClr></a:solidFill>"))).otherwise("<a:noFill/>")
     drawn = (F.length("line_color") > 0) & ~F.coalesce("no_line", F.lit(False))
-    line = F.when(F.coalesce(drawn, F.lit(False)), F.concat(F.lit('<a:ln w="'), F.coalesce("line_width", F.lit(9525)), F.lit('"><a:solidFill><a:srgbClr val="'), F.coalesce("line_color", F.lit("")), F.lit('"/></a:solidFill></a:ln>'))).otherwise("<a:ln><a:noFill/></a:ln>")
+    line = F.when(F.coalesce(drawn, F.lit(False)), F.concat(F.lit('<a:ln w="'), F.coalesce("line_width", F.lit(9525)), F.lit('"><a:solidFill><a:srgbClr val="'), F.coalesce("line_color", F.lit("")), F.lit('"/></a:solidFill>'), style, F.lit("</a:ln>"))).otherwise("<a:ln><a:noFill/></a:ln>")
     form = F.concat(frame, geometry, fill, line)
     name = F.concat(F.lit('<p:cNvPr id="'), k, F.lit('" name="Shape '), k, F.lit('"/>'))
     cut = lambda c: units.crop(F.coalesce(F.col(c), F.lit(0)))
@@ -74,7 +109,7 @@ def _shape_xml() -> Column:
     return F.when(F.col("file").isNotNull(), picture).when(sl.is_connector(F.col("shape_type")), connector).otherwise(plain)
 
 
-def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame, backgrounds: DataFrame) -> DataFrame:
+def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame, backgrounds: DataFrame, geometry: DataFrame) -> DataFrame:
     """(path, part_name, content) of a package for every presentation, from
     placed shapes and styled runs. A slide without shapes shows its listed
     texts in one box; one without a background of its own takes its master's
@@ -82,6 +117,8 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("ppt/media/"), "file").alias("part_name"), F.col("data").alias("content"))
     on_slides = shapes.where("owner_kind = 'slide'").join(fine.select("path", "image_idx", "file"), ["path", "image_idx"], "left").join(_texts(runs), [*sl.OWNER, "z"], "left")
+    paths = geometry.select(*sl.OWNER, "z", path_xml("geo_w", "geo_h", "vertices", "segments").alias("own_path"))
+    on_slides = on_slides.join(paths, [*sl.OWNER, "z"], "left")
     on_slides = on_slides.select("path", F.col("owner_id").cast("int").alias("slide_idx"), "z", "image_idx", "file", _shape_xml().alias("xml"))
     listed = texts.join(on_slides.select("path", "slide_idx").distinct(), ["path", "slide_idx"], "left_anti")
     lines = F.transform(tx.lines(F.col("text")), lambda t: F.concat(F.lit('<a:p><a:r><a:rPr lang="en-US"/><a:t>'), pk.xml(t), F.lit("</a:t></a:r></a:p>")))

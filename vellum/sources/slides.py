@@ -295,7 +295,7 @@ class Presentation:
                 inner = min(l, r), min(t, b), abs(r - l), abs(b - t)
             l, t, r, b, own = box or (0, 0, 0, 0, True)
             image = num(0x104)
-            yield kind, owner, z, parent, group, own, shape, l, t, r - l, b - t, *inner, color(fill), fill, off(0x1BF, 4), num(0x182), color(line), line, off(0x1FF, 3), num(0x1CB), num(0x4), self._text_type(parts), image - 1 if image else None, *(num(k) for k in (0x100, 0x101, 0x102, 0x103))
+            yield kind, owner, z, parent, group, own, shape, l, t, r - l, b - t, *inner, color(fill), fill, off(0x1BF, 4), num(0x182), color(line), line, off(0x1FF, 3), num(0x1CB), num(0x1CE), num(0x1D0), num(0x1D1), num(0x4), self._text_type(parts), image - 1 if image else None, *(num(k) for k in (0x100, 0x101, 0x102, 0x103))
 
     def backgrounds(self) -> Iterator[tuple]:
         """(kind, id, color, raw color, picture) of each slide's or master's
@@ -319,8 +319,9 @@ class Presentation:
                             yield kind, k if kind == "slide" else key, color, fill if isinstance(fill, int) else None, picture - 1 if isinstance(picture, int) and picture else None
 
     def geometry(self) -> Iterator[tuple]:
-        """(kind, id, z, vertices, segments) of shapes with paths of their own:
-        points, and runs of one kind of step with their numbers."""
+        """(kind, id, z, width and height of the path's own coordinates,
+        vertices, segments) of shapes with paths of their own: points, and
+        runs of one kind of step with their numbers."""
         for kind, owner, z, _, _, parts in self.drawn:
             props = oa.properties(self.data, parts[oa.FOPT]) if oa.FOPT in parts else {}
             points, steps = props.get(0x145), props.get(0x146)
@@ -331,7 +332,8 @@ class Presentation:
             form, width = ("<hh", 4) if size in (4, 0xFFF0) else ("<ii", 8)
             found = [struct.unpack_from(form, points, 6 + width * i) for i in range(min(n, (len(points) - 6) // width))]
             words = struct.unpack_from(f"<{(len(steps) - 6) // 2}H", steps, 6) if isinstance(steps, bytes) and len(steps) > 6 else ()
-            yield kind, owner, z, [{"x": x, "y": y} for x, y in found], [{"seg_type": w >> 13, "count": w & 0x1FFF} for w in words]
+            box = [v if isinstance(v := props.get(k), int) and v else 21600 for k in (0x142, 0x143)]
+            yield kind, owner, z, *box, [{"x": x, "y": y} for x, y in found], [{"seg_type": w >> 13, "count": w & 0x1FFF} for w in words]
 
     def _text_type(self, parts: dict) -> int | None:
         box = parts.get(oa.TEXTBOX)
@@ -446,9 +448,9 @@ TABLES = {
     "ppt_slides": ("slide_idx int, slide_id bigint, layout_type int, master_ref bigint, has_record boolean", rows_of("slides")),
     "ppt_schemes": ("owner_kind string, owner_id bigint, colors array<string>", rows_of("schemes")),
     "ppt_texts": ("slide_idx int, text_idx int, text_type int, text string", rows_of("texts")),
-    "ppt_shapes": (f"{_OWNER}, group_z int, is_group boolean, own_anchor boolean, shape_type int, l bigint, t bigint, w bigint, h bigint, gx bigint, gy bigint, gw bigint, gh bigint, fill_color string, fill_raw bigint, no_fill boolean, fill_opacity bigint, line_color string, line_raw bigint, no_line boolean, line_width bigint, rotation_raw bigint, text_type int, image_idx int, crop_top bigint, crop_bottom bigint, crop_left bigint, crop_right bigint", rows_of("shapes")),
+    "ppt_shapes": (f"{_OWNER}, group_z int, is_group boolean, own_anchor boolean, shape_type int, l bigint, t bigint, w bigint, h bigint, gx bigint, gy bigint, gw bigint, gh bigint, fill_color string, fill_raw bigint, no_fill boolean, fill_opacity bigint, line_color string, line_raw bigint, no_line boolean, line_width bigint, line_dash bigint, line_start bigint, line_end bigint, rotation_raw bigint, text_type int, image_idx int, crop_top bigint, crop_bottom bigint, crop_left bigint, crop_right bigint", rows_of("shapes")),
     "ppt_backgrounds": ("owner_kind string, owner_id bigint, color string, color_raw bigint, image_idx int", rows_of("backgrounds")),
-    "ppt_geometry": (f"{_OWNER}, vertices array<struct<x:int,y:int>>, segments array<struct<seg_type:int,count:int>>", rows_of("geometry")),
+    "ppt_geometry": (f"{_OWNER}, geo_w bigint, geo_h bigint, vertices array<struct<x:int,y:int>>, segments array<struct<seg_type:int,count:int>>", rows_of("geometry")),
     "ppt_runs": (f"{_OWNER}, para_idx int, run_idx int, text string, level int, alignment int, bullet boolean, font_name string, font_size int, bold boolean, italic boolean, underline boolean, color_raw bigint", rows_of("runs")),
     "ppt_master_styles": ("master_id bigint, text_type int, level int, font_size int, font_name string, bold boolean, italic boolean, color_raw bigint", rows_of("master_styles")),
     "ppt_images": ("image_idx int, format string, data binary", rows_of("pictures")),
