@@ -12,6 +12,7 @@ from tests import builders as b
 from vellum.functions import numbers
 from vellum.operators import cells as cl
 from vellum.operators import packages as pk
+from vellum.plans import catalog
 from vellum.sinks import xlsx
 from vellum.sources import biff, ole, readers
 
@@ -71,6 +72,21 @@ def test_packed_numbers(spark):
     assert df.where(F.abs(numbers.decode_rk(F.col("raw")) - F.col("want")) > F.abs("want") * 1e-12).count() == 0
 
 
+def test_every_order_is_packed(spark, tmp_path):
+    keys = [None, -7, 0, 1, 499, 8191, 8192, 14999, 123457, (1 << 19) - 1, 1 << 19, (1 << 19) + 1, (1 << 21) - 1, 31_000_003, (1 << 29) - 1, (1 << 29) + 500, 1 << 40]
+    orders = [(4 * i + k, key) for i, key in enumerate(keys) for k in range(4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def want(order, key):
+        n = key if key is None or order % 4 < 2 else key - 500
+        if n is None or not -(1 << 29) <= n < 1 << 29:
+            return None
+        return n / 100 if order % 2 else float(n)
+
+    rows = catalog.queries()["packed_numbers"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(orders) and {r.o_orderkey: r.value for r in rows} == {o: want(o, key) for o, key in orders}
+
+
 def test_older_workbook_and_code_page(spark):
     book = b.workbook([("Лист", [b.label(0, 0, "Привет", codec="cp1251"), b.number(1, 1, 2.5)])], biff8=False, codepage=1251)
     rows = table(spark, "xls_cells", old=book).orderBy("row_idx").collect()

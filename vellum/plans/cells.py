@@ -100,14 +100,17 @@ def unit_conversions(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN (o_custkey - 500)::DOUBLE WHEN 3 THEN (o_custkey - 500) / 100.0 WHEN 0 THEN o_custkey::DOUBLE ELSE o_custkey / 100.0 END::DOUBLE AS value FROM orders WHERE o_custkey BETWEEN 1 AND 8191""")
 def packed_numbers(spark, sf_dir):
-    """Packed numbers: signed integers, and doubles by their high bits."""
-    n, k = F.col("o_custkey"), F.col("o_orderkey") % 4
-    rows = table(spark, sf_dir, "orders").where("o_custkey BETWEEN 1 AND 8191").select("o_orderkey", k.alias("k"), n.alias("n"))
+    """Packed numbers: signed integers, and doubles by their high bits. These
+    hold whole numbers from 1 to 2^19, others go as integers; an order whose
+    number is null or has over 30 bits has no packed number and a null value."""
+    n, k = F.col("o_custkey").cast("long"), F.col("o_orderkey") % 4
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k"), F.when(k >= 2, n - 500).otherwise(n).alias("n"))
     n, k = F.col("n"), F.col("k")
     # high bits of the doubles of whole numbers: exponent and 20 bits
     e = F.floor(F.log2(n))
     high = F.shiftleft((e + 1023).cast("long"), 20).bitwiseOR(((n / F.pow(F.lit(2.0), e) - 1) * (1 << 20)).cast("long"))
-    rk = F.when(k >= 2, F.shiftleft((n - 500).cast("long"), 2).bitwiseOR(k.cast("long"))).otherwise(high.bitwiseOR(k.cast("long")))
+    whole = F.when(n.between(-(1 << 29), (1 << 29) - 1), F.shiftleft(n, 2).bitwiseOR(F.lit(2)))
+    rk = F.when((k < 2) & n.between(1, 1 << 19), high).otherwise(whole).bitwiseOR(k.bitwiseAND(F.lit(1)))
     return rows.select("o_orderkey", numbers.decode_rk(rk).alias("value"))
 
 
