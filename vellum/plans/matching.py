@@ -117,5 +117,5 @@ def font_size_fit(spark, sf_dir):
     """The largest of eleven sizes at which the text fits its shape."""
     from vellum.operators import slides
 
-    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 5000 * 1000 + 3000000).alias("w"), (F.col("doc_id") % 37 * 100000 + 300000).alias("h"), F.transform(F.split(F.substring("text", 1, 400), "\n"), F.char_length).alias("ns"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 5000 * 1000 + 3000000).alias("w"), (F.col("doc_id") % 37 * 100000 + 300000).alias("h"), F.transform(F.split("text", "\n"), F.char_length).alias("ns"))
     return rows.select("doc_id", slides.largest_fit(F.col("w") - 182880, F.col("h") - 91440, F.col("ns")).alias("size"))
