@@ -1,6 +1,9 @@
 """Queries over whole texts and tables, against SQL without any cut."""
 
+from pyspark.sql import functions as F
+
 from tests.oracle import compare, connection
+from vellum.functions.text import strip_field_codes
 from vellum.plans import catalog
 
 
@@ -14,3 +17,22 @@ q AS (SELECT doc_id, w, h, list_transform(paras, lambda x: length(x)) AS ns FROM
 c AS (SELECT doc_id, size, h, w, ns, greatest(1, trunc((w - 182880) / (size * 127 * 0.85)))::BIGINT AS cpl FROM q, (SELECT unnest([2000, 1800, 1600, 1400, 1200, 1100, 1000, 900, 800, 700, 600]) AS size)),
 f AS (SELECT doc_id, size, list_sum(list_transform(ns, lambda n: greatest(1, ceil(n / cpl::DOUBLE)))) * size * 127 * 1.2 <= h - 91440 AS fits FROM c)
 SELECT doc_id, coalesce(max(size) FILTER (fits), 600)::INTEGER AS size FROM f GROUP BY 1""")
+
+
+def test_field_codes_of_whole_texts(spark, sf_dir):
+    assert not differs(spark, sf_dir, "field_code_strip", """SELECT doc_id, substr(text, 1, 10) || substr(text, 11, 20) || substr(text, 31) AS shown FROM documents WHERE text IS NOT NULL""")
+
+
+def test_placeholders_in_whole_texts(spark, tmp_path):
+    late = "a long text whose mark stands far behind: Click to edit Master title"
+    rows = [(k, t, "en", "src1") for k, t in enumerate(["", "", "", "", late, late, "", "", "", "", "www.example.org", "x" * 40 + ".com"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.placeholder for r in catalog.queries()["placeholder_texts"](spark, str(tmp_path)).collect()}
+    assert (got[4], got[5], got[10], got[11]) == (True, True, True, False)
+
+
+def test_many_fields_of_a_long_text(spark):
+    texts = ["".join(f"a{i}\x13 HYPERLINK x{i}\x14shown{i}\x15 " for i in range(2000)), "x\x13 IF \x13 PAGE \x142\x15 = 2\x14yes\x15z" * 500]
+    want = ["".join(f"a{i}shown{i} " for i in range(2000)), None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip_field_codes(F.col("t")).alias("shown")).orderBy("i").collect()
+    assert rows[0].shown == want[0] and rows[1].shown.count("z") == 500 and "PAGE" not in rows[1].shown

@@ -96,7 +96,7 @@ FROM (SELECT doc_id, substr(text, 1, 10) || chr(19) || ' HYPERLINK ' || substr(t
 def field_code_strip(spark, sf_dir):
     """A field set into each text: its instruction is hidden, its result shown."""
     part = lambda a, n: F.substring("text", a, n)
-    marked = F.concat(part(1, 10), F.lit("\x13 HYPERLINK "), part(3, 8), F.lit("\x14"), part(11, 20), F.lit("\x15"), part(31, 200))
+    marked = F.concat(part(1, 10), F.lit("\x13 HYPERLINK "), part(3, 8), F.lit("\x14"), part(11, 20), F.lit("\x15"), part(31, 2**31 - 1))
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.strip_field_codes(marked).alias("shown"))
 
 
@@ -134,5 +134,5 @@ def text_cleanup(spark, sf_dir):
 FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Second level' WHEN 1 THEN '—' WHEN 2 THEN 'see www.' || source WHEN 3 THEN 'x Click to edit Master ' || lang WHEN 4 THEN substr(text, 1, 30) ELSE text END AS t FROM documents)""")
 def placeholder_texts(spark, sf_dir):
     k = F.col("doc_id") % 6
-    t = F.when(k == 0, "Second level").when(k == 1, "—").when(k == 2, F.concat(F.lit("see www."), "source")).when(k == 3, F.concat(F.lit("x Click to edit Master "), "lang")).when(k == 4, F.substring("text", 1, 30)).otherwise(F.col("text"))
+    t = F.when(k == 0, "Second level").when(k == 1, "—").when(k == 2, F.concat(F.lit("see www."), "source")).when(k == 3, F.concat(F.lit("x Click to edit Master "), "lang")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_placeholder(t).alias("placeholder"))
