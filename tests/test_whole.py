@@ -36,3 +36,19 @@ def test_many_fields_of_a_long_text(spark):
     want = ["".join(f"a{i}shown{i} " for i in range(2000)), None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip_field_codes(F.col("t")).alias("shown")).orderBy("i").collect()
     assert rows[0].shown == want[0] and rows[1].shown.count("z") == 500 and "PAGE" not in rows[1].shown
+
+
+def test_overlaps_with_every_run(spark, sf_dir):
+    assert not differs(spark, sf_dir, "run_overlaps", """WITH i AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events), r AS (SELECT user_id AS u, event_id AS run, s AS rs, s + 7200 AS re FROM i)
+SELECT event_id, run, greatest(s, rs)::BIGINT AS clip_start, least(s + 3600, re)::BIGINT AS clip_end FROM i JOIN r ON user_id = u AND s < re AND rs < s + 3600""")
+
+
+def test_headings_among_all_parts(spark, sf_dir):
+    assert not differs(spark, sf_dir, "fuzzy_heading_match", """WITH titles AS (SELECT p_brand, p_partkey AS title_id, split_part(p_name, ' ', 1) || ' ' || p_type AS title FROM part),
+entries AS (SELECT p_brand, p_partkey AS entry_id, CASE p_partkey % 2 WHEN 0 THEN p_type ELSE split_part(p_name, ' ', 1) || ' ' || p_type || ' ' || p_size % 3 END AS entry FROM part),
+m AS (SELECT *, abs(length(entry) - length(title)) AS gap FROM entries JOIN titles USING (p_brand) WHERE contains(entry, title) OR contains(title, entry))
+SELECT p_brand, entry_id, title_id, gap::INTEGER AS gap FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, entry_id ORDER BY (entry <> title)::INTEGER, gap, title_id) AS n FROM m) WHERE n = 1""")
+
+
+def test_styles_of_every_supplier(spark, sf_dir):
+    assert not differs(spark, sf_dir, "fill_missing_styles", """SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")

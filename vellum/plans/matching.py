@@ -59,9 +59,9 @@ def fuzzy_heading_match(spark, sf_dir):
     """Contents entries with the nearest heading of their document."""
     part = table(spark, sf_dir, "part")
     word = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_type")
-    titles = part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("title_id"), word.alias("title"))
+    titles = part.select("p_brand", F.col("p_partkey").alias("title_id"), word.alias("title"))
     entry = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat_ws(" ", word, (F.col("p_size") % 3).cast("string")))
-    entries = part.where("p_partkey % 3 = 1").select("p_brand", F.col("p_partkey").alias("entry_id"), entry.alias("entry"))
+    entries = part.select("p_brand", F.col("p_partkey").alias("entry_id"), entry.alias("entry"))
     return joins.best_titles(entries, titles, ["p_brand"], "entry", "title", "entry_id", "title_id").select("p_brand", "entry_id", "title_id", "gap")
 
 
@@ -90,7 +90,7 @@ def source_priority_fallback(spark, sf_dir):
 @query("""WITH m AS (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0) SELECT k, name FROM m UNION ALL SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT k FROM m)""")
 def fill_missing_styles(spark, sf_dir):
     """Master styles, and those of the environment that the master lacks."""
-    main = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    main = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     other = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     return joins.fill_missing(main, other, ["k"])
 
