@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -79,3 +80,29 @@ def test_edges(spark):
     out = sorted(((r.doc_id or 0, r.spans, r.n_email) for r in pii.digest(pii.personal_spans(df)).collect()))
     assert out == [(0, "email:0:6", 1), (1, "", 0), (2, "", 0), (3, "email:3:9", 1), (3, "email:3:9", 1), (4, "", 0), (5, "", 0)]
     assert pii.digest(pii.personal_spans(df.limit(0))).count() == 0
+
+
+def secrets_of(text):
+    return [(a, b) for k, a, b, _ in pii.found(text) if pii.KINDS[k] == "secret"]
+
+
+def test_secrets_of_any_length(spark):
+    rng = random.Random(11)
+    for n in (7, 255, 256, 257, 300, 5000):
+        value = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
+        for text, whole in ((f'the token = "{value}" is set', value), (f"password='{value}';", value), (f"secret: {value}, then", value), (f"use AKIA{value} here", "AKIA" + value)):
+            a = text.index(whole)
+            assert secrets_of(text) == [(a, a + len(whole))]
+    glued = "xAKIA" + "q7" * 200 + "-AKIA" + "z9" * 2000
+    assert secrets_of(glued) == [(glued.index("-AKIA") + 1, len(glued))]
+    values = ["".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(20 if i % 4 else 4000)) for i in range(60)]
+    texts = [[f'token = "{v}"', f"password={v} ", f"ghp_{v}"][i % 3] + f" of line {i}" for i, v in enumerate(values)]
+    rows = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not [r.doc_id for r in rows if values[r.doc_id][-10:] in r.text]
+
+
+def test_secrets_in_linear_time():
+    for text in ("token=" * 200_000, 'token="a' * 150_000, "AKIA" * 300_000, "secret='" + "x" * 1_000_000):
+        start = time.process_time()
+        secrets_of(text)
+        assert time.process_time() - start < 20

@@ -55,8 +55,9 @@ _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _HIDDEN_AT = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8})", re.I)
 _ASSIGN = re.compile("[=:]")
 _KEY = re.compile(r"([A-Za-z_-]{2,24})[\"']?[ \t]?$")
-_VALUE = re.compile(r"[ \t]?(?:\"([^\"\s]{6,256})\"|'([^'\s]{6,256})'|([^\s\"',;]{6,256}))")
-_PREFIXED = re.compile(r"[A-Za-z0-9_-]{8,256}")
+_QUOTED = re.compile(r"[ \t]?(?:\"([^\"\s]{6,}+)\"|'([^'\s]{6,}+)')")
+_BARE = re.compile(r"[^\s\"',;]++")
+_PREFIXED = re.compile(r"[A-Za-z0-9_-]{8,}+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _CUE = re.compile(r"[\w-]+")
 
@@ -123,15 +124,24 @@ def found(text: str) -> list[tuple[int, int, int, bool]]:
             (base[3] if good else loose).append((3, m.start(), m.end(), good))
     if "at)" in text or "at]" in text or "at )" in text or "at ]" in text or "AT" in text:
         loose += [(0, m.start(), m.end(), False) for m in _HIDDEN_AT.finditer(text)]
+    bare_end = 0
     for m in _ASSIGN.finditer(text):
-        if (key := _KEY.search(text, max(0, m.start() - 28), m.start())) and key[1].lower() in SECRET_WORDS and (value := _VALUE.match(text, m.end())):
-            group = next(g for g in (1, 2, 3) if value[g])
-            loose.append((4, value.start(group), value.end(group), False))
+        if (key := _KEY.search(text, max(0, m.start() - 28), m.start())) and key[1].lower() in SECRET_WORDS:
+            if value := _QUOTED.match(text, m.end()):
+                loose.append((4, *value.span(value.lastindex), False))
+                continue
+            at = m.end() + (text[m.end() : m.end() + 1] in (" ", "\t"))
+            # a run that holds several marks is walked once
+            if at >= bare_end:
+                bare_end = hit.end() if (hit := _BARE.match(text, at)) else at
+            if bare_end - at >= 6:
+                loose.append((4, at, bare_end, False))
     for prefix in SECRET_PREFIXES:
         at = text.find(prefix)
         while at >= 0:
-            hit = _PREFIXED.match(text, at)
-            if hit and (at == 0 or not text[at - 1].isalnum()):
+            # a glued one is passed without a walk over its run, which others may begin in
+            hit = _PREFIXED.match(text, at) if at == 0 or not text[at - 1].isalnum() else None
+            if hit:
                 loose.append((4, at, hit.end(), False))
             at = text.find(prefix, hit.end() if hit else at + 1)
     firm = [x for k in range(4) for x in base[k]]
