@@ -136,3 +136,15 @@ def test_random_records_end_as_errors_or_rows(spark):
     files = {f"r{i}": b.compound({"PowerPoint Document": rng.randbytes(500), "Current User": rng.randbytes(40)}) for i in range(20)}
     for n in ("ppt_shapes", "ppt_records", "ppt_images"):
         assert readers.parse(source(spark, **files), n).select("path").distinct().count() == 20
+
+
+def test_presets_beyond_type_100(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.sinks import pptx
+
+    want = {100: "flowChartMultidocument", 101: "flowChartMerge", 104: "flowChartMagneticTape", 112: "callout3", 113: "rect", 116: "accentCallout2", 122: "blockArc", 183: "leftBrace", 186: "rightBracket", 202: "rect"}
+    rows = spark.createDataFrame([(k,) for k in want], "k int").select("k", pptx._map(pptx.PRESETS, F.col("k"), "rect").alias("v")).collect()
+    assert {r.k: r.v for r in rows} == want
+    kinds = {*range(101, 113), *range(114, 117), *range(120, 123), *range(183, 187), 202}
+    assert kinds <= pptx.PRESETS.keys()

@@ -27,6 +27,8 @@ PRESETS = {
     38: "curvedConnector3", 39: "curvedConnector4", 40: "curvedConnector5", 55: "noSmoking", 56: "rightArrow", 57: "leftArrow", 58: "upArrow", 59: "downArrow", 60: "leftRightArrow", 61: "upDownArrow", 66: "irregularSeal1", 67: "wedgeRectCallout",
     68: "wedgeRoundRectCallout", 69: "wedgeEllipseCallout", 72: "cloudCallout", 75: "rect", 84: "bevel", 85: "foldedCorner", 87: "smileyFace", 91: "heart", 92: "lightningBolt", 93: "sun", 94: "flowChartProcess", 95: "flowChartDecision",
     96: "flowChartInputOutput", 97: "flowChartPredefinedProcess", 98: "flowChartInternalStorage", 99: "flowChartDocument", 100: "flowChartMultidocument",
+    101: "flowChartMerge", 102: "flowChartOnlineStorage", 103: "flowChartDelay", 104: "flowChartMagneticTape", 105: "flowChartMagneticDisk", 106: "flowChartTerminator", 107: "flowChartPunchedTape", 108: "flowChartSummingJunction", 109: "flowChartOr",
+    110: "callout1", 111: "callout2", 112: "callout3", 114: "ribbon2", 115: "ribbon", 116: "accentCallout2", 120: "chevron", 121: "pentagon", 122: "blockArc", 183: "leftBrace", 184: "rightBrace", 185: "leftBracket", 186: "rightBracket", 202: "rect",
 }
 DASHES = {0: "solid", 1: "sysDash", 2: "sysDot", 3: "sysDashDot", 4: "sysDashDotDot", 5: "dot", 6: "dash", 7: "lgDash", 8: "dashDot", 9: "lgDashDot", 10: "lgDashDotDot"}
 ENDS = {1: "triangle", 2: "stealth", 3: "diamond", 4: "oval", 5: "arrow"}
