@@ -46,14 +46,15 @@ def got(df):
     return sorted((r.doc_id, tuple(map(tuple, r.repeated))) for r in rows)
 
 
-def test_query_against_brute_force(spark, sf_small):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
-    out = queries.op9_repeated_passages(spark, sf_small)
+def test_query_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    out = queries.op9_repeated_passages(spark, sf_dir)
     assert got(out) == brute(rows)
 
 
-@pytest.mark.parametrize("least", [10, 50])
-def test_planted_passages(spark, least):
+@pytest.mark.parametrize("least,chunk", [(10, 8192), (50, 8192), (10, 3), (50, 3)])
+def test_planted_passages(spark, monkeypatch, least, chunk):
+    monkeypatch.setattr(passages, "CHUNK", chunk)
     rng = random.Random(least)
     words = [f"w{i}" for i in range(3000)]
     parts = [rng.choices(words, k=rng.randrange(least - 2, least + 12)) for _ in range(8)]
@@ -90,5 +91,16 @@ def test_edges(spark):
     assert got(out) == brute(rows) == [(4, ((0, 60),)), (5, ((1, 61),))]
     assert sum(r.n_removable for r in out.collect()) == 60
     assert passages.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_and_clashing_names(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(70)) for c in "ab")
+    rows = [(1, a, 5, "k"), (1, b, 5, "k"), (2, b + " tail", 5, "k"), (3, "x\x01y " + b, 6, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, num long, key string")
+    assert got(passages.repeated_passages(df)) == brute([r[:2] for r in rows])
+
+
+def test_limits(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(ValueError):
         passages.repeated_passages(df, least=3)

@@ -1,22 +1,26 @@
-"""Repeated passages by sparse suffixes.
+"""Repeated passages by sparse suffix arrays.
 
 Of every text only the suffixes that begin at content-selected places are
 kept: where the hash of a few words is the least in some window. A passage of
 ``least`` words holds such a place near its beginning wherever it stands, with
-enough words behind it that lie within the passage. Suffixes are sorted by the
-hash of those words over all texts, and neighbours compared; where two agree
-from different places, the match is extended: to the left and right of such a
-suffix, every stretch of ``least`` words around it is compared exactly over
-all texts, and stretches that touch make up the maximal repeated spans.
-
-Copies of whole texts are one text until the end. The sort cuts a common
-suffix over tasks wherever it falls, keeping the rows at the cuts; counts of
-stretches are summed before they are shuffled.
+enough words behind it that lie within the passage.
+
+Suffixes are sorted over all texts by a rank of those words, the hash of them,
+and neighbours of one rank stay. Of these few the words on both sides are
+fetched, and suffixes of one rank are sorted by the words that follow: matches
+with neighbours are extended to the right, and in the order of the words before
+them to the left, as far as a stretch of ``least`` words can reach. What both
+reaches allow is decided by comparing the words themselves. A rank that very
+many suffixes share isn't gathered: its stretches are grouped by 128-bit
+hashes, with counts summed before they are shuffled.
+
+Copies of whole texts are one text until the end, told apart by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,10 @@ from vellum.llm import common
 
 LEAST = 50
 GRAM = 5
+#: Pairs of texts that may share a 64-bit hash.
+CLASHES = 10_000
+#: Suffixes of one rank that are compared in one piece of work.
+CHUNK = 8192
 #: Distinct words whose hashes a worker keeps.
 REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -80,7 +88,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def width_of(least: int) -> int:
     """Places of a window of which the least hash is kept."""
-    return max(1, (least - GRAM + 1) // 2)
+    return max(1, (least - GRAM + 1) * 4 // 5)
 
 
 def anchors(h: Hashes, least: int) -> np.ndarray:
@@ -104,8 +112,26 @@ def anchors(h: Hashes, least: int) -> np.ndarray:
     return best[: h.n - least + 1]
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) with ``num``, a number for each text, and the
+    stored (num, doc_id) of all rows.
+
+    The number is one 64-bit hash, or, for the few texts where two share that,
+    another one.
+    """
+    two = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), F.col("text")).alias("b"))
+    owners = common.stored(two, "owners")
+    shared = owners.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where(F.col("x") != F.col("y"))
+    clash = [r.a for r in shared.select("a").limit(CLASHES + 1).collect()]
+    if len(clash) > CLASHES:
+        raise ValueError(f"more than {CLASHES} pairs of texts of one 64-bit hash")
+    pick = (lambda a, b: F.when(a.isin(clash), b).otherwise(a)) if clash else (lambda a, b: a)
+    texts = docs.withColumn("num", pick(F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))))
+    return texts, owners.select(pick(F.col("a"), F.col("b")).alias("num"), "doc_id").distinct()
+
+
 def suffixes(df: DataFrame, least: int) -> DataFrame:
-    """(key, text_hash, place): the kept suffixes by the hash of their first
+    """(key, num, place): the kept suffixes with the rank of their first
     words, and for each text a row without key whose place is its words."""
     size = least - width_of(least) + 1
 
@@ -122,14 +148,14 @@ def suffixes(df: DataFrame, least: int) -> DataFrame:
                     places.append(at.astype(np.int32))
                     hashes.append(own)
                     sizes.append(h.n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, places)], names=["key", "text_hash", "place"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "text_hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, places)], names=["key", "num", "place"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "num", "place"])
 
-    return df.mapInArrow(run, "key long, text_hash long, place int")
+    return df.select("num", "text").mapInArrow(run, "key long, num long, place int")
 
 
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """(text_hash, place) of suffixes with a neighbour of the same key from
+    """(key, num, place) of suffixes with a neighbour of the same rank from
     another place, and those at the ends of a task, whose neighbours are in
     another one."""
 
@@ -138,7 +164,7 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
         out = False
 
         def rows(x):
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32))], names=["text_hash", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32))], names=["key", "num", "place"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -160,38 +186,175 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
         if last is not None and not out:
             yield rows(last[None, :])
 
-    return sorted_rows.mapInArrow(run, "text_hash long, place int")
+    return sorted_rows.mapInArrow(run, "key long, num long, place int")
 
 
-def stretches(df: DataFrame, least: int) -> DataFrame:
-    """(stretch, text_hash, place): every ``least`` words whose kept place is
-    one of ``places``."""
+def contexts(df: DataFrame, least: int) -> DataFrame:
+    """The words around each suffix of (num, text, places, hot).
+
+    A row holds the ``least`` words from the suffix's place on (after), those
+    before it from the nearest on, as far as a stretch that selects the place
+    can begin (before), and the least and greatest number of words before it
+    with which such a stretch begins (low, high). A suffix of ``hot``, those
+    whose rank is met by very many, has a row for each stretch instead, with
+    its place and the hash of its words."""
+    size = least - width_of(least) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for start, n in common.slices(batch.column(1)):
-                keys, owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                out = {f.name: [] for f in CONTEXT}
                 part = batch.slice(start, n)
-                for own, text, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+
+                def put(*row, out=out):
+                    for f, v in zip(CONTEXT, row):
+                        out[f.name].append(v)
+
+                for own, text, places, hot in zip(*(c.to_pylist() for c in part.columns)):
                     h = Hashes(text)
+                    words = text.encode().split()
                     at = anchors(h, least)
-                    begin = np.flatnonzero(np.isin(at, places))
-                    keys.append(h.of(begin, least).view(np.int64))
-                    owners.append(np.full(len(begin), own, np.int64))
-                    found.append(begin.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, found)], names=["stretch", "text_hash", "place"])
+                    places, hot = np.unique(places), set(hot or ())
+                    lows, highs = np.searchsorted(at, places), np.searchsorted(at, places, side="right") - 1
+                    keys = h.of(places, size).view(np.int64).tolist()
+                    for p, key, a, b in zip(places.tolist(), keys, lows.tolist(), highs.tolist()):
+                        if p in hot:
+                            for s in range(a, b + 1):
+                                put(None, own, s, None, None, None, None, xxhash.xxh3_128_digest(b" ".join(words[s : s + least])))
+                        else:
+                            put(key, own, p, b" ".join(words[p : p + least]), b" ".join(words[a:p][::-1]), p - b, p - a, None)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in CONTEXT], schema=CONTEXT)
+
+    return df.select("num", "text", "places", "hot").mapInArrow(run, "key long, num long, place int, after binary, before binary, low int, high int, stretch binary")
+
+
+CONTEXT = pa.schema([("key", pa.int64()), ("num", pa.int64()), ("place", pa.int32()), ("after", pa.binary()), ("before", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("stretch", pa.binary())])
+
+
+def _common(a: list[bytes], b: list[bytes]) -> int:
+    """Words that two lists begin with alike."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _reach(lists: list[list[bytes]], order: list[int]) -> list[int]:
+    """For each list the most words that another one begins with alike, which
+    is with a neighbour in the sorted order."""
+    out = [0] * len(lists)
+    for i, j in zip(order, order[1:]):
+        n = _common(lists[i], lists[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def _prefixes(words: list[bytes]) -> list[int]:
+    """Bytes of the first 0, 1, 2, ... words, joined."""
+    return [0, *accumulate((len(w) + 1 for w in words))]
+
+
+def matches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(num, kind, begin, end) of the repeated stretches (kind 0), and those
+    that aren't the first of their words (kind 1), around the suffixes of one
+    rank: (after, before, low, high, num, place), sorted."""
+    kinds: list[tuple] = []  # after, before, low, high, members
+    for after, before, low, high, *member in rows:
+        if not kinds or (after, before) != kinds[-1][:2]:
+            kinds.append((after, before, low, high, []))
+        if not kinds[-1][4] or kinds[-1][4][-1] != member:
+            kinds[-1][4].append(member)
+    many = len(kinds)
+    if many == 1 and len(kinds[0][4]) == 1:
+        return
+    groups: dict[tuple, list[int]] = {}
+    shared: list[dict[int, list[int]]] = [{} for _ in kinds]
+    if many > 1:
+        ahead = [k[0].split(b" ") for k in kinds]
+        behind = [k[1].split(b" ") if k[1] else [] for k in kinds]
+        right = _reach(ahead, sorted(range(many), key=ahead.__getitem__))
+        left = _reach(behind, sorted(range(many), key=behind.__getitem__))
+        for i, (after, before, low, high, _) in enumerate(kinds):
+            low, high = max(low, least - right[i]), min(high, left[i])
+            if low > high:
+                continue
+            a, b = _prefixes(ahead[i]), _prefixes(behind[i])
+            for n in range(low, high + 1):
+                # the words themselves are compared; a stretch with one of another place is one of equal sides
+                own = groups.setdefault((n, before[: b[n]].rstrip(b" "), after[: a[least - n]].rstrip(b" ")), [])
+                own.append(i)
+                shared[i][n] = own
+    for i, (_, _, low, high, members) in enumerate(kinds):
+        alone = [i]
+        for num, place in members:
+            runs: list[list[int]] = [[], []]
+            for n in range(low, high + 1):
+                own = shared[i].get(n, alone)
+                if len(own) > 1 or len(members) > 1:
+                    runs[0].append(n)
+                    if [num, place] != min(kinds[k][4][0] for k in own):
+                        runs[1].append(n)
+            for kind, found in enumerate(runs):
+                at = 0
+                while at < len(found):
+                    to = at
+                    while to + 1 < len(found) and found[to + 1] == found[to] + 1:
+                        to += 1
+                    yield num, kind, place - found[to], place - found[at] + least
+                    at = to + 1
+
+
+def extended(rows: DataFrame, least: int) -> DataFrame:
+    """(num, kind, begin, end) of the repeated stretches around suffixes, of
+    the rows of ``contexts`` that have a rank."""
 
-    return df.mapInArrow(run, "stretch long, text_hash long, place int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        out: list[tuple] = []
 
+        def table():
+            cols = list(zip(*out)) if out else [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["num", "kind", "begin", "end"])
 
-def spans(rows: DataFrame, least: int) -> DataFrame:
-    """(text_hash, kind, spans): places of stretches, where these touch, as
-    maximal spans in order."""
-    order = Window.partitionBy("text_hash", "kind").orderBy("place")
-    fresh = F.coalesce(F.col("place") > F.lag("place").over(order) + least, F.lit(True)).cast("int")
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    if len(held) > 1:
+                        out.extend(matches(held, least))
+                    key, held = k, []
+                held.append(row)
+            yield table()
+        if len(held) > 1:
+            out.extend(matches(held, least))
+        yield table()
+
+    order = ["key", "after", "before", "num", "place"]
+    own = rows.select("key", "after", "before", "low", "high", "num", "place")
+    return own.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "num long, kind int, begin int, end int")
+
+
+def grouped(seen: DataFrame, least: int) -> DataFrame:
+    """The same of the rows of ``contexts`` that are stretches."""
+    at = F.struct("num", "place")
+    shared = seen.groupBy("stretch").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") != F.col("last")).select("stretch", "first")
+    kinds = F.when(at != F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    hits = seen.select("stretch", "num", "place").join(shared, "stretch").select("num", F.explode(kinds).alias("kind"), F.col("place").alias("begin"))
+    return hits.select("num", "kind", "begin", (F.col("begin") + least).alias("end"))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """(num, kind, spans): intervals, where they touch, as maximal spans in
+    order."""
+    order = Window.partitionBy("num", "kind").orderBy("begin", "end")
+    fresh = F.coalesce(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     runs = rows.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = runs.groupBy("text_hash", "kind", "run").agg(F.min("place").alias("begin"), (F.max("place") + least).alias("end"))
-    return each.groupBy("text_hash", "kind").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    each = runs.groupBy("num", "kind", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return each.groupBy("num", "kind").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -201,36 +364,36 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     such words, removable those less what stands there first, in the order of
     the texts' hashes, then of places; arrays of structs begin, end in words,
     end exclusive. Words are what white space separates, compared byte by
-    byte.
+    byte; only passages whose rank more than ``CHUNK`` places share are
+    compared by 128-bit hashes.
 
     A text of ``least`` words that several documents have whole is repeated
     whole, and removable whole but in the one of least doc_id. Null, empty and
-    shorter texts have no row; rows without an id are not looked at; repeated
-    rows of one id and text are one document, while rows of one id and
-    different texts have a row each. Other columns are not looked at, an empty
-    table gives an empty one.
+    shorter texts have no row, a text of any length is read whole; rows without
+    an id are not looked at; repeated rows of one id and text are one document,
+    while rows of one id and different texts have a row each. Other columns are
+    not looked at, an empty table gives an empty one.
     """
     if least < 2 * GRAM:
         raise ValueError(f"least at least {2 * GRAM}")
-    docs = common.documents(df, id_col, text_col).where(F.col("doc_id").isNotNull()).select(F.xxhash64("text").alias("text_hash"), "text", "doc_id")
-    found = common.stored(suffixes(docs.select("text_hash", "text"), least), "suffixes")
-    owners = common.stored(docs.select("text_hash", "doc_id").distinct(), "owners")
-    sizes = found.where(F.col("key").isNull()).groupBy("text_hash").agg(F.max("place").alias("n_words"))
-    heads = owners.groupBy("text_hash").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-
-    split = found.where(F.col("key").isNotNull()).repartitionByRange("key", "text_hash", "place").sortWithinPartitions("key", "text_hash", "place")
-    places = neighbours(split).groupBy("text_hash").agg(F.collect_set("place").alias("places"))
-    chosen = common.stored(places.join(heads, "text_hash").select("text_hash", F.col("head").alias("doc_id"), "places"), "anchored")
-    first = docs.join(chosen, ["text_hash", "doc_id"]).select("text_hash", "text", "places")
-    seen = common.stored(stretches(first, least), "stretches")
-    at = F.struct("text_hash", "place")
-    shared = common.stored(seen.groupBy("stretch").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") != F.col("last")).select("stretch", "first"), "shared")
-    hits = seen.join(shared, "stretch").select("text_hash", "place", F.explode(F.when(F.struct("text_hash", "place") != F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
-    parts = spans(hits.distinct(), least).groupBy("text_hash").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
-    texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "text_hash").join(parts, "text_hash", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
+    docs, pairs = numbered(common.documents(df, id_col, text_col).where(F.col("doc_id").isNotNull()))
+    found = common.stored(suffixes(docs, least), "suffixes")
+    owners = common.stored(pairs, "numbers")
+    sizes = found.where(F.col("key").isNull()).groupBy("num").agg(F.max("place").alias("n_words"))
+    heads = owners.groupBy("num").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
+
+    split = found.where(F.col("key").isNotNull()).repartitionByRange("key", "num", "place").sortWithinPartitions("key", "num", "place")
+    met = common.stored(neighbours(split), "neighbours")
+    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.lit(True).alias("crowd"))
+    places = met.join(crowded, "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
+    chosen = common.stored(places.join(heads, "num").select("num", F.col("head").alias("doc_id"), "places", "hot"), "anchored")
+    around = common.stored(contexts(docs.join(chosen, ["num", "doc_id"]), least), "contexts")
+    hits = extended(around.where(F.col("key").isNotNull()), least).union(grouped(around.where(F.col("stretch").isNotNull()).select("stretch", "num", "place").distinct(), least))
+    parts = spans(hits).groupBy("num").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
+    texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "num").join(parts, "num", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
 
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end")))
     many, later = F.col("copies") > 1, F.col("doc_id") != F.col("head")
-    out = owners.join(texts, "text_hash").select("doc_id", "n_words", F.when(many, whole).otherwise(F.col("repeated")).alias("repeated"), F.when(later, whole).otherwise(F.coalesce("removable", F.array_except(whole, whole))).alias("removable"))
+    out = owners.join(texts, "num").select("doc_id", "n_words", F.when(many, whole).otherwise(F.col("repeated")).alias("repeated"), F.when(later, whole).otherwise(F.coalesce("removable", F.array_except(whole, whole))).alias("removable"))
     size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["end"] - x["begin"])
     return out.select("doc_id", "n_words", size("repeated").alias("n_repeated"), size("removable").alias("n_removable"), "repeated", "removable")
