@@ -18,25 +18,68 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (one machine, as in tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where
+    that is unset a temporary one takes its place on one machine, as in tests;
+    on a cluster there is none to guess."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark)}/vellum-{tag}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, which
-    cuts its lineage with files that outlive any executor. Removed when the
-    driver ends."""
+    cuts its lineage with files that outlive any executor. Removed by ``drop``
+    or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{tag}-{uuid.uuid4().hex}"
+    path = _place(spark, tag)
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.vellum_path = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """As ``stored``, as a table in as many buckets of ``key`` as shuffles
+    have partitions: joins on the key move only their other side."""
+    spark = df.sparkSession
+    path = _place(spark, tag)
+    name = f"vellum_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.vellum_path, out.vellum_table = path, name
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if name := getattr(df, "vellum_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if path := getattr(df, "vellum_path", None):
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clashes(df: DataFrame, most: int = 10_000) -> list[int]:
+    """The 64-bit hashes ``a`` that go with more than one second hash ``b``:
+    one for every 3e9 rows or so, so they fit in a list."""
+    shared = df.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where(F.col("x") != F.col("y"))
+    found = [r.a for r in shared.select("a").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} clashes of 64-bit hashes")
+    return found
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,6 +164,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     kind = links.schema["a"].dataType
     edges = stored(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
+    spent: list[DataFrame] = []
     maps: list[DataFrame] = []
     for k in range(most_rounds):
         if edges.isEmpty():
@@ -132,12 +176,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         maps.append(nearest)
         moved = edges.join(nearest.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").select("b", "ra")
         moved = moved.join(nearest.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        spent.append(edges)
         edges = stored(moved.where(F.col("ra") != F.col("rb")).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     else:
         raise RuntimeError("the links did not contract")
+    drop(*spent)
     if not maps:
         return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     out = maps[0]
     for step in maps[1:]:
         out = out.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stored(out, "roots")
+    out = stored(out, "roots")
+    drop(edges, *maps)
+    return out

@@ -31,8 +31,6 @@ from vellum.llm import common
 
 LEAST = 50
 GRAM = 5
-#: Pairs of texts that may share a 64-bit hash.
-CLASHES = 10_000
 #: Suffixes of one rank that are compared in one piece of work.
 CHUNK = 8192
 #: Distinct words whose hashes a worker keeps.
@@ -121,10 +119,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     two = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), F.col("text")).alias("b"))
     owners = common.stored(two, "owners")
-    shared = owners.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where(F.col("x") != F.col("y"))
-    clash = [r.a for r in shared.select("a").limit(CLASHES + 1).collect()]
-    if len(clash) > CLASHES:
-        raise ValueError(f"more than {CLASHES} pairs of texts of one 64-bit hash")
+    clash = common.clashes(owners)
     pick = (lambda a, b: F.when(a.isin(clash), b).otherwise(a)) if clash else (lambda a, b: a)
     texts = docs.withColumn("num", pick(F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))))
     return texts, owners.select(pick(F.col("a"), F.col("b")).alias("num"), "doc_id").distinct()
@@ -391,6 +386,7 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hits = extended(around.where(F.col("key").isNotNull()), least).union(grouped(around.where(F.col("stretch").isNotNull()).select("stretch", "num", "place").distinct(), least))
     parts = spans(hits).groupBy("num").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
     texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "num").join(parts, "num", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
+    common.drop(found, met, chosen, around)
 
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end")))
     many, later = F.col("copies") > 1, F.col("doc_id") != F.col("head")
