@@ -7,22 +7,30 @@ the factor, estimates the vectors' inner product without bias, with an error
 whose bound is known; only pairs whose upper bound reaches the threshold are
 recomputed from the vectors in double precision.
 
-Pairs to estimate come from sign tables over further rotations, whose number
-follows from the recall at the threshold and whose keys lengthen with the
-logarithm of the rows. Crowds don't get there: a bounded number of leaders,
-a random sample, gather balls of vectors so close to them that all links
-inside a ball hold, and what lies clearly within or beyond reach of a whole
-ball is counted for the ball. Only vectors at its rim meet its members.
+Pairs to estimate come from tables over further rotations, keyed by the
+coordinates that are largest there. What travels for a table is a key, a number
+and 64 signs; of a key's rows those whose signs differ in few enough places are
+paired. Their codes, factors and vectors stay where they are, in a table
+bucketed by the vectors' numbers, to which the pairs are sent. Keys shorten so
+that one has a few hundred rows, and the tables' number follows from the recall
+at the threshold.
+
+Crowds don't get there: a bounded number of leaders, a random sample, gather
+balls of vectors so close to them that all links inside a ball hold, and what
+lies clearly within or beyond reach of a whole ball is counted for the ball.
+Vectors at its rim meet its members as the rows of a key meet each other.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +40,21 @@ from vellum.llm import common
 LEADERS, BALL = 1024, math.radians(8)
 #: Chance that a pair right at the threshold meets in some table.
 RECALL = 0.995
+#: Chance that a pair right at the threshold differs in more signs than let through.
+MISS = 5e-4
 #: Standard errors that an estimate's bound allows for.
 SURE = 5.0
-#: Rows of one key that are compared in one piece of work.
-CHUNK = 1024
-BATCH = 1 << 15
+#: Rows that a key has on average, as a power of two.
+SHARED = 8
+#: Rows of one key that are compared in one piece of work, and the share of
+#: the vectors (one of so many) that tells which keys have more.
+CHUNK, SAMPLE = 2048, 64
+#: Crowded keys up to which their list is sent to all tasks.
+SENT = 100_000
+BATCH = 1 << 16
 SEED = 7
-#: Different vector lengths that a table may hold.
-LENGTHS = 64
+#: Coordinates of one part of a key, and the signs that travel.
+COORDS, SIGNS = 64, 64
 
 
 def rotations(dim: int, n: int) -> np.ndarray:
@@ -51,17 +66,91 @@ def rotations(dim: int, n: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def units(rows: list) -> np.ndarray:
+@functools.lru_cache(64)
+def code_turn(dim: int) -> np.ndarray:
+    """The codes' rotation, with as many more as the signs that travel need."""
+    return rotations(dim, max(1, -(-SIGNS // dim)))
+
+
+def units(rows) -> np.ndarray:
     x = np.asarray(rows, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a key and number of tables for n rows."""
-    bits = max(4, min(28, math.ceil(math.log2(max(2, n)))))
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet)) if meet < 1 else 1
+@functools.lru_cache(256)
+def meet(coords: int, threshold: float) -> float:
+    """Chance that of two unit vectors at the threshold the same of so many
+    random coordinates is largest, with the same sign; by trial."""
+    rng = np.random.default_rng([SEED, coords])
+    same = total = 0
+    for _ in range(40):
+        x = rng.normal(size=(1000, coords))
+        y = threshold * x + math.sqrt(1 - threshold**2) * rng.normal(size=x.shape)
+        at = np.abs(x).argmax(axis=1)
+        own = np.arange(len(x))
+        same += int(((np.abs(y).argmax(axis=1) == at) & ((x[own, at] > 0) == (y[own, at] > 0))).sum())
+        total += len(x)
+    return same / total
+
+
+def tables(n: int, threshold: float, recall: float | None = None) -> tuple[tuple[int, ...], int]:
+    """The parts of a key, as the coordinates each looks at, and the number of
+    tables for n rows."""
+    recall = RECALL if recall is None else recall
+    bits = max(1, math.ceil(math.log2(max(2, n))) - SHARED)
+    whole = int(math.log2(COORDS)) + 1
+    parts = (COORDS,) * (bits // whole) + ((1 << bits % whole - 1,) if bits % whole else ())
+    chance = math.prod(meet(c, threshold) for c in parts)
+    return parts, 1 if chance >= recall else math.ceil(math.log(1 - recall) / math.log(1 - chance))
+
+
+@functools.lru_cache(8)
+def key_turn(dim: int, parts: tuple[int, ...], count: int) -> np.ndarray:
+    """For each table and part of its key so many orthonormal directions (as
+    far as there are such)."""
+    out = []
+    for t in range(count):
+        for k, coords in enumerate(parts):
+            rng = np.random.default_rng([SEED + 1, dim, t, k])
+            if dim >= coords:
+                out.append(np.linalg.qr(rng.normal(size=(dim, coords)))[0])
+            else:
+                out.append(np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-coords // dim))], axis=1)[:, :coords])
+    return np.concatenate(out, axis=1).astype(np.float32)
+
+
+def keys_of(u: np.ndarray, parts: tuple[int, ...], count: int) -> np.ndarray:
+    """The key of each unit vector in each table."""
+    turned = u.astype(np.float32) @ key_turn(u.shape[1], parts, count)
+    keys = np.empty((len(u), count), np.uint64)
+    at, own = 0, np.arange(len(u))
+    for t in range(count):
+        key = np.full(len(u), (u.shape[1] << 20) + t, np.uint64)
+        for coords in parts:
+            part = turned[:, at : at + coords]
+            best = np.abs(part).argmax(axis=1)
+            key = (key ^ (2 * best + (part[own, best] > 0) + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+            at += coords
+        keys[:, t] = key
+    return keys.view(np.int64)
+
+
+def signs_of(u: np.ndarray) -> np.ndarray:
+    return np.packbits(u @ code_turn(u.shape[1])[:, :SIGNS] >= 0, axis=1).view(np.int64).ravel()
+
+
+def most_signs(threshold: float, miss: float | None = None) -> int:
+    """Signs in which vectors at the threshold may differ; more at most with
+    the chance ``miss``."""
+    miss = MISS if miss is None else miss
+    p = math.acos(threshold) / math.pi
+    beyond, k = 1.0, -1
+    while beyond > miss and k < SIGNS:
+        k += 1
+        beyond -= math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k)
+    return k
 
 
 class Codes:
@@ -90,257 +179,344 @@ class Codes:
         return {"signs": signs / np.float32(math.sqrt(self.dim)), "factor": factor, "bound": bound, "turned": payload["turned"].astype(np.float32) * payload["scale"][:, None], "slack": scale * (0.5 * math.sqrt(self.dim)) + 1e-6}
 
 
-def upper(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Upper bound of the inner products of rows i and j, the lesser of those
-    from either row's code."""
+def upper(x: dict, y: dict) -> np.ndarray:
+    """Upper bound of the inner products of the rows of x with those of y, the
+    lesser of those from either row's code."""
+
     def side(a, b):
-        inner = np.einsum("ij,ij->i", x["signs"][a], x["turned"][b])
-        return (inner + x["slack"][b]) / x["factor"][a] + x["bound"][a]
-
-    return np.minimum(side(i, j), side(j, i))
-
-
-def pairs_of_runs(x: dict, side: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs whose bound reaches the threshold: of a run of side 0
-    all pairs, of sides 1 and 2 those between the sides."""
-    n = len(side)
-    left, right, held = [], [], 0
-    firsts, seconds = [], []
-
-    def flush():
-        nonlocal held
-        if firsts:
-            i, j = np.concatenate(firsts), np.concatenate(seconds)
-            for at in range(0, len(i), 1 << 18):
-                a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-                keep = upper(x, a, b) >= threshold
-                left.append(a[keep])
-                right.append(b[keep])
-            firsts.clear()
-            seconds.clear()
-            held = 0
-
-    for a, b in zip(starts, np.append(starts[1:], n)):
+        inner = np.einsum("ij,ij->i", a["signs"], b["turned"])
+        return (inner + b["slack"]) / a["factor"] + a["bound"]
+
+    return np.minimum(side(x, y), side(y, x))
+
+
+def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that differ in at most ``most`` signs: of a run of side
+    0 all pairs, of the others those of sides 1 and 2 with side 3. The signs
+    are unsigned numbers."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(starts, np.append(starts[1:], len(signs))):
         if b - a < 2:
             continue
-        if side[a]:
-            cut = a + int(np.searchsorted(side[a:b], 2))
-            i, j = np.repeat(np.arange(a, cut), b - cut), np.tile(np.arange(cut, b), cut - a)
-        else:
-            i, j = np.triu_indices(b - a, 1)
-            i, j = i + a, j + a
-        firsts.append(i)
-        seconds.append(j)
-        held += len(i)
-        if held > 1 << 19:
-            flush()
-    flush()
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(left) if left else empty, np.concatenate(right) if right else empty
-
-
-def _prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, cid, dim, e): cid, a digest of the vector, is null for rows
-    that link with nothing."""
+        cut = a + int(np.searchsorted(side[a:b], 3)) if side[a] else a
+        stop = cut if side[a] else b
+        for at in range(a, stop, 512):
+            mine = signs[at : min(at + 512, stop)]
+            begin = cut if side[a] else at
+            i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ signs[None, begin:b]) <= most)
+            i, j = i + at, j + begin
+            if not side[a]:
+                ahead = i < j
+                i, j = i[ahead], j[ahead]
+            left.append(i)
+            right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a list column one after the other, and where rows begin."""
+    ends = np.zeros(len(col) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+    return col.flatten().to_numpy(zero_copy_only=False), ends
+
+
+def _by_length(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the rows of each length."""
+    flat, ends = _flat(col)
+    sizes = np.diff(ends)
+    for d in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == d)
+        yield own, flat[ends[own][:, None] + np.arange(d)].astype(np.float64)
+
+
+def _digests(df: DataFrame, id_col: str, vec_col: str, schema: str, pick) -> DataFrame:
+    """Rows of what ``pick`` takes of a batch's ids, pairs of 64-bit hashes
+    (None for vectors that link with nothing), vectors, and their lengths."""
     kind = df.schema[vec_col].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
-    e = F.col(vec_col).cast(kind)
-    fine = F.col(id_col).isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, e).alias("e"))
-    digest = F.when(F.col("e").isNotNull(), F.unhex(F.md5(F.to_json("e").cast("binary")))) if kind == "array<double>" else None
-    if digest is not None:
-        return base.select("vec_id", digest.alias("cid"), F.size("e").alias("dim"), "e")
-
-    def run(batches):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take = pick()
         for batch in batches:
-            col = batch.column(1)
-            cid = [None if v is None else hashlib.md5(np.asarray(v, "<f4").tobytes()).digest() for v in col.to_pylist()]
-            dim = [None if v is None else len(v) for v in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid, pa.binary()), pa.array(dim, pa.int32()), col], names=["vec_id", "cid", "dim", "e"])
+            ids, col = batch.columns
+            flat, ends = _flat(col)
+            sizes = np.diff(ends)
+            wrong = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            some = np.concatenate([[0], np.cumsum(flat != 0)])
+            fine = (sizes > 0) & (wrong[ends[1:]] == wrong[ends[:-1]]) & (some[ends[1:]] > some[ends[:-1]]) & ids.is_valid().to_numpy(zero_copy_only=False)
+            raw, width = memoryview(np.ascontiguousarray(flat)).cast("B"), flat.itemsize
+            two = np.zeros((len(ids), 2), np.int64)
+            for i in np.flatnonzero(fine).tolist():
+                two[i] = np.frombuffer(hashlib.md5(raw[ends[i] * width : ends[i + 1] * width]).digest(), np.int64)
+            yield take(ids, fine, two, sizes, col)
+
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("e")).mapInArrow(run, schema.replace("VECTOR", kind))
+
+
+def _ids(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(vec_id, a, b): every row with two hashes of its vector, null for rows
+    that link with nothing."""
+
+    def pick():
+        return lambda ids, fine, two, sizes, col: pa.RecordBatch.from_arrays([ids, *(pa.array(two[:, k], mask=~fine) for k in (0, 1))], names=["vec_id", "a", "b"])
 
-    return base.mapInArrow(run, f"vec_id long, cid binary, dim int, e {kind}")
+    return _digests(df, id_col, vec_col, "vec_id long, a long, b long", pick)
 
 
-def _place(classes: DataFrame, leaders: np.ndarray, threshold: float) -> DataFrame:
-    """Each class with its ball (-1: none) and the leaders whose whole balls
-    it links with (near) or may link with in part (rim)."""
+def _distinct(df: DataFrame, id_col: str, vec_col: str, clash: frozenset, only: frozenset | None = None) -> DataFrame:
+    """(num, e): every vector that may link, under its number, at least once
+    and seldom twice in a task; of ``only`` these numbers if given."""
+
+    def pick():
+        seen: set[int] = set()
+
+        def take(ids, fine, two, sizes, col):
+            nums = two[:, 0].copy()
+            if clash:
+                moved = np.isin(nums, list(clash))
+                nums[moved] = two[moved, 1]
+            if only is not None:
+                fine = fine & np.isin(nums, list(only))
+            if len(seen) > 1 << 18:
+                seen.clear()
+            own = [i for i in np.flatnonzero(fine).tolist() if not (int(nums[i]) in seen or seen.add(int(nums[i])))]
+            return pa.RecordBatch.from_arrays([pa.array(nums[own]), col.take(pa.array(own, pa.int64()))], names=["num", "e"])
+
+        return take
+
+    return _digests(df, id_col, vec_col, "num long, e VECTOR", pick)
+
+
+def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], threshold: float) -> DataFrame:
+    """Each class, once, with its ball (-1: none), the leaders whose whole
+    balls it links with (near) or may link with in part (rim), its signs and
+    code. ``leaders``: by length the first leader's number, and vectors."""
     reach = math.acos(threshold)
     inside, sure, never = math.cos(BALL), math.cos(reach - BALL), math.cos(min(math.pi, reach + BALL))
+    kind = classes.schema["e"].dataType.simpleString()
+    names = ["num", "copies", "first", "dim", "ball", "near", "rim", "signs", "code", "e"]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            u = units(batch.column(2).to_pylist())
-            cos = u @ leaders.T
-            own = np.where((cos >= inside).any(axis=1), (cos >= inside).argmax(axis=1), -1)
-            other = np.arange(len(leaders))[None, :] != own[:, None]
-            near = [np.flatnonzero(r).tolist() for r in (cos >= sure) & other]
-            rim = [np.flatnonzero(r).tolist() for r in (cos < sure) & (cos >= never - 1e-12) & other]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), batch.column(2)], names=["cid", "copies", "ball", "near", "rim", "e"])
-
-    kind = classes.schema["e"].dataType.simpleString()
-    return classes.select("cid", "copies", "e").mapInArrow(run, f"cid binary, copies long, ball int, near array<int>, rim array<int>, e {kind}")
+            nums = batch.column(0).to_numpy()
+            fresh = np.append(len(nums) > 0 and (last is None or nums[0] != last), nums[1:] != nums[:-1]) if len(nums) else np.zeros(0, bool)
+            last = nums[-1] if len(nums) else last
+            batch = batch.filter(pa.array(fresh))
+            for own, x in _by_length(batch.column(3)):
+                u = units(x)
+                dim = x.shape[1]
+                first, heads = leaders.get(dim, (0, np.zeros((0, dim))))
+                cos = u @ heads.T
+                close_ = cos >= inside
+                ball = np.where(close_.any(axis=1), close_.argmax(axis=1), -1) if len(heads) else np.full(len(u), -1)
+                other = np.arange(len(heads))[None, :] != ball[:, None]
+                near = [(np.flatnonzero(r) + first).tolist() for r in (cos >= sure) & other]
+                rim = [(np.flatnonzero(r) + first).tolist() for r in (cos < sure) & (cos >= never - 1e-12) & other]
+                code = [r.tobytes() for r in Codes(dim).pack(u @ code_turn(dim)[:, :dim])]
+                part = batch.take(pa.array(own))
+                made = [pa.array(np.full(len(u), dim), pa.int32()), pa.array(np.where(ball < 0, -1, ball + first), pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), pa.array(signs_of(u)), pa.array(code, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(3)], names=names)
+
+    return classes.select("num", "copies", "first", "e").mapInArrow(run, f"num long, copies long, first long, dim int, ball int, near array<int>, rim array<int>, signs long, code binary, e {kind}")
+
+
+def _keyed(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
+    """(key, num, signs): a row for each table's key of each class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for own, x in _by_length(part.column(2)):
+                    keys = keys_of(units(x), parts, count)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(k).to_numpy()[own], count)) for k in (0, 1))], names=["key", "num", "signs"])
+
+    return singles.select("num", "signs", "e").mapInArrow(run, "key long, num long, signs long")
+
+
+def _dealt(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
+    """(key, i, j, side, num, signs): the rows of each key, or those of a
+    crowded one in pairs of chunks. Which keys are crowded a sample of the
+    vectors tells; it changes how rows are dealt, not which ones meet."""
+    sample = _keyed(singles.where(F.pmod(F.xxhash64("num"), F.lit(SAMPLE)) == 0), parts, count).groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("n"))
+    crowded = common.stored(sample.where(F.col("n") > CHUNK * 3 // 2).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "veckeys")
+    met = _keyed(singles, parts, count)
+    n = crowded.count()
+    met = met.join(F.broadcast(crowded) if n <= SENT else crowded, "key", "left") if n else met.withColumn("parts", F.lit(1))
+    met = met.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("num"), "parts").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(3).cast("int")
+    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "num", "signs")
+
+
+def _rims(placed: DataFrame, balls: DataFrame) -> DataFrame:
+    """The same for the balls: members (side 3) with the vectors at the rim
+    (1, or 2 where these are in another ball, whose links count one way)."""
+    rim = placed.select(F.explode("rim").alias("ball"), "num", "signs", F.when(F.col("ball") < 0, 1).otherwise(2).cast("int").alias("side"))
+    crowd = rim.groupBy("ball").agg(F.count(F.lit(1)).alias("r")).join(balls.where("size > 0").select("ball", "classes"), "ball")
+    # no more rows than leaders
+    crowd = F.broadcast(common.stored(crowd.select("ball", F.ceil(F.col("classes") / CHUNK).cast("int").alias("ms"), F.ceil(F.col("r") / CHUNK).cast("int").alias("rs")), "rims"))
+    deal = lambda n: F.pmod(F.xxhash64("num"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = F.col("ball").cast("long").alias("key")
+    members = placed.where("ball >= 0").select("ball", "num", "signs", F.lit(3).alias("side")).join(crowd, "ball").withColumn("i", deal("ms")).withColumn("j", every("rs"))
+    guests = rim.join(crowd, "ball").withColumn("j", deal("rs")).withColumn("i", every("ms"))
+    cols = [key, "i", "j", "side", "num", "signs"]
+    return members.select(*cols).unionByName(guests.select(*cols))
 
-def _keyed(singles: DataFrame, dim: int, bits: int, count: int) -> DataFrame:
-    """(key, cid, payload): a row for each table's key of each class."""
 
-    def run(batches):
-        turn = rotations(dim, -(-bits * count // dim))
-        codes = Codes(dim)
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                turned = units(part.column(1).to_pylist()) @ turn
-                payload = [r.tobytes() for r in codes.pack(turned[:, :dim])]
-                signs = (turned[:, : bits * count] >= 0).reshape(len(payload), count, bits)
-                keys = (signs @ weights) * count + np.arange(count)
-                cids = part.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(cids, object), count), pa.binary()), pa.array(np.repeat(np.array(payload, object), count), pa.binary())], names=["key", "cid", "payload"])
-
-    return singles.select("cid", "e").mapInArrow(run, "key long, cid binary, payload binary")
-
-
-def _candidates(keyed: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(a, b): pairs of classes of one key whose bound reaches the threshold."""
-    shared = common.stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "veckeys")
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    met = keyed.join(shared, "key").select("key", "cid", "payload", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("own"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "cid", "payload")
+def _met(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, one_way): pairs whose signs differ in few enough places."""
+    most = most_signs(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(dim)
-        held: list[pa.RecordBatch] = []
+        held: list[np.ndarray] = []
 
         def flush(last: bool):
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.column_stack([table.column(k).to_numpy() for k in (0, 1, 2)])
-            change = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-            cut = len(keys) if last else int(change[-1])
+            rows = np.concatenate(held)
+            change = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+            cut = len(rows) if last else int(change[-1])
             starts = change[change < cut]
-            held[:] = [] if last else table.slice(cut).to_batches()
+            held[:] = [] if last else [rows[cut:]]
             if not len(starts):
                 return None
-            cids = table.column(4).slice(0, cut).to_pylist()
-            x = codes.open(np.frombuffer(b"".join(table.column(5).slice(0, cut).to_pylist()), codes.kind))
-            i, j = pairs_of_runs(x, table.column(3).to_numpy()[:cut], starts, threshold)
-            found = {(min(cids[a], cids[b]), max(cids[a], cids[b])) for a, b in zip(i, j) if cids[a] != cids[b]}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            side, nums = rows[:cut, 3], rows[:cut, 4]
+            i, j = close(rows[:cut, 5].copy().view(np.uint64), side, starts, most)
+            way = side[i] == 2
+            a, b = np.where(way, nums[i], np.minimum(nums[i], nums[j])), np.where(way, nums[j], np.maximum(nums[i], nums[j]))
+            found = np.unique(np.column_stack([a, b, way])[a != b], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(bool))], names=["a", "b", "one_way"])
 
         size = 0
         for batch in batches:
-            held.append(batch)
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             size += batch.num_rows
             if size >= BATCH:
                 if (out := flush(False)) is not None:
                     yield out
-                size = sum(b.num_rows for b in held)
+                size = sum(map(len, held))
         if held and (out := flush(True)) is not None:
             yield out
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, one_way boolean").distinct()
+
+
+def _with(pairs: DataFrame, placed: DataFrame, cols: list[str]) -> DataFrame:
+    """The pairs with columns of both their vectors, x_ and y_."""
+    for end, mark in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(placed.select(F.col("num").alias(end), *(F.col(c).alias(f"{mark}_{c}") for c in cols)), end)
+    return pairs
+
+
+def _doubtful(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose upper bound reaches the threshold."""
+    met = _with(pairs, placed, ["dim", "code"]).where(F.col("x_dim") == F.col("y_dim")).select("a", "b", "one_way", "x_dim", "x_code", "y_code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims).tolist():
+                codes = Codes(dim)
+                part = batch.filter(pa.array(dims == dim))
+                x, y = (codes.open(np.frombuffer(b"".join(part.column(k).to_pylist()), codes.kind)) for k in (4, 5))
+                yield part.select([0, 1, 2]).filter(pa.array(upper(x, y) >= threshold))
+
+    return met.mapInArrow(run, "a long, b long, one_way boolean")
 
 
 def _exact(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose cosine in double precision is no less than the
-    threshold, with the copies of both. Other columns of ``pairs`` stay."""
-    more = [c for c in pairs.columns if c not in ("a", "b")]
-    left = placed.select(F.col("cid").alias("a"), F.col("e").alias("ea"), F.col("copies").alias("ca"))
-    right = placed.select(F.col("cid").alias("b"), F.col("e").alias("eb"), F.col("copies").alias("cb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", *more, "ea", "eb")
-
-    def run(batches):
+    """The pairs whose cosine in double precision is no less than the
+    threshold, with the copies of both."""
+    met = _with(pairs, placed, ["copies", "e"]).select("a", "b", "one_way", F.col("x_copies").alias("ca"), F.col("y_copies").alias("cb"), "x_e", "y_e")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.asarray(batch.column(batch.schema.get_field_index(c)).to_pylist(), np.float64) for c in ("ea", "eb"))
+            for own, x in _by_length(batch.column(5)):
+                part = batch.take(pa.array(own))
+                (_, y), = _by_length(part.column(6))
                 x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
                 cos = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-                yield batch.select(["a", "b", "ca", "cb", *more]).filter(pa.array(cos >= threshold))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name not in ("ea", "eb"))
-    return met.mapInArrow(run, schema)
-
-
-def _of_length(classes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(cid, n) parts of the numbers of links, and connecting links (a, b)."""
-    spark = classes.sparkSession
-    chosen = classes.orderBy("cid").limit(LEADERS).select("cid", "e").collect()
-    sample = units([r.e for r in chosen])
-    kept: list[int] = []
-    for k in range(len(chosen)):
-        if not kept or (sample[kept] @ sample[k]).max() < math.cos(BALL / 2):
-            kept.append(k)
-    leaders = sample[kept]
-    heads = spark.createDataFrame([(i, bytearray(chosen[k].cid)) for i, k in enumerate(kept)], "ball int, head binary")
-    placed = common.stored(_place(classes, leaders, threshold), "placed")
-    single = F.col("ball") < 0
-    sizes = placed.where(~single).groupBy("ball").agg(F.sum("copies").alias("size"))
-    guests = placed.where(single).select(F.explode("near").alias("ball"), "copies").groupBy("ball").agg(F.sum("copies").alias("guests"))
-    # no more rows than leaders
-    balls = common.stored(heads.join(sizes, "ball", "left").join(guests, "ball", "left").na.fill(0, ["size", "guests"]), "balls")
-    balls = F.broadcast(balls)
-    inside = placed.where(~single).join(balls, "ball").select("cid", (F.col("size") + F.col("guests") - 1).alias("n"), "head")
-    beside = placed.select("cid", F.explode("near").alias("ball")).join(balls, "ball").select("cid", F.col("size").alias("n"), "head")
-
-    rim = placed.select(F.col("cid").alias("a"), single.alias("alone"), F.explode("rim").alias("ball"))
-    met = rim.join(placed.where(~single).select("ball", F.col("cid").alias("b")), "ball").select("a", "b", "alone")
-    rim_links = common.stored(_exact(met, placed, threshold), "rim")
-
-    singles = placed.where(single)
-    n = singles.count()
-    bits, count = tables(n, threshold)
-    keyed = common.stored(_keyed(singles, dim, bits, count), "vectables") if n > 1 else None
-    if keyed is not None:
-        links = common.stored(_exact(_candidates(keyed, dim, threshold).distinct(), placed, threshold), "veclinks")
-    else:
-        links = spark.createDataFrame([], "a binary, b binary, ca long, cb long")
-
-    counts = inside.select("cid", "n").union(beside.select("cid", "n"))
-    counts = counts.union(placed.select("cid", F.when(single, F.col("copies") - 1).otherwise(0).alias("n")))
-    counts = counts.union(rim_links.select("a", "cb")).union(rim_links.where("alone").select("b", "ca"))
-    counts = counts.union(links.select("a", "cb")).union(links.select("b", "ca"))
-    edges = inside.select("cid", "head").union(beside.select("cid", "head")).union(rim_links.select("a", "b")).union(links.select("a", "b"))
-    return counts, edges.toDF("a", "b")
+                yield part.select([0, 1, 2, 3, 4]).filter(pa.array(cos >= threshold))
+
+    return met.mapInArrow(run, "a long, b long, one_way boolean, ca long, cb long")
+
+
+def _leaders(found: list) -> tuple[dict[int, tuple[int, np.ndarray]], list[tuple[int, int]]]:
+    """Leaders by length, and (ball, number) of each."""
+    by_length: dict[int, list] = {}
+    for num, e in sorted({r.num: r.e for r in found}.items()):
+        by_length.setdefault(len(e), []).append((num, e))
+    leaders, heads = {}, []
+    for dim, rows in sorted(by_length.items()):
+        sample = units([e for _, e in rows])
+        kept: list[int] = []
+        for k in range(len(rows)):
+            if not kept or (sample[kept] @ sample[k]).max() < math.cos(BALL / 2):
+                kept.append(k)
+        leaders[dim] = (len(heads), sample[kept])
+        heads += [(len(heads) + i, rows[k][0]) for i, k in enumerate(kept)]
+    return leaders, heads
 
 
 def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``df``.
 
     Two rows are linked where the cosine of their vectors, in double
-    precision, is no less than ``threshold`` (above 0.2). No pair below it is linked, and a
-    pair right at it is found with a chance of at least ``RECALL``, closer
-    ones with a greater one. n_links counts the other rows linked directly,
-    component_id is the least vec_id that links reach, kept says whether that
-    is the row's own.
+    precision, is no less than ``threshold`` (above 0.2, below 1). No pair
+    below it is linked, and a pair right at it is found with a chance of about
+    ``RECALL``, closer ones with a greater one. n_links counts the other rows
+    linked directly, component_id is the least vec_id that links reach, kept
+    says whether that is the row's own.
 
     A vector that is null, empty, zero, or holds a null or a number that is
     not finite links with nothing, and so does a row without an id: no links,
-    its own id as component. Vectors of different lengths don't link. Equal
-    vectors are compared once and count with their copies; rows of one id are
-    one node of the components. Other columns are not looked at, an empty
-    table gives an empty table.
+    its own id as component. Vectors of different lengths, of which there can
+    be any number, don't link. Equal vectors are compared once and count with
+    their copies, equal by 128 bits of a hash; rows of one id are one node of
+    the components. Other columns are not looked at, an empty table gives an
+    empty table.
     """
-    vectors = common.stored(_prepared(df, id_col, vec_col), "vectors")
-    fine = vectors.where(F.col("cid").isNotNull())
-    classes = common.stored(fine.groupBy("cid", "dim").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.any_value("e").alias("e")), "vecclasses")
-    lengths = [r.dim for r in classes.select("dim").distinct().orderBy("dim").limit(LENGTHS + 1).collect()]
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    parts = [_of_length(classes.where(F.col("dim") == d), d, threshold) for d in lengths]
-    if not parts:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    counts, edges = parts[0]
-    for c, e in parts[1:]:
-        counts, edges = counts.union(c), edges.union(e)
+    spark = df.sparkSession
+    vectors = common.stored(_ids(df, id_col, vec_col), "vectors")
+    fine = vectors.where(F.col("a").isNotNull())
+    clash = frozenset(common.clashes(fine))
+    fine = fine.select("vec_id", (F.when(F.col("a").isin(*clash), F.col("b")).otherwise(F.col("a")) if clash else F.col("a")).alias("num"))
+    counted = common.stored(fine.groupBy("num").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first")), "veccounts")
+    n = counted.count()
+    chosen = frozenset(r.num for r in counted.orderBy("num").limit(LEADERS).collect())
+    leaders, heads = _leaders(_distinct(df, id_col, vec_col, clash, chosen).collect())
+    heads = spark.createDataFrame(heads, "ball int, head long")
+
+    rows = _distinct(df, id_col, vec_col, clash).repartition("num").join(counted, "num").sortWithinPartitions("num")
+    placed = common.bucketed(_place(rows, leaders, threshold), "num", "placed")
+    single = F.col("ball") < 0
+    sizes = placed.where(~single).groupBy("ball").agg(F.sum("copies").alias("size"), F.count(F.lit(1)).alias("classes"))
+    guests = placed.where(single).select(F.explode("near").alias("ball"), "copies").groupBy("ball").agg(F.sum("copies").alias("guests"))
+    # no more rows than leaders
+    balls = common.stored(heads.join(sizes, "ball", "left").join(guests, "ball", "left").na.fill(0, ["size", "classes", "guests"]), "balls")
+    inside = placed.where(~single).select("num", "ball").join(F.broadcast(balls), "ball").select("num", (F.col("size") + F.col("guests") - 1).alias("n"), "head")
+    beside = placed.select("num", F.explode("near").alias("ball")).join(F.broadcast(balls), "ball").select("num", F.col("size").alias("n"), "head")
+
+    parts, count = tables(n, threshold)
+    dealt = _dealt(placed.where(single), parts, count).unionByName(_rims(placed, balls))
+    doubt = common.stored(_doubtful(_met(dealt, threshold), placed, threshold), "vecdoubt")
+    links = common.stored(_exact(doubt, placed, threshold), "veclinks")
+
+    counts = inside.select("num", "n").union(beside.select("num", "n"))
+    counts = counts.union(placed.select("num", F.when(single, F.col("copies") - 1).otherwise(0).alias("n")))
+    counts = counts.union(links.select("a", "cb")).union(links.where(~F.col("one_way")).select("b", "ca"))
+    edges = inside.select("num", "head").union(beside.select("num", "head")).union(links.select("a", "b")).toDF("a", "b")
     # rows of one id are one node
-    spread = fine.groupBy("vec_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where(F.col("a") != F.col("z"))
-    more = fine.select("vec_id", F.col("cid").alias("b")).join(spread.select("vec_id", "a"), "vec_id").select("a", "b")
+    spread = fine.groupBy("vec_id").agg(F.min("num").alias("a"), F.max("num").alias("z")).where(F.col("a") != F.col("z"))
+    more = fine.select("vec_id", F.col("num").alias("b")).join(spread.select("vec_id", "a"), "vec_id").select("a", "b")
     roots = common.components(edges.union(more))
-    named = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
+    named = counted.select("num", "first").join(roots.withColumnRenamed("node", "num"), "num", "left").select("num", "first", F.coalesce("root", "num").alias("root"))
     least = common.stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "vecleast")
-    totals = counts.groupBy("cid").agg(F.sum("n").alias("n_links"))
-    named = common.stored(named.join(least, "root").join(totals, "cid").select("cid", "n_links", "component_id"), "vecnames")
-    out = vectors.select("vec_id", "cid").join(named, "cid", "left")
+    totals = counts.groupBy("num").agg(F.sum("n").alias("n_links"))
+    names = common.stored(named.join(least, "root").join(totals, "num").select("num", "n_links", "component_id"), "vecnames")
+    common.drop(placed, doubt, links, roots, least, counted)
+    own = F.when(F.col("a").isin(*clash), F.col("b")).otherwise(F.col("a")) if clash else F.col("a")
+    out = vectors.select("vec_id", own.alias("num")).join(names, "num", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
