@@ -21,8 +21,8 @@ def brute(ids, vectors, threshold=0.9):
     for dim in {len(vectors[i]) for i in good}:
         own = [i for i in good if len(vectors[i]) == dim]
         u = np.array([vectors[i] for i in own], float)
-        u /= np.linalg.norm(u, axis=1, keepdims=True)
-        cos = u @ u.T
+        square = (u * u).sum(axis=1)
+        cos = u @ u.T / np.sqrt(square[:, None] * square[None, :])
         for r, i in enumerate(own):
             for c in np.flatnonzero(cos[r] >= threshold):
                 if c != r:

@@ -435,7 +435,8 @@ def _exact(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
             for own, x in _by_length(batch.column(5)):
                 part = batch.take(pa.array(own))
                 (_, y), = _by_length(part.column(6))
-                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                # by powers of two, which rounds nothing
+                x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(axis=1, keepdims=True))[1]) for z in (x, y))
                 cos = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
                 yield part.select([0, 1, 2, 3, 4]).filter(pa.array(cos >= threshold))
 
@@ -465,7 +466,8 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vec_col: str
     Two rows are linked where the cosine of their vectors, in double
     precision, is no less than ``threshold`` (above 0.2, below 1). No pair
     below it is linked, and a pair right at it is found with a chance of about
-    ``RECALL``, closer ones with a greater one. n_links counts the other rows
+    ``RECALL`` (a little less where vectors have fewer than ``COORDS``
+    numbers), closer ones with a greater one. n_links counts the other rows
     linked directly, component_id is the least vec_id that links reach, kept
     says whether that is the row's own.
 
