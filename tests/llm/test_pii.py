@@ -106,3 +106,22 @@ def test_secrets_in_linear_time():
         start = time.process_time()
         secrets_of(text)
         assert time.process_time() - start < 20
+
+
+def test_hidden_addresses_in_any_case(spark):
+    for at in ("(At)", "[AT]", " (at) ", "[ aT ]", "( at )"):
+        text = f"write to bob.k{at}site.com or ann{at}x[Dot]org now"
+        spans = [(a, b) for k, a, b, _ in pii.found(text) if k == 0]
+        assert [text[a:b] for a, b in spans] == [f"bob.k{at}site.com", f"ann{at}x[Dot]org"]
+    assert not pii.found("look (at) this; (at) home.now; name[at]") and not pii.found("at AT at) (at")
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(1, "mail a@b.cc now", "p", 15, 1), (1, "mail a@b.cc now", "p", 15, 1), (None, None, "q", None, 2), (2, "", "r", 0, 3), (3, "a@b.cc " + "word " * 60_000, "s", 300_007, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, vellum_0 string, n_chars int, cands int")
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text, r.vellum_0, r.n_chars) for r in out.collect()), key=str)
+    assert got[0] == (0, None, "q", None) and got[1] == got[2] == (1, "mail <EMAIL> now", "p", 16) and got[3] == (2, "", "r", 0)
+    assert got[4][1].startswith("<EMAIL> word") and got[4][3] == 300_008
+    assert pii.redact(df.limit(0)).count() == 0

@@ -82,3 +82,16 @@ def test_edges(spark):
     assert len(out) == len(rows)
     assert set(out) == brute([(d, plain(t)) for d, t, _ in rows])
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda k: " ".join(words[k : k + 60])
+    rows = [(5, text(0), 1), (5, text(100), 2), (7, text(200), 3), (7, text(200), 3), (7, text(200), 3), (8, text(100), 4), (3, text(200).upper(), 5), (None, text(0), 6), (None, text(300), 7), (None, text(300), 7), (9, None, 8), (2, "", 9), (2, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, vellum_0 int").withColumnRenamed("vellum_0", "`a b")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(((r[0] or 0, r[2]) for r in out.collect())) == [(0, 7), (2, 9), (3, 5), (5, 1), (5, 2)]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    wide = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, fp int, a int, first int, vellum_0 int")
+    assert simhash.keep_one(wide).count() == 5

@@ -3,6 +3,7 @@ folder, batched document maps, and connected components of a link table."""
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,11 +102,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield start, len(sizes) - start
 
 
-def map_documents(df: DataFrame, make: Callable[[], Callable[[list[int], list[str]], pa.Table | dict]], schema: str) -> DataFrame:
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"vellum_{k}" for k in itertools.count())
+    return list(itertools.islice((x for x in names if x not in taken), n))
+
+
+def map_documents(df: DataFrame, make: Callable[[], Callable[[list[int], list[str]], pa.Table | dict]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Apply a function to the documents' (doc_id, text), a few MB at a time.
 
     ``make`` runs once per task and returns the function from ids and texts to
-    columns named as in ``schema``.
+    columns named as in ``schema``. The columns ``carry``, of a function with
+    one result for each text, come out as they are, under their names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -118,9 +127,10 @@ def map_documents(df: DataFrame, make: Callable[[], Callable[[list[int], list[st
             text = batch.column(1)
             for start, n in slices(text):
                 out = apply(batch.column(0).slice(start, n).to_pylist(), text.slice(start, n).to_pylist())
+                out |= {c: batch.column(k).slice(start, n) for k, c in enumerate(carry, 2)}
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def per_text(make: Callable[[], Callable[[list[str]], list]], kind: str):

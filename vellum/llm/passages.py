@@ -10,9 +10,12 @@ and neighbours of one rank stay. Of these few the words on both sides are
 fetched, and suffixes of one rank are sorted by the words that follow: matches
 with neighbours are extended to the right, and in the order of the words before
 them to the left, as far as a stretch of ``least`` words can reach. What both
-reaches allow is decided by comparing the words themselves. A rank that very
-many suffixes share isn't gathered: its stretches are grouped by 128-bit
-hashes, with counts summed before they are shuffled.
+reaches allow is decided by comparing the words themselves.
+
+The suffixes of a rank that very many share are sorted over tasks. There too
+neighbours are extended to both sides by their words; only what the reaches
+allow beyond the stretches shared with the neighbour before meets by 128-bit
+hashes of its words, a few stretches for each suffix.
 
 Copies of whole texts are one text until the end, told apart by 128 bits.
 """
@@ -32,7 +35,7 @@ from vellum.llm import common
 LEAST = 50
 GRAM = 5
 #: Suffixes of one rank that are compared in one piece of work.
-CHUNK = 8192
+CHUNK = 2048
 #: Distinct words whose hashes a worker keeps.
 REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -184,29 +187,25 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "key long, num long, place int")
 
 
+CONTEXT = pa.schema([("key", pa.int64()), ("crowd", pa.bool_()), ("num", pa.int64()), ("place", pa.int32()), ("after", pa.binary()), ("before", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+
+
 def contexts(df: DataFrame, least: int) -> DataFrame:
     """The words around each suffix of (num, text, places, hot).
 
     A row holds the ``least`` words from the suffix's place on (after), those
     before it from the nearest on, as far as a stretch that selects the place
-    can begin (before), and the least and greatest number of words before it
-    with which such a stretch begins (low, high). A suffix of ``hot``, those
-    whose rank is met by very many, has a row for each stretch instead, with
-    its place and the hash of its words."""
+    can begin (before), each word with a space behind it, and the least and
+    greatest number of words before it with which such a stretch begins (low,
+    high). crowd tells the places of
+    ``hot``, those whose rank is met by very many."""
     size = least - width_of(least) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for start, n in common.slices(batch.column(1)):
-                out = {f.name: [] for f in CONTEXT}
+                rows = []
                 part = batch.slice(start, n)
-
-                def put(*row, out=out):
-                    for f, v in zip(CONTEXT, row):
-                        out[f.name].append(v)
-
                 for own, text, places, hot in zip(*(c.to_pylist() for c in part.columns)):
                     h = Hashes(text)
                     words = text.encode().split()
@@ -215,17 +214,10 @@ def contexts(df: DataFrame, least: int) -> DataFrame:
                     lows, highs = np.searchsorted(at, places), np.searchsorted(at, places, side="right") - 1
                     keys = h.of(places, size).view(np.int64).tolist()
                     for p, key, a, b in zip(places.tolist(), keys, lows.tolist(), highs.tolist()):
-                        if p in hot:
-                            for s in range(a, b + 1):
-                                put(None, own, s, None, None, None, None, xxhash.xxh3_128_digest(b" ".join(words[s : s + least])))
-                        else:
-                            put(key, own, p, b" ".join(words[p : p + least]), b" ".join(words[a:p][::-1]), p - b, p - a, None)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in CONTEXT], schema=CONTEXT)
-
-    return df.select("num", "text", "places", "hot").mapInArrow(run, "key long, num long, place int, after binary, before binary, low int, high int, stretch binary")
-
+                        rows.append((key, p in hot, own, p, b"".join(w + b" " for w in words[p : p + least]), b"".join(w + b" " for w in words[a:p][::-1]), p - b, p - a))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(CONTEXT), CONTEXT)], schema=CONTEXT)
 
-CONTEXT = pa.schema([("key", pa.int64()), ("num", pa.int64()), ("place", pa.int32()), ("after", pa.binary()), ("before", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("stretch", pa.binary())])
+    return df.select("num", "text", "places", "hot").mapInArrow(run, "key long, crowd boolean, num long, place int, after binary, before binary, low int, high int")
 
 
 def _common(a: list[bytes], b: list[bytes]) -> int:
@@ -249,19 +241,19 @@ def _reach(lists: list[list[bytes]], order: list[int]) -> list[int]:
 
 
 def _prefixes(words: list[bytes]) -> list[int]:
-    """Bytes of the first 0, 1, 2, ... words, joined."""
+    """Bytes of the first 0, 1, 2, ... words, each with a space behind it."""
     return [0, *accumulate((len(w) + 1 for w in words))]
 
 
 def matches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]]:
     """(num, kind, begin, end) of the repeated stretches (kind 0), and those
-    that aren't the first of their words (kind 1), around the suffixes of one
-    rank: (after, before, low, high, num, place), sorted."""
+    that aren't the first of their words in this order (kind 1), around the
+    suffixes of one rank: (after, before, low, high, num, place), sorted."""
     kinds: list[tuple] = []  # after, before, low, high, members
     for after, before, low, high, *member in rows:
         if not kinds or (after, before) != kinds[-1][:2]:
             kinds.append((after, before, low, high, []))
-        if not kinds[-1][4] or kinds[-1][4][-1] != member:
+        if not kinds[-1][4] or kinds[-1][4][-1] != member:  # repeated rows are one
             kinds[-1][4].append(member)
     many = len(kinds)
     if many == 1 and len(kinds[0][4]) == 1:
@@ -269,8 +261,8 @@ def matches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]
     groups: dict[tuple, list[int]] = {}
     shared: list[dict[int, list[int]]] = [{} for _ in kinds]
     if many > 1:
-        ahead = [k[0].split(b" ") for k in kinds]
-        behind = [k[1].split(b" ") if k[1] else [] for k in kinds]
+        ahead = [k[0].split() for k in kinds]
+        behind = [k[1].split() for k in kinds]
         right = _reach(ahead, sorted(range(many), key=ahead.__getitem__))
         left = _reach(behind, sorted(range(many), key=behind.__getitem__))
         for i, (after, before, low, high, _) in enumerate(kinds):
@@ -280,7 +272,7 @@ def matches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]
             a, b = _prefixes(ahead[i]), _prefixes(behind[i])
             for n in range(low, high + 1):
                 # the words themselves are compared; a stretch with one of another place is one of equal sides
-                own = groups.setdefault((n, before[: b[n]].rstrip(b" "), after[: a[least - n]].rstrip(b" ")), [])
+                own = groups.setdefault((n, before[: b[n]], after[: a[least - n]]), [])
                 own.append(i)
                 shared[i][n] = own
     for i, (_, _, low, high, members) in enumerate(kinds):
@@ -291,7 +283,7 @@ def matches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]
                 own = shared[i].get(n, alone)
                 if len(own) > 1 or len(members) > 1:
                     runs[0].append(n)
-                    if [num, place] != min(kinds[k][4][0] for k in own):
+                    if own[0] != i or members[0] != [num, place]:
                         runs[1].append(n)
             for kind, found in enumerate(runs):
                 at = 0
@@ -333,13 +325,89 @@ def extended(rows: DataFrame, least: int) -> DataFrame:
     return own.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "num long, kind int, begin int, end int")
 
 
-def grouped(seen: DataFrame, least: int) -> DataFrame:
-    """The same of the rows of ``contexts`` that are stretches."""
-    at = F.struct("num", "place")
-    shared = seen.groupBy("stretch").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") != F.col("last")).select("stretch", "first")
-    kinds = F.when(at != F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    hits = seen.select("stretch", "num", "place").join(shared, "stretch").select("num", F.explode(kinds).alias("kind"), F.col("place").alias("begin"))
-    return hits.select("num", "kind", "begin", (F.col("begin") + least).alias("end"))
+def _sorted(rows: DataFrame, order: list[str], schema: str, each) -> DataFrame:
+    """``each`` of every row with the row before it and the one behind it in
+    the order, None where these are in another task or of another rank. The
+    first of its values is the row's number in the order."""
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        past = now = None
+        out: list[tuple] = []
+
+        def table():
+            cols = list(zip(*out)) if out else [[]] * len(target)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
+
+        def put(row):
+            nonlocal number, past, now
+            if now is not None:
+                same = lambda x: x if x is not None and x["key"] == now["key"] else None
+                out.append((number, *each(same(past), now, same(row), past is None, row is None)))
+                number += 1
+            past, now = now, row
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if now is None or (row["num"], row["place"]) != (now["num"], now["place"]):
+                    put(row)
+            yield table()
+        put(None)
+        yield table()
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def crowds(rows: DataFrame, least: int) -> DataFrame:
+    """(num, kind, begin, end) as ``extended``, of suffixes whose rank very
+    many share."""
+
+    def shared(a, b, col):
+        return 0 if a is None or b is None else _common(a[col].split(), b[col].split())
+
+    def reach(past, now, then, first, last, col):
+        # what stands beyond a task's ends isn't known
+        return least if first or last else max(shared(past, now, col), shared(now, then, col))
+
+    def left(past, now, then, first, last):
+        return now["num"], now["place"], reach(past, now, then, first, last, "before")
+
+    def right(past, now, then, first, last):
+        ends = [(least - shared(x, now, "after"), shared(x, now, "before")) if x else (1, 0) for x in (past, then)]
+        ends = [(max(now["low"], a), min(now["high"], b)) for a, b in ends]
+        return *(now[c] for c in ("num", "place", "after", "before", "low", "high")), reach(past, now, then, first, last, "after"), *ends[0], *ends[1]
+
+    ahead = _sorted(rows, ["key", "after", "before", "num", "place"], "rank long, num long, place int, after binary, before binary, low int, high int, r int, plow int, phigh int, nlow int, nhigh int", right)
+    behind = _sorted(rows.select("key", "before", "num", "place"), ["key", "before", "num", "place"], "rank long, num long, place int, l int", left)
+    met = common.stored(ahead.join(behind.drop("rank"), ["num", "place"]), "reaches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                a, b = x["after"].split(), x["before"].split()
+                for n in range(max(x["low"], least - x["r"]), min(x["high"], x["l"]) + 1):
+                    if not x["plow"] <= n <= x["phigh"]:
+                        words = xxhash.xxh3_128_digest(b" ".join([*b[:n][::-1], *a[: least - n]]))
+                        out.append((words, x["rank"], x["num"], x["place"] - n, x["nlow"] <= n <= x["nhigh"]))
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["words", "rank", "num", "begin", "sure"])
+
+    # a stretch shared with the row before is that row's, so that each run of rows that share one sends the first alone
+    open_ = common.stored(met.mapInArrow(run, "words binary, rank long, num long, begin int, sure boolean"), "stretches")
+    groups = open_.groupBy("words").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    more = open_.join(groups, "words", "left").where(F.col("sure") | F.col("n").isNotNull())
+    more = more.select("num", F.explode(F.when(F.col("rank") != F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"), "begin", (F.col("begin") + least).alias("end"))
+    before = met.where("plow <= phigh").select("num", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), (F.col("place") - F.col("phigh")).alias("begin"), (F.col("place") - F.col("plow") + least).alias("end"))
+    return more.union(before)
 
 
 def spans(rows: DataFrame) -> DataFrame:
@@ -356,11 +424,12 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_words, n_repeated, n_removable, repeated, removable) for each
     document with a passage of at least ``least`` words that stands elsewhere
     too, in another document or the same. repeated are its maximal spans of
-    such words, removable those less what stands there first, in the order of
-    the texts' hashes, then of places; arrays of structs begin, end in words,
-    end exclusive. Words are what white space separates, compared byte by
-    byte; only passages whose rank more than ``CHUNK`` places share are
-    compared by 128-bit hashes.
+    such words, removable those less one place of each ``least`` words, the
+    first by what follows the words' suffix, then what stands before it, then
+    the texts' hashes and places; arrays of structs begin, end in words, end
+    exclusive. Words are what white space separates, compared byte by byte;
+    where a rank is shared by more than ``CHUNK`` places, by 128-bit hashes
+    beyond neighbours.
 
     A text of ``least`` words that several documents have whole is repeated
     whole, and removable whole but in the one of least doc_id. Null, empty and
@@ -383,7 +452,9 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     places = met.join(crowded, "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
     chosen = common.stored(places.join(heads, "num").select("num", F.col("head").alias("doc_id"), "places", "hot"), "anchored")
     around = common.stored(contexts(docs.join(chosen, ["num", "doc_id"]), least), "contexts")
-    hits = extended(around.where(F.col("key").isNotNull()), least).union(grouped(around.where(F.col("stretch").isNotNull()).select("stretch", "num", "place").distinct(), least))
+    hits = extended(around.where(~F.col("crowd")), least)
+    if not crowded.isEmpty():
+        hits = hits.union(crowds(around.where("crowd"), least))
     parts = spans(hits).groupBy("num").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
     texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "num").join(parts, "num", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
     common.drop(found, met, chosen, around)

@@ -214,9 +214,9 @@ def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: st
     """Ids, source spans and decoded text of every document.
 
     Returns (doc_id, ids array<int>, begins array<int>, ends array<int>,
-    decoded string), one row for each row of ``df``; begins and ends are byte
-    places in the source, null without ``spans``; decoded is null without
-    ``decoded``. One pass, no shuffle.
+    decoded string, n_bytes int), one row for each row of ``df``; begins and
+    ends are byte places in the source, null without ``spans``; decoded is null
+    without ``decoded``; n_bytes are the bytes of the source. One pass, no shuffle.
 
     A null text is the empty text: its only id is the end id (none without
     ``end``), it decodes to the empty text. Repeated rows each have a row, a
@@ -230,7 +230,7 @@ def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: st
 
         def apply(ids, texts):
             found = tool.encode(texts)
-            out = {"doc_id": ids, "ids": _lists(found), "decoded": [tool.decode(x) for x in found] if decoded else [None] * len(ids), "begins": [None] * len(ids), "ends": [None] * len(ids)}
+            out = {"doc_id": ids, "ids": _lists(found), "decoded": [tool.decode(x) for x in found] if decoded else [None] * len(ids), "begins": [None] * len(ids), "ends": [None] * len(ids), "n_bytes": [len(t.encode()) for t in texts]}
             if spans:
                 pairs = [tool.spans(t, x) for t, x in zip(texts, found)]
                 out["begins"], out["ends"] = (_lists([p[k] for p in pairs]) for k in (0, 1))
@@ -238,7 +238,7 @@ def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: st
 
         return apply
 
-    return common.map_documents(common.documents(df, id_col, text_col), make, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return common.map_documents(common.documents(df, id_col, text_col), make, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string, n_bytes int")
 
 
 def _lists(rows) -> pa.Array:
@@ -251,11 +251,11 @@ def _lists(rows) -> pa.Array:
 def digest(encoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): sizes and
     hashes of what ``encode_documents`` returns; n_bytes is where the last
-    span ends, the bytes of the source."""
+    span ends, which is the bytes of the source, and those without spans."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("n_bytes")).cast("long").alias("n_bytes"),
     )

@@ -19,6 +19,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ _CARD = re.compile(r"[0-9]++(?:[ -]?[0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_HIDDEN_AT = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8})", re.I)
+_HIDDEN_AT = re.compile(r" ?[\[(] ?at ?[\])] ?", re.I)
+_HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)+", re.I)
 _ASSIGN = re.compile("[=:]")
 _KEY = re.compile(r"([A-Za-z_-]{2,24})[\"']?[ \t]?$")
 _QUOTED = re.compile(r"[ \t]?(?:\"([^\"\s]{6,}+)\"|'([^'\s]{6,}+)')")
@@ -122,8 +124,14 @@ def found(text: str) -> list[tuple[int, int, int, bool]]:
             n = sum(c.isdecimal() for c in m[0])
             good = 8 <= n <= 15
             (base[3] if good else loose).append((3, m.start(), m.end(), good))
-    if "at)" in text or "at]" in text or "at )" in text or "at ]" in text or "AT" in text:
-        loose += [(0, m.start(), m.end(), False) for m in _HIDDEN_AT.finditer(text)]
+    last = 0
+    for m in _HIDDEN_AT.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (hit := _HIDDEN_DOMAIN.match(text, m.end())):
+            last = hit.end()
+            loose.append((0, start, last, False))
     bare_end = 0
     for m in _ASSIGN.finditer(text):
         if (key := _KEY.search(text, max(0, m.start() - 28), m.start())) and key[1].lower() in SECRET_WORDS:
@@ -298,8 +306,8 @@ def personal_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     start. Places are code points, end exclusive.
 
     Candidates are found in one pass and written to the shared folder;
-    learning and the decisions read them. A null or empty text has no spans.
-    Repeated rows each have a row and count in learning, a null doc_id stays
+    learning and the decisions read them. A null or empty text has no spans, a
+    text of any length is searched whole. Repeated rows each have a row and count in learning, a null doc_id stays
     null, other columns are not looked at, an empty table gives an empty one.
     """
     cands = common.stored(candidates(df, id_col=id_col, text_col=text_col), "pii")
@@ -315,19 +323,37 @@ def personal_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``df`` with every span that ``personal_spans`` finds replaced by its
     kind in angle brackets, and ``length_col``, if there, the new length of
-    the text. The spans are found again in place, so nothing is joined to the
-    texts; a null text stays null."""
-    model = learn(common.stored(candidates(df, id_col=id_col, text_col=text_col), "pii"))
-    kept = frozenset(p for p in model.patterns if model.accepts(p))
+    the text. Candidates are found once and written beside the rows, so
+    nothing is joined to the texts.
 
-    def make():
-        def clean(text):
-            spans = [(KINDS[k], a, b) for k, a, b, base in found(text) if base or pattern_of(text, k, a, b, base) in kept]
-            return redacted(text, spans) if spans else text
+    A null text stays null, an empty one empty, a text of any length is
+    searched whole; repeated rows each stay and count in learning, a null id
+    stays, other columns may have any names, an empty table gives an empty
+    table."""
+    (at,) = common.unused(df, 1)
 
-        return lambda texts: [clean(t) for t in texts]
+    def make():
+        # as "kind start end base pattern", which keeps the rows narrow
+        return lambda texts: [[f"{k} {a} {b} {int(base)} {pattern_of(t, k, a, b, base)}" for k, a, b, base in found(t)] for t in texts]
 
-    out = df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), common.per_text(make, "string")(F.col(text_col).cast("string"))))
+    text = F.col(text_col).cast("string")
+    rows = common.stored(df.withColumn(at, common.per_text(make, "array<string>")(text)), "pii")
+    part = lambda c, k: F.split(c, " ")[k].cast("int")
+    model = learn(rows.select(F.transform(at, lambda c: F.struct(part(c, 4).alias("pattern"))).alias("cands")))
+    kept = [p for p in model.patterns if model.accepts(p)]
+    chosen = F.array(*[F.lit(p) for p in kept]) if kept else F.array().cast("array<int>")
+    spans = F.filter(F.col(at), lambda c: (part(c, 3) == 1) | F.array_contains(chosen, part(c, 4)))
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, spans):
+            if text is not None and own is not None and len(own):
+                text = redacted(text, [(KINDS[int(k)], int(a), int(b)) for k, a, b, *_ in (x.split() for x in own)])
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    out = rows.withColumn(text_col, clean(text, spans)).drop(at)
     return out.withColumn(length_col, F.char_length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else out
 
 

@@ -148,7 +148,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     likelier; predicted is 1 from ``threshold`` on.
 
     A null, empty or blank text has statistics of zero and is scored like any
-    other. Labels other than 0 and 1, null ids and labels of unknown documents
+    other, a text of any length is read whole, an empty table gives an empty
+    table. Labels other than 0 and 1, null ids and labels of unknown documents
     don't count; a document labelled twice counts twice. Where a class has no
     labelled row every score is the other class's number, 0.5 where neither
     has. Repeated rows each have a row, a null doc_id stays null and isn't
@@ -168,12 +169,24 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of ``df``, all their columns, that ``quality_scores`` would
-    predict as 1. Learning is the same; the rows are scored in place, so
-    nothing is joined to the texts and repeated rows or null ids stay."""
-    stats = common.stored(document_statistics(df, id_col=id_col, text_col=text_col), "quality")
-    model = learn(stats, labels, label_col=label_col)
+    predict as 1. The statistics are computed once and written beside the
+    rows, so nothing is joined to the texts; repeated rows, null ids and
+    columns of any name stay as they are.
+
+    A null, empty or blank text has statistics of zero and stays or goes as
+    its score says; a text of any length is read whole; an empty table gives
+    an empty table.
+    """
+    (at,) = common.unused(df, 1)
 
     def make():
-        return lambda texts: (model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))) >= threshold).tolist()
+        return lambda texts: [statistics(t) for t in texts]
+
+    rows = common.stored(df.withColumn(at, common.per_text(make, "array<double>")(F.col(text_col).cast("string"))), "quality")
+    model = learn(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(at).alias("stats")), labels, label_col=label_col)
+
+    @F.pandas_udf("boolean")
+    def good(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(stats.tolist()).reshape(len(stats), len(FEATURES))) >= threshold)
 
-    return df.where(common.per_text(make, "boolean")(F.col(text_col).cast("string")))
+    return rows.where(good(F.col(at))).drop(at)

@@ -54,12 +54,18 @@ def _majority(digests: list[bytes]) -> bytes:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row; fp holds the 64 bits."""
+    """(doc_id, fp long, a long, b long) for every row; fp holds the 64 bits,
+    a and b are two hashes of the text."""
 
     def make():
         return lambda ids, texts: {"doc_id": ids, "fp": [(x := fingerprint(t, words)) - (x >> 63 << 64) for t in texts]}
 
-    return common.map_documents(common.documents(df, id_col, text_col), make, "doc_id long, fp long")
+    docs = common.documents(df, id_col, text_col)
+    return common.map_documents(docs.select("doc_id", "text", *_hashes(F.col("text"))), make, "doc_id long, fp long, a long, b long", carry=("a", "b"))
+
+
+def _hashes(text) -> list[F.Column]:
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")]
 
 
 def keys(fp) -> F.Column:
@@ -251,30 +257,53 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of all documents that links of at most ``radius`` differing bits reach.
 
     A null, empty or blank text has fingerprint zero and is linked like any
-    other. Repeated rows each have a row; a null doc_id stays null, and names
-    no component unless all of its component's ids are null. Other columns are
-    not looked at, an empty table gives an empty table.
+    other; a text of any length is read whole. Repeated rows each have a row;
+    a null doc_id stays null, and names no component unless all of its
+    component's ids are null. Other columns are not looked at, an empty table
+    gives an empty table.
     """
-    prints = common.stored(fingerprints(df, id_col=id_col, text_col=text_col, words=words), "simhash")
+    prints = common.stored(fingerprints(df, id_col=id_col, text_col=text_col, words=words).select("doc_id", "fp"), "simhash")
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simdistinct")
     roots = common.components(links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = common.stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "simleast")
     named = common.stored(named.join(least, "root").select("fp", "component_id"), "simnames")
+    common.drop(distinct, roots, least)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``df``, all their columns, that stand for their group: of
-    each component of ``simhash_components`` the document that names it.
-
-    Of rows of one id one stays. Rows without an id can't name a component:
-    of those of one text one stays, whatever it is linked with.
+    each component of texts that ``simhash_components`` links one row.
+
+    That is the row of the least id, so the document that names the component;
+    of rows of that id with different texts the one of the least fingerprint,
+    then hash; of repeated rows any one. Rows of one id stay or go each by its
+    own text's component. A row without an id stays only where none of its
+    component has one. Null, empty and blank texts are one component, texts of
+    any length are read whole, other columns may have any names, an empty
+    table gives an empty table.
     """
-    named = df.where(F.col(id_col).isNotNull())
-    found = simhash_components(named, id_col=id_col, text_col=text_col, words=words, radius=radius)
-    stay = common.stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "simkept")
-    marker = "__vellum_id"
-    ids = stay.select(F.col("doc_id").alias(marker))
-    one = named.join(ids, F.col(id_col).cast("long") == F.col(marker), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    prints = common.stored(fingerprints(df, id_col=id_col, text_col=text_col, words=words), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "a", "b")).alias("first")
+    distinct = common.stored(prints.groupBy("fp").agg(first), "simdistinct")
+    roots = common.components(links(distinct, radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    rows = prints.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.a", "first.b")
+    # which of the rows that stay stand there more than once, so that only these are looked at again
+    i, a, b, n = common.unused(df, 4)
+    same = [F.col("doc_id").eqNullSafe(F.col(i)), F.col("a") == F.col(a), F.col("b") == F.col(b)]
+    stay = common.stored(chosen.toDF(i, a, b).join(rows, same, "left").select(i, a, b, F.coalesce("n", F.lit(1)).alias(n)), "simkept")
+    common.drop(prints, distinct, roots)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    x, y = _hashes(text)
+    kept = df.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (x == F.col(a)) & (y == F.col(b)))
+    if stay.where(F.col(n) > 1).isEmpty():
+        return kept.select(*map(_quoted, df.columns))
+    one = kept.where(F.col(n) > 1).dropDuplicates([i, a, b])
+    return kept.where(F.col(n) == 1).unionByName(one).select(*map(_quoted, df.columns))
+
+
+def _quoted(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
