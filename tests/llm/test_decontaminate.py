@@ -39,10 +39,11 @@ def edited(words, k, rng):
     row = list(words)
     for _ in range(k):
         kind, at = rng.integers(3), int(rng.integers(len(row)))
+        word = f"new{rng.integers(1000)}" if rng.integers(2) else str(rng.choice(words))
         if kind == 0:
-            row[at] = f"new{rng.integers(1000)}"
+            row[at] = word
         elif kind == 1:
-            row.insert(at, f"new{rng.integers(1000)}")
+            row.insert(at, word)
         else:
             row.pop(at)
     return row
@@ -70,11 +71,11 @@ def test_recall_and_precision_against_brute_force():
             assert edits <= index.most(n) and edits == whole(items[item][1].split(), words[a:b]) == plain(items[item][1].split(), words)
 
 
-def test_query_finds_every_item_that_brute_force_finds(spark, sf_small):
-    items = {r.item_id: dc.words_of(r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()}
-    got = {(r.doc_id, r.item_id): r.edits for r in queries.op10_decontamination(spark, sf_small).collect()}
+def test_query_finds_every_item_that_brute_force_finds(spark, sf_dir):
+    items = {r.item_id: dc.words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in queries.op10_decontamination(spark, sf_dir).collect()}
     want = {}
-    for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect():
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         words = dc.words_of(r.text)
         known = set(words)
         for item, pattern in items.items():
@@ -97,3 +98,32 @@ def test_edges(spark, monkeypatch):
     assert dc.benchmark_matches(docs, items).count() == len(out)
     assert dc.benchmark_matches(docs, items.limit(0)).count() == 0
     assert dc.benchmark_matches(docs.limit(0), items).count() == 0
+
+
+def test_sizes_that_miss_the_recall_are_searched_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate((8, 30, 30, 120, 400))]
+    found = dc.Index(items, 0.8, 5)
+    assert all(s.recall >= dc.RECALL and s.least >= dc.LEAST_RECALL for s in found.sizes)
+    monkeypatch.setattr(dc, "MOST_WALKS", 0)
+    exact = dc.Index(items, 0.8, 5)
+    assert all(not s.walks or s.recall >= dc.RECALL for s in exact.sizes) and any(not s.walks for s in exact.sizes)
+    texts = []
+    for k, text in items * 4:
+        words = text.split()
+        texts.append(" ".join([*rng.choice(vocabulary, 50), *edited(words, int(exact.most(len(words))), rng), *rng.choice(vocabulary, 20)]))
+    assert all(k in {h[0] for h in hits} for (k, _), hits in zip(items * 4, exact.search(texts)))
+
+
+def test_many_passes_and_clashing_names(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(12))) for k in range(40)]
+    docs = [(k, " ".join(rng.choice(["a", "b", "c"], 30)) + " " + items[k][1] + " tail", k, "t") for k in range(0, 40, 3)] + [(100, "a b c d e f", 1, "u"), (None, None, 2, "v")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id int, edits string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "PASS_BYTES", 700)
+    monkeypatch.setattr(dc, "ITEMS", 3)
+    assert {(r.doc_id, r.item_id) for r in dc.benchmark_matches(df, bench).collect()} == {(k, k) for k in range(0, 40, 3)}
+    clean = dc.keep_clean(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {100, None}

@@ -8,7 +8,8 @@ writings differ in few places. Samples of a few places each, over several
 walks, are the hash tables: a window that equals an item in all places of one
 sample is a candidate, and its neighbourhood is searched for the item by exact
 edit distance. How many samples reach the target recall is tried out on edited
-copies of the items before the documents are read.
+copies of every item before the documents are read; a size whose items miss it
+after many walks is searched without samples.
 
 Windows are as long as the items. One can hold an item within its edits only if
 no more of its words than the edits are foreign to the items of its size; the
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 
-#: Items of one pass over the documents; more take more passes.
-ITEMS = 2000
+#: Items of one index, and bytes of items that one pass over the documents
+#: looks for, an index after the other.
+ITEMS, PASS_BYTES = 2000, 4 << 20
 #: Places of a sample, samples of a walk, steps of a walk for each word.
 PLACES, SAMPLES, STEPS = 3, 64, 1.6
-RECALL, MOST_WALKS, TRIALS = 0.99, 12, 300
+RECALL, LEAST_RECALL, MOST_WALKS, TRIALS = 0.99, 0.9, 48, 40
 SEED = 11
 
 
@@ -67,10 +69,16 @@ class Size:
         missing = np.ones(len(copies), bool)
         while True:
             missing[missing] = ~self._meets(copies[missing], owner[missing], len(self.walks) - 1)
-            if missing.mean() <= 1 - RECALL or len(self.walks) == MOST_WALKS:
+            by_item = 1 - np.bincount(owner, missing, len(items)) / np.bincount(owner, minlength=len(items))
+            self.recall, self.least = 1 - float(missing.mean()), float(by_item.min())
+            if self.recall >= RECALL and self.least >= LEAST_RECALL:
+                break
+            if len(self.walks) >= MOST_WALKS:
+                # every window of few enough foreign words is a candidate
+                self.walks = []
+                self.recall = self.least = 1.0
                 break
             self._grow()
-        self.recall = 1 - float(missing.mean())
 
     def _grow(self) -> None:
         """One more walk: its bits, samples, the items' writings, and for
@@ -99,19 +107,21 @@ class Size:
         return out
 
     def _edited(self) -> tuple[np.ndarray, np.ndarray]:
-        """Items with as many random edits as are let through."""
+        """Copies of each item with as many random edits as are let through,
+        by foreign words and by words of the items."""
         out, owner = [], []
-        width = self.size
-        for t in range(TRIALS):
+        width, known = self.size, int(self.lookup.max())
+        for t in range(max(300, TRIALS * len(self.items))):
             k = t % len(self.items)
             row = list(self.heads[k])
             for _ in range(self.most):
                 kind, at = self.rng.integers(3), int(self.rng.integers(len(row)))
+                word = 0 if self.rng.integers(2) else int(self.rng.integers(1, known + 1))
                 if kind == 0:
-                    row[at] = 0
+                    row[at] = word
                 elif kind == 1:
-                    row.insert(at, 0)
-                else:
+                    row.insert(at, word)
+                elif len(row) > 1:
                     row.pop(at)
             out.append((row + [0] * width)[:width] + [0])
             owner.append(k)
@@ -131,6 +141,8 @@ class Size:
         np.cumsum(local > 0, out=total[1:])
         starts = np.flatnonzero(total[size:] - total[:-size] >= size - self.most)
         starts = starts[starts + size <= stop[starts]]
+        if not self.walks:
+            return [(start, k) for start in starts.tolist() for k in range(len(self.items))]
         found: set[tuple[int, int]] = set()
         for at in range(0, len(starts), 1 << 15):
             part = starts[at : at + (1 << 15)]
@@ -259,18 +271,30 @@ class Index:
         return [[(item, n, edits, a, b) for item, (edits, a, b, n) in sorted(hits.items(), key=lambda x: str(x[0]).zfill(20))] for hits in out]
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(32)
 def _index(items: tuple[tuple[int, str], ...], similarity: float, least_words: int) -> Index:
     return Index(list(items), similarity, least_words)
 
 
-def _passes(benchmark: DataFrame, item_col: str, item_text_col: str):
-    """The items as sorted (id, text) lists of about ``ITEMS`` each."""
+def _search(items: list[tuple[int, str]], similarity: float, least_words: int):
+    """A function from texts to their hits among the items."""
+    parts = [tuple(items[at : at + ITEMS]) for at in range(0, max(1, len(items)), ITEMS)]
+
+    def search(texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
+        found = [_index(p, similarity, least_words).search(texts) for p in parts]
+        return [[hit for own in hits for hit in own] for hits in zip(*found)]
+
+    return search
+
+
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, least_words: int):
+    """The items as sorted (id, text) lists of about ``PASS_BYTES`` each."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    passes = max(1, math.ceil(items.count() / ITEMS))
+    passes = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PASS_BYTES))
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        rows = [(r.item_id, r.text) for r in part.collect()]
+        yield sorted((x for x in rows if len(words_of(x[1])) >= least_words), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
@@ -280,23 +304,26 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     the nearest place (the first of equal ones), as words from 0, end
     exclusive. Words are of lower-cased text between white space.
 
-    No shuffle; the items travel to the tasks, at most ``ITEMS`` in a pass.
-    An item within its edits of a passage is found with a chance of about
-    ``RECALL`` or more, an exact copy always. Items of fewer words than
-    ``least_words``, empty and null ones are not looked for; equal items are
-    each found. Null and empty documents hold none; a repeated row is searched
-    again; a null doc_id stays null; other columns are not looked at.
+    No shuffle; the items travel to the tasks, about ``PASS_BYTES`` of them in
+    a pass over the documents. An item within its edits of a passage is found
+    with a chance of about ``RECALL`` or more over all items of a size, of
+    ``LEAST_RECALL`` or more for each, an exact copy always. Items of fewer
+    words than ``least_words``, empty and null ones are not looked for; equal
+    items are each found. Null and empty documents hold none, a text of any
+    length is searched whole; a repeated row is searched again; a null doc_id
+    stays null; other columns are not looked at; an empty table of either kind
+    gives an empty one.
     """
     docs = common.documents(df, id_col, text_col)
     schema = "doc_id long, item_id long, item_words int, edits int, similarity double, begin int, end int"
     out = None
-    for chosen in _passes(benchmark, item_col, item_text_col):
+    for chosen in _passes(benchmark, item_col, item_text_col, least_words):
 
         def make(chosen=chosen):
-            index = _index(tuple(chosen), similarity, least_words)
+            search = _search(chosen, similarity, least_words)
 
             def apply(ids, texts):
-                rows = [(i, item, n, e, 1 - e / n, a, b) for i, hits in zip(ids, index.search(texts)) for item, n, e, a, b in hits]
+                rows = [(i, item, n, e, 1 - e / n, a, b) for i, hits in zip(ids, search(texts)) for item, n, e, a, b in hits]
                 return dict(zip(("doc_id", "item_id", "item_words", "edits", "similarity", "begin", "end"), zip(*rows) if rows else [[]] * 7))
 
             return apply
@@ -308,12 +335,17 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
     """The rows of ``df``, all their columns, in which ``benchmark_matches``
-    would find no item. Decided in place, one pass for ``ITEMS`` items."""
-    for chosen in _passes(benchmark, item_col, item_text_col):
+    would find no item. Decided in place, a pass for ``PASS_BYTES`` of items.
+
+    Null and empty texts stay, texts of any length are searched whole,
+    repeated rows, null ids and columns of any name stay as they are, an empty
+    table gives an empty one.
+    """
+    for chosen in _passes(benchmark, item_col, item_text_col, least_words):
 
         def make(chosen=chosen):
-            index = _index(tuple(chosen), similarity, least_words)
-            return lambda texts: [not hits for hits in index.search(texts)]
+            search = _search(chosen, similarity, least_words)
+            return lambda texts: [not hits for hits in search(texts)]
 
         df = df.where(common.per_text(make, "boolean")(F.col(text_col).cast("string")))
     return df
