@@ -6,7 +6,8 @@ a word become those letters, everything else separates words. An Aho-Corasick
 automaton then finds the lexicon's entries (whole words and word beginnings) in
 the folded text, less those inside an exception phrase, and the sum of their
 weights, normalised by length, goes through a logistic curve. Entries, weights,
-exceptions and the curve are learned from labelled rows.
+exceptions and the curve are learned from labelled rows, by counts that the
+tasks make; no text reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import functools
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,15 +121,34 @@ class Lexicon:
                     kept.append(best[at])
         return math.fsum(kept), len(kept)
 
-    def normalised(self, folded: str) -> float:
-        return self.total(folded)[0] / max(1, folded.count(" ") - 1) ** LENGTH_POWER
+    def found(self, folded: str) -> tuple[float, int]:
+        """The sum normalised by length, and entries found."""
+        total, n = self.total(folded)
+        return total / max(1, folded.count(" ") - 1) ** LENGTH_POWER, n
 
     def score(self, normalised: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * normalised + self.offset))))
 
 
-def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """A lexicon from (folded text, label) rows.
+def _counted(rows: DataFrame, make, schema: str) -> DataFrame:
+    """What ``make`` yields of each (row, y, folded)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for row, y, folded in zip(*(c.to_pylist() for c in batch.columns)):
+                found = list(make(row, y, folded))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), target)], schema=target)
+
+    return rows.select("row", "y", "folded").mapInArrow(run, schema)
+
+
+def learn(rows: DataFrame) -> Lexicon:
+    """A lexicon from (row, y, folded) with numbered rows.
 
     An entry is a word or a beginning of words whose share of toxic uses is
     beyond chance for the number of entries tried. A toxic document counts
@@ -134,41 +156,33 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     document don't pass for evidence. Of a beginning and its longer forms the shortest that
     is as pure stays. An exception is an entry with the word before or after
     it that is seen in clean documents alone.
+
+    What reaches the driver are the entries that at least three toxic rows
+    hold, the exceptions, and two numbers for each row.
     """
-    rows = [(t, y) for t, y in rows if y in (0, 1)]
-    sizes = Counter(y for _, y in rows)
-    if not sizes[1] or not sizes[0]:
-        return Lexicon({}, set(), 0.0, 0.0 if not rows else (30.0 if sizes[1] else -30.0))
-    uses: dict[str, dict[str, set[int]]] = {}  # by first letters, then word: document and surrounding words
-    for i, (text, y) in enumerate(rows):
-        if y:
-            words = text.split()
-            for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-                if len(word) >= SHORTEST:
-                    uses.setdefault(word[:SHORTEST], {}).setdefault(word, set()).add(i << 32 | hash((before, after)) & 0xFFFFFFFF)
-    toxic: dict[str, int] = {}
-    tried = 0
-    for group in uses.values():
-        around: dict[str, set[int]] = {}
-        for word, found in group.items():
-            for e in entries_of(word):
-                around.setdefault(e, set()).update(found)
-        tried += len(around)
-        for e, found in around.items():
-            if len(found) > 2 and (k := min(len({x >> 32 for x in found}), len({x & 0xFFFFFFFF for x in found}))) > 2:
-                toxic[e] = k
-    del uses
-    clean: Counter = Counter()
-    forms: dict[str, list[str]] = {}
-    for text, y in rows:
-        if not y:
-            found = set()
-            for word in set(text.split()):
-                if (known := forms.get(word)) is None:
-                    known = forms[word] = [e for e in entries_of(word) if e in toxic]
-                found.update(known)
-            clean.update(found)
-    base = sizes[1] / len(rows)
+    rows = rows.where(F.col("y").isin(0, 1))
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return Lexicon({}, set(), 0.0, 0.0 if not sizes else (30.0 if 1 in sizes else -30.0))
+
+    def uses(row, y, folded):
+        words = folded.split()
+        found = {(e, zlib.crc32(f"{before} {after}".encode())) for before, word, after in zip(["", *words], words, [*words[1:], ""]) for e in entries_of(word)}
+        return [(e, row, around) for e, around in found]
+
+    met = _counted(rows.where("y = 1"), uses, "entry string, row long, around long")
+    # documents and surroundings are each counted once, in two steps that add up what tasks have counted
+    counts = [met.select("entry", F.col(c).alias("x")).distinct().groupBy("entry").agg(F.count(F.lit(1)).alias(c)) for c in ("row", "around")]
+    seen = common.stored(counts[0].join(counts[1], "entry").select("entry", F.least("row", "around").alias("k")), "toxentries")
+    tried = seen.count()
+    toxic = {r.entry: r.k for r in seen.where("k > 2").collect()}
+
+    def known(row, y, folded):
+        return [(e,) for e in {e for word in set(folded.split()) for e in entries_of(word) if e in toxic}]
+
+    clean: Counter = Counter({r["entry"]: r["count"] for r in _counted(rows.where("y = 0"), known, "entry string").groupBy("entry").count().collect()})
+    total = sizes[0] + sizes[1]
+    base = sizes[1] / total
     bar = math.log(tried + 1) + 2.0
     sure: dict[str, tuple[float, float]] = {}
     for e, k in toxic.items():
@@ -182,9 +196,13 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     for e in sorted(sure, key=lambda e: (len(e), e)):
         if not any(e[:i] in weights and sure[e[:i]][0] >= sure[e][0] - 0.02 for i in range(2, len(e))):
             weights[e] = max(0.5, sure[e][1])
-    lexicon = Lexicon(weights, exceptions_of(rows, weights), 0.0, 0.0)
-    x = np.array([lexicon.normalised(t) for t, _ in rows])
-    lexicon.slope, lexicon.offset = curve(x, np.array([float(y) for _, y in rows]))
+    tool = Lexicon(weights, set(), 0.0, 0.0)
+    near = _counted(rows, lambda row, y, folded: [(p, y) for p in phrases_of(folded, tool)], "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    exceptions = {r.phrase for r in near.where("toxic = 0 AND n >= 5").collect()} if weights else set()
+    lexicon = Lexicon(weights, exceptions, 0.0, 0.0)
+    found = sorted((r.x, r.y) for r in _counted(rows, lambda row, y, folded: [(lexicon.found(folded)[0], y)], "x double, y int").collect())
+    common.drop(seen)
+    lexicon.slope, lexicon.offset = curve(np.array([x for x, _ in found]), np.array([float(y) for _, y in found]))
     return lexicon
 
 
@@ -195,24 +213,19 @@ def entries_of(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:n]}" for n in range(SHORTEST + 1, min(LONGEST, len(word) + 1)))]
 
 
-def exceptions_of(folded: list[tuple[str, int]], weights: dict[str, float]) -> set[str]:
-    if not weights:
-        return set()
-    tool = Lexicon(weights, set(), 0.0, 0.0).automaton
-    near = (Counter(), Counter())
-    for text, y in folded:
-        phrases = set()
-        for stop, (size, _) in tool.iter(text):
-            start = stop - size + 1
-            end = text.index(" ", start + 1)
-            before = text.rfind(" ", 0, start)
-            after = text.find(" ", end + 1)
-            if before >= 0:
-                phrases.add(text[before : end + 1])
-            if after >= 0:
-                phrases.add(text[start : after + 1])
-        near[y].update(phrases)
-    return {p for p, k in near[0].items() if k >= 5 and not near[1][p]}
+def phrases_of(folded: str, tool: Lexicon) -> set[str]:
+    """The lexicon's finds with the word before and the word behind."""
+    phrases = set()
+    for stop, (size, _) in tool.automaton.iter(folded) if len(tool.automaton) else ():
+        start = stop - size + 1
+        end = folded.index(" ", start + 1)
+        before = folded.rfind(" ", 0, start)
+        after = folded.find(" ", end + 1)
+        if before >= 0:
+            phrases.add(folded[before : end + 1])
+        if after >= 0:
+            phrases.add(folded[start : after + 1])
+    return phrases
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -230,20 +243,22 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def training_rows(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` labelled rows that aren't held out, by their id's hash.
-    The ids, no more than ``most``, are sent to the scan of the texts, and the
-    selected texts come folded."""
+def training_rows(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """(row, y, folded) of at most ``most`` labelled rows that aren't held
+    out, by the hash of id and text; repeated rows are one. Their ids and
+    hashes, no more than ``most``, are sent to the scan of the texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    docs = common.documents(df, id_col, text_col)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("y").cast("long").alias("doc_id"), "text")
+    docs = common.documents(df, id_col, text_col).withColumn("a", F.xxhash64("text"))
+    both = docs.select("doc_id", "a").join(known, "doc_id").distinct()
+    chosen = common.stored(both.orderBy(F.xxhash64("doc_id", "a"), "doc_id", "a", "y").limit(most), "toxchosen")
+    rows = docs.join(F.broadcast(chosen.select("doc_id", "a").distinct()), ["doc_id", "a"], "left_semi")
 
     def make():
-        return lambda ys, texts: {"doc_id": ys, "folded": [fold(t) for t in texts]}
+        return lambda ids, texts: {"doc_id": ids, "folded": [fold(t) for t in texts]}
 
-    folded = common.map_documents(rows, make, "doc_id long, folded string")
-    return sorted((r.folded, r.doc_id) for r in folded.toLocalIterator())
+    folded = common.map_documents(rows, make, "doc_id long, folded string, a long", carry=("a",))
+    folded = folded.groupBy("doc_id", "a").agg(F.any_value("folded").alias("folded")).join(F.broadcast(chosen), ["doc_id", "a"])
+    return common.stored(folded.select(F.xxhash64("doc_id", "a").alias("row"), "y", "folded"), "toxrows")
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -257,17 +272,20 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     than 0 and 1, null ids and labels of unknown documents don't count. Where
     only one class has labelled rows every score is near that class, 0.5 where
     none has. Repeated rows each have a row, a null doc_id stays null and
-    isn't held out, other columns are not looked at.
+    isn't held out, other columns are not looked at, an empty table gives an
+    empty table.
     """
-    lexicon = learn(training_rows(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows))
+    chosen = training_rows(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows)
+    lexicon = learn(chosen)
+    common.drop(chosen)
 
     def make():
         def apply(ids, texts):
             out = {"doc_id": ids, "score": [], "n_entries": []}
             for text in texts:
-                folded = fold(text)
-                out["score"].append(lexicon.score(lexicon.normalised(folded)))
-                out["n_entries"].append(lexicon.total(folded)[1])
+                x, n = lexicon.found(fold(text))
+                out["score"].append(lexicon.score(x))
+                out["n_entries"].append(n)
             return out
 
         return apply
