@@ -20,9 +20,9 @@ def brute(text, templates, share=0.8):
     return {k: v for k, v in out.items() if v >= share}
 
 
-def test_query_against_brute_force(spark, sf_small):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
-    got = {(r.doc_id, r.template): r.containment for r in queries.op8_licenses(spark, sf_small).collect()}
+def test_query_against_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {(r.doc_id, r.template): r.containment for r in queries.op8_licenses(spark, sf_dir).collect()}
     want = {(d, k): v for d, t in texts.items() for k, v in brute(t, licenses.TEMPLATES).items()}
     assert got == pytest.approx(want)
 

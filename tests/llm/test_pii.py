@@ -34,9 +34,9 @@ def test_base_spans_equal_the_patterns():
         assert base_of(text) == plain(text), text
 
 
-def test_query_against_the_patterns(spark, sf_small):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
-    rows = queries.op4_pii(spark, sf_small).collect()
+def test_query_against_the_patterns(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op4_pii(spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
         want = plain(texts[r.doc_id])

@@ -38,9 +38,9 @@ def brute(rows, radius=3):
     return {(doc, f"{fp:016x}", least.get(find(fp))) for doc, fp in rows}
 
 
-def test_query_against_brute_force(spark, sf_small):
-    rows = [(r.doc_id, plain(r.text)) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
-    got = [tuple(r)[:3] for r in queries.op7_simhash(spark, sf_small).collect()]
+def test_query_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, plain(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = [tuple(r)[:3] for r in queries.op7_simhash(spark, sf_dir).collect()]
     assert len(got) == len(rows) and set(got) == brute(rows)
 
 
