@@ -36,6 +36,8 @@ LEAST = 50
 GRAM = 5
 #: Suffixes of one rank that are compared in one piece of work.
 CHUNK = 2048
+#: Ranks of more up to which their list is sent to all tasks.
+SENT = 100_000
 #: Distinct words whose hashes a worker keeps.
 REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -376,16 +378,19 @@ def crowds(rows: DataFrame, least: int) -> DataFrame:
         return least if first or last else max(shared(past, now, col), shared(now, then, col))
 
     def left(past, now, then, first, last):
-        return now["num"], now["place"], reach(past, now, then, first, last, "before")
+        return *(now[c] for c in names), reach(past, now, then, first, last, "before")
 
     def right(past, now, then, first, last):
         ends = [(least - shared(x, now, "after"), shared(x, now, "before")) if x else (1, 0) for x in (past, then)]
         ends = [(max(now["low"], a), min(now["high"], b)) for a, b in ends]
-        return *(now[c] for c in ("num", "place", "after", "before", "low", "high")), reach(past, now, then, first, last, "after"), *ends[0], *ends[1]
+        return *(now[c] for c in names[1:]), now["l"], reach(past, now, then, first, last, "after"), *ends[0], *ends[1]
 
-    ahead = _sorted(rows, ["key", "after", "before", "num", "place"], "rank long, num long, place int, after binary, before binary, low int, high int, r int, plow int, phigh int, nlow int, nhigh int", right)
-    behind = _sorted(rows.select("key", "before", "num", "place"), ["key", "before", "num", "place"], "rank long, num long, place int, l int", left)
-    met = common.stored(ahead.join(behind.drop("rank"), ["num", "place"]), "reaches")
+    names = ("key", "num", "place", "after", "before", "low", "high")
+    kinds = "num long, place int, after binary, before binary, low int, high int, l int"
+    behind = _sorted(rows.select(*names), ["key", "before", "num", "place"], f"rank long, key long, {kinds}", left)
+    # a suffix none of whose stretches is shared as far to the left is nobody's match
+    behind = behind.drop("rank").where("low <= l")
+    met = common.stored(_sorted(behind, ["key", "after", "before", "num", "place"], f"rank long, {kinds}, r int, plow int, phigh int, nlow int, nhigh int", right), "reaches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -448,19 +453,20 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     split = found.where(F.col("key").isNotNull()).repartitionByRange("key", "num", "place").sortWithinPartitions("key", "num", "place")
     met = common.stored(neighbours(split), "neighbours")
-    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.lit(True).alias("crowd"))
-    places = met.join(crowded, "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
+    crowded = common.stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.lit(True).alias("crowd")), "crowded")
+    many = crowded.count()
+    places = met.join(F.broadcast(crowded) if many <= SENT else crowded, "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
     chosen = common.stored(places.join(heads, "num").select("num", F.col("head").alias("doc_id"), "places", "hot"), "anchored")
     around = common.stored(contexts(docs.join(chosen, ["num", "doc_id"]), least), "contexts")
     hits = extended(around.where(~F.col("crowd")), least)
-    if not crowded.isEmpty():
+    if many:
         hits = hits.union(crowds(around.where("crowd"), least))
     parts = spans(hits).groupBy("num").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
     texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "num").join(parts, "num", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
     common.drop(found, met, chosen, around)
 
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end")))
-    many, later = F.col("copies") > 1, F.col("doc_id") != F.col("head")
-    out = owners.join(texts, "num").select("doc_id", "n_words", F.when(many, whole).otherwise(F.col("repeated")).alias("repeated"), F.when(later, whole).otherwise(F.coalesce("removable", F.array_except(whole, whole))).alias("removable"))
+    copied, later = F.col("copies") > 1, F.col("doc_id") != F.col("head")
+    out = owners.join(texts, "num").select("doc_id", "n_words", F.when(copied, whole).otherwise(F.col("repeated")).alias("repeated"), F.when(later, whole).otherwise(F.coalesce("removable", F.array_except(whole, whole))).alias("removable"))
     size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["end"] - x["begin"])
     return out.select("doc_id", "n_words", size("repeated").alias("n_repeated"), size("removable").alias("n_removable"), "repeated", "removable")
