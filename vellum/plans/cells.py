@@ -98,7 +98,7 @@ def unit_conversions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", units.from_master(m).alias("emu"), units.from_hundredth_mm(m).alias("mm_emu"), units.from_twips(m).alias("twip_emu"), units.from_pixels(m).alias("px_emu"), units.crop(c).alias("crop"), units.rotation(r).alias("rotation"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN (o_custkey - 500)::DOUBLE WHEN 3 THEN (o_custkey - 500) / 100.0 WHEN 0 THEN o_custkey::DOUBLE ELSE o_custkey / 100.0 END::DOUBLE AS value FROM orders WHERE o_custkey BETWEEN 1 AND 8191""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN (o_custkey - 500)::DOUBLE WHEN 3 THEN (o_custkey - 500) / 100.0 WHEN 0 THEN o_custkey::DOUBLE ELSE o_custkey / 100.0 END::DOUBLE AS value FROM orders""")
 def packed_numbers(spark, sf_dir):
     """Packed numbers: signed integers, and doubles by their high bits. These
     hold whole numbers from 1 to 2^19, others go as integers; an order whose

@@ -49,8 +49,8 @@ def align_skip_blank(spark, sf_dir):
     return out.select("conv_id", "place", "n_a", "n_b", F.col("n_a").eqNullSafe(F.col("n_b")).alias("same"))
 
 
-_TITLES = """titles AS (SELECT p_brand, p_partkey AS title_id, split_part(p_name, ' ', 1) || ' ' || p_type AS title FROM part WHERE p_partkey % 3 = 0),
-entries AS (SELECT p_brand, p_partkey AS entry_id, CASE p_partkey % 2 WHEN 0 THEN p_type ELSE split_part(p_name, ' ', 1) || ' ' || p_type || ' ' || p_size % 3 END AS entry FROM part WHERE p_partkey % 3 = 1)"""
+_TITLES = """titles AS (SELECT p_brand, p_partkey AS title_id, split_part(p_name, ' ', 1) || ' ' || p_type AS title FROM part),
+entries AS (SELECT p_brand, p_partkey AS entry_id, CASE p_partkey % 2 WHEN 0 THEN p_type ELSE split_part(p_name, ' ', 1) || ' ' || p_type || ' ' || p_size % 3 END AS entry FROM part)"""
 
 
 @query(f"""WITH {_TITLES}, m AS (SELECT *, abs(length(entry) - length(title)) AS gap FROM entries JOIN titles USING (p_brand) WHERE contains(entry, title) OR contains(title, entry))
@@ -70,13 +70,14 @@ def broken_refs_anti(spark, sf_dir):
     return joins.missing(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""WITH a AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), b AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src3' GROUP BY ALL)
+@query("""WITH a AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT source, lang, count(*) AS n FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) GROUP BY ALL)
 SELECT source, lang, a.n::BIGINT AS value_a, b.n::BIGINT AS value_b, CASE WHEN b.n IS NULL THEN '-' WHEN a.n IS NULL THEN '+' WHEN a.n = b.n THEN '=' ELSE '~' END AS state FROM a FULL JOIN b USING (source, lang)""")
 def package_diff(spark, sf_dir):
-    """Parts of two packages: gone, new, equal, changed."""
+    """Parts of two packages, all documents and the labelled ones by source
+    and language: gone, new, equal, changed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     count = lambda df: df.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return joins.difference(count(docs.where("doc_id % 2 = 0")), count(docs.where("doc_id % 3 <> 0 AND source <> 'src3'")), ["source", "lang"], "n")
+    return joins.difference(count(docs), count(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")), ["source", "lang"], "n")
 
 
 @query("""SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, rank, min(rank) OVER (PARTITION BY lang, doc_id // 10) AS best FROM (SELECT doc_id, lang, (CASE source WHEN 'src7' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END)::INTEGER AS rank FROM documents)) WHERE rank = best""")
@@ -87,7 +88,7 @@ def source_priority_fallback(spark, sf_dir):
     return joins.first_source(rows, ["lang", "part"], "rank").select("doc_id", "lang", "rank")
 
 
-@query("""WITH m AS (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0) SELECT k, name FROM m UNION ALL SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT k FROM m)""")
+@query("""WITH m AS (SELECT s_suppkey AS k, s_name AS name FROM supplier) SELECT k, name FROM m UNION ALL SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT k FROM m)""")
 def fill_missing_styles(spark, sf_dir):
     """Master styles, and those of the environment that the master lacks."""
     main = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
@@ -108,7 +109,7 @@ def argmax_image(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.max_by("doc_id", best).alias("doc_id"), F.max("n_chars").alias("n_chars"))
 
 
-@query("""WITH s AS (SELECT doc_id, (3000000 + doc_id % 5000 * 1000)::BIGINT AS w, (300000 + doc_id % 37 * 100000)::BIGINT AS h, string_split(substr(text, 1, 400), chr(10)) AS paras FROM documents WHERE text IS NOT NULL),
+@query("""WITH s AS (SELECT doc_id, (3000000 + doc_id % 5000 * 1000)::BIGINT AS w, (300000 + doc_id % 37 * 100000)::BIGINT AS h, string_split(coalesce(text, ''), chr(10)) AS paras FROM documents),
 q AS (SELECT doc_id, w, h, list_transform(paras, lambda x: length(x)) AS ns FROM s),
 c AS (SELECT doc_id, size, h, w, ns, greatest(1, trunc((w - 182880) / (size * 127 * 0.85)))::BIGINT AS cpl FROM q, (SELECT unnest([2000, 1800, 1600, 1400, 1200, 1100, 1000, 900, 800, 700, 600]) AS size)),
 f AS (SELECT doc_id, size, list_sum(list_transform(ns, lambda n: greatest(1, ceil(n / cpl::DOUBLE)))) * size * 127 * 1.2 <= h - 91440 AS fits FROM c)
@@ -117,5 +118,5 @@ def font_size_fit(spark, sf_dir):
     """The largest of eleven sizes at which the text fits its shape."""
     from vellum.operators import slides
 
-    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 5000 * 1000 + 3000000).alias("w"), (F.col("doc_id") % 37 * 100000 + 300000).alias("h"), F.transform(F.split("text", "\n"), F.char_length).alias("ns"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5000 * 1000 + 3000000).alias("w"), (F.col("doc_id") % 37 * 100000 + 300000).alias("h"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.char_length).alias("ns"))
     return rows.select("doc_id", slides.largest_fit(F.col("w") - 182880, F.col("h") - 91440, F.col("ns")).alias("size"))

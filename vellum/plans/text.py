@@ -92,12 +92,12 @@ def table_column_count(spark, sf_dir):
 
 
 @query("""SELECT doc_id, regexp_replace(marked, chr(19) || '[^' || chr(20) || ']*' || chr(20) || '([^' || chr(21) || ']*)' || chr(21), '\\1', 'g') AS shown
-FROM (SELECT doc_id, substr(text, 1, 10) || chr(19) || ' HYPERLINK ' || substr(text, 3, 8) || chr(20) || substr(text, 11, 20) || chr(21) || substr(text, 31, 200) AS marked FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, substr(text, 1, 10) || chr(19) || ' HYPERLINK ' || substr(text, 3, 8) || chr(20) || substr(text, 11, 20) || chr(21) || substr(text, 31) AS marked FROM documents)""")
 def field_code_strip(spark, sf_dir):
     """A field set into each text: its instruction is hidden, its result shown."""
     part = lambda a, n: F.substring("text", a, n)
     marked = F.concat(part(1, 10), F.lit("\x13 HYPERLINK "), part(3, 8), F.lit("\x14"), part(11, 20), F.lit("\x15"), part(31, 2**31 - 1))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.strip_field_codes(marked).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_field_codes(marked).alias("shown"))
 
 
 @query("""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id % 12 ELSE 9 END AS outline, CASE WHEN doc_id % 4 = 1 THEN doc_id % 30 ELSE 40 END AS sti,
@@ -131,7 +131,7 @@ def text_cleanup(spark, sf_dir):
 
 @query("""SELECT doc_id, contains(t, 'Click to edit Master') OR t IN ('二级', '三级', '四级', '五级', '第二级', '第三级', '第四级', '第五级', 'Second level', 'Third level', 'Fourth level', 'Fifth level', '*', '•', '-', '—', '·')
  OR (strlen(t) <= 30 AND (contains(t, 'www.') OR contains(t, '.com') OR contains(t, '.cn') OR contains(t, '.org'))) AS placeholder
-FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Second level' WHEN 1 THEN '—' WHEN 2 THEN 'see www.' || source WHEN 3 THEN 'x Click to edit Master ' || lang WHEN 4 THEN substr(text, 1, 30) ELSE text END AS t FROM documents)""")
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Second level' WHEN 1 THEN '—' WHEN 2 THEN 'see www.' || source WHEN 3 THEN 'x Click to edit Master ' || lang ELSE text END AS t FROM documents)""")
 def placeholder_texts(spark, sf_dir):
     k = F.col("doc_id") % 6
     t = F.when(k == 0, "Second level").when(k == 1, "—").when(k == 2, F.concat(F.lit("see www."), "source")).when(k == 3, F.concat(F.lit("x Click to edit Master "), "lang")).otherwise(F.col("text"))
