@@ -22,6 +22,7 @@ Copies of whole texts are one text until the end, told apart by 128 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,6 +39,8 @@ GRAM = 5
 CHUNK = 2048
 #: Ranks of more up to which their list is sent to all tasks.
 SENT = 100_000
+#: Suffixes of crowded ranks that a task sorts, more or less.
+ROWS = 1 << 16
 #: Distinct words whose hashes a worker keeps.
 REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -327,10 +330,10 @@ def extended(rows: DataFrame, least: int) -> DataFrame:
     return own.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "num long, kind int, begin int, end int")
 
 
-def _sorted(rows: DataFrame, order: list[str], schema: str, each) -> DataFrame:
+def _sorted(rows: DataFrame, parts: int, order: list[str], schema: str, each) -> DataFrame:
     """``each`` of every row with the row before it and the one behind it in
-    the order, None where these are in another task or of another rank. The
-    first of its values is the row's number in the order."""
+    the order, None where these are in another of ``parts`` tasks or of another
+    rank. The first of its values is the row's number in the order."""
     from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -363,12 +366,14 @@ def _sorted(rows: DataFrame, order: list[str], schema: str, each) -> DataFrame:
         put(None)
         yield table()
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def crowds(rows: DataFrame, least: int) -> DataFrame:
-    """(num, kind, begin, end) as ``extended``, of suffixes whose rank very
-    many share."""
+def crowds(rows: DataFrame, least: int, total: int) -> DataFrame:
+    """(num, kind, begin, end) as ``extended``, of the ``total`` suffixes whose
+    rank very many share."""
+    # the places where a sort is cut are found from samples of whole keys, so no more cuts than the rows need
+    parts = max(1, math.ceil(total / ROWS))
 
     def shared(a, b, col):
         return 0 if a is None or b is None else _common(a[col].split(), b[col].split())
@@ -387,10 +392,10 @@ def crowds(rows: DataFrame, least: int) -> DataFrame:
 
     names = ("key", "num", "place", "after", "before", "low", "high")
     kinds = "num long, place int, after binary, before binary, low int, high int, l int"
-    behind = _sorted(rows.select(*names), ["key", "before", "num", "place"], f"rank long, key long, {kinds}", left)
+    behind = _sorted(rows.select(*names), parts, ["key", "before", "num", "place"], f"rank long, key long, {kinds}", left)
     # a suffix none of whose stretches is shared as far to the left is nobody's match
     behind = behind.drop("rank").where("low <= l")
-    met = common.stored(_sorted(behind, ["key", "after", "before", "num", "place"], f"rank long, {kinds}, r int, plow int, phigh int, nlow int, nhigh int", right), "reaches")
+    met = common.stored(_sorted(behind, parts, ["key", "after", "before", "num", "place"], f"rank long, {kinds}, r int, plow int, phigh int, nlow int, nhigh int", right), "reaches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -453,14 +458,14 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     split = found.where(F.col("key").isNotNull()).repartitionByRange("key", "num", "place").sortWithinPartitions("key", "num", "place")
     met = common.stored(neighbours(split), "neighbours")
-    crowded = common.stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.lit(True).alias("crowd")), "crowded")
-    many = crowded.count()
-    places = met.join(F.broadcast(crowded) if many <= SENT else crowded, "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
+    crowded = common.stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).withColumn("crowd", F.lit(True)), "crowded")
+    many, total = crowded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    places = met.join(F.broadcast(crowded.drop("n")) if many <= SENT else crowded.drop("n"), "key", "left").groupBy("num").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("crowd"), F.col("place"))).alias("hot"))
     chosen = common.stored(places.join(heads, "num").select("num", F.col("head").alias("doc_id"), "places", "hot"), "anchored")
     around = common.stored(contexts(docs.join(chosen, ["num", "doc_id"]), least), "contexts")
     hits = extended(around.where(~F.col("crowd")), least)
     if many:
-        hits = hits.union(crowds(around.where("crowd"), least))
+        hits = hits.union(crowds(around.where("crowd"), least, total))
     parts = spans(hits).groupBy("num").agg(*(F.max(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((0, "repeated"), (1, "removable"))))
     texts = common.stored(sizes.where(F.col("n_words") >= least).join(heads, "num").join(parts, "num", "left").where((F.col("copies") > 1) | F.col("repeated").isNotNull()), "texts")
     common.drop(found, met, chosen, around)
