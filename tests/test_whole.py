@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare, connection
 from vellum.functions.text import strip_field_codes
+from vellum.operators import joins, recursion
 from vellum.plans import catalog
 
 
@@ -52,3 +53,63 @@ SELECT p_brand, entry_id, title_id, gap::INTEGER AS gap FROM (SELECT *, row_numb
 
 def test_styles_of_every_supplier(spark, sf_dir):
     assert not differs(spark, sf_dir, "fill_missing_styles", """SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+
+
+def test_repeated_points_stay(spark):
+    points = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 9000, "b"), (1, None, "c"), (None, 5, "d"), (2, 7, "e")], "path int, cp int, text string")
+    ranges = spark.createDataFrame([(1, 4, 10, 2), (1, 0, 100, 1), (2, 8, 9, 1), (1, 0, 100, None)], "path int, s int, e int, idx int")
+    rows = joins.points_in_ranges(points, ranges, ["path"], "cp", "s", "e", ["idx"], ["idx"]).collect()
+    assert sorted(((r.path, r.cp, r.text, r.idx) for r in rows), key=str) == sorted([(1, 5, "a", 1), (1, 5, "a", 1), (1, 9000, "b", None), (1, None, "c", None), (None, 5, "d", None), (2, 7, "e", None)], key=str)
+
+
+def test_chains_of_any_number_of_rows(spark):
+    # halving chains of more rows than a recursive query may have
+    n = 120_000
+    rows = spark.range(1, n + 1).select(F.lit("f").alias("path"), F.col("id").alias("k"), F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("up"), F.when(F.col("id") % 1000 == 1, F.col("id")).alias("v"))
+    out = recursion.chains(rows, ["path"], "k", "up")
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d")).first()
+    assert (got.n, got.d) == (sum(k.bit_length() for k in range(1, n + 1)), sum(k.bit_length() * (k.bit_length() - 1) // 2 for k in range(1, n + 1)))
+    far = recursion.inherit(rows, ["path"], "k", "up", ["v"]).where("k = 119999").first()
+    k = 119999
+    while k % 1000 != 1:
+        k //= 2
+    assert far.v == k
+
+
+def test_chains_with_loops_gaps_and_null_keys(spark):
+    rows = [(None, 1, 2), (None, 2, 3), (None, 3, 1), ("a", 1, 1), ("a", 2, 9), ("a", 3, None), ("a", 4, 3), ("a", None, 4), ("a", 5, 4)]
+    df = spark.createDataFrame(rows, "path string, k int, up int")
+    got = sorted((r.path or "", r.node, r.ancestor, r.distance) for r in recursion.chains(df, ["path"], "k", "up").collect())
+    loop = [("", a, (a + d - 1) % 3 + 1, d) for a in (1, 2, 3) for d in range(3)]
+    assert got == sorted(loop + [("a", 1, 1, 0), ("a", 2, 2, 0), ("a", 3, 3, 0), ("a", 4, 4, 0), ("a", 4, 3, 1), ("a", 5, 5, 0), ("a", 5, 4, 1), ("a", 5, 3, 2)])
+
+
+def test_deep_and_broken_nests(spark):
+    cols = "path string, id long, parent long, x long, y long, w long, h long, gx long, gy long, gw long, gh long"
+    rows = [("a", 0, None, 10, 10, 100, 100, 0, 0, 200, 200)]
+    rows += [("a", k, k - 1, 20, 20, 100, 100, 0, 0, 200, 200) for k in range(1, 6)]
+    rows += [("a", 50, 5, 100, 0, 50, 50, 0, 0, 0, 0), ("a", 60, 61, 1, 1, 1, 1, 0, 0, 9, 9), ("a", 61, 60, 1, 1, 1, 1, 0, 0, 9, 9), ("a", 62, 99, 1, 1, 1, 1, 0, 0, 0, 0), ("b", 1, None, -7, 3, 9, 9, 2, 2, 4, 0), ("b", 2, 1, 5, 6, 7, 8, 0, 0, 0, 0), ("b", 2, 1, 5, 6, 7, 8, 0, 0, 0, 0)]
+
+    def by_hand(boxes):
+        found = {}
+        for p, i, up, x, y, w, h, *g in boxes:
+            found.setdefault((p, i), (up, x, y, w, h, *g))
+        div = lambda a, b: int(a / b)
+
+        def at(p, i, box, seen):
+            up, x, y, w, h, *g = box
+            if up is None:
+                return 0, x, y, w, h
+            if (p, up) in seen or (p, up) not in found:
+                return None
+            t = at(p, up, found[p, up], seen | {(p, up)})
+            if t is None:
+                return None
+            level, tx, ty, tw, th = t
+            ox, oy, ow, oh = found[p, up][5:]
+            return (level + 1, x, y, w, h) if ow == 0 or oh == 0 else (level + 1, tx + div((x - ox) * tw, ow), ty + div((y - oy) * th, oh), div(w * tw, ow), div(h * th, oh))
+
+        return sorted((b[0], b[1], *t) for b in boxes if (t := at(b[0], b[1], b[2:], {(b[0], b[1])})))
+
+    out = recursion.nested_boxes(spark.createDataFrame(rows, cols), ["path"])
+    assert sorted((r.path, r.id, r.level, r.x, r.y, r.w, r.h) for r in out.collect()) == by_hand(rows)

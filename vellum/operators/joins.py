@@ -25,20 +25,23 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame, by: list[str], point: str, start: str, end: str, first: list[str], keep: list[str], width: int = BUCKET) -> DataFrame:
-    """Each point with the first range (by ``first``) that holds it, nulls
-    where none does. Points and ranges meet by partition and bucket, so a long
-    partition is dealt over many tasks."""
+    """Each row of ``points`` with the first range (by ``first``, nulls last)
+    that holds its point, nulls where none does.
+
+    Distinct points and ranges meet by partition and bucket, so a long
+    partition is dealt over many tasks, and the other columns of the points
+    move only once. Repeated rows stay; points and ranges with a null in
+    ``by``, and null points, meet nothing."""
     key = "__bucket"
-    cut = ranges.select(*by, start, end, *[c for c in dict.fromkeys([*first, *keep]) if c not in (start, end)], _buckets(F.col(start), F.col(end), width).alias(key))
-    names = {c: f"__r_{c}" for c in cut.columns if c not in by and c != key}
-    cut = cut.withColumnsRenamed(names)
-    pts = points.withColumn(key, F.floor(F.col(point) / width))
-    inside = (F.col(point) >= F.col(names[start])) & (F.col(point) < F.col(names[end]))
-    met = pts.join(cut.withColumnsRenamed({c: f"__k_{c}" for c in [*by, key]}), [F.col(c) == F.col(f"__k_{c}") for c in [*by, key]] + [inside], "left")
-    w = points.columns
-    order = Window.partitionBy(*w).orderBy(*[F.col(names[c]).asc_nulls_last() for c in first])
-    out = met.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return out.select(*w, *[F.col(names[c]).alias(c) for c in keep])
+    rest = list(dict.fromkeys([*first, *keep]))
+    cut = ranges.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col(start).alias("__s"), F.col(end).alias("__e"), *[F.col(c).alias(f"__r_{c}") for c in rest], _buckets(F.col(start), F.col(end), width).alias(key))
+    pts = points.select(*by, F.col(point).alias("__p")).where(F.col("__p").isNotNull()).distinct().withColumn("__at", F.floor(F.col("__p") / width))
+    on = [F.col(c) == F.col(f"__k_{c}") for c in by] + [F.col("__at") == F.col(key), F.col("__p") >= F.col("__s"), F.col("__p") < F.col("__e")]
+    order = F.struct(*[x for c in first for x in (F.col(f"__r_{c}").isNull().alias(f"{c}_none"), F.col(f"__r_{c}").alias(c))])
+    best = pts.join(cut, on).groupBy(*by, "__p").agg(F.min_by(F.struct(*[F.col(f"__r_{c}").alias(c) for c in keep]), order).alias("__best"))
+    best = best.withColumnsRenamed({c: f"__k_{c}" for c in by})
+    met = points.join(best, [F.col(c) == F.col(f"__k_{c}") for c in by] + [F.col(point) == F.col("__p")], "left")
+    return met.select(*[F.col(c) for c in points.columns if c not in keep or c in by], *[F.col("__best")[c].alias(c) for c in keep if c not in by])
 
 
 def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, r_start: str, r_end: str, width: int = BUCKET) -> DataFrame:

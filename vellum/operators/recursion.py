@@ -1,43 +1,88 @@
-"""Inheritance and nesting, by recursive queries that stop at repeats."""
+"""Inheritance and nesting, by joins that double their reach.
+
+Each round joins a stored table of jumps with itself, so a chain of n links
+takes about log2(n) rounds whatever the number of rows is, and no round holds
+more than the rows of the result.
+"""
 
 from __future__ import annotations
 
-import uuid
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import tables
+
 #: Levels that a chain can have.
 DEPTH = 32
 
 
+def _jumps(df: DataFrame, by: list[str], node: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """Every node once, and its first jump: (by, n, to) where the parent is
+    another node that is there. Of a node that stands several times the least
+    parent counts."""
+    nodes = df.select(*by, F.col(node).cast("long").alias("n"), F.col(parent).cast("long").alias("to"))
+    nodes = tables.stored(nodes.where(F.col("n").isNotNull()).groupBy(*by, "n").agg(F.min("to").alias("to")), "nodes")
+    there = nodes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("n").alias("__n"))
+    jumps = nodes.where(F.col("to") != F.col("n")).join(there, [*_same(by), F.col("to") == F.col("__n")], "left_semi")
+    return nodes, tables.stored(jumps, "jumps")
+
+
+def _same(by: list[str]) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+
+
+def _behind(df: DataFrame, by: list[str], node: str) -> DataFrame:
+    """``df`` with its keys marked, to be joined to where a jump leads."""
+    return df.withColumnsRenamed({**{c: f"__{c}" for c in by}, node: "__n"})
+
+
+def _longer(jumps: DataFrame, by: list[str]) -> DataFrame:
+    """Jumps of twice the length."""
+    more = _behind(jumps, by, "n").withColumnRenamed("to", "__to")
+    return jumps.join(more, [*_same(by), F.col("to") == F.col("__n")]).select(*by, "n", F.col("__to").alias("to"))
+
+
 def chains(df: DataFrame, by: list[str], node: str, parent: str, depth: int = DEPTH) -> DataFrame:
     """(by, node, ancestor, distance): every node with itself and all its
-    ancestors. A chain ends at a null or missing parent, at a node that is its
-    own parent, and where it would come back to a node it has."""
-    view = f"chain_{uuid.uuid4().hex}"
-    df.select(*by, F.col(node).cast("long").alias("n"), F.col(parent).cast("long").alias("p")).createOrReplaceTempView(view)
-    keys = "".join(f"{c}, " for c in by)
-    on = " AND ".join([f"e.{c} <=> c.{c}" for c in by] + ["e.n = c.nxt"])
-    out = df.sparkSession.sql(f"""
-        WITH RECURSIVE c AS (
-            SELECT {keys} n AS node, n AS ancestor, p AS nxt, 0 AS distance, array(n) AS seen FROM {view}
-            UNION ALL
-            SELECT {"".join(f"c.{k}, " for k in by)} c.node, e.n, e.p, c.distance + 1, array_append(c.seen, e.n)
-            FROM c JOIN {view} e ON {on}
-            WHERE c.distance < {depth} AND NOT array_contains(c.seen, e.n)
-        ) SELECT {keys} node, ancestor, distance FROM c""")
-    return out
+    ancestors up to ``depth`` links away. A chain ends at a null or missing
+    parent, at a node that is its own parent, and where it would come back to a
+    node it has. Rows without a node are left out."""
+    nodes, jumps = _jumps(df, by, node, parent)
+    reach = nodes.select(*by, F.col("n").alias("node"), F.col("n").alias("ancestor"), F.lit(0).alias("distance"))
+    for k in range(math.ceil(math.log2(depth + 1))):
+        if jumps.isEmpty():
+            break
+        step = _behind(reach, by, "node").withColumnsRenamed({"ancestor": "__ancestor", "distance": "__distance"})
+        met = jumps.join(step, [*_same(by), F.col("to") == F.col("__n")])
+        met = met.select(*by, F.col("n").alias("node"), F.col("__ancestor").alias("ancestor"), (F.col("__distance") + (1 << k)).alias("distance"))
+        past, reach = reach, tables.stored(reach.unionByName(met), "reach")
+        used, jumps = jumps, tables.stored(_longer(jumps, by), "jumps")
+        tables.drop(past, used)
+    out = reach.where(F.col("distance") <= depth).groupBy(*by, "node", "ancestor").agg(F.min("distance").alias("distance"))
+    return out.select(*by, "node", "ancestor", "distance")
 
 
 def inherit(styles: DataFrame, by: list[str], node: str, parent: str, props: list[str], depth: int = DEPTH) -> DataFrame:
     """Each style with the nearest value that is not null of every property
-    along its chain."""
-    reach = chains(styles, by, node, parent, depth)
-    own = styles.select(*by, F.col(node).cast("long").alias("ancestor"), *props)
-    met = reach.join(own, [*by, "ancestor"])
-    nearest = [F.min_by(F.struct(F.col(p).alias("v")), F.when(F.col(p).isNotNull(), F.col("distance")))["v"].alias(p) for p in props]
-    return met.groupBy(*by, F.col("node").alias(node)).agg(*nearest)
+    along its chain, ``depth`` links or more. The table keeps its size: a round
+    fills what is missing from where the jumps lead."""
+    nodes, jumps = _jumps(styles, by, node, parent)
+    values = styles.select(*by, F.col(node).cast("long").alias(node), *props).where(F.col(node).isNotNull())
+    values = values.groupBy(*by, node).agg(*(F.first(p, ignorenulls=True).alias(p) for p in props))
+    for _ in range(math.ceil(math.log2(depth + 1))):
+        if jumps.isEmpty():
+            break
+        far = _behind(values, by, node).withColumnsRenamed({p: f"__v_{p}" for p in props})
+        found = jumps.join(far, [*_same(by), F.col("to") == F.col("__n")]).select(*by, F.col("n").alias(node), *[f"__v_{p}" for p in props])
+        on = [values[c].eqNullSafe(found[c]) for c in [*by, node]]
+        past = values
+        values = tables.stored(values.join(found, on, "left").select(*[values[c] for c in [*by, node]], *[F.coalesce(values[p], found[f"__v_{p}"]).alias(p) for p in props]), "inherited")
+        used, jumps = jumps, tables.stored(_longer(jumps, by), "jumps")
+        tables.drop(past, used)
+    tables.drop(nodes)
+    return values
 
 
 def nested_boxes(boxes: DataFrame, by: list[str], depth: int = DEPTH) -> DataFrame:
@@ -46,18 +91,41 @@ def nested_boxes(boxes: DataFrame, by: list[str], depth: int = DEPTH) -> DataFra
     Columns: id, parent, the box in its parent's coordinates (x, y, w, h) and,
     for groups, the inner coordinates of their own (gx, gy, gw, gh). A child's
     place is scaled by box over inner size, cut towards zero at each level; a
-    group of inner size zero leaves its children as they are.
+    group of inner size zero leaves its children as they are. Boxes whose chain
+    doesn't end at one without a parent, within ``depth`` groups, are left out.
+
+    Each group's chain of groups, ``depth`` at most, is gathered and folded
+    from the outside in; boxes then take one step from their own group.
     """
-    view = f"boxes_{uuid.uuid4().hex}"
-    boxes.createOrReplaceTempView(view)
-    keys = "".join(f"b.{c}, " for c in by)
-    on = " AND ".join([f"b.{c} <=> t.{c}" for c in by] + ["b.parent = t.id"])
-    move = lambda v, o, g, s, p: f"CASE WHEN t.gw = 0 OR t.gh = 0 THEN b.{v} ELSE t.{p} + CAST((b.{v} - t.{o}) * t.{s} div t.{g} AS BIGINT) END"
-    size = lambda v, g, s: f"CASE WHEN t.gw = 0 OR t.gh = 0 THEN b.{v} ELSE CAST(b.{v} * t.{s} div t.{g} AS BIGINT) END"
-    return boxes.sparkSession.sql(f"""
-        WITH RECURSIVE t AS (
-            SELECT {keys} b.id, b.parent, b.x, b.y, b.w, b.h, b.gx, b.gy, b.gw, b.gh, 0 AS level FROM {view} b WHERE b.parent IS NULL
-            UNION ALL
-            SELECT {keys} b.id, b.parent, {move("x", "gx", "gw", "w", "x")}, {move("y", "gy", "gh", "h", "y")}, {size("w", "gw", "w")}, {size("h", "gh", "h")}, b.gx, b.gy, b.gw, b.gh, t.level + 1
-            FROM t JOIN {view} b ON {on} WHERE t.level < {depth}
-        ) SELECT {"".join(f"{c}, " for c in by)} id, level, x, y, w, h FROM t""")
+    cols = ("x", "y", "w", "h", "gx", "gy", "gw", "gh")
+    keyed = boxes.withColumns({"id": F.col("id").cast("long"), "parent": F.col("parent").cast("long")})
+    inner = keyed.join(_behind(keyed.where(F.col("parent").isNotNull()).select(*by, "parent").distinct(), by, "parent"), [*_same(by), F.col("id") == F.col("__n")], "left_semi")
+    inner = tables.stored(inner, "groups")
+    own = inner.groupBy(*by, "id").agg(F.first(F.struct("parent", *cols)).alias("box"))
+    chain = chains(inner, by, "id", "parent", depth)
+    met = chain.join(_behind(own, by, "id"), [*_same(by), F.col("ancestor") == F.col("__n")])
+    path = met.groupBy(*by, "node").agg(F.sort_array(F.collect_list(F.struct("distance", "box")), asc=False).alias("__chain"))
+    path = path.where(F.col("__chain")[0]["box"]["parent"].isNull())
+
+    def placed(t: Column, b) -> list[Column]:
+        """A box b inside the placed group t."""
+        flat = (t["gw"] == 0) | (t["gh"] == 0)
+        cut = lambda n, d: F.call_function("div", n, F.when(d != 0, d))
+        move = lambda v, o, g, s, p: F.when(flat, b[v]).otherwise(t[p] + cut((b[v] - t[o]) * t[s], t[g]))
+        size = lambda v, g, s: F.when(flat, b[v]).otherwise(cut(b[v] * t[s], t[g]))
+        return [move("x", "gx", "gw", "w", "x"), move("y", "gy", "gh", "h", "y"), size("w", "gw", "w"), size("h", "gh", "h")]
+
+    as_long = lambda b: F.struct(*[b[c].cast("long").alias(c) for c in cols])
+
+    def step(t: Column, entry: Column) -> Column:
+        b = entry["box"]
+        return F.struct(*[v.cast("long").alias(c) for c, v in zip(cols, placed(t, b))], *[b[c].cast("long").alias(c) for c in cols[4:]])
+
+    folded = F.aggregate(F.slice("__chain", 2, depth + 1), as_long(F.col("__chain")[0]["box"]), step)
+    groups = tables.stored(path.select(*by, F.col("node"), folded.alias("__t"), F.size("__chain").alias("__level")), "placed")
+    groups = _behind(groups, by, "node")
+    inside = keyed.join(groups, [*_same(by), F.col("parent") == F.col("__n")])
+    b = {c: F.col(c) for c in cols}
+    moved = inside.select(*by, "id", F.col("__level").alias("level"), *[v.cast("long").alias(c) for c, v in zip(cols, placed(F.col("__t"), b))])
+    top = keyed.where(F.col("parent").isNull()).select(*by, "id", F.lit(0).alias("level"), *[F.col(c).cast("long").alias(c) for c in cols[:4]])
+    return top.unionByName(moved.where(F.col("level") <= depth))
