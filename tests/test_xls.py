@@ -147,3 +147,24 @@ def test_files_through_binary_file(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"no")
     assert readers.good(readers.load(spark, str(tmp_path), "xls_sheets", pattern="*.xls")).count() == 4
     assert readers.good(readers.load(spark, str(tmp_path), "biff_records", pattern="a.xls")).where("rec_type = 2057").count() == 3
+
+
+def test_what_a_package_lacks_is_told(spark):
+    from vellum.plans import convert
+
+    whole = golden()
+    at = whole.index(struct.pack("<HBB", 8, 0, ord("S")))  # the length of "String 3" in the table
+    broken = whole[:at] + struct.pack("<H", 9000) + whole[at + 2 :]
+    rows = {r.path: r for r in convert.xls_to_xlsx(source(spark, whole=whole, broken=broken, bad=b"x")).collect()}
+    assert rows["whole"].content and rows["whole"]._error is None and rows["whole"]._partial is None
+    assert rows["broken"].content and rows["broken"]._error is None and rows["broken"]._partial == "xls_sst: xls: 0 of 1 shared strings can be read"
+    assert rows["bad"].content is None and rows["bad"]._error.startswith("cfb: ") and rows["bad"]._partial is None
+
+
+def test_tables_from_one_read_equal_tables_alone(spark):
+    src = source(spark, a=golden(), bad=b"x", none=None)
+    names = ("xls_cells", "xls_sst", "xls_sheets", "xls_xf", "xls_formats", "ole_streams")
+    both = readers.parse_all(src, names).cache()
+    for t in names:
+        assert sorted(map(str, readers.of(both, t).collect())) == sorted(map(str, readers.good(readers.parse(src, t)).collect()))
+        assert both.where(f"table = '{t}' AND _error IS NOT NULL").count() == 2

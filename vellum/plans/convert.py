@@ -1,5 +1,6 @@
 """From files to packages: the three conversions, each from (path, content) to
-(path, content, _error) with a row for every file."""
+(path, content, _error, _partial) with a row for every file. A file is read
+once; what its tables hold goes to the shared folder."""
 
 from __future__ import annotations
 
@@ -12,30 +13,40 @@ from vellum.operators import slides as sl
 from vellum.sinks import docx, pptx, xlsx
 from vellum.sources import readers
 
+XLS_TABLES = ("xls_cells", "xls_sst", "xls_sheets")
 DOC_TABLES = ("doc_text", "doc_para_runs", "doc_char_runs", "doc_styles", "doc_lists", "doc_list_overrides", "doc_sections", "doc_stories", "doc_images", "doc_inline_pictures", "doc_spa", "doc_shape_pictures", "doc_textboxes")
 
 
-def _with_errors(source: DataFrame, packages: DataFrame, first: DataFrame) -> DataFrame:
-    """A row for each file: its package, or what is wrong with it."""
-    wrong = readers.errors(first).groupBy("path").agg(F.first("_error").alias("_error"))
+def _parsed(source: DataFrame, names: tuple[str, ...], **options) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All tables of the files, dealt by table, and each without its errors."""
+    raw = tables.stored(readers.parse_all(source, names, **options), "parsed", by=["table"])
+    return raw, {t: readers.of(raw, t) for t in names}
+
+
+def _with_errors(source: DataFrame, packages: DataFrame, raw: DataFrame, first: str) -> DataFrame:
+    """A row for each file: its package, or what is wrong with it; _partial
+    says what else of it couldn't be read, so that the package lacks it."""
+    wrong = raw.where(F.col("_error").isNotNull()).groupBy("path").agg(
+        F.first(F.when(F.col("table") == first, F.col("_error")), ignorenulls=True).alias("_error"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("table") != first, F.concat_ws(": ", "table", "_error")))), "; ").alias("_partial"),
+    )
     out = source.select("path").join(wrong, "path", "left").join(packages, "path", "left")
     failed = F.col("_error").isNotNull()
-    return out.select("path", F.when(~failed, F.col("content")).alias("content"), F.when(failed, F.col("_error")).when(F.col("content").isNull(), "nothing to write").alias("_error"))
+    error = F.when(failed, F.col("_error")).when(F.col("content").isNull(), "nothing to write")
+    return out.select("path", F.when(~failed, F.col("content")).alias("content"), error.alias("_error"), F.when(~failed & (F.col("_partial") != ""), F.col("_partial")).alias("_partial"))
 
 
 def xls_to_xlsx(source: DataFrame, **options) -> DataFrame:
     """Workbooks to spreadsheet packages."""
-    cells = tables.stored(readers.parse(source, "xls_cells", **options), "cells")
-    rest = [tables.stored(readers.good(readers.parse(source, t, **options)), t) for t in ("xls_sst", "xls_sheets")]
-    return _with_errors(source, xlsx.packages(readers.good(cells), *rest), cells)
+    raw, t = _parsed(source, XLS_TABLES, **options)
+    return _with_errors(source, xlsx.packages(t["xls_cells"], t["xls_sst"], t["xls_sheets"]), raw, "xls_cells")
 
 
 def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     """Documents to text packages: paragraphs, runs, tables, lists, contents,
     headers and footers, pictures. A side table that can't be read counts as
     empty, so what there is of text always comes out."""
-    raw = {t: tables.stored(readers.parse(source, t, **options), t) for t in DOC_TABLES}
-    t = {k: readers.good(v) for k, v in raw.items()}
+    raw, t = _parsed(source, DOC_TABLES, **options)
     paras = dm.paragraphs(t["doc_text"], t["doc_para_runs"], t["doc_styles"], t["doc_lists"], t["doc_list_overrides"], t["doc_sections"])
     paras = tables.stored(dm.repaired_tables(tables.stored(paras, "paragraphs")), "repaired")
     paras = tables.stored(dm.laid_out(paras), "laidout")
@@ -49,7 +60,7 @@ def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     placed = tables.stored(placed.unionByName(dm.inline_pictures(runs, t["doc_inline_pictures"])), "placed")
     boxes = tables.stored(dm.boxes_at(paras, t["doc_textboxes"], slots), "boxes")
     parts = docx.parts(paras, runs, dm.stories(t["doc_stories"]), images, targets, placed, boxes)
-    return _with_errors(source, packages.zipped(parts), raw["doc_text"])
+    return _with_errors(source, packages.zipped(parts), raw, "doc_text")
 
 
 PPT_TABLES = ("ppt_presentations", "ppt_slides", "ppt_shapes", "ppt_runs", "ppt_schemes", "ppt_master_styles", "ppt_texts", "ppt_images", "ppt_backgrounds", "ppt_geometry")
@@ -59,8 +70,7 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
     """Presentations to slide packages: shapes in place, runs with their
     masters' styles and schemes, pictures. ``keep_empty`` off leaves out
     slides without a text that says something."""
-    raw = {t: tables.stored(readers.parse(source, t), t) for t in PPT_TABLES}
-    t = {k: readers.good(v) for k, v in raw.items()}
+    raw, t = _parsed(source, PPT_TABLES)
     slides = t["ppt_slides"]
     if not keep_empty:
         slides = tables.stored(slides.join(sl.empty_slides(slides, t["ppt_runs"]).select("path", "slide_idx"), ["path", "slide_idx"], "left_anti"), "slides")
@@ -70,4 +80,4 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
     kept = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"))
     shown = placed.join(kept, sl.OWNER, "left_semi")
     parts = pptx.parts(t["ppt_presentations"], slides, shown, runs, t["ppt_images"], scheme, t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi"), sl.backgrounds(slides, t["ppt_backgrounds"], scheme), t["ppt_geometry"])
-    return _with_errors(source, packages.zipped(parts), raw["ppt_presentations"])
+    return _with_errors(source, packages.zipped(parts), raw, "ppt_presentations")

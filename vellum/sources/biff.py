@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 from vellum.functions.numbers import shortest_text
-from vellum.sources.ole import CompoundFile, ParseError
+from vellum.sources.ole import CompoundFile, ParseError, last_of
 
 # Record numbers, error texts, code pages.
 BOF, EOF, CODEPAGE, DATEMODE, BOUNDSHEET, CONTINUE, SST, XF, FORMAT = 0x809, 0x0A, 0x42, 0x22, 0x85, 0x3C, 0xFC, 0xE0, 0x41E
@@ -118,6 +118,7 @@ class Workbook:
         self.xfs: list[tuple[int, int]] = []
         self.formats: dict[int, str] = {}
         self.strings: list[tuple[str, list[tuple[int, int]]]] = []
+        self.broken: str | None = None
         self._globals()
 
     def _bytes(self, raw: bytes) -> str:
@@ -160,7 +161,8 @@ class Workbook:
             while len(self.strings) < unique and not p.done():
                 self.strings.append(rich_string(p))
         except (ParseError, struct.error):
-            pass  # what came before a broken string stays
+            # what came before a broken string stays
+            self.broken = f"xls: {len(self.strings)} of {unique} shared strings can be read"
 
     def cells(self, sheet: int) -> Iterator[tuple]:
         """(row, column, type, xf, shared string, text, number, whole) of a
@@ -227,37 +229,43 @@ class Workbook:
                 yield row, col, "Formula", xf, None, ERRORS.get(body[8], ""), None, 0
 
 
+workbook = last_of(Workbook)
+
+
 def book_rows(data: bytes, **o):
-    b = Workbook(data, **o)
+    b = workbook(data, **o)
     yield b.version, b.codepage, b.date1904, len(b.sheets), len(b.strings)
 
 
 def cell_rows(data: bytes, **o):
-    b = Workbook(data, **o)
+    b = workbook(data, **o)
     for k, (_, name) in enumerate(b.sheets):
         for cell in b.cells(k):
             yield k, name, *cell
 
 
 def sheet_rows(data: bytes, **o):
-    for k, (place, name) in enumerate(Workbook(data, **o).sheets):
+    for k, (place, name) in enumerate(workbook(data, **o).sheets):
         yield k, name, place
 
 
 def string_rows(data: bytes, **o):
-    for k, (text, runs) in enumerate(Workbook(data, **o).strings):
+    b = workbook(data, **o)
+    for k, (text, runs) in enumerate(b.strings):
         yield k, text, [{"ich": i, "ifnt": f} for i, f in runs]
+    if b.broken:
+        raise ParseError(b.broken)
 
 
 def xf_rows(data: bytes, **o):
-    for k, (font, ifmt) in enumerate(Workbook(data, **o).xfs):
+    for k, (font, ifmt) in enumerate(workbook(data, **o).xfs):
         yield k, font, ifmt
 
 
 def format_rows(data: bytes, **o):
-    yield from sorted(Workbook(data, **o).formats.items())
+    yield from sorted(workbook(data, **o).formats.items())
 
 
 def record_rows(data: bytes, **o):
-    for k, (at, number, body) in enumerate(records(Workbook(data, **o).stream)):
+    for k, (at, number, body) in enumerate(records(workbook(data, **o).stream)):
         yield k, at, number, len(body), body

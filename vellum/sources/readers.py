@@ -2,7 +2,7 @@
 
 Files come through Spark's ``binaryFile``, so any file system that Spark reads
 will do, and go to their parser one by one: a task holds one file. Only the
-asked-for table is parsed for. What a file yields before an error stays; with
+asked-for table is parsed for, or several of them from one read. What a file yields before an error stays; with
 ``mode`` PERMISSIVE the error is a row of its own with ``_error``, with
 DROPMALFORMED it is left out, with FAILFAST it ends the query.
 """
@@ -89,6 +89,67 @@ def _batch(path: str, rows: list[tuple], target: pa.Schema, error: str | None =
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
 
+def parse_all(source: DataFrame, tables: tuple[str, ...], mode: str = "PERMISSIVE", **options) -> DataFrame:
+    """Several tables of the files in ``source`` from one read of each file:
+    (path, table, _error) and a struct column for each table, filled in the
+    rows of that table. ``of`` takes one table out."""
+    for t in tables:
+        if t not in TABLES:
+            raise ValueError(f"no table {t}; there are {', '.join(TABLES)}")
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    schema = _parse_datatype_string("path string, table string, _error string, " + ", ".join(f"{t} struct<{_nested(TABLES[t][0])}>" for t in tables))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+
+    def made(path: str, table: str, rows: list[tuple], error: str | None = None) -> pa.RecordBatch:
+        cols = [pa.array([path] * len(rows)), pa.array([table] * len(rows)), pa.array([error] * len(rows), pa.string())]
+        for f in list(target)[3:]:
+            if f.name == table and error is None:
+                fields = list(f.type)
+                cols.append(pa.StructArray.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows), fields)], fields=fields))
+            else:
+                cols.append(pa.nulls(len(rows), f.type))
+        return pa.RecordBatch.from_arrays(cols, schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py()
+                for t in tables:
+                    held: list[tuple] = []
+                    error = None
+                    try:
+                        if data is None:
+                            raise ole.ParseError("file: no content")
+                        for row in TABLES[t][1](data, **options):
+                            held.append(row)
+                            if len(held) == ROWS:
+                                yield made(path, t, held)
+                                held = []
+                    except Exception as e:  # noqa: BLE001  (any bytes may come)
+                        if mode == "FAILFAST":
+                            raise
+                        error = str(e) if isinstance(e, ole.ParseError) else f"{t}: {type(e).__name__}: {e}"
+                    if held:
+                        yield made(path, t, held)
+                    if error and mode == "PERMISSIVE":
+                        yield made(path, t, [()], error)
+
+    return source.select("path", "content").mapInArrow(run, schema)
+
+
+def _nested(fields: str) -> str:
+    """Fields of a table as those of a struct."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in _parse_datatype_string(fields))
+
+
+def of(parsed: DataFrame, table: str) -> DataFrame:
+    """One table of what ``parse_all`` gave, without its errors."""
+    return parsed.where((F.col("table") == table) & F.col("_error").isNull()).select("path", f"{table}.*")
+
+
 def load(spark: SparkSession, path: str | list[str], table: str, mode: str = "PERMISSIVE", pattern: str | None = None, **options) -> DataFrame:
     """A table of all files under a path."""
     return parse(files(spark, path, pattern), table, mode, **options)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 from vellum.sources import officeart as oa
-from vellum.sources.ole import CompoundFile, ParseError
+from vellum.sources.ole import CompoundFile, ParseError, last_of
 
 # Record types.
 DOCUMENT, DOCUMENT_ATOM, SLIDE, SLIDE_ATOM, ENVIRONMENT, SLIDE_PERSIST, MASTER, DRAWING, FONTS, SCHEME = 0x3E8, 0x3E9, 0x3EE, 0x3EF, 0x3F2, 0x3F3, 0x3F8, 0x40C, 0x7D5, 0x7F0
@@ -422,20 +422,23 @@ def styled_lines(text: str, paras: list, chars: list, fonts: list[str]) -> Itera
             yield k, j, text[s:e], level, para.get("alignment"), para.get("bullet"), _font(p, fonts), p.get("font_size"), p.get("bold"), p.get("italic"), p.get("underline"), p.get("color_raw")
 
 
+presentation = last_of(Presentation)
+
+
 def record_rows(data: bytes):
-    p = Presentation(data)
+    p = presentation(data)
     for r, depth, parent in oa.tree(p.data):
         yield r.offset, depth, parent, r.ver, r.instance, r.type, r.end - r.start, None if r.ver == 15 else p.body(r)
 
 
 def info_rows(data: bytes):
-    p = Presentation(data)
+    p = presentation(data)
     yield *p.size(), sum(o[0] == "slide" for o in p.owners), sum(o[0] == "master" for o in p.owners), p.fonts
 
 
 def rows_of(name: str):
     def rows(data: bytes):
-        yield from getattr(Presentation(data), name)()
+        yield from getattr(presentation(data), name)()
 
     return rows
 

@@ -9,7 +9,7 @@ from functools import cached_property
 
 from vellum.sources import officeart
 from vellum.sources.biff import CODECS
-from vellum.sources.ole import CompoundFile, ParseError
+from vellum.sources.ole import CompoundFile, ParseError, last_of
 
 # Indices of 32-bit words in the table of offsets, property
 # codes, code pages of primary languages, colors by index.
@@ -421,30 +421,33 @@ class Document:
         yield from rows
 
 
+document = last_of(Document)
+
+
 def fib_rows(data: bytes, **o):
-    d = Document(data, **o)
+    d = document(data, **o)
     yield d.n_fib, d.lid, codepage(d.lid, d.compat), d.table_stream, d.ccp_text, d.ccp_ftn, d.ccp_hdd
 
 
 def text_rows(data: bytes, **o):
-    d = Document(data, **o)
+    d = document(data, **o)
     yield d.text, d.full_text
 
 
 def piece_rows(data: bytes, **o):
-    for k, row in enumerate(Document(data, **o).pieces):
+    for k, row in enumerate(document(data, **o).pieces):
         yield k, *row
 
 
 def rows_of(name: str):
     def rows(data: bytes, **o):
-        yield from getattr(Document(data, **o), name)()
+        yield from getattr(document(data, **o), name)()
 
     return rows
 
 
 def font_rows(data: bytes, **o):
-    yield from enumerate(Document(data, **o).fonts)
+    yield from enumerate(document(data, **o).fonts)
 
 
 _CHARS = "font_name string, font_size int, bold boolean, italic boolean, underline int, color string"
