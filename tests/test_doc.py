@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tests import builders as b
+from vellum.plans import samples as b
 from vellum.operators import document as dm
 from vellum.operators import packages as pk
 from vellum.plans import convert

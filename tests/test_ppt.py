@@ -4,7 +4,7 @@ import struct
 import xml.dom.minidom
 import zipfile
 
-from tests import builders as b
+from vellum.plans import samples as b
 from vellum.operators import packages as pk
 from vellum.operators import slides as sl
 from vellum.plans import convert

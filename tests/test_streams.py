@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests import builders as b
+from vellum.plans import samples as b
 from vellum.plans import convert
 from vellum.sources import datasource
 from vellum.streaming import arrivals

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tests import builders as b
+from vellum.plans import samples as b
 from vellum.functions import numbers
 from vellum.operators import cells as cl
 from vellum.operators import packages as pk

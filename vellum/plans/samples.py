@@ -1,4 +1,4 @@
-"""Office files for tests, built from rows: the parsers' inverse."""
+"""Legacy office files built from rows: the parsers' inverse. Queries and tests read them."""
 
 from __future__ import annotations
 
@@ -211,7 +211,7 @@ def _fkp(runs: list[tuple[int, int, bytes | None]], entry: int) -> bytes:
     return bytes(page)
 
 
-def document(pieces: list, chars: list = (), paras: list = (), styles: list[bytes] = (), fonts: list[str] = (), lists: list = (), overrides: list[int] = (), sections: list = (), stories: list[str] = (), lid: int = 0x409, codec: str = "cp1252", pictures: bytes = b"", **shape) -> bytes:
+def document(pieces: list, chars: list = (), paras: list = (), styles: list[bytes] = (), fonts: list[str] = (), lists: list = (), overrides: list[int] = (), sections: list = (), stories: list[str] = (), lid: int = 0x409, codec: str = "cp1252", pictures: bytes = b"", align: int = 4, **shape) -> bytes:
     """A document of text pieces, a string or (string, wide). ``chars`` and
     ``paras`` are (first place, past the last, properties); a paragraph's
     properties are (istd, properties)."""
@@ -229,7 +229,7 @@ def document(pieces: list, chars: list = (), paras: list = (), styles: list[byte
         end = len(body)
         places.append(places[-1] + len(text))
         entries.append(struct.pack("<HIH", 0, fc if wide else fc * 2 | 0x40000000, 0))
-        body += b"\0" * (-len(body) % 4)
+        body += b"\0" * (-len(body) % align)
     last = end
     offset = lambda cp: byte_of[cp] if cp < len(byte_of) else last
     after = lambda cp: byte_of[cp - 1] + (2 if _wide(pieces, cp - 1) else 1) if cp else 1024
