@@ -148,3 +148,97 @@ def test_presets_beyond_type_100(spark):
     assert {r.k: r.v for r in rows} == want
     kinds = {*range(101, 113), *range(114, 117), *range(120, 123), *range(183, 187), 202}
     assert kinds <= pptx.PRESETS.keys()
+
+
+def _parts_of(spark, data):
+    row = convert.ppt_to_pptx(source(spark, d=data)).first()
+    assert row._error is None and row._partial is None
+    with zipfile.ZipFile(io.BytesIO(bytes(row.content))) as z:
+        out = {n: z.read(n).decode() for n in z.namelist() if n.endswith((".xml", ".rels"))}
+    for text in out.values():
+        xml.dom.minidom.parseString(text)
+    assert pk.broken_relations(pk.unzipped(source(spark, d=bytes(row.content)))).count() == 0
+    return out
+
+
+def test_masters_become_layouts_with_pictures_watermarks_and_title_grounds(spark):
+    hint = b.shape(1, (0, 0, 100, 100), b.text_box(1, "Click to edit Master title"))
+    line = b.shape(20, (0, 1000, 5000, 1000))
+    full = b.shape(75, (0, 0, 5760, 4320), b.properties(p104=1))
+    mark = b.shape(75, (100, 3500, 400, 4200), b.properties(p104=2))
+    logo = b.shape(75, (100, 100, 400, 400), b.properties(p104=2))
+    white = chars(1 | 1 << 17 | 1 << 18, 1, 30) + struct.pack("<I", 0xFE203040)
+    title = b.text_style([(6, 0, struct.pack("<I", 0))], [(6, white)])
+    head = b.shape(202, (10, 10, 2000, 500), b.text_box(0, "Title", title))
+    scheme = ["FFFFFF", "102030", *SCHEME[2:]]
+    data = b.presentation([[head], [b.shape(3, (0, 2000, 90, 2090))]], [[hint, line, full, mark, logo]], ["Arial"], pictures=[b.picture("PNG", b"one"), b.picture("JPEG", b"two")], scheme=scheme)
+    out = _parts_of(spark, data)
+    layout, slide = out["ppt/slideLayouts/slideLayout1.xml"], out["ppt/slides/slide1.xml"]
+    assert "Click to edit" not in "".join(out.values())
+    assert 'r:embed="rIdImg1"' in layout.split("</p:bg>")[0] and layout.count("<p:pic>") == 1 and layout.count("<p:cxnSp>") == 1
+    assert slide.count("<p:pic>") == 1 and slide.index("<p:pic>") < slide.index("Title")  # the watermark lies below
+    assert all(f"image{k}" in out["ppt/slideLayouts/_rels/slideLayout1.xml.rels"] for k in (1, 2)) and "image2" in out["ppt/slides/_rels/slide2.xml.rels"]
+    assert "ppt/slideLayouts/slideLayout2.xml" not in out
+
+
+def test_white_titles_name_the_ground_of_their_layout(spark):
+    line = b.shape(20, (0, 1000, 5000, 1000))
+    style = b.text_style([(6, 0, struct.pack("<I", 0))], [(6, chars(1 | 1 << 17 | 1 << 18, 1, 30) + struct.pack("<I", 0xFEFFFFFF))])
+    head = b.shape(202, (10, 10, 2000, 500), b.text_box(0, "Title", style))
+    out = _parts_of(spark, b.presentation([[head]], [[line]], ["Arial"], scheme=["FFFFFF", "102030", *SCHEME[2:]]))
+    layout = out["ppt/slideLayouts/slideLayout1.xml"]
+    assert "Title ground" in layout and f'cy="{1000 * 12700 // 8}"' in layout and 'val="FFFFFF"' in layout
+    assert '<a:srgbClr val="FFFFFF"/>' in out["ppt/slides/slide1.xml"]
+
+
+def test_sizes_fonts_and_spacing_of_texts_without(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, 0, "given", 20, "Arial", None), (0, 1, "late", None, None, None), (1, 0, "nothing at all is given here and the text is long enough to wrap", None, None, None), (2, 0, "tiny", None, None, 300), (3, 0, "", None, "", None), (3, 1, "b", 9, "Calibri", None)]
+    runs = spark.createDataFrame([("d", "slide", 0, z, p, 0, t, s, f, sp) for z, p, t, s, f, sp in rows], "path string, owner_kind string, owner_id long, z int, para_idx int, run_idx int, text string, font_size int, font_name string, line_spacing int")
+    boxes = [(0, 10**6, 10**6), (1, 10**6, 10**6), (2, 10**6, 250_000), (3, 0, 0)]
+    shapes = spark.createDataFrame([("d", "slide", 0, z, cx, cy) for z, cx, cy in boxes], "path string, owner_kind string, owner_id long, z int, cx long, cy long")
+    shapes = shapes.select("*", F.lit(None).cast("string").alias("fill_color"), F.lit(None).cast("boolean").alias("no_fill"), *[F.lit(None).cast("long").alias(f"inset_{c}") for c in ("left", "top", "right", "bottom")])
+    got = {(r.z, r.para_idx): (r.font_size, r.font_name) for r in sl.sized(runs, shapes).collect()}
+
+    def largest(text, cx, cy, most, spacing=1.0):
+        w, h = (cx - 182_880, cy - 91_440) if cy >= 500_000 else (cx - 50_800, cy - 25_400)
+        for size in (20, 18, 16, 14, 12, 11, 10, 9, 8, 7, 6):
+            per = max(1, int(w / (size * 12700 * 0.85)))
+            if size <= most and max(1, -(-len(text) // per)) * size * 12700 * (spacing if spacing > 1 else 1.2) <= h:
+                return size
+        return 6
+
+    assert got[0, 0] == got[0, 1] == (20, "Arial") and got[3, 0] == got[3, 1] == (9, "Calibri")
+    assert got[1, 0] == (largest(rows[2][2], 10**6, 10**6, 20), sl.FONT) and got[2, 0] == (largest("tiny", 10**6, 250_000, 14, 3.0), sl.FONT)
+
+
+def test_colors_that_show(spark):
+    from pyspark.sql import functions as F
+
+    s = ["FFFFFF", "101010"]
+    cases = [  # color, raw, fill, filled, dark behind, picture behind, scheme, in title, what shows
+        (None, 0, None, False, False, False, s, False, "101010"), (None, 0, "000080", True, False, False, s, False, "FFFFFF"), ("AA0000", 0, None, False, True, False, s, False, "FFFFFF"),
+        (None, 0, None, False, False, True, s, False, "FFFFFF"), (None, 0, None, False, False, False, s, True, "FFFFFF"), (None, 0, None, False, False, False, [], False, None),
+        ("FFFFFF", 0xFE000000, None, False, False, False, s, False, "101010"), ("FFFFFF", 0xFE000000, "FFD966", True, False, False, s, False, "FFFFFF"), ("FFFFFF", 0x08000000, "E9EBF5", True, False, False, s, False, "101010"),
+        ("FFFFFF", 0xFE000000, None, False, True, False, s, False, "FFFFFF"), ("FFFFFF", 0xFE000000, None, False, False, True, s, False, "FFFFFF"), ("111111", 0xFE111111, "000000", True, False, False, s, False, "FFFFFF"),
+        ("FFD966", 0xFE66D9FF, "FFD966", True, False, False, s, False, "101010"), ("000000", 0xFE000001, None, False, True, False, s, False, "FFFFFF"), ("FF0000", 0xFE0000FF, None, False, True, False, s, False, "FF0000"),
+        ("FFFFFF", 0xFEFFFFFF, None, False, False, False, s, False, "101010"), ("FFFFFF", 0xFEFFFFFF, None, False, False, False, s, True, "FFFFFF"), ("FEFEFE", 0xFEFEFEFE, "E9EBF5", True, False, False, s, False, "101010"),
+        ("FEFEFE", 0xFEFEFEFE, "E9EBF5", True, False, False, [], False, "000000"), ("003296", 0xFE963200, None, False, False, False, s, False, "003296"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, raw long, fill string, filled boolean, dark boolean, image boolean, scheme array<string>, title boolean, want string")
+    rows = df.select("i", "want", sl.visible_color(*[F.col(c) for c in ("t", "raw", "fill", "filled", "dark", "image", "scheme", "title")]).alias("got")).collect()
+    assert [(r.i, r.got) for r in rows if r.got != r.want] == []
+
+
+def test_frames_arrows_and_bodies(spark):
+    turned = b.shape(3, (100, 100, 300, 200), b.properties(p4=90 << 16))
+    arrow = b.shape(32, (0, 0, 400, 0), b.properties(p1c0=0, p1d0=1, p1d1=2, p1d2=0, p1d3=2, p1d5=1))
+    box = b.shape(202, (0, 0, 800, 800), b.text_box(1, "x"), b.properties(p81=1000, p84=0, p85=0, p87=4))
+    bare = b.shape(20, (0, 0, 400, 0))
+    slide = _parts_of(spark, b.presentation([[turned, arrow, box, bare]]))["ppt/slides/slide1.xml"]
+    emu = lambda v: v * 12700 // 8
+    assert f'rot="5400000"><a:off x="{emu(100) + emu(200) // 2 - emu(100) // 2}" y="{emu(100) + emu(100) // 2 - emu(200) // 2}"/><a:ext cx="{emu(100)}" cy="{emu(200)}"/>' in slide
+    assert '<a:headEnd type="triangle" w="sm" len="lg"/><a:tailEnd type="stealth" len="med"/>' in slide
+    assert '<a:bodyPr lIns="1000" bIns="0" anchor="ctr" anchorCtr="1" wrap="none"><a:normAutofit/></a:bodyPr>' in slide
+    assert slide.count('<a:ln><a:solidFill><a:srgbClr val="000000"/></a:solidFill></a:ln>') == 1

@@ -100,11 +100,17 @@ def cell_reference(column: Column, row: Column) -> Column:
     return F.concat(column_letters(column), (row + 1).cast("string"))
 
 
-def is_placeholder(text: Column) -> Column:
-    """Master placeholders, bare decoration, short web addresses."""
+def is_edit_hint(text: Column) -> Column:
+    """A master's invitation to edit."""
     part = text.contains(PLACEHOLDER_PARTS[0])
     for p in PLACEHOLDER_PARTS[1:]:
         part |= text.contains(p)
+    return part
+
+
+def is_placeholder(text: Column) -> Column:
+    """Master placeholders, bare decoration, short web addresses."""
+    part = is_edit_hint(text)
     web = text.contains("www.") | text.contains(".com") | text.contains(".cn") | text.contains(".org")
     return part | text.isin(*PLACEHOLDER_TEXTS) | text.isin(*DECORATION) | ((F.octet_length(text) <= 30) & web)
 

@@ -74,10 +74,19 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
     slides = t["ppt_slides"]
     if not keep_empty:
         slides = tables.stored(slides.join(sl.empty_slides(slides, t["ppt_runs"]).select("path", "slide_idx"), ["path", "slide_idx"], "left_anti"), "slides")
+    # slides without a master share a layout of their own
+    slides = slides.withColumn("master_ref", F.coalesce("master_ref", F.lit(0)))
+    slides = tables.stored(slides.join(sl.layouts(slides), ["path", "master_ref"]), "pages")
     scheme = tables.stored(sl.schemes(slides, t["ppt_schemes"]), "schemes")
-    placed = tables.stored(sl.placed(t["ppt_shapes"]), "placed")
-    runs = tables.stored(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), "styled")
+    placed = tables.stored(sl.colored(sl.placed(t["ppt_shapes"]), scheme), "placed")
+    runs = tables.stored(sl.sized(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), placed), "styled")
+    masters = tables.stored(sl.master_backgrounds(t["ppt_backgrounds"], scheme), "grounds")
+    ground = tables.stored(sl.grounds(placed, slides, masters), "behind")
+    runs = tables.stored(sl.shown(runs, placed, scheme, ground), "shown")
+    layers = tables.stored(sl.layered(placed, runs, slides.select("path", "master_ref", "layout_idx").distinct(), t["ppt_presentations"]), "layers")
+    titles = sl.title_grounds(placed, runs, slides, t["ppt_presentations"])
     kept = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"))
-    shown = placed.join(kept, sl.OWNER, "left_semi")
-    parts = pptx.parts(t["ppt_presentations"], slides, shown, runs, t["ppt_images"], scheme, t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi"), sl.backgrounds(slides, t["ppt_backgrounds"], scheme), t["ppt_geometry"])
+    drawn = placed.join(kept, sl.OWNER, "left_semi")
+    listed = t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi")
+    parts = pptx.parts(t["ppt_presentations"], slides, drawn, runs, t["ppt_images"], scheme, listed, sl.backgrounds(slides, t["ppt_backgrounds"], scheme), t["ppt_geometry"], layers, masters, titles)
     return _with_errors(source, packages.zipped(parts), raw, "ppt_presentations")

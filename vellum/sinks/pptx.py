@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,6 +33,11 @@ PRESETS = {
 DASHES = {0: "solid", 1: "sysDash", 2: "sysDot", 3: "sysDashDot", 4: "sysDashDotDot", 5: "dot", 6: "dash", 7: "lgDash", 8: "dashDot", 9: "lgDashDot", 10: "lgDashDotDot"}
 ENDS = {1: "triangle", 2: "stealth", 3: "diamond", 4: "oval", 5: "arrow"}
 ALIGNMENTS = {0: "l", 1: "ctr", 2: "r", 3: "just"}
+ANCHORS = {0: "t", 1: "ctr", 2: "b", 3: "t", 4: "ctr", 5: "b"}
+STEPS = {0: "sm", 1: "med", 2: "lg"}
+THEME = ("FFFFFF", "000000", "EEECE1", "1F497D", "4F81BD", "C0504D", "0000FF", "800080")
+THEME_ORDER = ("dk1", "lt1", "dk2", "lt2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
+COLOR_MAP = '<p:clrMap bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"/>'
 # End of fixed values.
 _THEME_COLORS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "hlink", "folHlink")
 
@@ -88,56 +93,128 @@ def _texts(runs: DataFrame) -> DataFrame:
     return paras.groupBy(*sl.OWNER, "z").agg(pk.ordered_text("para", "para_idx").alias("body"))
 
 
-def _shape_xml() -> Column:
-    """One shape: a picture, a connector or a form with text."""
-    k = (F.col("z") + 2).cast("string")
+def _frame() -> Column:
+    """A shape's place. Its box is that of the turned shape, so near a quarter
+    turn the sides change places around the center."""
     turn = units.rotation(F.coalesce("rotation_raw", F.lit(0)))
-    frame = F.concat(F.lit("<a:xfrm"), _if(turn != 0, ' rot="', turn, '"'), F.lit('><a:off x="'), F.col("x"), F.lit('" y="'), F.col("y"), F.lit('"/><a:ext cx="'), F.greatest("cx", F.lit(0)), F.lit('" cy="'), F.greatest("cy", F.lit(0)), F.lit('"/></a:xfrm>'))
+    w, h = F.greatest("cx", F.lit(0)), F.greatest("cy", F.lit(0))
+    swap = units.is_quarter_turn(turn) & ~turn.isin(45 * 60000, 135 * 60000, 225 * 60000, 315 * 60000)
+    x = F.when(swap, F.col("x") + F.floor(w / 2) - F.floor(h / 2)).otherwise(F.col("x"))
+    y = F.when(swap, F.col("y") + F.floor(h / 2) - F.floor(w / 2)).otherwise(F.col("y"))
+    cx, cy = F.when(swap, h).otherwise(w), F.when(swap, w).otherwise(h)
+    flips = [_if(F.col(c), f' {n}="1"') for c, n in (("flip_h", "flipH"), ("flip_v", "flipV"))]
+    return F.concat(F.lit("<a:xfrm"), _if(turn != 0, ' rot="', turn, '"'), *flips, F.lit('><a:off x="'), x, F.lit('" y="'), y, F.lit('"/><a:ext cx="'), cx, F.lit('" cy="'), cy, F.lit('"/></a:xfrm>'))
+
+
+def _body_props() -> Column:
+    """Insets, anchor and wrapping of a text, as far as they are given."""
+    inset = [_if(F.col(f"inset_{c}") >= 0, f' {n}="', F.col(f"inset_{c}"), '"') for c, n in (("left", "lIns"), ("top", "tIns"), ("right", "rIns"), ("bottom", "bIns"))]
+    anchor = _if(F.col("anchor").between(0, 5), ' anchor="', _map(ANCHORS, F.col("anchor").cast("int"), "t"), '"')
+    return F.concat(F.lit("<a:bodyPr"), *inset, anchor, _if(F.col("anchor").between(3, 5), ' anchorCtr="1"'), _if(F.col("wrap") == 0, ' wrap="none"'), F.lit("><a:normAutofit/></a:bodyPr>"))
+
+
+def _shape_xml() -> Column:
+    """One shape of number ``n``: a picture, a connector or a form with text."""
+    k = F.col("n").cast("string")
+    frame = _frame()
     geometry = F.coalesce(F.col("own_path"), F.concat(F.lit('<a:prstGeom prst="'), _map(PRESETS, F.col("shape_type"), "rect"), F.lit('"><a:avLst/></a:prstGeom>')))
-    end = lambda c, n: _if(F.col(c).between(1, 5), f'<a:{n} type="', _map(ENDS, F.col(c).cast("int"), "none"), '"/>')
-    style = F.concat(_if(F.col("line_dash") > 0, '<a:prstDash val="', _map(DASHES, F.col("line_dash").cast("int"), "solid"), '"/>'), end("line_start", "headEnd"), end("line_end", "tailEnd"))
+    step = lambda c, n: _if(F.col(c).between(0, 2), f' {n}="', _map(STEPS, F.col(c).cast("int"), "med"), '"')
+    end = lambda c, n: _if(F.col(f"line_{c}").between(1, 5), f'<a:{n} type="', _map(ENDS, F.col(f"line_{c}").cast("int"), "none"), '"', step(f"{c}_width", "w"), step(f"{c}_length", "len"), "/>")
+    style = F.concat(_if(F.col("line_dash") > 0, '<a:prstDash val="', _map(DASHES, F.col("line_dash").cast("int"), "solid"), '"/>'), end("start", "headEnd"), end("end", "tailEnd"))
     alpha = _if(F.col("fill_opacity") < 65536, '<a:alpha val="', units.crop(F.col("fill_opacity")), '"/>')
     filled = sl.is_filled(F.col("fill_color"), F.col("no_fill"), F.col("fill_opacity"))
     fill = F.when(filled, F.concat(F.lit('<a:solidFill><a:srgbClr val="'), "fill_color", F.lit('">'), alpha, F.lit("</a:srgbClr></a:solidFill>"))).otherwise("<a:noFill/>")
-    drawn = (F.length("line_color") > 0) & ~F.coalesce("no_line", F.lit(False))
-    line = F.when(F.coalesce(drawn, F.lit(False)), F.concat(F.lit('<a:ln w="'), F.coalesce("line_width", F.lit(9525)), F.lit('"><a:solidFill><a:srgbClr val="'), F.coalesce("line_color", F.lit("")), F.lit('"/></a:solidFill>'), style, F.lit("</a:ln>"))).otherwise("<a:ln><a:noFill/></a:ln>")
+    told = (F.length("line_color") > 0) | (sl.is_connector(F.col("shape_type")) & ((F.col("line_width") > 0) | (F.col("line_start") > 0) | (F.col("line_end") > 0)))
+    drawn = F.coalesce(told, F.lit(False)) & ~F.coalesce("no_line", F.lit(False))
+    line = F.when(drawn, F.concat(F.lit('<a:ln w="'), F.coalesce("line_width", F.lit(9525)), F.lit('"><a:solidFill><a:srgbClr val="'), F.coalesce("line_color", F.lit("000000")), F.lit('"/></a:solidFill>'), style, F.lit("</a:ln>"))).when(sl.is_connector(F.col("shape_type")) & ~F.coalesce("no_line", F.lit(False)), '<a:ln><a:solidFill><a:srgbClr val="000000"/></a:solidFill></a:ln>').otherwise("<a:ln><a:noFill/></a:ln>")
     form = F.concat(frame, geometry, fill, line)
     name = F.concat(F.lit('<p:cNvPr id="'), k, F.lit('" name="Shape '), k, F.lit('"/>'))
     cut = lambda c: units.crop(F.coalesce(F.col(c), F.lit(0)))
     crop = F.concat(F.lit('<a:srcRect l="'), cut("crop_left"), F.lit('" t="'), cut("crop_top"), F.lit('" r="'), cut("crop_right"), F.lit('" b="'), cut("crop_bottom"), F.lit('"/>'))
     picture = F.concat(F.lit("<p:pic><p:nvPicPr>"), name, F.lit('<p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="rIdImg'), F.col("image_idx") + 1, F.lit('"/>'), crop, F.lit("<a:stretch><a:fillRect/></a:stretch></p:blipFill><p:spPr>"), frame, F.lit('<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr></p:pic>'))
     connector = F.concat(F.lit("<p:cxnSp><p:nvCxnSpPr>"), name, F.lit("<p:cNvCxnSpPr/><p:nvPr/></p:nvCxnSpPr><p:spPr>"), frame, geometry, line, F.lit("</p:spPr></p:cxnSp>"))
-    plain = F.concat(F.lit("<p:sp><p:nvSpPr>"), name, F.lit("<p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr>"), form, F.lit('</p:spPr><p:txBody><a:bodyPr wrap="square"/><a:lstStyle/>'), F.coalesce("body", F.lit("<a:p/>")), F.lit("</p:txBody></p:sp>"))
+    plain = F.concat(F.lit("<p:sp><p:nvSpPr>"), name, F.lit("<p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr>"), form, F.lit("</p:spPr><p:txBody>"), _body_props(), F.lit("<a:lstStyle/>"), F.coalesce("body", F.lit("<a:p/>")), F.lit("</p:txBody></p:sp>"))
     return F.when(F.col("file").isNotNull(), picture).when(sl.is_connector(F.col("shape_type")), connector).otherwise(plain)
 
 
-def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame, backgrounds: DataFrame, geometry: DataFrame) -> DataFrame:
+def _ground(rows: DataFrame) -> Column:
+    """A background of ``color`` or of the picture ``file``, which goes first."""
+    cut = lambda c: units.crop(F.coalesce(F.col(c), F.lit(0)))
+    crops = [F.col(c) for c in ("crop_left", "crop_top", "crop_right", "crop_bottom")] if "crop_left" in rows.columns else []
+    crop = _if(F.greatest(*[F.coalesce(c, F.lit(0)) for c in crops]) > 0, '<a:srcRect l="', cut("crop_left"), '" t="', cut("crop_top"), '" r="', cut("crop_right"), '" b="', cut("crop_bottom"), '"/>') if crops else F.lit("")
+    picture = F.concat(F.lit('<a:blipFill><a:blip r:embed="rIdImg'), F.col("image_idx") + 1, F.lit('"/>'), crop, F.lit("<a:stretch><a:fillRect/></a:stretch></a:blipFill>"))
+    solid = F.concat(F.lit('<a:solidFill><a:srgbClr val="'), F.col("color"), F.lit('"/></a:solidFill>'))
+    fill = F.when(F.col("file").isNotNull(), picture).when(F.length("color") == 6, solid)
+    return F.coalesce(F.concat(F.lit("<p:bg><p:bgPr>"), fill, F.lit("<a:effectLst/></p:bgPr></p:bg>")), F.lit(""))
+
+
+def _relations(used: DataFrame, by: list[str]) -> DataFrame:
+    """(by, relations): each picture that a part uses once, by number."""
+    one = F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="../media/'), "file", F.lit('"/>'))
+    rows = used.where("file IS NOT NULL").select(*by, "image_idx", one.alias("relation")).distinct()
+    return rows.groupBy(*by).agg(pk.ordered_text("relation", "image_idx").alias("relations"))
+
+
+def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame, images: DataFrame, scheme: DataFrame, texts: DataFrame, backgrounds: DataFrame, geometry: DataFrame, layers: DataFrame, master_grounds: DataFrame, titles: DataFrame) -> DataFrame:
     """(path, part_name, content) of a package for every presentation, from
-    placed shapes and styled runs. A slide without shapes shows its listed
-    texts in one box; one without a background of its own takes its master's
-    (backgrounds: path, slide_idx, color, already chosen)."""
+    slides with their layouts' numbers, placed shapes and styled runs. A slide
+    without shapes shows its listed texts in one box; one without a background
+    of its own takes its master's (backgrounds: path, slide_idx, color,
+    image_idx, already chosen).
+
+    Each master that slides refer to makes a layout of its shapes (layers), its
+    background (master_grounds) and, if there is one, the ground of its titles;
+    its watermarks stand on its slides, below their own shapes."""
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("ppt/media/"), "file").alias("part_name"), F.col("data").alias("content"))
-    on_slides = shapes.where("owner_kind = 'slide'").join(fine.select("path", "image_idx", "file"), ["path", "image_idx"], "left").join(_texts(runs), [*sl.OWNER, "z"], "left")
-    paths = geometry.select(*sl.OWNER, "z", path_xml("geo_w", "geo_h", "vertices", "segments").alias("own_path"))
-    on_slides = on_slides.join(paths, [*sl.OWNER, "z"], "left")
-    on_slides = on_slides.select("path", F.col("owner_id").cast("int").alias("slide_idx"), "z", "image_idx", "file", _shape_xml().alias("xml"))
-    listed = texts.join(on_slides.select("path", "slide_idx").distinct(), ["path", "slide_idx"], "left_anti")
+    fine = fine.select("path", "image_idx", "file")
+    owner = [*sl.OWNER, "z"]
+    dressed = lambda rows: rows.join(fine, ["path", "image_idx"], "left").join(_texts(runs), owner, "left").join(geometry.select(*owner, path_xml("geo_w", "geo_h", "vertices", "segments").alias("own_path")), owner, "left")
+
+    page = ["path", "slide_idx"]
+    own = dressed(shapes.where("owner_kind = 'slide'")).withColumns({"slide_idx": F.col("owner_id").cast("int"), "layer": F.lit(1)})
+    marks = dressed(layers.where("layer = 'over'")).join(slides.select(*page, "layout_idx"), ["path", "layout_idx"]).withColumn("layer", F.lit(0)).drop("layout_idx")
+    drawn = own.unionByName(marks.select(*own.columns))
+    drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy(*page).orderBy("layer", "z")) + 1)
+    drawn = drawn.select(*page, "n", "layer", "image_idx", "file", _shape_xml().alias("xml"))
+    listed = texts.join(drawn.where("layer = 1").select(*page).distinct(), page, "left_anti")
     lines = F.transform(tx.lines(F.col("text")), lambda t: F.concat(F.lit('<a:p><a:r><a:rPr lang="en-US"/><a:t>'), pk.xml(t), F.lit("</a:t></a:r></a:p>")))
-    listed = listed.withColumn("line", F.array_join(lines, "")).groupBy("path", "slide_idx").agg(pk.ordered_text("line", "text_idx").alias("lines"))
-    box = F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="2" name="Text"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="457200"/><a:ext cx="8229600" cy="5943600"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr/><a:lstStyle/>'), "lines", F.lit("</p:txBody></p:sp>"))
-    body = on_slides.groupBy("path", "slide_idx").agg(pk.ordered_text("xml", "z").alias("body")).unionByName(listed.select("path", "slide_idx", box.alias("body")))
-    used = on_slides.where("file IS NOT NULL").select("path", "slide_idx", "image_idx", F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="../media/'), "file", F.lit('"/>')).alias("relation")).distinct()
-    used = used.groupBy("path", "slide_idx").agg(pk.ordered_text("relation", "image_idx").alias("relations"))
-    rows = slides.select("path", "slide_idx").join(body, ["path", "slide_idx"], "left").join(used, ["path", "slide_idx"], "left").join(backgrounds, ["path", "slide_idx"], "left").na.fill("", ["body", "relations"])
-    back = _if(F.length("color") == 6, '<p:bg><p:bgPr><a:solidFill><a:srgbClr val="', F.col("color"), '"/></a:solidFill><a:effectLst/></p:bgPr></p:bg>')
+    listed = listed.withColumn("line", F.array_join(lines, "")).groupBy(*page).agg(pk.ordered_text("line", "text_idx").alias("lines"))
+    box = F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="1000" name="Text"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="457200"/><a:ext cx="8229600" cy="5943600"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr/><a:lstStyle/>'), "lines", F.lit("</p:txBody></p:sp>"))
+    body = drawn.groupBy(*page).agg(pk.ordered_text("xml", "n").alias("body")).join(listed.select(*page, box.alias("box")), page, "full_outer")
+    body = body.select(*page, F.concat(F.coalesce("body", F.lit("")), F.coalesce("box", F.lit(""))).alias("body"))
+    grounds = backgrounds.join(fine, ["path", "image_idx"], "left")
+    used = _relations(drawn.select(*page, "image_idx", "file").unionByName(grounds.select(*page, "image_idx", "file")), page)
+    rows = slides.select(*page, "layout_idx").join(body, page, "left").join(used, page, "left").join(grounds.select(*page, _ground(grounds).alias("ground")), page, "left").na.fill("", ["body", "relations", "ground"])
     tree = lambda c, bg=F.lit(""): F.concat(F.lit("<p:cSld>"), bg, F.lit('<p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'), c, F.lit("</p:spTree></p:cSld>"))
-    n = F.col("slide_idx") + 1
+    n, m = F.col("slide_idx") + 1, F.col("layout_idx") + 1
     wrap = lambda a, c, b: F.concat(F.lit(_HEAD + a), c, F.lit(b))
     rels = lambda c: wrap(f'<Relationships xmlns="{_PACKAGE}/relationships">', c, "</Relationships>")
+    rel = lambda i, t, target: f'<Relationship Id="{i}" Type="{_R}/{t}" Target="{target}"/>'
+
+    layout = ["path", "layout_idx"]
+    sheets = slides.select("path", "layout_idx", "master_ref").distinct().groupBy(*layout).agg(F.min("master_ref").alias("owner_id"))
+    sheets = info.select("path").join(sheets, "path", "left").na.fill(0, ["layout_idx"])
+    plain = dressed(layers.where("layer = 'plain'"))
+    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy(*layout).orderBy("z")) + 2).select(*layout, "n", "image_idx", "file", _shape_xml().alias("xml"))
+    crops = ["crop_left", "crop_top", "crop_right", "crop_bottom"]
+    full = layers.where("layer = 'back'").groupBy(*layout).agg(F.min_by(F.struct("image_idx", *crops), "z").alias("f")).select(*layout, F.col("f.image_idx").alias("full_idx"), *[F.col(f"f.{c}").alias(c) for c in crops])
+    back = sheets.join(master_grounds, ["path", "owner_id"], "left").join(full, layout, "left").select(*layout, "color", F.coalesce("full_idx", "image_idx").alias("image_idx"), *crops).join(fine, ["path", "image_idx"], "left")
+    on_layout = _relations(plain.select(*layout, "image_idx", "file").unionByName(back.select(*layout, "image_idx", "file")), layout)
+    size = info.select("path", units.from_master(F.col("width")).alias("__w"))
+    shade = F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="2" name="Title ground"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="'), "__w", F.lit('" cy="'), "bottom", F.lit('"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom><a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="'), "color", F.lit('"/></a:gs><a:gs pos="100000"><a:srgbClr val="'), "color", F.lit('"><a:tint val="60000"/></a:srgbClr></a:gs></a:gsLst><a:lin ang="0" scaled="1"/></a:gradFill><a:ln><a:noFill/></a:ln></p:spPr></p:sp>'))
+    shaded = titles.join(size, "path").select(*layout, shade.alias("shade"))
+    sheets = sheets.join(plain.groupBy(*layout).agg(pk.ordered_text("xml", "n").alias("body")), layout, "left").join(on_layout, layout, "left").join(back.select(*layout, _ground(back).alias("ground")), layout, "left").join(shaded, layout, "left")
+    sheets = sheets.na.fill("", ["body", "relations", "ground", "shade"])
+    sheet = sheets.select(
+        *layout,
+        F.concat(F.lit('<p:sldLayoutId id="'), F.lit(2147483649) + F.col("layout_idx"), F.lit('" r:id="rIdL'), m, F.lit('"/>')).alias("entry"),
+        F.concat(F.lit('<Relationship Id="rIdL'), m, F.lit(f'" Type="{_R}/slideLayout" Target="../slideLayouts/slideLayout'), m, F.lit('.xml"/>')).alias("relation"),
+        F.concat(F.lit('<Override PartName="/ppt/slideLayouts/slideLayout'), m, F.lit(f'.xml" ContentType="{_TYPE}.slideLayout+xml"/>')).alias("kind"),
+    )
+    sheet = sheet.groupBy("path").agg(pk.ordered_text("entry", "layout_idx").alias("layout_entries"), pk.ordered_text("relation", "layout_idx").alias("layout_relations"), pk.ordered_text("kind", "layout_idx").alias("layout_kinds"))
     each = rows.select(
-        "path",
-        "slide_idx",
+        *page,
         F.concat(F.lit('<p:sldId id="'), F.col("slide_idx") + 256, F.lit('" r:id="rIdS'), n, F.lit('"/>')).alias("entry"),
         F.concat(F.lit('<Relationship Id="rIdS'), n, F.lit(f'" Type="{_R}/slide" Target="slides/slide'), n, F.lit('.xml"/>')).alias("relation"),
         F.concat(F.lit('<Override PartName="/ppt/slides/slide'), n, F.lit(f'.xml" ContentType="{_TYPE}.slide+xml"/>')).alias("kind"),
@@ -145,31 +222,29 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     book = each.groupBy("path").agg(pk.ordered_text("entry", "slide_idx").alias("entries"), pk.ordered_text("relation", "slide_idx").alias("slide_relations"), pk.ordered_text("kind", "slide_idx").alias("kinds"))
     used_scheme = scheme.where("owner_kind = 'slide' AND colors IS NOT NULL").groupBy("path", "colors").agg(F.count(F.lit(1)).alias("n"), F.min("owner_id").alias("first"))
     used_scheme = used_scheme.groupBy("path").agg(F.max_by("colors", F.struct("n", -F.col("first"))).alias("colors"))
-    book = info.join(book, "path", "left").join(used_scheme, "path", "left").na.fill("", ["entries", "slide_relations", "kinds"])
-    size = F.concat(F.lit('<p:sldSz cx="'), units.from_master(F.col("width")), F.lit('" cy="'), units.from_master(F.col("height")), F.lit('"/><p:notesSz cx="6858000" cy="9144000"/>'))
-    default = ("FFFFFF", "000000", "EEECE1", "1F497D", "4F81BD", "C0504D", "0000FF", "800080")
+    book = info.join(book, "path", "left").join(sheet, "path", "left").join(used_scheme, "path", "left").na.fill("", ["entries", "slide_relations", "kinds", "layout_entries", "layout_relations", "layout_kinds"])
+    slide_size = F.concat(F.lit('<p:sldSz cx="'), units.from_master(F.col("width")), F.lit('" cy="'), units.from_master(F.col("height")), F.lit('"/><p:notesSz cx="6858000" cy="9144000"/>'))
     names = dict(zip(_THEME_COLORS, range(8)))
-    theme_color = lambda n, k: F.concat(F.lit(f'<a:{n}><a:srgbClr val="'), F.coalesce(F.get("colors", k), F.lit(default[k])), F.lit(f'"/></a:{n}>'))
-    order = ("dk1", "lt1", "dk2", "lt2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
-    colors = F.concat(*[theme_color(n, names.get(n, 4 + i % 2)) for i, n in enumerate(order)])
+    theme_color = lambda n, k: F.concat(F.lit(f'<a:{n}><a:srgbClr val="'), F.coalesce(F.get("colors", k), F.lit(THEME[k])), F.lit(f'"/></a:{n}>'))
+    colors = F.concat(*[theme_color(n, names.get(n, 4 + i % 2)) for i, n in enumerate(THEME_ORDER)])
     fills = '<a:fillStyleLst>{0}</a:fillStyleLst><a:lnStyleLst>{1}</a:lnStyleLst><a:effectStyleLst>{2}</a:effectStyleLst><a:bgFillStyleLst>{0}</a:bgFillStyleLst>'.format('<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>' * 3, '<a:ln w="9525"><a:solidFill><a:schemeClr val="phClr"/></a:solidFill></a:ln>' * 3, "<a:effectStyle><a:effectLst/></a:effectStyle>" * 3)
     face = '<a:latin typeface="Calibri"/><a:ea typeface=""/><a:cs typeface=""/>'
     theme = wrap(f'<a:theme xmlns:a="{_A}" name="Theme"><a:themeElements><a:clrScheme name="Scheme">', colors, f'</a:clrScheme><a:fontScheme name="Fonts"><a:majorFont>{face}</a:majorFont><a:minorFont>{face}</a:minorFont></a:fontScheme><a:fmtScheme name="Format">{fills}</a:fmtScheme></a:themeElements></a:theme>')
     fixed = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Default Extension="{e}" ContentType="image/{t}"/>' for e, t in (("png", "png"), ("jpg", "jpeg"), ("emf", "x-emf"), ("wmf", "x-wmf"), ("pict", "pict"), ("dib", "bmp"), ("tiff", "tiff")))
-    fixed += f'<Override PartName="/ppt/presentation.xml" ContentType="{_TYPE}.presentation.main+xml"/><Override PartName="/ppt/slideMasters/slideMaster1.xml" ContentType="{_TYPE}.slideMaster+xml"/><Override PartName="/ppt/slideLayouts/slideLayout1.xml" ContentType="{_TYPE}.slideLayout+xml"/><Override PartName="/ppt/theme/theme1.xml" ContentType="application/vnd.openxmlformats-officedocument.theme+xml"/>'
-    rel = lambda i, t, target: f'<Relationship Id="{i}" Type="{_R}/{t}" Target="{target}"/>'
-    empty = tree(F.lit(""))
+    fixed += f'<Override PartName="/ppt/presentation.xml" ContentType="{_TYPE}.presentation.main+xml"/><Override PartName="/ppt/slideMasters/slideMaster1.xml" ContentType="{_TYPE}.slideMaster+xml"/><Override PartName="/ppt/theme/theme1.xml" ContentType="application/vnd.openxmlformats-officedocument.theme+xml"/>'
+    style = lambda name, points: f'<p:{name}><a:lvl1pPr><a:defRPr sz="{points}00"><a:latin typeface="{sl.FONT}"/><a:ea typeface="{sl.FONT}"/></a:defRPr></a:lvl1pPr></p:{name}>'
+    styles = style("titleStyle", 32) + style("bodyStyle", 18) + style("otherStyle", 18)
     out = [
-        pk.part(rows, F.concat(F.lit("ppt/slides/slide"), n, F.lit(".xml")), wrap(f"<p:sld {_NS}>", tree(F.col("body"), back), "</p:sld>")),
-        pk.part(rows, F.concat(F.lit("ppt/slides/_rels/slide"), n, F.lit(".xml.rels")), rels(F.concat(F.lit(rel("rIdL", "slideLayout", "../slideLayouts/slideLayout1.xml")), "relations"))),
-        pk.part(book, "ppt/presentation.xml", wrap(f'<p:presentation {_NS}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rIdM"/></p:sldMasterIdLst><p:sldIdLst>', F.concat("entries", F.lit("</p:sldIdLst>"), size), "</p:presentation>")),
+        pk.part(rows, F.concat(F.lit("ppt/slides/slide"), n, F.lit(".xml")), wrap(f"<p:sld {_NS}>", tree(F.col("body"), F.col("ground")), "<p:clrMapOvr><a:masterClrMapping/></p:clrMapOvr></p:sld>")),
+        pk.part(rows, F.concat(F.lit("ppt/slides/_rels/slide"), n, F.lit(".xml.rels")), rels(F.concat(F.lit(f'<Relationship Id="rIdL" Type="{_R}/slideLayout" Target="../slideLayouts/slideLayout'), m, F.lit('.xml"/>'), "relations"))),
+        pk.part(book, "ppt/presentation.xml", wrap(f'<p:presentation {_NS}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rIdM"/></p:sldMasterIdLst><p:sldIdLst>', F.concat("entries", F.lit("</p:sldIdLst>"), slide_size), "</p:presentation>")),
         pk.part(book, "ppt/_rels/presentation.xml.rels", rels(F.concat(F.lit(rel("rIdM", "slideMaster", "slideMasters/slideMaster1.xml") + rel("rIdT", "theme", "theme/theme1.xml")), "slide_relations"))),
-        pk.part(book, "ppt/slideMasters/slideMaster1.xml", wrap(f"<p:sldMaster {_NS}>", empty, '<p:clrMap bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rIdL"/></p:sldLayoutIdLst></p:sldMaster>')),
-        pk.part(book, "ppt/slideMasters/_rels/slideMaster1.xml.rels", rels(F.lit(rel("rIdL", "slideLayout", "../slideLayouts/slideLayout1.xml") + rel("rIdT", "theme", "../theme/theme1.xml")))),
-        pk.part(book, "ppt/slideLayouts/slideLayout1.xml", wrap(f"<p:sldLayout {_NS}>", empty, "</p:sldLayout>")),
-        pk.part(book, "ppt/slideLayouts/_rels/slideLayout1.xml.rels", rels(F.lit(rel("rIdM", "slideMaster", "../slideMasters/slideMaster1.xml")))),
+        pk.part(book, "ppt/slideMasters/slideMaster1.xml", wrap(f"<p:sldMaster {_NS}>", F.concat(tree(F.lit("")), F.lit(f"{COLOR_MAP}<p:sldLayoutIdLst>"), "layout_entries"), f"</p:sldLayoutIdLst><p:txStyles>{styles}</p:txStyles></p:sldMaster>")),
+        pk.part(book, "ppt/slideMasters/_rels/slideMaster1.xml.rels", rels(F.concat("layout_relations", F.lit(rel("rIdT", "theme", "../theme/theme1.xml"))))),
+        pk.part(sheets, F.concat(F.lit("ppt/slideLayouts/slideLayout"), m, F.lit(".xml")), wrap(f'<p:sldLayout {_NS} type="blank" preserve="1" showMasterSp="0">', tree(F.concat("shade", "body"), F.col("ground")), "</p:sldLayout>")),
+        pk.part(sheets, F.concat(F.lit("ppt/slideLayouts/_rels/slideLayout"), m, F.lit(".xml.rels")), rels(F.concat(F.lit(rel("rIdM", "slideMaster", "../slideMasters/slideMaster1.xml")), "relations"))),
         pk.part(book, "ppt/theme/theme1.xml", theme),
-        pk.part(book, "[Content_Types].xml", wrap(f'<Types xmlns="{_PACKAGE}/content-types">{fixed}', F.col("kinds"), "</Types>")),
+        pk.part(book, "[Content_Types].xml", wrap(f'<Types xmlns="{_PACKAGE}/content-types">{fixed}', F.concat("kinds", "layout_kinds"), "</Types>")),
         pk.part(book, "_rels/.rels", rels(F.lit(rel("rId1", "officeDocument", "ppt/presentation.xml")))),
         media,
     ]

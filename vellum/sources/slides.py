@@ -295,7 +295,8 @@ class Presentation:
                 inner = min(l, r), min(t, b), abs(r - l), abs(b - t)
             l, t, r, b, own = box or (0, 0, 0, 0, True)
             image = num(0x104)
-            yield kind, owner, z, parent, group, own, shape, l, t, r - l, b - t, *inner, color(fill), fill, off(0x1BF, 4), num(0x182), color(line), line, off(0x1FF, 3), num(0x1CB), num(0x1CE), num(0x1D0), num(0x1D1), num(0x4), self._text_type(parts), image - 1 if image else None, *(num(k) for k in (0x100, 0x101, 0x102, 0x103))
+            flags = struct.unpack_from("<I", self.data, sp.start + 4)[0] if sp and sp.end - sp.start >= 8 else 0
+            yield kind, owner, z, parent, group, own, shape, l, t, r - l, b - t, *inner, color(fill), fill, off(0x1BF, 4), num(0x182), color(line), line, off(0x1FF, 3), num(0x1CB), num(0x1CE), num(0x1D0), num(0x1D1), num(0x4), self._text_type(parts), image - 1 if image else None, *(num(k) for k in (0x100, 0x101, 0x102, 0x103, 0x1D2, 0x1D3, 0x1D4, 0x1D5, 0x81, 0x82, 0x83, 0x84, 0x85, 0x87)), bool(flags & 0x40), bool(flags & 0x80)
 
     def backgrounds(self) -> Iterator[tuple]:
         """(kind, id, color, raw color, picture) of each slide's or master's
@@ -392,7 +393,8 @@ def _font(props: dict, fonts: list[str]) -> str | None:
 
 def styled_lines(text: str, paras: list, chars: list, fonts: list[str]) -> Iterator[tuple]:
     """(paragraph, run, text, level, alignment, bullet, font, size, bold,
-    italic, underline, raw color); an empty line has one empty run."""
+    italic, underline, raw color, line spacing); an empty line has one empty
+    run."""
     edges, at = [], 0
     for n, props in chars:
         edges.append((at, at + n, props))
@@ -419,7 +421,7 @@ def styled_lines(text: str, paras: list, chars: list, fonts: list[str]) -> Itera
         if done < b or not cuts:
             cuts.append((done, b, {}))
         for j, (s, e, p) in enumerate(cuts):
-            yield k, j, text[s:e], level, para.get("alignment"), para.get("bullet"), _font(p, fonts), p.get("font_size"), p.get("bold"), p.get("italic"), p.get("underline"), p.get("color_raw")
+            yield k, j, text[s:e], level, para.get("alignment"), para.get("bullet"), _font(p, fonts), p.get("font_size"), p.get("bold"), p.get("italic"), p.get("underline"), p.get("color_raw"), para.get("line_spacing")
 
 
 presentation = last_of(Presentation)
@@ -451,10 +453,10 @@ TABLES = {
     "ppt_slides": ("slide_idx int, slide_id bigint, layout_type int, master_ref bigint, has_record boolean", rows_of("slides")),
     "ppt_schemes": ("owner_kind string, owner_id bigint, colors array<string>", rows_of("schemes")),
     "ppt_texts": ("slide_idx int, text_idx int, text_type int, text string", rows_of("texts")),
-    "ppt_shapes": (f"{_OWNER}, group_z int, is_group boolean, own_anchor boolean, shape_type int, l bigint, t bigint, w bigint, h bigint, gx bigint, gy bigint, gw bigint, gh bigint, fill_color string, fill_raw bigint, no_fill boolean, fill_opacity bigint, line_color string, line_raw bigint, no_line boolean, line_width bigint, line_dash bigint, line_start bigint, line_end bigint, rotation_raw bigint, text_type int, image_idx int, crop_top bigint, crop_bottom bigint, crop_left bigint, crop_right bigint", rows_of("shapes")),
+    "ppt_shapes": (f"{_OWNER}, group_z int, is_group boolean, own_anchor boolean, shape_type int, l bigint, t bigint, w bigint, h bigint, gx bigint, gy bigint, gw bigint, gh bigint, fill_color string, fill_raw bigint, no_fill boolean, fill_opacity bigint, line_color string, line_raw bigint, no_line boolean, line_width bigint, line_dash bigint, line_start bigint, line_end bigint, rotation_raw bigint, text_type int, image_idx int, crop_top bigint, crop_bottom bigint, crop_left bigint, crop_right bigint, start_width bigint, start_length bigint, end_width bigint, end_length bigint, inset_left bigint, inset_top bigint, inset_right bigint, inset_bottom bigint, wrap bigint, anchor bigint, flip_h boolean, flip_v boolean", rows_of("shapes")),
     "ppt_backgrounds": ("owner_kind string, owner_id bigint, color string, color_raw bigint, image_idx int", rows_of("backgrounds")),
     "ppt_geometry": (f"{_OWNER}, geo_w bigint, geo_h bigint, vertices array<struct<x:int,y:int>>, segments array<struct<seg_type:int,count:int>>", rows_of("geometry")),
-    "ppt_runs": (f"{_OWNER}, para_idx int, run_idx int, text string, level int, alignment int, bullet boolean, font_name string, font_size int, bold boolean, italic boolean, underline boolean, color_raw bigint", rows_of("runs")),
+    "ppt_runs": (f"{_OWNER}, para_idx int, run_idx int, text string, level int, alignment int, bullet boolean, font_name string, font_size int, bold boolean, italic boolean, underline boolean, color_raw bigint, line_spacing int", rows_of("runs")),
     "ppt_master_styles": ("master_id bigint, text_type int, level int, font_size int, font_name string, bold boolean, italic boolean, color_raw bigint", rows_of("master_styles")),
     "ppt_images": ("image_idx int, format string, data binary", rows_of("pictures")),
 }
