@@ -187,3 +187,70 @@ def test_picture_sizes(spark):
     assert size_of(dense) == (200 * 3048, 100 * 3048) and size_of(b"") is None and size_of(b"\xff\xd8") is None and size_of(png[:20]) is None
     df = spark.createDataFrame([(bytearray(png),), (bytearray(b"no"),), (None,)], "d binary")
     assert [r[0].cx for r in df.select(picture_size("d")).collect()] == [1905000, None, None]
+
+
+def _text_of(spark, content, name):
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+        for n in z.namelist():
+            if n.endswith((".xml", ".rels")):
+                xml.dom.minidom.parseString(z.read(n))
+        return z.read(name).decode()
+
+
+def test_marks_without_a_place_take_pictures_in_turn(spark):
+    runs = spark.createDataFrame([("d", 0, 0, "a\x01b\x01", None), ("d", 1, 0, "\x01", 70), ("d", 2, 0, "x", None), ("d", 2, 1, "\x01", 99), ("e", 0, 0, "\x01", None)], "path string, para_idx int, run_idx int, text string, pic_location long")
+    table = spark.createDataFrame([("d", 70, 5), ("d", 71, 6)], "path string, pic_location long, pic_idx int")
+    got = [(r.path, r.para_idx, r.image_idx) for r in dm.inline_pictures(runs, table).orderBy("path", "para_idx", "ord").collect()]
+    assert got == [("d", 0, 0), ("d", 0, 1), ("d", 1, dm.INLINE + 5), ("d", 2, 3), ("e", 0, 0)]
+
+
+def test_fields_and_tabs_of_stories(spark):
+    from vellum.sinks import docx
+
+    raw = ["Page \x13 PAGE \x14" + "1\x15 of\t\x13 NUMPAGES \x15", "a & b\x14c", ""]
+    rows = [r.x for r in spark.createDataFrame(list(enumerate(raw)), "i int, t string").orderBy("i").select(docx.story_xml(F.col("t")).alias("x")).collect()]
+    for x in rows:
+        xml.dom.minidom.parseString(f'<p xmlns:w="w">{x}</p>')
+    assert '<w:fldSimple w:instr=" PAGE "><w:r><w:t xml:space="preserve">1</w:t></w:r></w:fldSimple>' in rows[0] and '<w:fldSimple w:instr=" NUMPAGES "/>' in rows[0] and "<w:tab/>" in rows[0]
+    assert "a &amp; bc" in rows[1]
+
+
+def test_story_texts_once_in_order(spark):
+    table = spark.createDataFrame([("d", 3, "header", "even", "B\r"), ("d", 1, "header", "default", "A\r"), ("d", 5, "header", "first", "B"), ("d", 7, "footer", "first", "\r")], "path string, story_idx int, kind string, story_type string, raw_text string")
+    assert [(r.kind, r.texts) for r in dm.story_texts(table).collect()] == [("header", ["A", "B"])]
+    assert {(r.story_idx, r.cp) for r in dm.story_starts(table).collect()} == {(1, 0), (3, 2), (5, 4), (7, 5)}
+
+
+def test_header_pictures_boxes_and_used_styles(spark, sample):
+    from vellum.sinks import docx
+
+    png = b"\x89PNG\r\n\x1a\n" + bytes(8) + struct.pack(">II", 100, 200) + bytes(20)
+    text = lambda content, name: _text_of(spark, content, name)
+    whole = convert.doc_to_docx(source(spark, d=sample)).first().content
+    styles = text(whole, "word/styles.xml")
+    assert 'w:styleId="Heading1"' in styles and "Heading2" not in styles and "TOC1" not in styles
+    assert "fldSimple" in text(whole, "word/header2.xml")
+    paras_, t = paras(spark, d=sample)
+    laid = dm.laid_out(paras_)
+    stories = spark.createDataFrame([("d", 0, "header", "first", "", ""), ("d", 1, "footer", "default", "f", "f")], "path string, story_idx int, kind string, story_type string, text string, raw_text string")
+    images = spark.createDataFrame([("d", 0, "PNG", bytearray(png)), ("d", 1, "PNG", bytearray(png))], "path string, image_idx int, format string, data binary")
+    boxes = spark.createDataFrame([("d", 1, "boxed\n<line>")], "path string, para_idx int, text string")
+    placed = spark.createDataFrame([], "path string, para_idx int, ord int, image_idx int")
+    pictured = spark.createDataFrame([("d", 0, [1])], "path string, story_idx int, images array<int>")
+    parts = docx.parts(laid, dm.runs(laid, t["doc_char_runs"]), stories, images, dm.contents(laid), placed, boxes, pictured)
+    content = pk.zipped(parts).first().content
+    body, head = text(content, "word/document.xml"), text(content, "word/header1.xml")
+    assert 'behindDoc="1"' in head and 'r:embed="rIdImg2"' in head and "image2.png" in text(content, "word/_rels/header1.xml.rels")
+    assert body.count("<wp:inline") == 1 and "rIdImg1" in body and "<w:txbxContent><w:p><w:r><w:t" in body and "&lt;line&gt;" in body
+    assert pk.broken_relations(pk.unzipped(source(spark, d=bytes(content)))).count() == 0
+
+
+def test_plain_packages(spark, sample):
+    src = source(spark, d=sample, e=b.document(["One & <two>\r", ("thréé\r", False)], pictures=b.picture("PNG", b"\x89PNG....")), broken=b"x")
+    rows = {r.path: r for r in convert.doc_to_docx(src, plain=True).collect()}
+    assert rows["broken"]._error.startswith("cfb: ") and rows["d"]._error is None
+    parts = pk.unzipped(source(spark, d=bytes(rows["d"].content), e=bytes(rows["e"].content)))
+    assert pk.broken_relations(parts).count() == 0
+    got = pk.texts(parts.where("part_name = 'word/document.xml'"), "w:t").orderBy("path", "idx").collect()
+    assert [r.text for r in got if r.path == "e"] == ["One & <two>", "thréé"] and "".join(r.text for r in got if r.path == "d") == "TitleBody text hereItemABCDLast"
+    assert _text_of(spark, rows["e"].content, "word/document.xml").count("<w:drawing>") == 1

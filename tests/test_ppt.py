@@ -242,3 +242,12 @@ def test_frames_arrows_and_bodies(spark):
     assert '<a:headEnd type="triangle" w="sm" len="lg"/><a:tailEnd type="stealth" len="med"/>' in slide
     assert '<a:bodyPr lIns="1000" bIns="0" anchor="ctr" anchorCtr="1" wrap="none"><a:normAutofit/></a:bodyPr>' in slide
     assert slide.count('<a:ln><a:solidFill><a:srgbClr val="000000"/></a:solidFill></a:ln>') == 1
+
+
+def test_plain_packages(spark):
+    row = convert.ppt_to_pptx(source(spark, d=sample()), plain=True).first()
+    parts = pk.unzipped(source(spark, d=bytes(row.content)))
+    assert pk.broken_relations(parts).count() == 0
+    slides_ = parts.where("part_name LIKE 'ppt/slides/slide%.xml'")
+    assert [r.text for r in pk.texts(slides_, "a:t").orderBy("part_name", "idx").collect()] == ["Hello", "World!", "abc", "Listed & more"]
+    assert not [r for r in slides_.collect() if b"<p:pic>" in bytes(r.content)]

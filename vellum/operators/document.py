@@ -226,11 +226,16 @@ def contents(paras: DataFrame) -> DataFrame:
     return joins.match_titles(entries, heads, BY, "entry", "title", "para_idx", "target").select("path", "para_idx", "target")
 
 
-def stories(table: DataFrame) -> DataFrame:
-    """Headers and footers that show something, with their text."""
+def stories(table: DataFrame, pictured: DataFrame | None = None) -> DataFrame:
+    """Headers and footers that show something, with their text; of
+    ``pictured`` (path, story_idx) those without a text as well."""
     raw = F.regexp_replace("raw_text", "[\r\n]+$", "")
     shown = F.translate(tx.strip_field_codes(raw, keep_pictures=False), "\r\n", "")
-    return table.withColumns({"text": shown, "raw_text": F.translate(raw, "\x01\x02\x03\x04\x05\x07\x08\x0c", "")}).where(F.length("text") > 0)
+    rows = table.withColumns({"text": shown, "raw_text": F.translate(raw, "\x01\x02\x03\x04\x05\x07\x08\x0c", "")})
+    if pictured is None:
+        return rows.where(F.length("text") > 0)
+    marked = pictured.select("path", "story_idx", F.lit(True).alias("__pictured"))
+    return rows.join(marked, ["path", "story_idx"], "left").where((F.length("text") > 0) | F.col("__pictured")).drop("__pictured")
 
 
 #: Numbers of inline pictures begin here, behind those of the store.
@@ -261,11 +266,31 @@ def drawn_pictures(paras: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def inline_pictures(runs: DataFrame, table: DataFrame) -> DataFrame:
-    """(path, para_idx, ord, image_idx): runs with a picture mark and the
-    picture at the place that their properties name."""
-    rows = runs.where(F.col("text").contains("\x01") & F.col("pic_location").isNotNull())
-    out = rows.join(table.select("path", "pic_location", "pic_idx"), ["path", "pic_location"])
-    return out.select("path", "para_idx", F.col("run_idx").alias("ord"), (F.col("pic_idx") + INLINE).alias("image_idx"))
+    """(path, para_idx, ord, image_idx): a row for each picture mark of a run.
+    The picture is the one at the place that the run's properties name; where
+    they name none that is there, the document's nth mark has the nth picture
+    of its store. ``ord`` comes behind those of drawn pictures."""
+    marked = runs.where(F.col("text").contains("\x01")).select("path", "para_idx", "run_idx", "text", "pic_location")
+    marks = _marks(marked, "text", "\x01", ["path", "para_idx", "run_idx", "pic_location"])
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("para_idx", "run_idx", "place")) - 1
+    at = table.groupBy("path", "pic_location").agg(F.min("pic_idx").alias("pic_idx"))
+    out = marks.withColumn("nth", nth).join(at, ["path", "pic_location"], "left")
+    image = F.coalesce(F.col("pic_idx") + INLINE, F.col("nth"))
+    return out.select("path", "para_idx", (F.lit(1 << 20) + F.row_number().over(Window.partitionBy("path", "para_idx").orderBy("run_idx", "place"))).alias("ord"), image.alias("image_idx"))
+
+
+def story_starts(table: DataFrame) -> DataFrame:
+    """(path, story_idx, cp): where each story begins among the headers."""
+    rows = seq.offsets(table.select("path", "story_idx", "raw_text"), BY, ["story_idx"], F.char_length("raw_text"), "cp")
+    return rows.select("path", "story_idx", "cp")
+
+
+def story_texts(table: DataFrame) -> DataFrame:
+    """(path, kind, texts): what headers and footers say, each text once, in
+    the order of the stories."""
+    first = stories(table).groupBy("path", "kind", "text").agg(F.min("story_idx").alias("at"))
+    rows = F.sort_array(F.collect_list(F.struct("at", "text")))
+    return first.groupBy("path", "kind").agg(F.transform(rows, lambda r: r["text"]).alias("texts"))
 
 
 def header_pictures(stories_table: DataFrame, slots: DataFrame, header_starts: DataFrame) -> DataFrame:

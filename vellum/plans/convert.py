@@ -42,10 +42,14 @@ def xls_to_xlsx(source: DataFrame, **options) -> DataFrame:
     return _with_errors(source, xlsx.packages(t["xls_cells"], t["xls_sst"], t["xls_sheets"]), raw, "xls_cells")
 
 
-def doc_to_docx(source: DataFrame, **options) -> DataFrame:
+def doc_to_docx(source: DataFrame, plain: bool = False, **options) -> DataFrame:
     """Documents to text packages: paragraphs, runs, tables, lists, contents,
     headers and footers, pictures. A side table that can't be read counts as
-    empty, so what there is of text always comes out."""
+    empty, so what there is of text always comes out; with ``plain`` the text
+    alone, and the pictures behind it."""
+    if plain:
+        raw, t = _parsed(source, ("doc_text", "doc_images"), **options)
+        return _with_errors(source, packages.zipped(docx.plain_parts(t["doc_text"].select("path", "text"), t["doc_images"])), raw, "doc_text")
     raw, t = _parsed(source, DOC_TABLES, **options)
     paras = dm.paragraphs(t["doc_text"], t["doc_para_runs"], t["doc_styles"], t["doc_lists"], t["doc_list_overrides"], t["doc_sections"])
     paras = tables.stored(dm.repaired_tables(tables.stored(paras, "paragraphs")), "repaired")
@@ -59,17 +63,21 @@ def doc_to_docx(source: DataFrame, **options) -> DataFrame:
     placed = dm.largest_picture(dm.drawn_pictures(paras, slots), images).select("path", "para_idx", "ord", "image_idx")
     placed = tables.stored(placed.unionByName(dm.inline_pictures(runs, t["doc_inline_pictures"])), "placed")
     boxes = tables.stored(dm.boxes_at(paras, t["doc_textboxes"], slots), "boxes")
-    parts = docx.parts(paras, runs, dm.stories(t["doc_stories"]), images, targets, placed, boxes)
+    heads = t["doc_stories"]
+    pictured = dm.header_pictures(heads, dm.shape_slots(t["doc_spa"], t["doc_shape_pictures"], "header"), dm.story_starts(heads))
+    pictured = tables.stored(pictured, "pictured")
+    parts = docx.parts(paras, runs, dm.stories(heads, pictured), images, targets, placed, boxes, pictured)
     return _with_errors(source, packages.zipped(parts), raw, "doc_text")
 
 
 PPT_TABLES = ("ppt_presentations", "ppt_slides", "ppt_shapes", "ppt_runs", "ppt_schemes", "ppt_master_styles", "ppt_texts", "ppt_images", "ppt_backgrounds", "ppt_geometry")
 
 
-def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
+def ppt_to_pptx(source: DataFrame, keep_empty: bool = True, plain: bool = False) -> DataFrame:
     """Presentations to slide packages: shapes in place, runs with their
     masters' styles and schemes, pictures. ``keep_empty`` off leaves out
-    slides without a text that says something."""
+    slides without a text that says something; ``plain`` puts each slide's
+    texts into one box and leaves out all else."""
     raw, t = _parsed(source, PPT_TABLES)
     slides = t["ppt_slides"]
     if not keep_empty:
@@ -87,6 +95,8 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True) -> DataFrame:
     titles = sl.title_grounds(placed, runs, slides, t["ppt_presentations"])
     kept = slides.select("path", F.lit("slide").alias("owner_kind"), F.col("slide_idx").cast("long").alias("owner_id"))
     drawn = placed.join(kept, sl.OWNER, "left_semi")
+    if plain:
+        drawn, layers, masters, titles = (x.where("false") for x in (drawn, layers, masters, titles))
     listed = t["ppt_texts"].join(slides.select("path", "slide_idx"), ["path", "slide_idx"], "left_semi")
     parts = pptx.parts(t["ppt_presentations"], slides, drawn, runs, t["ppt_images"], scheme, listed, sl.backgrounds(slides, t["ppt_backgrounds"], scheme), t["ppt_geometry"], layers, masters, titles)
     return _with_errors(source, packages.zipped(parts), raw, "ppt_presentations")

@@ -21,7 +21,14 @@ _TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml"
 ALIGNMENTS = {0: "left", 1: "center", 2: "right", 3: "both", 4: "distribute"}
 NUMBERS = {0: "decimal", 1: "upperRoman", 2: "lowerRoman", 3: "upperLetter", 4: "lowerLetter", 5: "ordinal", 22: "chineseCounting", 38: "chineseCountingThousand", 23: "bullet"}
 RULES = {0: "auto", 1: "atLeast", 2: "exact"}
+SECTION = '<w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1800" w:bottom="1440" w:left="1800" w:header="851" w:footer="992" w:gutter="0"/>'  # page and margins
+BOX, SHEET, TALL = (5486400, 914400), 7560310, 5000000  # a text box, a page's width, what counts as a cover
 # End of fixed values.
+#: Stand for a field's begin, middle and end while text is made ready for XML.
+_FIELD = "\ue000\ue001\ue002"
+
+
+_PICTURE_KINDS = "".join(f'<Default Extension="{e}" ContentType="image/{t}"/>' for e, t in (("png", "png"), ("jpg", "jpeg"), ("emf", "x-emf"), ("wmf", "x-wmf"), ("pict", "pict"), ("dib", "bmp"), ("tiff", "tiff")))
 
 
 def _named(table: dict[int, str], c: str, default: str) -> Column:
@@ -114,7 +121,68 @@ def _drawing() -> Column:
     )
 
 
-def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFrame, targets: DataFrame, placed: DataFrame, boxes: DataFrame) -> DataFrame:
+def _box() -> Column:
+    """A text box of ``text``, a paragraph a line, that floats at its place."""
+    cx, cy = BOX
+    lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), pk.xml(t), F.lit("</w:t></w:r></w:p>")))
+    return F.concat(
+        F.lit('<w:r><w:drawing><wp:anchor xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" distT="0" distB="0" distL="114300" distR="114300" simplePos="0" relativeHeight="251659264" behindDoc="0" locked="0" layoutInCell="1" allowOverlap="1"><wp:simplePos x="0" y="0"/><wp:positionH relativeFrom="column"><wp:align>center</wp:align></wp:positionH><wp:positionV relativeFrom="paragraph"><wp:posOffset>0</wp:posOffset></wp:positionV>'),
+        F.lit(f'<wp:extent cx="{cx}" cy="{cy}"/><wp:effectExtent l="0" t="0" r="0" b="0"/><wp:wrapNone/><wp:docPr id="'), F.col("para_idx") + 1_000_000, F.lit('" name="Text box"/><a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.microsoft.com/office/word/2010/wordprocessingShape"><wps:wsp xmlns:wps="http://schemas.microsoft.com/office/word/2010/wordprocessingShape"><wps:cNvSpPr txBox="1"/>'),
+        F.lit(f'<wps:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{cx}" cy="{cy}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom><a:noFill/><a:ln><a:noFill/></a:ln></wps:spPr><wps:txbx><w:txbxContent>'), F.array_join(lines, ""), F.lit("</w:txbxContent></wps:txbx><wps:bodyPr/></wps:wsp></a:graphicData></a:graphic></wp:anchor></w:drawing></w:r>"),
+    )
+
+
+def _cover() -> Column:
+    """A picture of image_idx, cx and cy behind the text, as wide as the page."""
+    tall = F.floor(F.col("cy") * SHEET / F.col("cx"))
+    size = F.concat(F.lit(f'cx="{SHEET}" cy="'), tall, F.lit('"'))
+    k = F.col("image_idx") + 1
+    return F.concat(
+        F.lit('<w:drawing><wp:anchor xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" distT="0" distB="0" distL="0" distR="0" simplePos="0" relativeHeight="0" behindDoc="1" locked="1" layoutInCell="1" allowOverlap="1"><wp:simplePos x="0" y="0"/><wp:positionH relativeFrom="page"><wp:posOffset>0</wp:posOffset></wp:positionH><wp:positionV relativeFrom="page"><wp:posOffset>0</wp:posOffset></wp:positionV><wp:extent '), size,
+        F.lit('/><wp:effectExtent l="0" t="0" r="0" b="0"/><wp:wrapNone/><wp:docPr id="'), k, F.lit('" name="Picture"/><a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:nvPicPr><pic:cNvPr id="'), k, F.lit('" name="Picture"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rIdImg'), k,
+        F.lit('"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext '), size, F.lit('/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:anchor></w:drawing>'),
+    )
+
+
+def story_xml(raw: Column) -> Column:
+    """The runs of a header or footer: fields as fields with the result they
+    had, tabs as tabs; marks of what isn't closed go."""
+    text = pk.xml(F.translate(raw, "\x13\x14\x15", _FIELD))
+    begin, middle, end = _FIELD
+    field = F.regexp_replace(text, f"{begin}([^{_FIELD}]*){middle}([^{_FIELD}]*){end}", '</w:t></w:r><w:fldSimple w:instr="$1"><w:r><w:t xml:space="preserve">$2</w:t></w:r></w:fldSimple><w:r><w:t xml:space="preserve">')
+    bare = F.regexp_replace(field, f"{begin}([^{_FIELD}]*){end}", '</w:t></w:r><w:fldSimple w:instr="$1"/><w:r><w:t xml:space="preserve">')
+    whole = F.replace(F.translate(bare, _FIELD, ""), F.lit("\t"), F.lit('</w:t></w:r><w:r><w:tab/></w:r><w:r><w:t xml:space="preserve">'))
+    return F.concat(F.lit('<w:r><w:t xml:space="preserve">'), whole, F.lit("</w:t></w:r>"))
+
+
+def plain_parts(texts: DataFrame, images: DataFrame) -> DataFrame:
+    """(path, part_name, content) of packages with the text alone, a paragraph
+    a line (path, text), and the pictures behind it."""
+    fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
+    drawn = images_size(images).withColumn("drawing", F.concat(F.lit("<w:p><w:r>"), _drawing(), F.lit("</w:r></w:p>")))
+    relation = F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="media/'), "file", F.lit('"/>'))
+    pictures = fine.select("path", "image_idx", relation.alias("relation")).join(drawn, ["path", "image_idx"], "left").na.fill("", ["drawing"])
+    pictures = pictures.groupBy("path").agg(pk.ordered_text("drawing", "image_idx").alias("drawings"), pk.ordered_text("relation", "image_idx").alias("relations"))
+    shown = F.regexp_replace(F.translate(tx.strip_field_codes(F.col("text"), keep_pictures=False), "\x07\x0c", "\r\r"), "\r$", "")
+    lines = F.transform(F.split(shown, "\r"), lambda t: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), pk.xml(t), F.lit("</w:t></w:r></w:p>")))
+    rows = texts.select("path", F.array_join(lines, "").alias("body")).join(pictures, "path", "left").na.fill("", ["drawings", "relations"])
+    wrap = lambda a, c, b: F.concat(F.lit(_HEAD + a), c, F.lit(b))
+    kinds = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + _PICTURE_KINDS + "".join(f'<Override PartName="/word/{n}.xml" ContentType="{_TYPE}.{t}+xml"/>' for n, t in (("document", "document.main"), ("styles", "styles")))
+    out = [
+        pk.part(rows, "word/document.xml", wrap(f'<w:document xmlns:w="{_W}" xmlns:r="{_R}"><w:body>', F.concat("body", "drawings"), f"<w:sectPr>{SECTION}</w:sectPr></w:body></w:document>")),
+        pk.part(rows, "word/_rels/document.xml.rels", wrap(f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_R}/styles" Target="styles.xml"/>', F.col("relations"), "</Relationships>")),
+        pk.part(rows, "word/styles.xml", F.lit(f'{_HEAD}<w:styles xmlns:w="{_W}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style></w:styles>')),
+        pk.part(rows, "[Content_Types].xml", F.lit(f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types">{kinds}</Types>')),
+        pk.part(rows, "_rels/.rels", F.lit(f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_R}/officeDocument" Target="word/document.xml"/></Relationships>')),
+        fine.join(rows.select("path"), "path", "left_semi").select("path", F.concat(F.lit("word/media/"), "file").alias("part_name"), F.col("data").alias("content")),
+    ]
+    whole = out[0]
+    for p in out[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFrame, targets: DataFrame, placed: DataFrame, boxes: DataFrame, story_pictures: DataFrame | None = None) -> DataFrame:
     """(path, part_name, content) of a package for every document, from laid
     out paragraphs, their runs, headers and footers, pictures, headings of
     table-of-contents entries, pictures' places (path, para_idx, ord,
@@ -126,8 +194,7 @@ def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFra
     wide = images_size(images)
     inside = placed.join(wide, ["path", "image_idx"]).withColumn("drawing", F.concat(F.lit("<w:r>"), _drawing(), F.lit("</w:r>")))
     inside = inside.groupBy("path", "para_idx").agg(pk.ordered_text("drawing", "ord").alias("pictures"))
-    lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit('<w:r><w:t xml:space="preserve">'), pk.xml(t), F.lit("</w:t><w:br/></w:r>")))
-    boxed = boxes.select("path", "para_idx", F.array_join(lines, "").alias("box"))
+    boxed = boxes.select("path", "para_idx", _box().alias("box"))
     texts = texts.join(inside, ["path", "para_idx"], "full_outer").join(boxed, ["path", "para_idx"], "full_outer")
     texts = texts.select("path", "para_idx", F.concat(*[F.coalesce(c, F.lit("")) for c in ("runs", "pictures", "box")]).alias("runs"))
     rows = paras.where("NOT skip").join(texts, ["path", "para_idx"], "left").join(marks, ["path", "para_idx"], "left").join(targets, ["path", "para_idx"], "left")
@@ -136,7 +203,9 @@ def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFra
 
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("word/media/"), "file").alias("part_name"), F.col("data").alias("content"))
-    loose = wide.join(placed.select("path", "image_idx").distinct(), ["path", "image_idx"], "left_anti").select("path", "image_idx", F.concat(F.lit("<w:p><w:r>"), _drawing(), F.lit("</w:r></w:p>")).alias("drawing"))
+    in_stories = (story_pictures if story_pictures is not None else stories.sparkSession.createDataFrame([], "path string, story_idx int, images array<int>")).select("path", "story_idx", F.posexplode("images").alias("place", "image_idx"))
+    used = placed.select("path", "image_idx").union(in_stories.select("path", "image_idx")).distinct()
+    loose = wide.join(used, ["path", "image_idx"], "left_anti").select("path", "image_idx", F.concat(F.lit("<w:p><w:r>"), _drawing(), F.lit("</w:r></w:p>")).alias("drawing"))
     relation = F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="media/'), "file", F.lit('"/>'))
     pictures = fine.select("path", "image_idx", relation.alias("relation")).join(loose, ["path", "image_idx"], "left").na.fill("", ["drawing"])
     pictures = pictures.groupBy("path").agg(pk.ordered_text("drawing", "image_idx").alias("drawings"), pk.ordered_text("relation", "image_idx").alias("image_relations"))
@@ -145,7 +214,19 @@ def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFra
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("story_idx")))
     tag = F.when(F.col("kind") == "header", "hdr").otherwise("ftr")
     file = F.concat("kind", "n", F.lit(".xml"))
-    story = pk.part(first, F.concat(F.lit("word/"), file), F.concat(F.lit(f"{_HEAD}<w:"), tag, F.lit(f' xmlns:w="{_W}"><w:p><w:r><w:t xml:space="preserve">'), pk.xml(F.col("text")), F.lit("</w:t></w:r></w:p></w:"), tag, F.lit(">")))
+    # pictures of a story, each once; the size is the picture's own where it covers the page
+    drawn = in_stories.join(wide, ["path", "image_idx"]).join(fine.select("path", "image_idx", "file"), ["path", "image_idx"]).join(first.select("path", "story_idx", "kind", "story_type"), ["path", "story_idx"])
+    covers = (F.col("kind") == "header") & (F.col("story_type") == "first") & (F.col("cx") > 0) & (F.col("cy") * SHEET / F.col("cx") > TALL)
+    drawn = drawn.withColumn("drawing", F.concat(F.lit("<w:r>"), F.when(covers, _cover()).otherwise(_drawing()), F.lit("</w:r>")))
+    drawn = drawn.withColumn("relation", F.concat(F.lit('<Relationship Id="rIdImg'), F.col("image_idx") + 1, F.lit(f'" Type="{_R}/image" Target="media/'), "file", F.lit('"/>')))
+    at = drawn.groupBy("path", "story_idx").agg(pk.ordered_text("drawing", "place").alias("pictures"))
+    links = drawn.select("path", "story_idx", "image_idx", "relation").distinct().groupBy("path", "story_idx").agg(pk.ordered_text("relation", "image_idx").alias("relations"))
+    told = first.join(at, ["path", "story_idx"], "left").join(links, ["path", "story_idx"], "left")
+    raw = F.col("raw_text") if "raw_text" in stories.columns else F.col("text")
+    inner = F.concat(F.coalesce("pictures", F.lit("")), F.when(F.length("text") > 0, story_xml(F.translate(raw, "\r\n", ""))).otherwise(""))
+    story = pk.part(told, F.concat(F.lit("word/"), file), F.concat(F.lit(f"{_HEAD}<w:"), tag, F.lit(f' xmlns:w="{_W}" xmlns:r="{_R}"><w:p>'), inner, F.lit("</w:p></w:"), tag, F.lit(">")))
+    linked = told.where("relations IS NOT NULL")
+    story = story.unionByName(pk.part(linked, F.concat(F.lit("word/_rels/"), file, F.lit(".rels")), F.concat(F.lit(f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">'), "relations", F.lit("</Relationships>"))))
     first = first.select(
         "path",
         "n",
@@ -163,17 +244,21 @@ def parts(paras: DataFrame, runs: DataFrame, stories: DataFrame, images: DataFra
     numbering = items.groupBy("path").agg(F.concat(pk.ordered_text("abstract", "num_id"), pk.ordered_text("num", "num_id")).alias("numbering"))
 
     whole = body.join(pictures, "path", "left").join(heads, "path", "left").join(numbering, "path", "left").na.fill("", ["body", "drawings", "image_relations", "references", "story_relations", "story_kinds", "numbering"])
-    heading = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{i}"><w:name w:val="heading {i}"/><w:pPr><w:outlineLvl w:val="{i - 1}"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="TOC{i}"><w:name w:val="toc {i}"/></w:style>' for i in range(1, 10))
+    levels_of = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) > 0, F.col(c))))
+    named = paras.where("NOT skip").groupBy("path").agg(levels_of("heading_level").alias("headings"), levels_of("toc_level").alias("tocs"))
+    heading = F.transform("headings", lambda i: F.concat(F.lit('<w:style w:type="paragraph" w:styleId="Heading'), i, F.lit('"><w:name w:val="heading '), i, F.lit('"/><w:pPr><w:outlineLvl w:val="'), i - 1, F.lit('"/></w:pPr></w:style>')))
+    toc = F.transform("tocs", lambda i: F.concat(F.lit('<w:style w:type="paragraph" w:styleId="TOC'), i, F.lit('"><w:name w:val="toc '), i, F.lit('"/></w:style>')))
+    whole = whole.join(named.select("path", F.concat(F.array_join(heading, ""), F.array_join(toc, "")).alias("styles")), "path", "left").na.fill("", ["styles"])
     wrap = lambda a, c, b: F.concat(F.lit(_HEAD + a), c, F.lit(b))
     fixed = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Default Extension="{e}" ContentType="image/{t}"/>' for e, t in (("png", "png"), ("jpg", "jpeg"), ("emf", "x-emf"), ("wmf", "x-wmf"), ("pict", "pict"), ("dib", "bmp"), ("tiff", "tiff")))
     fixed += "".join(f'<Override PartName="/word/{n}.xml" ContentType="{_TYPE}.{t}+xml"/>' for n, t in (("document", "document.main"), ("styles", "styles"), ("numbering", "numbering"), ("settings", "settings")))
     base = "".join(f'<Relationship Id="rId{i}" Type="{_R}/{t}" Target="{t}.xml"/>' for i, t in enumerate(("styles", "numbering", "settings"), 1))
-    document = F.concat("body", "drawings", F.lit("<w:sectPr>"), "references", F.lit('<w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1800" w:bottom="1440" w:left="1800" w:header="851" w:footer="992" w:gutter="0"/></w:sectPr>'))
+    document = F.concat("body", "drawings", F.lit("<w:sectPr>"), "references", F.lit(f"{SECTION}</w:sectPr>"))
     out = [
         pk.part(whole, "word/document.xml", wrap(f'<w:document xmlns:w="{_W}" xmlns:r="{_R}"><w:body>', document, "</w:body></w:document>")),
         pk.part(whole, "word/_rels/document.xml.rels", wrap(f'<Relationships xmlns="{_PACKAGE}/relationships">{base}', F.concat("image_relations", "story_relations"), "</Relationships>")),
         pk.part(whole, "word/numbering.xml", wrap(f'<w:numbering xmlns:w="{_W}">', F.col("numbering"), "</w:numbering>")),
-        pk.part(whole, "word/styles.xml", F.lit(f'{_HEAD}<w:styles xmlns:w="{_W}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{heading}</w:styles>')),
+        pk.part(whole, "word/styles.xml", wrap(f'<w:styles xmlns:w="{_W}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>', F.col("styles"), "</w:styles>")),
         pk.part(whole, "word/settings.xml", F.lit(f'{_HEAD}<w:settings xmlns:w="{_W}"/>')),
         pk.part(whole, "[Content_Types].xml", wrap(f'<Types xmlns="{_PACKAGE}/content-types">{fixed}', F.col("story_kinds"), "</Types>")),
         pk.part(whole, "_rels/.rels", F.lit(f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_R}/officeDocument" Target="word/document.xml"/></Relationships>')),
