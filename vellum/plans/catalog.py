@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.operators import sequence as seq
-from vellum.plans import cells, events, legacy, matching, registry, roundtrip, text  # noqa: F401  (they enter their queries)
+from vellum.plans import cells, details, events, legacy, matching, registry, roundtrip, text  # noqa: F401  (they enter their queries)
 
 
 def flagship(spark, sf_dir):
