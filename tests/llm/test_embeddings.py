@@ -92,13 +92,12 @@ def test_bounds_hold():
     x[200:] = embeddings.units((x[:200] + rng.normal(size=(200, 64)) * rng.uniform(0, 0.12, (200, 1))).tolist())
     codes = embeddings.Codes(64)
     turned = x @ embeddings.rotations(64, 1)
-    opened = codes.open(codes.pack(turned))
+    code, own = codes.pack(turned)
     i, j = np.arange(200), np.arange(200, 400)
-    of = lambda k: {name: v[k] for name, v in opened.items()}
     cos = (x[i] * x[j]).sum(axis=1)
-    assert (embeddings.upper(of(i), of(j)) >= cos).all()
-    estimate = (opened["signs"][i] * turned[j]).sum(axis=1) / opened["factor"][i]
-    assert abs((estimate - cos).mean()) < 0.02
+    for a, b in ((i, j), (j, i)):
+        about, error = codes.estimate(code[a], own[b])
+        assert (np.abs(about - cos) <= error).all() and abs((about - cos).mean()) < 0.02
 
 
 def test_edges(spark):

@@ -154,40 +154,34 @@ def most_signs(threshold: float, miss: float | None = None) -> int:
 
 
 class Codes:
-    """Sign codes of turned vectors, with factors and the turned vectors in
-    eight bits, as fixed-size payloads."""
+    """What is kept of a turned vector, as fixed-size bytes: its signs with
+    the correction factor, which travel, and its coordinates in eight bits
+    with their scale, which stay."""
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.kind = np.dtype([("factor", "<f4"), ("scale", "<f4"), ("code", "u1", ((dim + 7) // 8,)), ("turned", "i1", (dim,))])
+        self.signs = np.dtype([("factor", "<f4"), ("code", "u1", ((dim + 7) // 8,))])
+        self.turned = np.dtype([("scale", "<f4"), ("turned", "i1", (dim,))])
 
-    def pack(self, turned: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(turned), self.kind)
+    def pack(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code, own = np.zeros(len(turned), self.signs), np.zeros(len(turned), self.turned)
         signs = turned >= 0
-        out["factor"] = np.where(signs, turned, -turned).sum(axis=1) / math.sqrt(self.dim)
-        out["scale"] = np.maximum(np.abs(turned).max(axis=1), 1e-30) / 127
-        out["code"] = np.packbits(signs, axis=1)
-        out["turned"] = np.rint(turned / out["scale"][:, None].astype(float)).clip(-127, 127)
-        return out
-
-    def open(self, payload: np.ndarray) -> dict[str, np.ndarray]:
-        factor = np.clip(payload["factor"].astype(float), 1e-9, 1.0)
-        signs = np.unpackbits(payload["code"], axis=1)[:, : self.dim].astype(np.float32) * 2 - 1
-        bound = SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, self.dim - 1))
-        scale = payload["scale"].astype(float)
+        code["factor"] = np.where(signs, turned, -turned).sum(axis=1) / math.sqrt(self.dim)
+        code["code"] = np.packbits(signs, axis=1)
+        own["scale"] = np.maximum(np.abs(turned).max(axis=1), 1e-30) / 127
+        own["turned"] = np.rint(turned / own["scale"][:, None].astype(float)).clip(-127, 127)
+        return code, own
+
+    def estimate(self, code: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unbiased estimates of the inner products of the vectors of ``code``
+        with those of ``own``, and the errors that their bounds allow for."""
+        factor = np.clip(code["factor"].astype(float), 1e-9, 1.0)
+        signs = (np.unpackbits(code["code"], axis=1)[:, : self.dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(self.dim))
+        inner = np.einsum("ij,ij->i", signs, own["turned"].astype(np.float32) * own["scale"][:, None])
         # rounding to eight bits moves no coordinate by more than half the scale
-        return {"signs": signs / np.float32(math.sqrt(self.dim)), "factor": factor, "bound": bound, "turned": payload["turned"].astype(np.float32) * payload["scale"][:, None], "slack": scale * (0.5 * math.sqrt(self.dim)) + 1e-6}
-
-
-def upper(x: dict, y: dict) -> np.ndarray:
-    """Upper bound of the inner products of the rows of x with those of y, the
-    lesser of those from either row's code."""
-
-    def side(a, b):
-        inner = np.einsum("ij,ij->i", a["signs"], b["turned"])
-        return (inner + b["slack"]) / a["factor"] + a["bound"]
-
-    return np.minimum(side(x, y), side(y, x))
+        slack = own["scale"].astype(float) * (0.5 * math.sqrt(self.dim)) + 1e-6
+        bound = SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, self.dim - 1))
+        return inner / factor, slack / factor + bound
 
 
 def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +288,7 @@ def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], thres
     reach = math.acos(threshold)
     inside, sure, never = math.cos(BALL), math.cos(reach - BALL), math.cos(min(math.pi, reach + BALL))
     kind = classes.schema["e"].dataType.simpleString()
-    names = ["num", "copies", "first", "dim", "ball", "near", "rim", "signs", "code", "e"]
+    names = ["num", "copies", "first", "dim", "ball", "near", "rim", "signs", "code", "turned", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -313,12 +307,12 @@ def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], thres
                 other = np.arange(len(heads))[None, :] != ball[:, None]
                 near = [(np.flatnonzero(r) + first).tolist() for r in (cos >= sure) & other]
                 rim = [(np.flatnonzero(r) + first).tolist() for r in (cos < sure) & (cos >= never - 1e-12) & other]
-                code = [r.tobytes() for r in Codes(dim).pack(u @ code_turn(dim)[:, :dim])]
+                code, turned = ([r.tobytes() for r in x] for x in Codes(dim).pack(u @ code_turn(dim)[:, :dim]))
                 part = batch.take(pa.array(own))
-                made = [pa.array(np.full(len(u), dim), pa.int32()), pa.array(np.where(ball < 0, -1, ball + first), pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), pa.array(signs_of(u)), pa.array(code, pa.binary())]
+                made = [pa.array(np.full(len(u), dim), pa.int32()), pa.array(np.where(ball < 0, -1, ball + first), pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), pa.array(signs_of(u)), pa.array(code, pa.binary()), pa.array(turned, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(3)], names=names)
 
-    return classes.select("num", "copies", "first", "e").mapInArrow(run, f"num long, copies long, first long, dim int, ball int, near array<int>, rim array<int>, signs long, code binary, e {kind}")
+    return classes.select("num", "copies", "first", "e").mapInArrow(run, f"num long, copies long, first long, dim int, ball int, near array<int>, rim array<int>, signs long, code binary, turned binary, e {kind}")
 
 
 def _keyed(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
@@ -402,16 +396,17 @@ def _met(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, one_way boolean").distinct()
 
 
-def _with(pairs: DataFrame, placed: DataFrame, cols: list[str]) -> DataFrame:
-    """The pairs with columns of both their vectors, x_ and y_."""
-    for end, mark in (("a", "x"), ("b", "y")):
+def _with(pairs: DataFrame, placed: DataFrame, x: list[str], y: list[str]) -> DataFrame:
+    """The pairs with columns of their first vectors (x_), which travel to the
+    second ones, and of those (y_)."""
+    for end, mark, cols in (("a", "x", x), ("b", "y", y)):
         pairs = pairs.join(placed.select(F.col("num").alias(end), *(F.col(c).alias(f"{mark}_{c}") for c in cols)), end)
     return pairs
 
 
 def _doubtful(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose upper bound reaches the threshold."""
-    met = _with(pairs, placed, ["dim", "code"]).where(F.col("x_dim") == F.col("y_dim")).select("a", "b", "one_way", "x_dim", "x_code", "y_code")
+    """The pairs for which the estimate's upper bound reaches the threshold."""
+    met = _with(pairs, placed, ["dim", "code"], ["dim", "turned"]).where(F.col("x_dim") == F.col("y_dim")).select("a", "b", "one_way", "x_dim", "x_code", "y_turned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,8 +414,9 @@ def _doubtful(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFram
             for dim in np.unique(dims).tolist():
                 codes = Codes(dim)
                 part = batch.filter(pa.array(dims == dim))
-                x, y = (codes.open(np.frombuffer(b"".join(part.column(k).to_pylist()), codes.kind)) for k in (4, 5))
-                yield part.select([0, 1, 2]).filter(pa.array(upper(x, y) >= threshold))
+                code, own = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((4, codes.signs), (5, codes.turned)))
+                about, error = codes.estimate(code, own)
+                yield part.select([0, 1, 2]).filter(pa.array(about + error >= threshold))
 
     return met.mapInArrow(run, "a long, b long, one_way boolean")
 
@@ -428,7 +424,7 @@ def _doubtful(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFram
 def _exact(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose cosine in double precision is no less than the
     threshold, with the copies of both."""
-    met = _with(pairs, placed, ["copies", "e"]).select("a", "b", "one_way", F.col("x_copies").alias("ca"), F.col("y_copies").alias("cb"), "x_e", "y_e")
+    met = _with(pairs, placed, ["copies", "e"], ["copies", "e"]).select("a", "b", "one_way", F.col("x_copies").alias("ca"), F.col("y_copies").alias("cb"), "x_e", "y_e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
