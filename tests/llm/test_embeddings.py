@@ -82,7 +82,7 @@ def test_recall_at_the_threshold():
         y = 0.9 * x + math.sqrt(1 - 0.81) * w
         parts, count = embeddings.tables(n, 0.9)
         met = (embeddings.keys_of(x, parts, count) == embeddings.keys_of(y, parts, count)).any(axis=1)
-        signs = np.bitwise_count((embeddings.signs_of(x) ^ embeddings.signs_of(y)).view(np.uint64)) <= embeddings.most_signs(0.9)
+        signs = np.bitwise_count((embeddings.signs_of(x) ^ embeddings.signs_of(y)).view(np.uint64)).sum(axis=1) <= embeddings.most_signs(0.9)
         assert met.mean() >= least and signs.mean() >= 0.997
 
 
@@ -115,3 +115,11 @@ def test_many_lengths_and_ties(spark):
     rows = [rng.normal(size=d).tolist() for d in range(1, 100) for _ in range(2)] + [[1.0, 0.0], [0.9, math.sqrt(1 - 0.81)], [9.0, 0.0], [3.0, 4.0], [4.0, 3.0]]
     df = spark.createDataFrame([(i, v, i, i) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, num long, a long")
     assert got(embeddings.embedding_components(df)) == brute(list(range(len(rows))), rows)
+
+
+def test_tables_share_no_keys():
+    u = embeddings.units(np.random.default_rng(0).normal(size=(3000, 64)))
+    for parts in ((64, 4), (64,), (64, 64, 2)):
+        keys = embeddings.keys_of(u, parts, 5)
+        each = [set(keys[:, t].tolist()) for t in range(5)]
+        assert len(set.union(*each)) == sum(map(len, each)) and len(each[0]) > 100

@@ -9,10 +9,10 @@ recomputed from the vectors in double precision.
 
 Pairs to estimate come from tables over further rotations, keyed by the
 coordinates that are largest there. What travels for a table is a key, a number
-and 64 signs; of a key's rows those whose signs differ in few enough places are
+and 128 signs; of a key's rows those whose signs differ in few enough places are
 paired. Their codes, factors and vectors stay where they are, in a table
 bucketed by the vectors' numbers, to which the pairs are sent. Keys shorten so
-that one has a few hundred rows, and the tables' number follows from the recall
+that one has some hundreds of rows, and the tables' number follows from the recall
 at the threshold.
 
 Crowds don't get there: a bounded number of leaders, a random sample, gather
@@ -45,7 +45,7 @@ MISS = 5e-4
 #: Standard errors that an estimate's bound allows for.
 SURE = 5.0
 #: Rows that a key has on average, as a power of two.
-SHARED = 8
+SHARED = 9
 #: Rows of one key that are compared in one piece of work, and the share of
 #: the vectors (one of so many) that tells which keys have more.
 CHUNK, SAMPLE = 2048, 64
@@ -54,7 +54,7 @@ SENT = 100_000
 BATCH = 1 << 16
 SEED = 7
 #: Coordinates of one part of a key, and the signs that travel.
-COORDS, SIGNS = 64, 64
+COORDS, SIGNS = 64, 128
 
 
 def rotations(dim: int, n: int) -> np.ndarray:
@@ -125,20 +125,26 @@ def keys_of(u: np.ndarray, parts: tuple[int, ...], count: int) -> np.ndarray:
     turned = u.astype(np.float32) @ key_turn(u.shape[1], parts, count)
     keys = np.empty((len(u), count), np.uint64)
     at, own = 0, np.arange(len(u))
+
+    def mixed(key: np.ndarray) -> np.ndarray:
+        key = key * np.uint64(0x9E3779B97F4A7C15)
+        return key ^ key >> np.uint64(29)
+
     for t in range(count):
-        key = np.full(len(u), (u.shape[1] << 20) + t, np.uint64)
+        # lengths and tables far apart before the parts come in
+        key = mixed(np.full(len(u), (u.shape[1] << 20) + t + 1, np.uint64))
         for coords in parts:
             part = turned[:, at : at + coords]
             best = np.abs(part).argmax(axis=1)
-            key = (key ^ (2 * best + (part[own, best] > 0) + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
+            key = mixed(key ^ (2 * best + (part[own, best] > 0) + 1).astype(np.uint64))
             at += coords
         keys[:, t] = key
     return keys.view(np.int64)
 
 
 def signs_of(u: np.ndarray) -> np.ndarray:
-    return np.packbits(u @ code_turn(u.shape[1])[:, :SIGNS] >= 0, axis=1).view(np.int64).ravel()
+    """The signs that travel, as a row of two numbers for each vector."""
+    return np.packbits(u @ code_turn(u.shape[1])[:, :SIGNS] >= 0, axis=1).view(np.int64)
 
 
 def most_signs(threshold: float, miss: float | None = None) -> int:
@@ -187,7 +193,7 @@ class Codes:
 def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that differ in at most ``most`` signs: of a run of side
     0 all pairs, of the others those of sides 1 and 2 with side 3. The signs
-    are unsigned numbers."""
+    are rows of unsigned numbers."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(starts, np.append(starts[1:], len(signs))):
         if b - a < 2:
@@ -197,7 +203,7 @@ def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) ->
         for at in range(a, stop, 512):
             mine = signs[at : min(at + 512, stop)]
             begin = cut if side[a] else at
-            i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ signs[None, begin:b]) <= most)
+            i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ signs[None, begin:b]).sum(axis=2, dtype=np.int16) <= most)
             i, j = i + at, j + begin
             if not side[a]:
                 ahead = i < j
@@ -288,7 +294,7 @@ def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], thres
     reach = math.acos(threshold)
     inside, sure, never = math.cos(BALL), math.cos(reach - BALL), math.cos(min(math.pi, reach + BALL))
     kind = classes.schema["e"].dataType.simpleString()
-    names = ["num", "copies", "first", "dim", "ball", "near", "rim", "signs", "code", "turned", "e"]
+    names = ["num", "copies", "first", "dim", "ball", "near", "rim", "s0", "s1", "code", "turned", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -309,28 +315,28 @@ def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], thres
                 rim = [(np.flatnonzero(r) + first).tolist() for r in (cos < sure) & (cos >= never - 1e-12) & other]
                 code, turned = ([r.tobytes() for r in x] for x in Codes(dim).pack(u @ code_turn(dim)[:, :dim]))
                 part = batch.take(pa.array(own))
-                made = [pa.array(np.full(len(u), dim), pa.int32()), pa.array(np.where(ball < 0, -1, ball + first), pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), pa.array(signs_of(u)), pa.array(code, pa.binary()), pa.array(turned, pa.binary())]
+                made = [pa.array(np.full(len(u), dim), pa.int32()), pa.array(np.where(ball < 0, -1, ball + first), pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(rim, pa.list_(pa.int32())), *(pa.array(np.ascontiguousarray(c)) for c in signs_of(u).T), pa.array(code, pa.binary()), pa.array(turned, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(3)], names=names)
 
-    return classes.select("num", "copies", "first", "e").mapInArrow(run, f"num long, copies long, first long, dim int, ball int, near array<int>, rim array<int>, signs long, code binary, turned binary, e {kind}")
+    return classes.select("num", "copies", "first", "e").mapInArrow(run, f"num long, copies long, first long, dim int, ball int, near array<int>, rim array<int>, s0 long, s1 long, code binary, turned binary, e {kind}")
 
 
 def _keyed(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
-    """(key, num, signs): a row for each table's key of each class."""
+    """(key, num, s0, s1): a row for each table's key of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                for own, x in _by_length(part.column(2)):
+                for own, x in _by_length(part.column(3)):
                     keys = keys_of(units(x), parts, count)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(k).to_numpy()[own], count)) for k in (0, 1))], names=["key", "num", "signs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(k).to_numpy()[own], count)) for k in (0, 1, 2))], names=["key", "num", "s0", "s1"])
 
-    return singles.select("num", "signs", "e").mapInArrow(run, "key long, num long, signs long")
+    return singles.select("num", "s0", "s1", "e").mapInArrow(run, "key long, num long, s0 long, s1 long")
 
 
 def _dealt(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
-    """(key, i, j, side, num, signs): the rows of each key, or those of a
+    """(key, i, j, side, num, s0, s1): the rows of each key, or those of a
     crowded one in pairs of chunks. Which keys are crowded a sample of the
     vectors tells; it changes how rows are dealt, not which ones meet."""
     sample = _keyed(singles.where(F.pmod(F.xxhash64("num"), F.lit(SAMPLE)) == 0), parts, count).groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("n"))
@@ -341,22 +347,22 @@ def _dealt(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
     met = met.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("num"), "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(3).cast("int")
-    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "num", "signs")
+    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "num", "s0", "s1")
 
 
 def _rims(placed: DataFrame, balls: DataFrame) -> DataFrame:
     """The same for the balls: members (side 3) with the vectors at the rim
     (1, or 2 where these are in another ball, whose links count one way)."""
-    rim = placed.select(F.explode("rim").alias("ball"), "num", "signs", F.when(F.col("ball") < 0, 1).otherwise(2).cast("int").alias("side"))
+    rim = placed.select(F.explode("rim").alias("ball"), "num", "s0", "s1", F.when(F.col("ball") < 0, 1).otherwise(2).cast("int").alias("side"))
     crowd = rim.groupBy("ball").agg(F.count(F.lit(1)).alias("r")).join(balls.where("size > 0").select("ball", "classes"), "ball")
     # no more rows than leaders
     crowd = F.broadcast(common.stored(crowd.select("ball", F.ceil(F.col("classes") / CHUNK).cast("int").alias("ms"), F.ceil(F.col("r") / CHUNK).cast("int").alias("rs")), "rims"))
     deal = lambda n: F.pmod(F.xxhash64("num"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = F.col("ball").cast("long").alias("key")
-    members = placed.where("ball >= 0").select("ball", "num", "signs", F.lit(3).alias("side")).join(crowd, "ball").withColumn("i", deal("ms")).withColumn("j", every("rs"))
+    members = placed.where("ball >= 0").select("ball", "num", "s0", "s1", F.lit(3).alias("side")).join(crowd, "ball").withColumn("i", deal("ms")).withColumn("j", every("rs"))
     guests = rim.join(crowd, "ball").withColumn("j", deal("rs")).withColumn("i", every("ms"))
-    cols = [key, "i", "j", "side", "num", "signs"]
+    cols = [key, "i", "j", "side", "num", "s0", "s1"]
     return members.select(*cols).unionByName(guests.select(*cols))
 
 
@@ -376,7 +382,7 @@ def _met(dealt: DataFrame, threshold: float) -> DataFrame:
             if not len(starts):
                 return None
             side, nums = rows[:cut, 3], rows[:cut, 4]
-            i, j = close(rows[:cut, 5].copy().view(np.uint64), side, starts, most)
+            i, j = close(np.ascontiguousarray(rows[:cut, 5:]).view(np.uint64), side, starts, most)
             way = side[i] == 2
             a, b = np.where(way, nums[i], np.minimum(nums[i], nums[j])), np.where(way, nums[j], np.maximum(nums[i], nums[j]))
             found = np.unique(np.column_stack([a, b, way])[a != b], axis=0)
