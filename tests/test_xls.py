@@ -168,3 +168,14 @@ def test_tables_from_one_read_equal_tables_alone(spark):
     for t in names:
         assert sorted(map(str, readers.of(both, t).collect())) == sorted(map(str, readers.good(readers.parse(src, t)).collect()))
         assert both.where(f"table = '{t}' AND _error IS NOT NULL").count() == 2
+
+
+def test_formats_in_spark_equal_those_in_python(spark):
+    rng = random.Random(9)
+    values = [0.125, 0.375, 2.5, 0.5, -0.5, -0.001, 1e14, 1e16, -1e22, 0.005, 1.005, 2.675, 1e-300, 0.0, -0.0, float("inf"), float("nan"), None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 18) for _ in range(600)] + [round(rng.uniform(0, 1000), 3) for _ in range(600)]
+    rows = [(v, p, i) for v in values for p, i in (("0.00%", 164), ("#,##0", 165), ("0.00", 170), ("0", 164), ("0", 3), ("General", 200), (None, 164), ("0%", None))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, v double, p string, i int")
+    got = {r.k: r.x for r in df.select("k", numbers.render(F.col("v"), F.col("p"), F.col("i")).alias("x")).collect()}
+    want = {k: None if v is None or v != v else numbers.rendered(v, p, i) for k, (v, p, i) in enumerate(rows)}
+    assert [(rows[k], got[k], want[k]) for k in want if got[k] != want[k]] == []

@@ -88,12 +88,25 @@ def number_text(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def render(values: pd.Series, patterns: pd.Series, ifmts: pd.Series) -> pd.Series:
-    """Numbers as their formats show them; see ``rendered``."""
+def _render(values: pd.Series, patterns: pd.Series, ifmts: pd.Series) -> pd.Series:
     keys = zip(patterns, ifmts)
     return pd.Series([None if v != v or v is None else renderer(p, None if i != i or i is None else int(i))(v) for v, (p, i) in zip(values, keys)], dtype=object)
 
 
+def render(value: Column, pattern: Column, ifmt: Column) -> Column:
+    """Numbers as their formats show them; see ``rendered``. Those of a fixed
+    number of places stay in Spark's expressions; general formats, dates, and
+    numbers too large for exact places go to Python, the others as nulls."""
+    own = F.coalesce((ifmt >= OWN_FORMATS) & ~pattern.isin("General", "@"), F.lit(False)) & (F.abs(value) < 1e10)
+    shown = lambda v, form: F.call_function("format_number", v, F.lit(form))
+    fixed = (
+        F.when(own & pattern.contains("%"), F.concat(shown(value * 100, "0.00"), F.lit("%")))
+        .when(own & (pattern.contains("#") | pattern.contains(".00")), shown(value, "0.00"))
+        .when(own & pattern.contains("0"), shown(value, "0"))
+    )
+    return F.coalesce(fixed, _render(F.when(fixed.isNull(), value), pattern, ifmt))
+
+
 def decode_rk(raw: Column) -> Column:
     """A packed number: bit 1 tells an integer, bit 0 one of hundredths. The
     integer is signed. The other kind, the high bits of a double, is put

@@ -44,7 +44,7 @@ def with_formats(cells: DataFrame, xfs: DataFrame, formats: DataFrame) -> DataFr
 def shown(cells: DataFrame) -> DataFrame:
     """The text that each cell shows, by type and format."""
     number = F.col("cell_type").isin(*NUMERIC)
-    return cells.withColumn("shown", F.when(number, numbers.render("num_val", "pattern", "ifmt")).otherwise(F.coalesce("str_val", F.lit(""))))
+    return cells.withColumn("shown", F.when(number, numbers.render(F.col("num_val"), F.col("pattern"), F.col("ifmt"))).otherwise(F.coalesce("str_val", F.lit(""))))
 
 
 def sizes(cells: DataFrame) -> DataFrame:

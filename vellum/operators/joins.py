@@ -79,15 +79,37 @@ def by_place(left: DataFrame, right: DataFrame, by: list[str], left_order: list[
     return a.join(b, [*by, name], how)
 
 
+#: Characters up to which a text is looked for by its substrings.
+SHORT = 80
+
+
+def _holding(long: DataFrame, short: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, a, b): texts a with the other table's texts b that they hold. Texts
+    of up to ``SHORT`` characters meet by their substrings, of the lengths that
+    b has, so only what matches meets; longer ones by a scan of their group."""
+    sizes = short.groupBy(*by).agg(F.sort_array(F.collect_set(F.char_length(b))).alias("__sizes"))
+    brief = long.where(F.char_length(a) <= SHORT).join(sizes, by)
+    cuts = F.transform(F.filter("__sizes", lambda n: (n > 0) & (n <= F.char_length(a))), lambda n: F.transform(F.sequence(F.lit(1), F.char_length(a) - n + 1), lambda i: F.substring(F.col(a), i, n)))
+    met = brief.select(*by, a, F.explode(F.array_distinct(F.flatten(cuts))).alias(b)).join(short, [*by, b])
+    rest = long.where(F.char_length(a) > SHORT).join(short, by).where((F.length(b) > 0) & F.col(a).contains(F.col(b)))
+    return met.select(*by, a, b).unionByName(rest.select(*by, a, b))
+
+
 def best_titles(entries: DataFrame, titles: DataFrame, by: list[str], entry: str, title: str, entry_id: str, title_id: str) -> DataFrame:
     """Each entry's best title of its partition: an equal one, the first of
     such, else the one that holds the entry or that it holds with the least
     difference in length, the first of equal ones. Entries without are left
-    out. Titles are not used up; ``match_titles`` does that."""
-    met = entries.join(titles, by).where(F.col(entry).contains(F.col(title)) | F.col(title).contains(F.col(entry)))
+    out, empty and null texts match nothing. Titles are not used up;
+    ``match_titles`` does that. Texts that stand several times are matched
+    once."""
+    firsts = titles.where(F.length(title) > 0).groupBy(*by, title).agg(F.min(title_id).alias(title_id))
+    texts = entries.where(F.length(entry) > 0).select(*by, entry).distinct()
+    pairs = _holding(texts, firsts.select(*by, title), by, entry, title).unionByName(_holding(firsts.select(*by, title), texts, by, title, entry)).distinct()
     gap = F.abs(F.char_length(entry) - F.char_length(title))
-    w = Window.partitionBy(*by, entry_id).orderBy(F.when(F.col(entry) == F.col(title), 0).otherwise(1), gap, title_id)
-    return met.withColumns({"gap": gap, "__n": F.row_number().over(w)}).where("__n = 1").drop("__n")
+    met = pairs.join(firsts, [*by, title]).withColumn("gap", gap)
+    order = F.struct(F.when(F.col(entry) == F.col(title), 0).otherwise(1).alias("o"), "gap", title_id)
+    best = met.groupBy(*by, entry).agg(F.min_by(F.struct(title, title_id, "gap"), order).alias("__best"))
+    return entries.join(best, [*by, entry]).select(*[entries[c] for c in entries.columns], "__best.*")
 
 
 def match_titles(entries: DataFrame, titles: DataFrame, by: list[str], entry: str, title: str, entry_id: str, title_id: str) -> DataFrame:

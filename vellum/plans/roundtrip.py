@@ -10,18 +10,19 @@ from vellum.plans.text import PARAGRAPHS, paragraphs
 from vellum.sinks import docx, xlsx
 
 
-@query("""WITH c AS (SELECT p_brand AS path, p_partkey, p_type AS text FROM part), f AS (SELECT path, text, min(p_partkey) AS first FROM c GROUP BY ALL)
+@query("""WITH c AS (SELECT p_brand || '-' || (p_partkey // 500) AS path, p_partkey, p_type AS text FROM part), f AS (SELECT path, text, min(p_partkey) AS first FROM c GROUP BY ALL)
 SELECT path, (row_number() OVER (PARTITION BY path ORDER BY first) - 1)::INTEGER AS idx, text FROM f""")
 def xlsx_round_trip(spark, sf_dir):
-    """A workbook for each brand, a row for each part: the shared strings of
-    the package, in their order."""
-    part = table(spark, sf_dir, "part")
-    at = [F.col("p_brand").alias("path"), F.lit(0).alias("sheet_id"), F.col("p_partkey").cast("int").alias("row_idx")]
+    """A workbook for each brand and 500 numbers of parts, a row for each part:
+    the shared strings of the package, in their order."""
+    path = F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string"))
+    part = table(spark, sf_dir, "part").withColumn("path", path)
+    at = [F.col("path"), F.lit(0).alias("sheet_id"), F.col("p_partkey").cast("int").alias("row_idx")]
     blank = [F.lit(None).cast("bigint").alias("sst_idx"), F.lit(15).alias("xf_idx")]
     texts = part.select(*at, F.lit(0).alias("col_idx"), F.lit("LabelBIFF8").alias("cell_type"), F.col("p_type").alias("str_val"), F.lit(None).cast("double").alias("num_val"), *blank)
     numbers = part.select(*at, F.lit(1).alias("col_idx"), F.lit("Number").alias("cell_type"), F.lit(None).cast("string").alias("str_val"), F.col("p_retailprice").alias("num_val"), *blank)
     strings = spark.createDataFrame([], "path string, sst_idx bigint, text string")
-    sheets = part.select(F.col("p_brand").alias("path"), F.lit(0).alias("sheet_id"), F.lit("Parts").alias("sheet_name")).distinct()
+    sheets = part.select("path", F.lit(0).alias("sheet_id"), F.lit("Parts").alias("sheet_name")).distinct()
     read = pk.unzipped(xlsx.packages(texts.unionByName(numbers), strings, sheets)).where("part_name = 'xl/sharedStrings.xml'")
     return pk.texts(read, "t").select("path", "idx", "text")
 
