@@ -23,7 +23,7 @@ def brute(text, templates, share=0.8):
 def test_query_against_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {(r.doc_id, r.template): r.containment for r in queries.op8_licenses(spark, sf_dir).collect()}
-    want = {(d, k): v for d, t in texts.items() for k, v in brute(t, licenses.TEMPLATES).items()}
+    want = {(d, k): v for d, t in texts.items() for k, v in brute(t, licenses._default()).items()}
     assert got == pytest.approx(want)
 
 
@@ -54,3 +54,25 @@ def test_edges(spark):
     assert licenses.license_matches(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.license_matches(df, {"a": ("A", "too short")})
+
+
+def test_whole_texts_are_found_in_files(spark):
+    whole = {k: t for k, (_, t) in licenses._default().items() if k.endswith("-whole")}
+    rng = random.Random(5)
+    rows = []
+    for i, (k, text) in enumerate(whole.items()):
+        words = text.split()
+        for _ in range(len(words) // 60):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, "Copyright (c) the authors of this work\n" * 3 + " ".join(words) + " and more " * 30))
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, template string")
+    found = {}
+    for r in licenses.license_matches(df).collect():
+        found.setdefault(r.doc_id, {})[r.template] = r.containment
+    assert all(found[i].get(k, 0) >= 0.8 for i, k in enumerate(whole))
+
+
+def test_a_share_right_at_the_threshold_counts():
+    words = [f"t{i}" for i in range(24)]  # 20 shingles
+    tool = licenses.Scanner((("t", " ".join(words)),), 0.8)
+    assert [round(s, 9) for _, s, _, _ in tool.scan("a b " + " ".join(words[:20]) + " c")] == [0.8] and not tool.scan(" ".join(words[:19]))
