@@ -98,6 +98,8 @@ def test_bounds_hold():
     for a, b in ((i, j), (j, i)):
         about, error = codes.estimate(code[a], own[b])
         assert (np.abs(about - cos) <= error).all() and abs((about - cos).mean()) < 0.02
+    inner, off = codes.inner(own[i], own[j])
+    assert (np.abs(inner - cos) <= off).all() and off.max() < 0.05
 
 
 def test_edges(spark):
@@ -122,4 +124,12 @@ def test_tables_share_no_keys():
     for parts in ((64, 4), (64,), (64, 64, 2)):
         keys = embeddings.keys_of(u, parts, 5)
         each = [set(keys[:, t].tolist()) for t in range(5)]
-        assert len(set.union(*each)) == sum(map(len, each)) and len(each[0]) > 100
+        assert len(set.union(*each)) == sum(map(len, each)) and len(each[0]) > 100 and (keys & 255 == np.arange(5)).all()
+        # a pair is fresh in the first of the tables where it meets, and there alone if that is an early one
+        i, j = (np.repeat(np.arange(300), 300), np.tile(np.arange(300), 300))
+        before = embeddings.met_before(keys).view(np.uint64)
+        meets = keys[i] == keys[j]
+        for t in range(5):
+            early = meets[:, : min(t, embeddings.FIRST)].any(axis=1)
+            got = embeddings.fresh(np.full(len(i), t), before[i], before[j])
+            assert not got[early].any() and got[~early].mean() > 0.999

@@ -4,12 +4,14 @@ A unit vector is turned by a random rotation and kept as the signs of its
 coordinates with a correction factor, its inner product with the unit vector of
 those signs. The signs' inner product with another turned vector, divided by
 the factor, estimates the vectors' inner product without bias, with an error
-whose bound is known; only pairs whose upper bound reaches the threshold are
-recomputed from the vectors in double precision.
+whose bound is known; pairs whose upper bound stays below the threshold go. The
+turned vectors are kept in eight bits as well, whose error is bounded for sure:
+pairs beyond it are decided, and only those in doubt are recomputed from the
+vectors in double precision.
 
 Pairs to estimate come from tables over further rotations, keyed by the
-coordinates that are largest there. What travels for a table is a key, a number
-and 128 signs; of a key's rows those whose signs differ in few enough places are
+coordinates that are largest there. What travels for a table is a key, a number,
+128 signs and what tells whether a pair has met in the first tables; of a key's rows those whose signs differ in few enough places are
 paired. Their codes, factors and vectors stay where they are, in a table
 bucketed by the vectors' numbers, to which the pairs are sent. Keys shorten so
 that one has some hundreds of rows, and the tables' number follows from the recall
@@ -53,8 +55,9 @@ CHUNK, SAMPLE = 2048, 64
 SENT = 100_000
 BATCH = 1 << 16
 SEED = 7
-#: Coordinates of one part of a key, and the signs that travel.
-COORDS, SIGNS = 64, 128
+#: Coordinates of one part of a key, the signs that travel, and the first
+#: tables whose keys travel in short, so that later ones pass over their pairs.
+COORDS, SIGNS, FIRST = 64, 128, 4
 
 
 def rotations(dim: int, n: int) -> np.ndarray:
@@ -138,10 +141,30 @@ def keys_of(u: np.ndarray, parts: tuple[int, ...], count: int) -> np.ndarray:
             best = np.abs(part).argmax(axis=1)
             key = mixed(key ^ (2 * best + (part[own, best] > 0) + 1).astype(np.uint64))
             at += coords
-        keys[:, t] = key
+        # the table's number in the low byte; as a signed number not below zero
+        keys[:, t] = key >> np.uint64(9) << np.uint64(8) | np.uint64(min(t, 255))
     return keys.view(np.int64)
 
 
+def met_before(keys: np.ndarray) -> np.ndarray:
+    """The keys of the first tables, 16 bits of each, as one number."""
+    out = np.zeros(len(keys), np.uint64)
+    for t in range(min(FIRST, keys.shape[1])):
+        out |= (keys[:, t].view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFF)) << np.uint64(16 * t)
+    return out.view(np.int64)
+
+
+def fresh(table: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether pairs of a table haven't met in one of the first tables, by what
+    ``met_before`` tells of their rows. That two different keys look alike
+    hides a pair with a chance of 2 ** -14."""
+    out = np.ones(len(table), bool)
+    for t in range(FIRST):
+        same = (first >> np.uint64(16 * t) & np.uint64(0xFFFF)) == (second >> np.uint64(16 * t) & np.uint64(0xFFFF))
+        out &= ~(same & (table > t))
+    return out
+
+
 def signs_of(u: np.ndarray) -> np.ndarray:
     """The signs that travel, as a row of two numbers for each vector."""
     return np.packbits(u @ code_turn(u.shape[1])[:, :SIGNS] >= 0, axis=1).view(np.int64)
@@ -189,6 +212,12 @@ class Codes:
         bound = SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, self.dim - 1))
         return inner / factor, slack / factor + bound
 
+    def inner(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of vectors in eight bits, and what they can be off."""
+        found = np.einsum("ij,ij->i", x["turned"].astype(np.int32), y["turned"].astype(np.int32)) * (x["scale"].astype(float) * y["scale"])
+        ex, ey = (z["scale"].astype(float) * (0.5 * math.sqrt(self.dim)) for z in (x, y))
+        return found, ex + (1 + ex) * ey + 1e-5
+
 
 def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that differ in at most ``most`` signs: of a run of side
@@ -322,7 +351,7 @@ def _place(classes: DataFrame, leaders: dict[int, tuple[int, np.ndarray]], thres
 
 
 def _keyed(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
-    """(key, num, s0, s1): a row for each table's key of each class."""
+    """(key, num, s0, s1, met): a row for each table's key of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,13 +359,14 @@ def _keyed(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 for own, x in _by_length(part.column(3)):
                     keys = keys_of(units(x), parts, count)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(k).to_numpy()[own], count)) for k in (0, 1, 2))], names=["key", "num", "s0", "s1"])
+                    same = [*(part.column(k).to_numpy()[own] for k in (0, 1, 2)), met_before(keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, count)) for c in same)], names=["key", "num", "s0", "s1", "met"])
 
-    return singles.select("num", "s0", "s1", "e").mapInArrow(run, "key long, num long, s0 long, s1 long")
+    return singles.select("num", "s0", "s1", "e").mapInArrow(run, "key long, num long, s0 long, s1 long, met long")
 
 
 def _dealt(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
-    """(key, i, j, side, num, s0, s1): the rows of each key, or those of a
+    """(key, i, j, side, num, s0, s1, met): the rows of each key, or those of a
     crowded one in pairs of chunks. Which keys are crowded a sample of the
     vectors tells; it changes how rows are dealt, not which ones meet."""
     sample = _keyed(singles.where(F.pmod(F.xxhash64("num"), F.lit(SAMPLE)) == 0), parts, count).groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("n"))
@@ -347,7 +377,7 @@ def _dealt(singles: DataFrame, parts: tuple[int, ...], count: int) -> DataFrame:
     met = met.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("num"), "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(3).cast("int")
-    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "num", "s0", "s1")
+    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "num", "s0", "s1", "met")
 
 
 def _rims(placed: DataFrame, balls: DataFrame) -> DataFrame:
@@ -359,10 +389,10 @@ def _rims(placed: DataFrame, balls: DataFrame) -> DataFrame:
     crowd = F.broadcast(common.stored(crowd.select("ball", F.ceil(F.col("classes") / CHUNK).cast("int").alias("ms"), F.ceil(F.col("r") / CHUNK).cast("int").alias("rs")), "rims"))
     deal = lambda n: F.pmod(F.xxhash64("num"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = F.col("ball").cast("long").alias("key")
+    key = (-F.col("ball").cast("long") - 1).alias("key")
     members = placed.where("ball >= 0").select("ball", "num", "s0", "s1", F.lit(3).alias("side")).join(crowd, "ball").withColumn("i", deal("ms")).withColumn("j", every("rs"))
     guests = rim.join(crowd, "ball").withColumn("j", deal("rs")).withColumn("i", every("ms"))
-    cols = [key, "i", "j", "side", "num", "s0", "s1"]
+    cols = [key, "i", "j", "side", "num", "s0", "s1", F.lit(0).cast("long").alias("met")]
     return members.select(*cols).unionByName(guests.select(*cols))
 
 
@@ -382,7 +412,10 @@ def _met(dealt: DataFrame, threshold: float) -> DataFrame:
             if not len(starts):
                 return None
             side, nums = rows[:cut, 3], rows[:cut, 4]
-            i, j = close(np.ascontiguousarray(rows[:cut, 5:]).view(np.uint64), side, starts, most)
+            i, j = close(np.ascontiguousarray(rows[:cut, 5:7]).view(np.uint64), side, starts, most)
+            table, before = np.where(rows[:cut, 0] < 0, 0, rows[:cut, 0] & 255), rows[:cut, 7].copy().view(np.uint64)
+            new = fresh(table[i], before[i], before[j])
+            i, j = i[new], j[new]
             way = side[i] == 2
             a, b = np.where(way, nums[i], np.minimum(nums[i], nums[j])), np.where(way, nums[j], np.maximum(nums[i], nums[j]))
             found = np.unique(np.column_stack([a, b, way])[a != b], axis=0)
@@ -410,27 +443,34 @@ def _with(pairs: DataFrame, placed: DataFrame, x: list[str], y: list[str]) -> Da
     return pairs
 
 
-def _doubtful(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs for which the estimate's upper bound reaches the threshold."""
-    met = _with(pairs, placed, ["dim", "code"], ["dim", "turned"]).where(F.col("x_dim") == F.col("y_dim")).select("a", "b", "one_way", "x_dim", "x_code", "y_turned")
+def _judged(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, one_way, ca, cb, sure): the pairs that may reach the threshold,
+    with the copies of both; sure are those that do so whatever the bits left
+    out were."""
+    met = _with(pairs, placed, ["dim", "copies", "code", "turned"], ["dim", "copies", "turned"]).where(F.col("x_dim") == F.col("y_dim"))
+    met = met.select("a", "b", "one_way", F.col("x_copies").alias("ca"), F.col("y_copies").alias("cb"), "x_dim", "x_code", "x_turned", "y_turned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(3).to_numpy()
+            dims = batch.column(5).to_numpy()
             for dim in np.unique(dims).tolist():
                 codes = Codes(dim)
                 part = batch.filter(pa.array(dims == dim))
-                code, own = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((4, codes.signs), (5, codes.turned)))
-                about, error = codes.estimate(code, own)
-                yield part.select([0, 1, 2]).filter(pa.array(about + error >= threshold))
+                code, x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((6, codes.signs), (7, codes.turned), (8, codes.turned)))
+                about, error = codes.estimate(code, y)
+                inner, off = codes.inner(x, y)
+                may = (about + error >= threshold) & (inner + off >= threshold)
+                sure = pa.array((inner - off >= threshold)[may])
+                kept = part.select([0, 1, 2, 3, 4]).filter(pa.array(may))
+                yield pa.RecordBatch.from_arrays([*kept.columns, sure], names=["a", "b", "one_way", "ca", "cb", "sure"])
 
-    return met.mapInArrow(run, "a long, b long, one_way boolean")
+    return met.mapInArrow(run, "a long, b long, one_way boolean, ca long, cb long, sure boolean")
 
 
 def _exact(pairs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose cosine in double precision is no less than the
-    threshold, with the copies of both."""
-    met = _with(pairs, placed, ["copies", "e"], ["copies", "e"]).select("a", "b", "one_way", F.col("x_copies").alias("ca"), F.col("y_copies").alias("cb"), "x_e", "y_e")
+    threshold."""
+    met = _with(pairs, placed, ["e"], ["e"]).select("a", "b", "one_way", "ca", "cb", "x_e", "y_e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -504,8 +544,9 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vec_col: str
 
     parts, count = tables(n, threshold)
     dealt = _dealt(placed.where(single), parts, count).unionByName(_rims(placed, balls))
-    doubt = common.stored(_doubtful(_met(dealt, threshold), placed, threshold), "vecdoubt")
-    links = common.stored(_exact(doubt, placed, threshold), "veclinks")
+    judged = common.stored(_judged(_met(dealt, threshold), placed, threshold), "vecjudged")
+    exact = _exact(judged.where(~F.col("sure")).drop("sure"), placed, threshold)
+    links = common.stored(judged.where("sure").drop("sure").unionByName(exact), "veclinks")
 
     counts = inside.select("num", "n").union(beside.select("num", "n"))
     counts = counts.union(placed.select("num", F.when(single, F.col("copies") - 1).otherwise(0).alias("n")))
@@ -519,7 +560,7 @@ def embedding_components(df: DataFrame, *, id_col: str = "vec_id", vec_col: str
     least = common.stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "vecleast")
     totals = counts.groupBy("num").agg(F.sum("n").alias("n_links"))
     names = common.stored(named.join(least, "root").join(totals, "num").select("num", "n_links", "component_id"), "vecnames")
-    common.drop(placed, doubt, links, roots, least, counted)
+    common.drop(placed, judged, links, roots, least, counted)
     own = F.when(F.col("a").isin(*clash), F.col("b")).otherwise(F.col("a")) if clash else F.col("a")
     out = vectors.select("vec_id", own.alias("num")).join(names, "num", "left")
     component = F.coalesce("component_id", "vec_id")
