@@ -52,3 +52,21 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_small):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_small).count() == 0
+
+
+def test_stages_with_clashing_names_one_id_with_two_texts_and_long_texts(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    prose = [r.text for r in docs.where("lang = 'en' AND n_chars > 400").limit(3).collect()]
+    long = " ".join(prose[0].split() * 400)
+    odd = spark.createDataFrame([(8_000_000, prose[1] + " and so on", "en", "s", 1), (8_000_000, "Of other things there is this to say: " + prose[2][:300], "en", "s", 2), (8_000_001, long, "en", "s", 3), (8_000_002, "token = \"" + "q7Zk" * 2000 + "\" " + prose[2], "en", "s", 4)], docs.schema)
+    docs = docs.unionByName(odd)
+    names = ("vellum_0", "vellum_1", "label", "quality", "y", "stats", "cands", "fp", "a", "first", "root", "item_id", "spans", "held_out", "score")
+    docs = docs.select("*", *[docs.doc_id.alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_small), name)
+        assert docs.columns[-len(names) :] == list(names)
+        rows = docs.collect()
+        assert all(all(r[n] == r.doc_id for n in names) for r in rows)
+    kept = [r.text for r in rows if r.doc_id == 8_000_000]
+    assert len(kept) == len(set(kept)) and all("q7Zk" not in r.text for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).count() == len(rows)

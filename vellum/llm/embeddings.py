@@ -232,8 +232,9 @@ def close(signs: np.ndarray, side: np.ndarray, starts: np.ndarray, most: int) ->
         for at in range(a, stop, 512):
             mine = signs[at : min(at + 512, stop)]
             begin = cut if side[a] else at
-            i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ signs[None, begin:b]).sum(axis=2, dtype=np.int16) <= most)
-            i, j = i + at, j + begin
+            far = sum((np.bitwise_count(mine[:, None, k] ^ signs[None, begin:b, k]) for k in range(signs.shape[1])), np.uint8(0))
+            hits = np.flatnonzero(far <= most)
+            i, j = hits // (b - begin) + at, hits % (b - begin) + begin
             if not side[a]:
                 ahead = i < j
                 i, j = i[ahead], j[ahead]
