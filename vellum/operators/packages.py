@@ -106,9 +106,13 @@ def missing_parts(parts: DataFrame, required: list[str]) -> DataFrame:
 
 def save(packages: DataFrame, directory: str, suffix: str) -> DataFrame:
     """Write each (path, content) from its task as a file under ``directory``,
-    a path or URI that all executors reach; returns (path, file). A name is
-    the source's without its folder and a hash of its whole path, so that a
-    task run again writes the same file."""
+    a URI that all executors reach (on one machine a path will do); returns
+    (path, file). A name is the source's without its folder and a hash of its
+    whole path, so that a task run again writes the same file."""
+
+    master = packages.sparkSession.sparkContext.master
+    if "://" not in directory and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError(f"{directory}: name the file system, like hdfs://... or file://... if all executors mount it")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
