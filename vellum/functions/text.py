@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ EXTENSIONS = {"EMF": ".emf", "WMF": ".wmf", "PICT": ".pict", "JPEG": ".jpg", "PN
 PLACEHOLDER_PARTS = ("单击此处编辑母版", "点击此处编辑母版", "Click to edit Master")
 PLACEHOLDER_TEXTS = ("二级", "三级", "四级", "五级", "第二级", "第三级", "第四级", "第五级", "Second level", "Third level", "Fourth level", "Fifth level")
 DECORATION = ("*", "•", "-", "—", "·")
+WEB, WEB_BYTES = ("www.", ".com", ".cn", ".org"), 30  # marks of web addresses, and bytes of a text that is no more than one
 # End of fixed values.
 
 
@@ -111,8 +115,8 @@ def is_edit_hint(text: Column) -> Column:
 def is_placeholder(text: Column) -> Column:
     """Master placeholders, bare decoration, short web addresses."""
     part = is_edit_hint(text)
-    web = text.contains("www.") | text.contains(".com") | text.contains(".cn") | text.contains(".org")
-    return part | text.isin(*PLACEHOLDER_TEXTS) | text.isin(*DECORATION) | ((F.octet_length(text) <= 30) & web)
+    web = functools.reduce(operator.or_, (text.contains(w) for w in WEB))
+    return part | text.isin(*PLACEHOLDER_TEXTS) | text.isin(*DECORATION) | ((F.octet_length(text) <= WEB_BYTES) & web)
 
 
 def is_blank(text: Column) -> Column:
