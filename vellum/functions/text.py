@@ -60,8 +60,8 @@ def is_cjk_font(name: Column) -> Column:
 
 
 def is_font_name(name: Column) -> Column:
-    """Nothing but printable characters, one at least."""
-    return (F.length(name) > 0) & ~name.rlike(r"[\x{0000}-\x{001F}\x{FFFD}]")
+    """Nothing but printable characters, one at least, and no long text."""
+    return (F.length(name) > 0) & (F.octet_length(name) <= 100) & ~name.rlike(r"[\x{0000}-\x{001F}\x{FFFD}]")
 
 
 def extension(image_format: Column) -> Column:

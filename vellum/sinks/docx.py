@@ -43,7 +43,8 @@ def run_xml() -> Column:
     """One run; pictures' and fields' marks are not text."""
     size = F.col("font_size")
     props = F.concat(
-        _tag(F.length("font_name") > 0, '<w:rFonts w:ascii="', pk.xml(F.col("font_name")), '" w:hAnsi="', pk.xml(F.col("font_name")), '" w:eastAsia="', pk.xml(F.col("font_name")), '"/>'),
+        _tag((F.length("font_name") > 0) & tx.is_cjk_font(F.col("font_name")), '<w:rFonts w:eastAsia="', pk.xml(F.col("font_name")), '"/>'),
+        _tag((F.length("font_name") > 0) & ~tx.is_cjk_font(F.col("font_name")), '<w:rFonts w:ascii="', pk.xml(F.col("font_name")), '" w:hAnsi="', pk.xml(F.col("font_name")), '"/>'),
         _tag(F.col("bold"), "<w:b/>"),
         _tag(F.col("italic"), "<w:i/>"),
         _tag(F.length("color") > 0, '<w:color w:val="', F.col("color"), '"/>'),

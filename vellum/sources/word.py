@@ -232,8 +232,9 @@ class Document:
                 break
             raw = data[at + 1 : at + 1 + data[at]]
             at += 1 + data[at]
-            names = (raw[k:].decode("utf-16-le", "ignore").split("\0")[0] for k in (39, 15))
-            out.append(next((x for x in names if x and all(c.isprintable() for c in x)), ""))
+            # where names stand, else wherever one can be read
+            names = (raw[k:].decode("utf-16-le", "ignore").split("\0")[0] for k in (39, 15, *range(38, 4, -1)) if k + 2 <= len(raw))
+            out.append(next((x for x in names if x and len(x.encode("utf-8", "ignore")) <= 100 and all(c >= " " and c != "\ufffd" for c in x)), ""))
         return out
 
     def char_runs(self) -> Iterator[tuple]:
