@@ -11,6 +11,7 @@ from vellum.functions import text as tx
 from vellum.functions import units
 from vellum.operators import packages as pk
 from vellum.operators import slides as sl
+from vellum.operators import tables
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _P = "http://schemas.openxmlformats.org/presentationml/2006/main"
@@ -93,17 +94,17 @@ def _texts(runs: DataFrame) -> DataFrame:
     return paras.groupBy(*sl.OWNER, "z").agg(pk.ordered_text("para", "para_idx").alias("body"))
 
 
-def _frame() -> Column:
-    """A shape's place. Its box is that of the turned shape, so near a quarter
-    turn the sides change places around the center."""
-    turn = units.rotation(F.coalesce("rotation_raw", F.lit(0)))
-    w, h = F.greatest("cx", F.lit(0)), F.greatest("cy", F.lit(0))
-    swap = units.is_quarter_turn(turn) & ~turn.isin(45 * 60000, 135 * 60000, 225 * 60000, 315 * 60000)
+def _framed(rows: DataFrame) -> DataFrame:
+    """Shapes with their place, ``__frame``. A shape's box is that of the turned
+    shape, so near a quarter turn the sides change places around the center."""
+    rows = rows.withColumns({"__turn": units.rotation(F.coalesce("rotation_raw", F.lit(0))), "__w": F.greatest("cx", F.lit(0)), "__h": F.greatest("cy", F.lit(0))})
+    turn, w, h, swap = (F.col(c) for c in ("__turn", "__w", "__h", "__swap"))
+    rows = rows.withColumn("__swap", units.is_quarter_turn(turn) & ~turn.isin(45 * 60000, 135 * 60000, 225 * 60000, 315 * 60000))
     x = F.when(swap, F.col("x") + F.floor(w / 2) - F.floor(h / 2)).otherwise(F.col("x"))
     y = F.when(swap, F.col("y") + F.floor(h / 2) - F.floor(w / 2)).otherwise(F.col("y"))
     cx, cy = F.when(swap, h).otherwise(w), F.when(swap, w).otherwise(h)
     flips = [_if(F.col(c), f' {n}="1"') for c, n in (("flip_h", "flipH"), ("flip_v", "flipV"))]
-    return F.concat(F.lit("<a:xfrm"), _if(turn != 0, ' rot="', turn, '"'), *flips, F.lit('><a:off x="'), x, F.lit('" y="'), y, F.lit('"/><a:ext cx="'), cx, F.lit('" cy="'), cy, F.lit('"/></a:xfrm>'))
+    return rows.withColumn("__frame", F.concat(F.lit("<a:xfrm"), _if(turn != 0, ' rot="', turn, '"'), *flips, F.lit('><a:off x="'), x, F.lit('" y="'), y, F.lit('"/><a:ext cx="'), cx, F.lit('" cy="'), cy, F.lit('"/></a:xfrm>')))
 
 
 def _body_props() -> Column:
@@ -113,10 +114,11 @@ def _body_props() -> Column:
     return F.concat(F.lit("<a:bodyPr"), *inset, anchor, _if(F.col("anchor").between(3, 5), ' anchorCtr="1"'), _if(F.col("wrap") == 0, ' wrap="none"'), F.lit("><a:normAutofit/></a:bodyPr>"))
 
 
-def _shape_xml() -> Column:
-    """One shape of number ``n``: a picture, a connector or a form with text."""
+def _shaped(rows: DataFrame) -> DataFrame:
+    """Shapes with their ``xml``, of number ``n``: a picture, a connector or a
+    form with text. Pieces that stand in several kinds are columns, so that
+    each is in the plan once."""
     k = F.col("n").cast("string")
-    frame = _frame()
     geometry = F.coalesce(F.col("own_path"), F.concat(F.lit('<a:prstGeom prst="'), _map(PRESETS, F.col("shape_type"), "rect"), F.lit('"><a:avLst/></a:prstGeom>')))
     step = lambda c, n: _if(F.col(c).between(0, 2), f' {n}="', _map(STEPS, F.col(c).cast("int"), "med"), '"')
     end = lambda c, n: _if(F.col(f"line_{c}").between(1, 5), f'<a:{n} type="', _map(ENDS, F.col(f"line_{c}").cast("int"), "none"), '"', step(f"{c}_width", "w"), step(f"{c}_length", "len"), "/>")
@@ -127,6 +129,8 @@ def _shape_xml() -> Column:
     told = (F.length("line_color") > 0) | (sl.is_connector(F.col("shape_type")) & ((F.col("line_width") > 0) | (F.col("line_start") > 0) | (F.col("line_end") > 0)))
     drawn = F.coalesce(told, F.lit(False)) & ~F.coalesce("no_line", F.lit(False))
     line = F.when(drawn, F.concat(F.lit('<a:ln w="'), F.coalesce("line_width", F.lit(9525)), F.lit('"><a:solidFill><a:srgbClr val="'), F.coalesce("line_color", F.lit("000000")), F.lit('"/></a:solidFill>'), style, F.lit("</a:ln>"))).when(sl.is_connector(F.col("shape_type")) & ~F.coalesce("no_line", F.lit(False)), '<a:ln><a:solidFill><a:srgbClr val="000000"/></a:solidFill></a:ln>').otherwise("<a:ln><a:noFill/></a:ln>")
+    rows = _framed(rows).withColumns({"__geometry": geometry, "__fill": fill, "__line": line})
+    frame, geometry, fill, line = (F.col(c) for c in ("__frame", "__geometry", "__fill", "__line"))
     form = F.concat(frame, geometry, fill, line)
     name = F.concat(F.lit('<p:cNvPr id="'), k, F.lit('" name="Shape '), k, F.lit('"/>'))
     cut = lambda c: units.crop(F.coalesce(F.col(c), F.lit(0)))
@@ -134,7 +138,7 @@ def _shape_xml() -> Column:
     picture = F.concat(F.lit("<p:pic><p:nvPicPr>"), name, F.lit('<p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="rIdImg'), F.col("image_idx") + 1, F.lit('"/>'), crop, F.lit("<a:stretch><a:fillRect/></a:stretch></p:blipFill><p:spPr>"), frame, F.lit('<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr></p:pic>'))
     connector = F.concat(F.lit("<p:cxnSp><p:nvCxnSpPr>"), name, F.lit("<p:cNvCxnSpPr/><p:nvPr/></p:nvCxnSpPr><p:spPr>"), frame, geometry, line, F.lit("</p:spPr></p:cxnSp>"))
     plain = F.concat(F.lit("<p:sp><p:nvSpPr>"), name, F.lit("<p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr>"), form, F.lit("</p:spPr><p:txBody>"), _body_props(), F.lit("<a:lstStyle/>"), F.coalesce("body", F.lit("<a:p/>")), F.lit("</p:txBody></p:sp>"))
-    return F.when(F.col("file").isNotNull(), picture).when(sl.is_connector(F.col("shape_type")), connector).otherwise(plain)
+    return rows.withColumn("xml", F.when(F.col("file").isNotNull(), picture).when(sl.is_connector(F.col("shape_type")), connector).otherwise(plain))
 
 
 def _ground(rows: DataFrame) -> Column:
@@ -164,28 +168,34 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
 
     Each master that slides refer to makes a layout of its shapes (layers), its
     background (master_grounds) and, if there is one, the ground of its titles;
-    its watermarks stand on its slides, below their own shapes."""
+    its watermarks stand on its slides, below their own shapes.
+
+    What several kinds of parts are made of is stored, so that the plan of the
+    result holds each of it as one scan and the driver's memory no copies."""
     fine = images.where(F.col("data").isNotNull()).withColumn("file", F.concat(F.lit("image"), F.col("image_idx") + 1, tx.extension(F.col("format"))))
     media = fine.select("path", F.concat(F.lit("ppt/media/"), "file").alias("part_name"), F.col("data").alias("content"))
     fine = fine.select("path", "image_idx", "file")
     owner = [*sl.OWNER, "z"]
-    dressed = lambda rows: rows.join(fine, ["path", "image_idx"], "left").join(_texts(runs), owner, "left").join(geometry.select(*owner, path_xml("geo_w", "geo_h", "vertices", "segments").alias("own_path")), owner, "left")
+    said = tables.stored(_texts(runs), "said")
+    dressed = lambda rows: rows.join(fine, ["path", "image_idx"], "left").join(said, owner, "left").join(geometry.select(*owner, path_xml("geo_w", "geo_h", "vertices", "segments").alias("own_path")), owner, "left")
 
     page = ["path", "slide_idx"]
     own = dressed(shapes.where("owner_kind = 'slide'")).withColumns({"slide_idx": F.col("owner_id").cast("int"), "layer": F.lit(1)})
     marks = dressed(layers.where("layer = 'over'")).join(slides.select(*page, "layout_idx"), ["path", "layout_idx"]).withColumn("layer", F.lit(0)).drop("layout_idx")
     drawn = own.unionByName(marks.select(*own.columns))
     drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy(*page).orderBy("layer", "z")) + 1)
-    drawn = drawn.select(*page, "n", "layer", "image_idx", "file", _shape_xml().alias("xml"))
+    drawn = tables.stored(_shaped(drawn).select(*page, "n", "layer", "image_idx", "file", "xml"), "drawn")
     listed = texts.join(drawn.where("layer = 1").select(*page).distinct(), page, "left_anti")
     lines = F.transform(tx.lines(F.col("text")), lambda t: F.concat(F.lit('<a:p><a:r><a:rPr lang="en-US"/><a:t>'), pk.xml(t), F.lit("</a:t></a:r></a:p>")))
     listed = listed.withColumn("line", F.array_join(lines, "")).groupBy(*page).agg(pk.ordered_text("line", "text_idx").alias("lines"))
     box = F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="1000" name="Text"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="457200"/><a:ext cx="8229600" cy="5943600"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr/><a:lstStyle/>'), "lines", F.lit("</p:txBody></p:sp>"))
     body = drawn.groupBy(*page).agg(pk.ordered_text("xml", "n").alias("body")).join(listed.select(*page, box.alias("box")), page, "full_outer")
     body = body.select(*page, F.concat(F.coalesce("body", F.lit("")), F.coalesce("box", F.lit(""))).alias("body"))
-    grounds = backgrounds.join(fine, ["path", "image_idx"], "left")
+    grounds = tables.stored(backgrounds.join(fine, ["path", "image_idx"], "left"), "backgrounds")
     used = _relations(drawn.select(*page, "image_idx", "file").unionByName(grounds.select(*page, "image_idx", "file")), page)
     rows = slides.select(*page, "layout_idx").join(body, page, "left").join(used, page, "left").join(grounds.select(*page, _ground(grounds).alias("ground")), page, "left").na.fill("", ["body", "relations", "ground"])
+    rows = tables.stored(rows, "slidexml")
+    tables.drop(grounds)
     tree = lambda c, bg=F.lit(""): F.concat(F.lit("<p:cSld>"), bg, F.lit('<p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'), c, F.lit("</p:spTree></p:cSld>"))
     n, m = F.col("slide_idx") + 1, F.col("layout_idx") + 1
     wrap = lambda a, c, b: F.concat(F.lit(_HEAD + a), c, F.lit(b))
@@ -196,16 +206,19 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     sheets = slides.select("path", "layout_idx", "master_ref").distinct().groupBy(*layout).agg(F.min("master_ref").alias("owner_id"))
     sheets = info.select("path").join(sheets, "path", "left").na.fill(0, ["layout_idx"])
     plain = dressed(layers.where("layer = 'plain'"))
-    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy(*layout).orderBy("z")) + 2).select(*layout, "n", "image_idx", "file", _shape_xml().alias("xml"))
+    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy(*layout).orderBy("z")) + 2)
+    plain = tables.stored(_shaped(plain).select(*layout, "n", "image_idx", "file", "xml"), "plain")
     crops = ["crop_left", "crop_top", "crop_right", "crop_bottom"]
     full = layers.where("layer = 'back'").groupBy(*layout).agg(F.min_by(F.struct("image_idx", *crops), "z").alias("f")).select(*layout, F.col("f.image_idx").alias("full_idx"), *[F.col(f"f.{c}").alias(c) for c in crops])
     back = sheets.join(master_grounds, ["path", "owner_id"], "left").join(full, layout, "left").select(*layout, "color", F.coalesce("full_idx", "image_idx").alias("image_idx"), *crops).join(fine, ["path", "image_idx"], "left")
+    back = tables.stored(back, "back")
     on_layout = _relations(plain.select(*layout, "image_idx", "file").unionByName(back.select(*layout, "image_idx", "file")), layout)
     size = info.select("path", units.from_master(F.col("width")).alias("__w"))
     shade = F.concat(F.lit('<p:sp><p:nvSpPr><p:cNvPr id="2" name="Title ground"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="'), "__w", F.lit('" cy="'), "bottom", F.lit('"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom><a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="'), "color", F.lit('"/></a:gs><a:gs pos="100000"><a:srgbClr val="'), "color", F.lit('"><a:tint val="60000"/></a:srgbClr></a:gs></a:gsLst><a:lin ang="0" scaled="1"/></a:gradFill><a:ln><a:noFill/></a:ln></p:spPr></p:sp>'))
     shaded = titles.join(size, "path").select(*layout, shade.alias("shade"))
     sheets = sheets.join(plain.groupBy(*layout).agg(pk.ordered_text("xml", "n").alias("body")), layout, "left").join(on_layout, layout, "left").join(back.select(*layout, _ground(back).alias("ground")), layout, "left").join(shaded, layout, "left")
-    sheets = sheets.na.fill("", ["body", "relations", "ground", "shade"])
+    sheets = tables.stored(sheets.na.fill("", ["body", "relations", "ground", "shade"]), "sheets")
+    tables.drop(said, drawn, plain, back)
     sheet = sheets.select(
         *layout,
         F.concat(F.lit('<p:sldLayoutId id="'), F.lit(2147483649) + F.col("layout_idx"), F.lit('" r:id="rIdL'), m, F.lit('"/>')).alias("entry"),
@@ -223,6 +236,7 @@ def parts(info: DataFrame, slides: DataFrame, shapes: DataFrame, runs: DataFrame
     used_scheme = scheme.where("owner_kind = 'slide' AND colors IS NOT NULL").groupBy("path", "colors").agg(F.count(F.lit(1)).alias("n"), F.min("owner_id").alias("first"))
     used_scheme = used_scheme.groupBy("path").agg(F.max_by("colors", F.struct("n", -F.col("first"))).alias("colors"))
     book = info.join(book, "path", "left").join(sheet, "path", "left").join(used_scheme, "path", "left").na.fill("", ["entries", "slide_relations", "kinds", "layout_entries", "layout_relations", "layout_kinds"])
+    book = tables.stored(book, "book")
     slide_size = F.concat(F.lit('<p:sldSz cx="'), units.from_master(F.col("width")), F.lit('" cy="'), units.from_master(F.col("height")), F.lit('"/><p:notesSz cx="6858000" cy="9144000"/>'))
     names = dict(zip(_THEME_COLORS, range(8)))
     theme_color = lambda n, k: F.concat(F.lit(f'<a:{n}><a:srgbClr val="'), F.coalesce(F.get("colors", k), F.lit(THEME[k])), F.lit(f'"/></a:{n}>'))
