@@ -260,3 +260,14 @@ def plan(df):
 def test_the_plan_of_packages_holds_what_they_share_once(spark):
     # the driver plans and compiles this: 322,861 characters when every kind of part held all of it
     assert len(plan(convert.ppt_to_pptx(source(spark, d=sample())))) < 40_000
+
+
+def test_texts_are_sized_and_colored_by_small_expressions(spark):
+    from pyspark.sql import functions as F
+
+    c = {"text": "string", "raw": "long", "fill": "string", "filled": "boolean", "dark": "boolean", "image": "boolean", "scheme": "array<string>", "title": "boolean"}
+    df = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in c.items()))
+    assert len(plan(df.select(sl.visible_color(*map(F.col, c)).alias("ink")))) < 10_000
+    t = dict(zip(convert.PPT_TABLES, (table(spark, n, d=sample()) for n in convert.PPT_TABLES)))
+    runs = t["ppt_runs"].withColumn("color", F.lit(None).cast("string"))
+    assert len(plan(sl.sized(runs, sl.placed(t["ppt_shapes"])))) < 25_000

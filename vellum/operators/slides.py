@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def is_filled(fill: Column, no_fill: Column, opacity: Column) -> Column:
     return (F.coalesce(F.length(fill), F.lit(0)) > 0) & ~F.coalesce(no_fill, F.lit(False)) & ~F.coalesce(faint, F.lit(False))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that stands in the expression once, however often
+    ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def visible_color(text: Column, raw: Column, fill: Column, filled: Column, dark_behind: Column, image_behind: Column, scheme: Column, in_title: Column) -> Column:
     """A text's color so that it shows on what lies behind.
 
@@ -70,21 +78,24 @@ def visible_color(text: Column, raw: Column, fill: Column, filled: Column, dark_
     ink_at_least = F.coalesce(ink, F.lit("000000"))
     high, low = F.shiftrightunsigned(raw.cast("long"), 24).bitwiseAND(F.lit(255)), raw.bitwiseAND(F.lit(0xFFFFFF))
     unset = (F.coalesce(F.length(text), F.lit(0)) == 0) | (F.coalesce(raw, F.lit(0)) == 0)
-    dark_fill = filled & color.is_dark(fill)
-    behind = ~filled & (dark_behind | image_behind)
-    colored = filled & (paper.isNull() | (fill != paper)) & ~color.is_near_white(fill)
     of_paper = some(((high == 0xFE) & (low == 0)) | ((high == 8) & (low.bitwiseAND(F.lit(255)) == 0))) & some(text == paper)
-    on_paper = F.when(dark_fill | colored | behind, text).otherwise(ink_at_least)
-    fixed = F.when(dark_fill & color.is_dark(text) & color.is_low_contrast(text, fill), "FFFFFF").when(filled & ~dark_fill & some(text == fill), ink_at_least).when(behind & (text == "000000"), "FFFFFF").otherwise(text)
-    pale = color.is_near_white(fixed)
-    lost = (pale & ~filled & ~dark_behind & ~image_behind & ~in_title) | (pale & filled & ~dark_fill & color.is_near_white(fill))
-    return (
-        F.when(unset & (dark_fill | behind | (~filled & in_title)), "FFFFFF")
-        .when(unset, F.coalesce(ink, text))
-        .when(of_paper, on_paper)
-        .when(lost, ink_at_least)
-        .otherwise(fixed)
-    )
+
+    def on_ground(g: Column) -> Column:
+        dark_fill, pale_fill, behind = g["dark"], g["pale"], g["behind"]
+        colored = filled & (paper.isNull() | (fill != paper)) & ~pale_fill
+        on_paper = F.when(dark_fill | colored | behind, text).otherwise(ink_at_least)
+        fixed = F.when(dark_fill & color.is_dark(text) & color.is_low_contrast(text, fill), "FFFFFF").when(filled & ~dark_fill & some(text == fill), ink_at_least).when(behind & (text == "000000"), "FFFFFF").otherwise(text)
+        open_ = ~filled & ~dark_behind & ~image_behind & ~in_title
+        told = _let(fixed, lambda c: F.when(color.is_near_white(c) & (open_ | (filled & ~dark_fill & pale_fill)), ink_at_least).otherwise(c))
+        return (
+            F.when(unset & (dark_fill | behind | (~filled & in_title)), "FFFFFF")
+            .when(unset, F.coalesce(ink, text))
+            .when(of_paper, on_paper)
+            .otherwise(told)
+        )
+
+    ground = F.struct((filled & color.is_dark(fill)).alias("dark"), color.is_near_white(fill).alias("pale"), (~filled & (dark_behind | image_behind)).alias("behind"))
+    return _let(ground, on_ground)
 
 
 #: Keys of a slide or master.
@@ -170,12 +181,15 @@ def sized(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     small = F.col("cy") < 500_000
     inset = lambda c, little, usual: F.coalesce(F.when(F.col(c) >= 0, F.col(c)), F.when(small, little).otherwise(usual))
     room = lambda size, a, b: F.when(size - a - b > 0, size - a - b).otherwise(size)
-    height = room(F.col("cy"), inset("inset_top", 12700, 45720), inset("inset_bottom", 12700, 45720))
-    width = room(F.col("cx"), inset("inset_left", 25400, 91440), inset("inset_right", 25400, 91440))
+    # what every candidate is tried with is a column, not a part of each test
+    bare = bare.withColumns({f"__{c}": inset(f"inset_{c}", *usual) for c, usual in (("top", (12700, 45720)), ("bottom", (12700, 45720)), ("left", (25400, 91440)), ("right", (25400, 91440)))})
+    height = room(F.col("cy"), F.col("__top"), F.col("__bottom"))
+    width = room(F.col("cx"), F.col("__left"), F.col("__right"))
     n, filled = F.col("chars"), (F.coalesce(F.length("fill_color"), F.lit(0)) > 0) & ~F.coalesce("no_fill", F.lit(False))
     wide = (F.col("cx") > F.col("cy") * 4) & (n > 20) & ((F.col("paras") > 1) | (n > 40))
     most = F.when((n.between(1, 14) & (F.col("paras") <= 1)) | (filled & (n > 40)) | wide, 1400).when(n.between(15, 40) & (F.col("paras") >= 2), 1600).otherwise(2000)
-    fit = F.when(F.col("cy") <= 0, 1400).otherwise(largest_fit(width, height, F.col("lengths"), F.coalesce(F.col("spacing"), F.lit(0)) / 100, most))
+    bare = bare.withColumns({"__height": height, "__width": width, "__most": most, "__spacing": F.coalesce(F.col("spacing"), F.lit(0)) / 100})
+    fit = F.when(F.col("cy") <= 0, 1400).otherwise(largest_fit(F.col("__width"), F.col("__height"), F.col("lengths"), F.col("__spacing"), F.col("__most")))
     rows = rows.join(bare.select(*by, (fit / 100).cast("int").alias("__fit")), by, "left")
     size = F.coalesce(given, F.col("__para"), F.col("__shape"), F.col("__fit"))
     return rows.withColumns({"font_size": size, "font_name": F.coalesce(name, F.col("__font"), F.lit(FONT))}).drop("__para", "__shape", "__font", "__fit")

@@ -87,7 +87,8 @@ def ppt_to_pptx(source: DataFrame, keep_empty: bool = True, plain: bool = False)
     slides = tables.stored(slides.join(sl.layouts(slides), ["path", "master_ref"]), "pages")
     scheme = tables.stored(sl.schemes(slides, t["ppt_schemes"]), "schemes")
     placed = tables.stored(sl.colored(sl.placed(t["ppt_shapes"]), scheme), "placed")
-    runs = tables.stored(sl.sized(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), placed), "styled")
+    styled = tables.stored(sl.styled(t["ppt_runs"], placed, slides, scheme, t["ppt_master_styles"]), "styled")
+    runs = tables.stored(sl.sized(styled, placed), "sized")
     masters = tables.stored(sl.master_backgrounds(t["ppt_backgrounds"], scheme), "grounds")
     ground = tables.stored(sl.grounds(placed, slides, masters), "behind")
     runs = tables.stored(sl.shown(runs, placed, scheme, ground), "shown")
