@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document as counts and hashes."""
-    return pieces.digest(pieces.encode_documents(docs, spans=False))
+    """Ids of every document, with their source spans, as counts and hashes."""
+    return pieces.digest(pieces.encode_documents(docs))
 
 
 STAGES = [

@@ -70,3 +70,15 @@ def test_stages_with_clashing_names_one_id_with_two_texts_and_long_texts(spark,
     kept = [r.text for r in rows if r.doc_id == 8_000_000]
     assert len(kept) == len(set(kept)) and all("q7Zk" not in r.text for r in rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).count() == len(rows)
+
+
+def test_tokens_are_projected_to_their_source(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pieces, "digest", lambda df: seen.append(df) or df)
+    texts = ["Zwei Wörter", "", None, "a\u0000\u2603b"]
+    corpus_pipeline.tokens(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    rows = seen[0].collect()
+    assert len(rows) == 4
+    for r in rows:
+        size = len((texts[r.doc_id] or "").encode())
+        assert len(r.begins) == len(r.ends) == len(r.ids) and r.begins[0] == 0 and r.ends[-1] == r.n_bytes == size

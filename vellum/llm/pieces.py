@@ -210,13 +210,13 @@ def codec(model_path: str, end: bool) -> Codec:
     return Codec(model_path, end)
 
 
-def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True, spans: bool = True, decoded: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = True) -> DataFrame:
     """Ids, source spans and decoded text of every document.
 
     Returns (doc_id, ids array<int>, begins array<int>, ends array<int>,
     decoded string, n_bytes int), one row for each row of ``df``; begins and
-    ends are byte places in the source, null without ``spans``; decoded is null
-    without ``decoded``; n_bytes are the bytes of the source. One pass, no shuffle.
+    ends are byte places in the source; decoded is null without ``decoded``;
+    n_bytes are the bytes of the source. One pass, no shuffle.
 
     A null text is the empty text: its only id is the end id (none without
     ``end``), it decodes to the empty text. Repeated rows each have a row, a
@@ -230,11 +230,9 @@ def encode_documents(df: DataFrame, model_path: str | None = None, *, id_col: st
 
         def apply(ids, texts):
             found = tool.encode(texts)
-            out = {"doc_id": ids, "ids": _lists(found), "decoded": [tool.decode(x) for x in found] if decoded else [None] * len(ids), "begins": [None] * len(ids), "ends": [None] * len(ids), "n_bytes": [len(t.encode()) for t in texts]}
-            if spans:
-                pairs = [tool.spans(t, x) for t, x in zip(texts, found)]
-                out["begins"], out["ends"] = (_lists([p[k] for p in pairs]) for k in (0, 1))
-            return out
+            pairs = [tool.spans(t, x) for t, x in zip(texts, found)]
+            begins, ends = (_lists([p[k] for p in pairs]) for k in (0, 1))
+            return {"doc_id": ids, "ids": _lists(found), "decoded": [tool.decode(x) for x in found] if decoded else [None] * len(ids), "begins": begins, "ends": ends, "n_bytes": [len(t.encode()) for t in texts]}
 
         return apply
 
@@ -251,7 +249,7 @@ def _lists(rows) -> pa.Array:
 def digest(encoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): sizes and
     hashes of what ``encode_documents`` returns; n_bytes is where the last
-    span ends, which is the bytes of the source, and those without spans."""
+    span ends, which is the bytes of the source, and those without ids."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
